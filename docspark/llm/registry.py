@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from docspark.llm import quality_rules
+from docspark.llm import mixing, packing, quality_rules
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_mixing": mixing.op7_mixing,
 }
 ORACLES: dict[str, str] = {}
