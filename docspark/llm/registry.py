@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from docspark.llm import mixing, packing, quality_rules
+from docspark.llm import fingerprint, mixing, near_dedup, packing, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
