@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docspark.llm import fingerprint, mixing, near_dedup, packing, quality_rules, secret_scan, substring_dedup
+from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_packing": packing.op3_packing,
     "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_quality_rules": quality_rules.op5_quality_rules,
@@ -13,4 +14,6 @@ QUERIES = {
     "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+}
