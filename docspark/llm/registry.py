@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, substring_dedup
+from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_packing": packing.op3_packing,
     "op4_secret_scans": secret_scan.op4_secret_scans,
