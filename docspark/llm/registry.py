@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
+from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, rule_ensemble, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_quality_classifier": rule_ensemble.op6_quality_classifier,
     "op7_mixing": mixing.op7_mixing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
