@@ -1,25 +1,61 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, in this order."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, in this order.
+
+Each stage takes what its predecessor kept and returns the columns of ``documents``; the last returns the pieces of
+the packed sequences. ``run`` writes every stage's result in the shared folder and reads it back, so that a lost executor never sends the work
+back further than one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import quality_rules
-from docspark.llm.common import documents
+from docspark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from docspark.llm.common import documents, materialize
+
+
+def _docs(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir) if docs is None else docs
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules accept."""
-    return quality_rules.keep_good(docs if docs is not None else documents(spark, sf_dir))
+    """Documents that the quality rules accept; the others go."""
+    return quality_rules.keep_good(_docs(spark, docs, sf_dir))
+
+
+def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without runs of lines that stand in an earlier one."""
+    return line_dedup.remove_repeated_lines(_docs(spark, docs, sf_dir))
+
+
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least id."""
+    return near_dedup.keep_one_each(_docs(spark, docs, sf_dir))
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often, and with the words, that the mix takes."""
+    return mixing.mixed_documents(_docs(spark, docs, sf_dir))
+
+
+def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return packing.pack(_docs(spark, docs, sf_dir), packing.default_ranks())
 
 
-STAGES = [("quality rules", stage_quality)]
+STAGES = [
+    ("quality rules", stage_quality),
+    ("line dedup", stage_lines),
+    ("near dedup", stage_near),
+    ("mixing", stage_mix),
+    ("packing", stage_pack),
+]
+#: The fitted rules and the drawn mix have no counterpart in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -85,11 +85,15 @@ def kept_text() -> Column:
 
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """The documents with repeated runs deleted from ``text``; their columns are those of ``docs``."""
-    cut = without_repeats(docs, key, text, run)
-    cut = cut.withColumn(text, F.when(F.size("_kept") < F.size("_lines"), kept_text()).otherwise(F.col(text)))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    cut = without_repeats(rows, "_key", "_text", run)
+    changed = F.size("_kept") < F.size("_lines")
+    cut = cut.withColumn("_new", F.when(changed, kept_text()).otherwise(F.col("_text")))
+    renewed = {text: F.col("_new")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.size("_kept") < F.size("_lines"), F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        renewed["n_chars"] = F.when(changed, F.char_length("_new").cast(kind)).otherwise(F.col("_doc")["n_chars"])
+    return cut.select(*(renewed.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,44 @@ def taken(placed: DataFrame, sources: list[Source], key: str, seed: int, block:
     return joined.withColumn("taken", F.coalesce("taken", F.lit(0))).drop("_no", "_start", "_row", "source_no")
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
+    """The documents as the mix takes them; their columns are those of ``docs``.
+
+    A document is there once for each pass that takes words of it, with the words taken: unchanged where that is all of
+    them, else the words of the blocks taken, with single spaces. ``n_chars``, where there is one, is renewed.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.col("source"), text_or_empty(text).alias("_text"), F.size(words(text_or_empty(text))).cast("long").alias("size")
+    )
+    placed, sizes = located(rows, "_key", F.col("size"))
+    sources = targets(sizes)
+    named = F.broadcast(spark.createDataFrame([(j, s.name) for j, s in enumerate(sources)] or [], "source_no int, _name string"))
+    numbered = placed.filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "source")
+    drawn = slots(spark, sources, seed, block).groupBy("source_no", "block").agg(F.count("*").cast("int").alias("times"))
+    pieces = numbered.select(
+        "source_no", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
+    )
+    got = pieces.join(drawn, ["source_no", "block"]).groupBy("source_no", "start").agg(F.collect_list(F.struct("block", "times")).alias("_got"))
+    joined = numbered.join(got, ["source_no", "start"]).select("_doc", "_text", "start", "size", F.array_sort("_got").alias("_got"), F.explode(F.sequence(F.lit(1), F.lit(MOST_PASSES))).alias("_pass"))
+    joined = joined.withColumn("_got", F.transform(F.filter("_got", lambda x: x["times"] >= F.col("_pass")), lambda x: x["block"])).filter(F.size("_got") > 0)
+    joined = joined.withColumn("_all", F.size("_got") == F.floor((F.col("start") + F.col("size") - 1) / block) - F.floor(F.col("start") / block) + 1)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, start: pd.Series, blocks: pd.Series) -> pd.Series:
+        out = []
+        for t, first, own in zip(text, start, blocks, strict=True):
+            w = t.encode("utf-8", "surrogatepass").split()
+            out.append(b" ".join(x for b in own for x in w[max(0, b * block - first) : (b + 1) * block - first]).decode("utf-8", "surrogatepass"))
+        return pd.Series(out)
+
+    joined = joined.withColumn("_new", F.when(F.col("_all"), F.col("_text")).otherwise(cut(F.when(F.col("_all"), F.lit("")).otherwise(F.col("_text")), F.col("start"), F.col("_got"))))
+    renewed = {text: F.col("_new")}
+    if "n_chars" in docs.columns:
+        renewed["n_chars"] = F.char_length("_new").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(renewed.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str, seed: int = 7) -> DataFrame:
     """How many words of each document the mix takes."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")

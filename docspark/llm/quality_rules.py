@@ -76,7 +76,8 @@ def text_statistics(docs: DataFrame, text: str = "text", into: str = STATS) -> D
         F.regexp_count(t, F.lit(r"(?<=[^\x20\x09-\x0D])[.!?;:。][)\"'”»]?(?![^\x20\x09-\x0D])")).cast("bigint").alias("n_stops"),
         F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct_words"),
     )
-    return out.withColumn(into, stats).drop(*names.values())
+    # A generator keeps filters on the counts from being pushed below and spelled out again for every count they read.
+    return out.select("*", F.explode(F.array(stats)).alias(into)).drop(*names.values())
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -171,10 +172,11 @@ def fit(with_stats: DataFrame, stats: str = STATS) -> VoteModel:
 
 def keep_good(docs: DataFrame, min_posterior: float = 0.5) -> DataFrame:
     """The documents that pass the base rule and that the votes call good; all their columns."""
-    with_stats = text_statistics(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))
+    with_stats = text_statistics(rows)
     model = fit(with_stats)
     good = ~base_failed(F.col(STATS)) & (model.posterior(votes(F.col(STATS))) >= min_posterior)
-    return with_stats.filter(good).select(*docs.columns)
+    return with_stats.filter(good).select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str, min_posterior: float = 0.5) -> DataFrame:
