@@ -1,16 +1,311 @@
-"""Queries over the sample tables, by name, with their SQL counterparts."""
+"""Queries over the sample tables, by name, with their SQL counterparts.
+
+Documents are built from the tables: an order with its items, a region with its nations and customers. The SQL works on the
+flat tables, so it shares no code with the queries.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.functions.paths import matches, path
+from docspark.operators import collections as coll
+from docspark.operators import inference, search, validation
+from docspark.plans.steps import Context, Flatten, ForEach, Path, Pipeline, Script, SetVariable, Step, SubPipeline, Template
+from docspark.sources import documents as sources
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, doc): an order with its items by line number."""
+    fields = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+    o = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select("o_orderkey", F.struct("o_orderstatus", "o_totalprice", "o_orderpriority", "items").alias("doc"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a collection within their order, ``_pos`` from 0."""
+    return table(spark, sf_dir, "lineitem").withColumn(coll.POS, (F.col("l_linenumber") - 1).cast("bigint"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a collection in order of key."""
+    return table(spark, sf_dir, "part").withColumn(coll.POS, F.col("p_partkey"))
+
+
+def _each(df: DataFrame, found: Column, name: str) -> DataFrame:
+    return df.select("o_orderkey", F.explode(found).alias(name))
+
+
+@query("SELECT l_orderkey AS o_orderkey, l_extendedprice AS price FROM lineitem WHERE l_quantity < 10")
+def path_filter_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$.items[?(@.l_quantity < 10)].l_extendedprice"), "price")
+
+
+flagship = path_filter_child
+
+
+@query("SELECT l_orderkey AS o_orderkey, l_extendedprice AS price FROM lineitem WHERE (l_quantity < 10 AND l_discount >= 0.05) OR NOT (l_returnflag = 'N')")
+def path_and_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$.items[?((@.l_quantity < 10 && @.l_discount >= 0.05) || !(@.l_returnflag == 'N'))].l_extendedprice"), "price")
+
+
+@query("SELECT l_orderkey AS o_orderkey, l_linenumber AS line FROM lineitem WHERE regexp_matches(l_returnflag, '[ra]', 'i')")
+def path_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$.items[?(@.l_returnflag =~ /[ra]/i)].l_linenumber"), "line")
+
+
+_NTH = "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem"
+
+
+@query(f"SELECT l_orderkey AS o_orderkey, l_extendedprice AS price FROM ({_NTH}) WHERE n BETWEEN 2 AND 3")
+def path_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$.items[1:3].l_extendedprice"), "price")
+
+
+@query(f"SELECT l_orderkey AS o_orderkey, l_extendedprice AS price FROM ({_NTH}) WHERE (c - n) % 2 = 0 AND n > 1")
+def path_slice_backwards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$.items[:0:-2].l_extendedprice"), "price")
+
+
+@query(f"SELECT l_orderkey AS o_orderkey, l_extendedprice AS price FROM ({_NTH}) WHERE n = c")
+def path_negative_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return d.select("o_orderkey", path(d, "doc", "$.items[-1].l_extendedprice").alias("price"))
+
+
+@query("SELECT o_orderkey, v AS value FROM (SELECT o_orderkey, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def path_union_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$['o_orderstatus','o_orderpriority']"), "value")
+
+
+@query("SELECT l_orderkey AS o_orderkey, l_discount AS discount FROM lineitem")
+def path_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$..l_discount"), "discount")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def path_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return d.filter(F.size(matches(d, "doc", "$[?(@[?(@.l_quantity > 45)])]")) > 0).select("o_orderkey")
+
+
+@query("SELECT l_orderkey AS o_orderkey, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice > o_totalprice")
+def path_root_operand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return _each(d, matches(d, "doc", "$.items[?(@.l_extendedprice > $.o_totalprice)].l_linenumber"), "line")
+
+
+@query("SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
+def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    return d.select("o_orderkey", path(d, "doc", "$.items.length").cast("bigint").alias("n"))
+
+
+@query("SELECT r_name, n_name, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name")
+def path_nested_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are counted before nations are nested, so no array holds a table."""
+    per = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    nations = table(spark, sf_dir, "nation").join(per, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_regionkey", "n_name", F.coalesce("n", F.lit(0)).alias("n"))
+    nested = nations.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_name", "n")).alias("nations"))
+    d = table(spark, sf_dir, "region").join(nested, F.col("r_regionkey") == F.col("n_regionkey")).select(F.struct("r_name", "nations").alias("doc"))
+    return d.select(path(d, "doc", "$.r_name").alias("r_name"), F.explode(matches(d, "doc", "$.nations[*]")).alias("x")).select("r_name", "x.n_name", "x.n")
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT event_id, lower(json_type(props, '$.k')) IN ('ubigint', 'bigint') AS is_integer FROM events")
+def json_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = inference.kind_of(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant"))
+    return table(spark, sf_dir, "events").select("event_id", (kind == "integer").alias("is_integer"))
+
+
+@query("SELECT event_id, 2::BIGINT AS nodes, strlen(props)::BIGINT AS bytes, 1::BIGINT AS depth FROM events")
+def json_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.statistics(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS json FROM events")
+def json_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", sources.minified(F.col("props")).alias("json"))
+
+
+@query("SELECT * FROM (VALUES ('$', 'object', false), ('$.k', 'integer', true)) t(path, kinds, required)")
+def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.infer(table(spark, sf_dir, "events"), "event_id", "props").select("path", "kinds", "required")
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k')::BIGINT % 2 = 0")
+def clean_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made sloppy (comments, single quotes, a trailing comma) are read all the same."""
+    e = table(spark, sf_dir, "events").withColumn("bad", F.concat(F.lit("/* x */ {'k': "), F.regexp_extract("props", r"\d+", 0), F.lit(",}")))
+    return sources.clean(e, "bad", "k bigint").select("event_id", "value.k").filter("k % 2 = 0")
+
+
+@query("SELECT p_partkey, 'value' AS kind, p_name AS text FROM part WHERE contains(lower(p_name), 'an') UNION ALL SELECT p_partkey, 'key', 'p_brand' FROM part")
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    names = search.search(p.select("p_partkey", "p_name"), "p_partkey", "AN", keys=False)
+    keys = search.search(p, "p_partkey", "brand", values=False)
+    return names.union(keys).select("p_partkey", "kind", "text")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\w])the($|[^\\w])')")
+def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text")).alias("doc"))
+    return search.search(d, "doc_id", "the", whole_word=True, keys=False).select("doc_id").distinct()
+
+
+@query("SELECT p_partkey, p_brand AS text FROM part WHERE regexp_matches(p_brand, '#?[1-3]+$')")
+def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return search.search(p, "p_partkey", "#?[1-3]+$", regex=True, keys=False).select("p_partkey", "text")
+
+
+@query("SELECT o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1")
+def helper_count_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coll.count_by(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("SELECT p_size AS key, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1")
+def helper_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = coll.group_by(parts(spark, sf_dir).select("_pos", "p_partkey", "p_size"), "p_size")
+    return g.select("key", F.array_join(F.transform("items", lambda x: x["p_partkey"].cast("string")), ",").alias("members"))
+
+
+@query("SELECT sum(p_size)::DOUBLE AS total, min(p_retailprice) AS least, max(p_retailprice) AS greatest FROM part")
+def helper_sum_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir)
+    size, least, most = coll.total(p, "p_size"), coll.least(p, "p_retailprice"), coll.greatest(p, "p_retailprice")
+    # Three one-row results side by side.
+    return size.withColumnRenamed("value", "total").join(least.withColumnRenamed("value", "least")).join(most.withColumnRenamed("value", "greatest"))
+
+
+@query("SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
+def helper_uniq_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coll.uniq_by(parts(spark, sf_dir), "p_brand").select("p_partkey", "p_brand")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+def helper_sort_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coll.sort_by(parts(spark, sf_dir), "p_retailprice", descending=True).select("p_partkey", "p_retailprice").limit(10)
+
+
+@query("SELECT p_partkey // 100 AS chunk, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
+def helper_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = coll.chunk(parts(spark, sf_dir).select("_pos", "p_partkey"), 100)
+    return c.select("chunk", F.size("items").cast("bigint").alias("n"), F.col("items")[0]["p_partkey"].alias("first"))
+
+
+@query("SELECT p_partkey AS id, p_name FROM part")
+def helper_pick_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coll.omit(coll.rename(coll.pick(parts(spark, sf_dir), "p_partkey", "p_name", "nothing"), {"p_partkey": "id"}), "_pos")
+
+
+@query('SELECT o_orderkey, o_orderstatus AS "doc.o_orderstatus", o_totalprice AS "doc.price.total" FROM orders')
+def helper_flatten_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_orderstatus", F.struct(F.col("o_totalprice").alias("total")).alias("price")).alias("doc"))
+    return coll.flatten_object(d)
+
+
+@query("SELECT p_partkey AS _pos, 'p_brand' AS key, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_size', p_size::VARCHAR FROM part")
+def helper_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coll.entries(parts(spark, sf_dir), "p_brand", "p_size")
+
+
+@query("SELECT l_orderkey AS o_orderkey, l_quantity AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+def pipeline_path_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = orders(spark, sf_dir)
+    nested = Script(lambda df, c: df.select("o_orderkey", F.array(F.array(path(df, "doc", "$.items[*].l_quantity"))).alias("value")))
+    p = Pipeline((Step("nest", nested), Step("off", Flatten("nothing"), enabled=False), Step("flat", Flatten("value"))))
+    return p.run(d).select("o_orderkey", F.explode("value").alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_discount > 0")
+def pipeline_for_each_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = ForEach(lambda df: F.struct((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")), ok=lambda df: F.col("l_discount") > 0, policy="skip", merge=True)
+    return Pipeline((Step("net", step),)).run(items(spark, sf_dir)).select("l_orderkey", "l_linenumber", "net")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_quantity * 2 END AS result FROM lineitem")
+def pipeline_for_each_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = ForEach(lambda df: F.col("l_quantity") * 2, ok=lambda df: F.col("l_quantity") > 25, policy="null")
+    return Pipeline((Step("double", step),)).run(items(spark, sf_dir)).select("l_orderkey", "l_linenumber", "result")
+
+
+@query("SELECT o_orderkey, o_orderstatus || ' of ' || (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS label FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def pipeline_variable_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = Pipeline((Step("count", SetVariable("n", aggregate=F.count("*"))),))
+    p = Pipeline((Step("sub", SubPipeline("count")), Step("label", Template("{{ $.o_orderstatus }} of {{ vars.n }}", "doc", "label"))))
+    d = orders(spark, sf_dir)
+    return p.run(d, Context(d, library={"count": inner})).select("o_orderkey", "label")
+
+
+@query("SELECT o_orderkey, min(l_linenumber) AS first FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def pipeline_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pipeline((Step("first", Path("doc", "$.items[*].l_linenumber", "first", first_only=True)),)).run(orders(spark, sf_dir))
+
+
+SCHEMA = {
+    "required": ["p_name", "p_color"],
+    "properties": {
+        "p_size": {"type": "integer", "minimum": 5, "multipleOf": 2},
+        "p_brand": {"pattern": "[1-3]$", "maxLength": 8},
+        "p_retailprice": {"anyOf": [{"maximum": 1000}, {"exclusiveMinimum": 1500}]},
+    },
+}
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order documents with nested items: the prices of items of small quantity."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return line.filter("l_quantity < 10").select("l_orderkey", F.col("l_extendedprice").alias("price"))
+@query(
+    "SELECT p_partkey, '/p_size' AS instance_path, 'minimum' AS keyword FROM part WHERE p_size < 5"
+    " UNION ALL SELECT p_partkey, '/p_size', 'multipleOf' FROM part WHERE p_size % 2 <> 0"
+    " UNION ALL SELECT p_partkey, '/p_brand', 'pattern' FROM part WHERE NOT regexp_matches(p_brand, '[1-3]$')"
+    " UNION ALL SELECT p_partkey, '/p_brand', 'maxLength' FROM part WHERE length(p_brand) > 8"
+    " UNION ALL SELECT p_partkey, '/p_retailprice', 'anyOf' FROM part WHERE p_retailprice > 1000 AND p_retailprice <= 1500"
+    " UNION ALL SELECT p_partkey, '', 'required' FROM part"
+)
+def validate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.validate(table(spark, sf_dir, "part"), "p_partkey", SCHEMA).select("p_partkey", "instance_path", "keyword")
 
 
-QUERIES = {}
-ORACLES = {}
+@query(
+    "SELECT o_orderkey, 'items' AS keyword FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)"
+    " UNION ALL SELECT l_orderkey, 'maxItems' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) > 5"
+    " UNION ALL SELECT o_orderkey, 'enum' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"
+)
+def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = {"properties": {"doc": {"properties": {"o_orderstatus": {"enum": ["F", "O"]}, "items": {"maxItems": 5, "items": {"properties": {"l_quantity": {"maximum": 40}}}}}}}}
+    return validation.validate(orders(spark, sf_dir), "o_orderkey", schema).select("o_orderkey", "keyword")
