@@ -95,7 +95,7 @@ def shard_counts(quota: list[int], seed: int, slots: int = SHARD_SLOTS) -> np.nd
             rest -= int(drawn[j])
         left -= drawn
         rows.append(drawn)
-    return np.array(rows, dtype=np.int64).reshape(-1, len(quota))
+    return np.array(rows, dtype=np.int64).reshape(len(rows), len(quota))
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
