@@ -8,9 +8,9 @@ collisions, estimates the Jaccard likeness; candidates that cannot reach the thr
 dropped and the others are confirmed on their full sets.
 
 Work on groups. Documents with equal sets are one class and stand as one representative. In a band's group
-every member is first compared with the least member only; members that this joins are one component, and what is then
-compared is only members of different components. A group of thousands of near copies so costs about one comparison each,
-and no link between components is missed.
+every member is first compared with the least member only; members that this joins are one component. What is then
+compared is only members of different components that share a rare shingle (``sharing_rare``). A group of
+thousands of near copies so costs about one comparison each, and no link between components is missed.
 
 Defined results
 * null text and texts without words: an empty set, linked with nothing, its own component.
@@ -206,33 +206,57 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = banded.join(centre, "band").filter("id != b").select(F.col("id").alias("a"), "b").distinct()
     stars = materialize(likely(stars, reps), "near-stars")
 
-    touched = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = materialize(_sets(docs, key, text, touched), "near-sets")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    nodes = reps.select("id").distinct()
+    grouped = banded.join(centre.select("band"), "band", "left_semi").select("id").distinct()
+    sets = materialize(_sets(docs, key, text, grouped), "near-sets")
+    best = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "near-best")
     edges = materialize(confirmed(best, sets), "near-edges")
-    labels = nodes.select("id", F.col("id").alias("label")) if edges.isEmpty() else None
-    if labels is None:
-        found = components(edges)
-        labels = materialize(nodes.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "near-labels")
+    labels = reps.select("id", F.col("id").alias("label")).distinct()
+    if not edges.isEmpty():
+        labels = materialize(labels.select("id").join(components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "near-labels")
 
-    # Other stars whose ends are still apart.
+    # Other stars whose ends are still apart, then members of one band group that are still apart.
     labels = _linked(labels, _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), sets)
-    # Members of one band group that are still apart, other than with its centre.
     placed = banded.join(labels, "id")
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-    held = materialize(placed.join(mixed, "band", "left_semi"), "near-mixed")
-    x, y = held.select("band", F.col("id").alias("a"), F.col("label").alias("la")), held.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, "band").filter("a > b and la != lb").select("a", "b").distinct()
-    across = likely(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), reps).select("a", "b")
-    across = materialize(across, "near-across")
-    if not across.isEmpty():
-        more = across.select(F.col("a").alias("id")).union(across.select("b")).distinct().join(touched, "id", "left_anti")
-        labels = _linked(labels, across, sets.union(_sets(docs, key, text, more)))
+    held = placed.join(mixed, "band", "left_semi").select("id", "label").distinct()
+    across = materialize(likely(sharing_rare(sets, held), reps).select("a", "b"), "near-across")
+    labels = _linked(labels, across, sets)
     named = labels.select(F.col("id").alias("rep"), "label")
     return members.join(named, "rep", "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
 
 
+def sharing_rare(sets: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels among ``held`` (id, label) that may reach the threshold; none that does is missed.
+
+    Each set is ordered by how many of the held sets a shingle is in, rarest first. Two sets that reach three quarters share a
+    shingle within the first quarter and one of both (prefix filtering). Families that share only a common passage
+    have rare shingles of their own first and never meet, however large they are.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                own = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in part.column("hashes")]
+                n = np.array([len(x) for x in own])
+                which = pa.array(np.repeat(np.arange(len(own)), n))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(which), part.column("label").take(which), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(own))], names=["id", "label", "n", "shingle"])
+
+    each = sets.join(held, "id").select("id", "label", "hashes").mapInArrow(spread, f"id {kind}, label {kind}, n int, shingle long")
+    often = each.groupBy("shingle").agg(F.count("*").cast("int").alias("often")).filter("often > 1")
+    shared = each.join(often, "shingle").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("own"))
+    # Shingles of this set alone come first and meet nobody.
+    room = F.col("n") - F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1]).cast("int") + 1 - (F.col("n") - F.size("own"))
+    first = shared.withColumn("room", room).filter("room > 0").select("id", "label", "n", F.explode(F.slice("own", F.lit(1), F.col("room"))["shingle"]).alias("shingle"))
+    mixed = first.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle")
+    first = materialize(first.join(mixed, "shingle", "left_semi"), "near-rare")
+    x = first.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    y = first.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    near = (F.least("na", "nb") * THRESHOLD[1] >= F.greatest("na", "nb") * THRESHOLD[0]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))
+    return x.join(y, "shingle").filter(near).select("a", "b").distinct()
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     return pairs.join(la, "a").join(lb, "b").filter("la != lb").select("a", "b")
@@ -263,8 +287,8 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that of the least id; all columns. Of rows with one id, one is kept."""
-    kept = near_components(docs, key, text).filter("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    kept = near_components(docs, key, text).filter("id = component_id").select(F.col("id").alias(key)).distinct()
+    return docs.join(kept, key, "left_semi").dropDuplicates([key])
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
