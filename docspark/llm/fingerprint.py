@@ -1,18 +1,18 @@
 """Document fingerprints by winnowing [native].
 
-Every run of ``GRAM`` code points is hashed; of each window of ``WINDOW`` successive hashes the
-least is selected, the rightmost of equal ones. Two texts that share ``WINDOW + GRAM - 1`` code points
-share at least one selected hash, with its position. All of this is array expressions on one row:
-a hash and its position are packed into one long, hash first and position reversed, so that the
-least long of a window is its rightmost least hash.
+The tokens of a text are its runs of non-space characters, long runs cut after ``TOKEN`` characters. Every ``GRAM`` successive
+tokens are hashed; of each window of ``WINDOW`` successive hashes the least is selected, the rightmost of equal ones. Two
+texts that share ``WINDOW + GRAM - 1`` tokens share at least one selected hash, with its position. All of this
+is array expressions on one row: a hash and its position are packed into one long, hash first and position reversed, so that
+the least long of a window is its rightmost least hash.
 
 Defined results
-* null text: the empty text, whose fingerprint is empty. Fingerprints of two empty texts have likeness 1,
-  of one empty text and another 0.
-* texts shorter than a gram: the whole text is the one gram. Fewer grams than a window: one window.
+* null text: the empty text. Texts without tokens have an empty fingerprint; two empty fingerprints have likeness 1, one
+  empty and one other 0.
+* texts of fewer tokens than a gram: all tokens are the one gram. Fewer grams than a window: one window.
 * repeated rows and equal ids: the order is descending id (null last), then the text; each row has a next row.
 * a single document is its own next one; an empty table gives an empty result.
-* very long texts: linear time; the grams of one text are in memory at once.
+* very long texts: linear time; the tokens of one text are in memory at once.
 * other columns, whatever their names, are ignored.
 """
 
@@ -21,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, text_or_empty
+from docspark.llm.common import documents, text_or_empty, words
 
-GRAM = 12
-WINDOW = 32
+TOKEN = 24
+GRAM = 3
+WINDOW = 4
 _HASH_BITS = 0x7FFFFFFF00000000
 _LAST = 0x7FFFFFFF
 #: Rows in a range of ids, and the most ranges: what the driver sees of the ids.
@@ -36,32 +37,21 @@ def _none() -> Column:
     return F.array().cast(NO_LONGS)
 
 
-def gram_hashes(text: Column, first: Column | int = 0, gram: int = GRAM) -> Column:
-    """Packed (hash, position) of each run of ``gram`` code points; ``first`` is the first one's position."""
-    grams = F.when(F.char_length(text) < gram, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)))
-    pack = lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(F.lit(_LAST) - (i + first))
-    return F.when(text == "", _none()).otherwise(F.transform(grams, pack))
-
-
-def window_minima(df: DataFrame, hashes: str, into: str, window: int = WINDOW) -> DataFrame:
-    """Add ``into``: the distinct minima of all windows of the packed column ``hashes``, by position.
-
-    A minimum over 32 comes from minima over 4, then 16, then two of those. Each level is its
-    own projection, so that a level is computed once.
-    """
-    assert window == 32
-    now, names = F.col(hashes), []
-    for k, (step, reach) in enumerate(((1, 4), (4, 4), (16, 2))):
-        names.append(f"{into}_{k}")
-        df = df.withColumn(names[-1], _least_ahead(now, step, reach))
-        now = F.col(names[-1])
-    whole = F.greatest(F.size(now) - (window - 1), F.lit(1))
-    chosen = F.array_distinct(F.slice(now, F.lit(1), whole))
-    return df.withColumn(into, F.when(F.size(now) > 0, chosen).otherwise(_none())).drop(*names)
-
-
-def _least_ahead(values: Column, step: int, reach: int) -> Column:
-    return F.transform(values, lambda x, i: F.least(x, *(F.get(values, i + step * j) for j in range(1, reach))))
+def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
+    """Add ``into``: the selected packed hashes of ``text``, in order of position. Each level is its own projection, so that it is computed once."""
+    t, g, m = (f"{into}_{x}" for x in ("tokens", "grams", "least"))
+    cut = F.regexp_replace(text_or_empty(text), rf"([^\x20\x09-\x0D]{{{TOKEN}}})(?=[^\x20\x09-\x0D])", "$1 ")
+    out = docs.withColumn(t, words(cut))
+    tokens = F.col(t)
+    pack = lambda h, i: h.bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(F.lit(_LAST) - i)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(t) - GRAM, F.lit(0)))
+    grams = F.transform(starts, lambda i: pack(F.xxhash64(*(F.get(tokens, i + k) for k in range(GRAM))), i))
+    out = out.withColumn(g, F.when(F.size(t) > 0, grams).otherwise(_none()))
+    hashes = F.col(g)
+    least = F.transform(hashes, lambda x, i: F.least(x, *(F.get(hashes, i + k) for k in range(1, WINDOW))))
+    out = out.withColumn(m, least)
+    whole = F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))
+    return out.withColumn(into, F.when(F.size(g) > 0, F.array_distinct(F.slice(m, F.lit(1), whole))).otherwise(_none())).drop(t, g, m)
 
 
 def position(packed: Column) -> Column:
@@ -84,12 +74,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """Add ``into``: the selected packed hashes of ``text``."""
-    hashed = docs.withColumn(f"{into}_hashes", gram_hashes(text_or_empty(text)))
-    return window_minima(hashed, f"{into}_hashes", into).drop(f"{into}_hashes")
-
-
 def with_next(docs: DataFrame, key: str, carry: list[str], ties: str) -> DataFrame:
     """Add ``next_<c>`` for each carried column: its value in the row next in descending ``key``, after the last the first.
 
@@ -121,23 +105,12 @@ def with_next(docs: DataFrame, key: str, carry: list[str], ties: str) -> DataFra
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
-
-    An edited text shares its first half with the text, so the choice of windows within that half is kept
-    and only the rest is hashed anew.
-    """
+    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     docs = documents(spark, sf_dir).select("doc_id", text_or_empty("text").alias("text"))
     rows = with_next(fingerprints(docs, into="fp"), "doc_id", ["text", "fp"], "text")
-    n = F.char_length("text")
-    rows = rows.withColumn("n", n).withColumn("cut", (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, cut)"), F.expr("substring(next_text, 1, n - cut)")))
-    # Windows of grams that lie wholly within the kept half: those before `same`.
-    rows = rows.withColumn("same", F.greatest(F.col("cut") - (GRAM + WINDOW - 2), F.lit(0)))
-    rows = rows.withColumn("from", F.when(F.char_length("edited") < GRAM + WINDOW, 0).otherwise(F.greatest(F.col("same") - WINDOW, F.lit(0))))
-    rows = rows.withColumn("_tail", gram_hashes(F.expr("substring(edited, from + 1)"), F.col("from"))).drop("next_text")
-    rows = window_minima(rows, "_tail", "_rest")
-    head = F.filter("fp", lambda x: position(x) < F.least(F.col("same"), F.col("from") + WINDOW))
-    rows = rows.withColumn("edited_fp", F.when(F.col("from") == 0, F.col("_rest")).otherwise(F.array_distinct(F.concat(head, "_rest"))))
+    rows = rows.withColumn("n", F.char_length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
+    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, n - half)"), F.expr("substring(next_text, 1, half)"))).drop("text", "next_text")
+    rows = fingerprints(rows, "edited", "edited_fp")
     rows = rows.withColumns({"a": hash_set(F.col("fp")), "b": hash_set(F.col("edited_fp")), "c": hash_set(F.col("next_fp"))})
     return rows.select(
         "doc_id",
