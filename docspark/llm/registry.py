@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
+    "op10_minhash_near_dedup": near_dedup.OP10_SQL,
 }

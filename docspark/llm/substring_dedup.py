@@ -288,3 +288,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words covered by repeated windows."""
     cut = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+s AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+r AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, i + o AS pos FROM s SEMI JOIN r ON s.k = r.k, range(35) t(o)),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+a AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.pos) AS n_removed,
+    string_agg(CASE WHEN g.pos IS NULL THEN e.word END, ' ' ORDER BY e.pos) AS kept
+  FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN a ON w.doc_id = a.doc_id
+"""
