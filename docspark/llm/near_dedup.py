@@ -15,7 +15,9 @@ thousands of near copies so costs about one comparison each, and no link between
 Defined results
 * null text and texts without words: an empty set, linked with nothing, its own component.
 * fewer than five words: the whole sequence is the one shingle.
-* equal ids: rows of one id are one node; repeated rows get equal results.
+* a node is a row's id and text together, by a 64-bit hash with null apart: equal ids with different texts are different
+  nodes, null is an id like any other. Rows that agree in both are one node and get equal results.
+* the kept node of a component is that of the least id (null last), of equal ids that of the least hash; its id names the component.
 * very long texts: linear time; one text's set is in memory at once. Empty tables: an empty result.
 * other columns, whatever their names, are ignored.
 """
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.arrow_words import mix, word_hashes
@@ -104,8 +106,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(((a == b).mean(axis=1) - COLLISION) / (1 - COLLISION), 0.0)
 
 
+def node_of(key: str, text: str) -> Column:
+    """A hash of a row's id and text; the flag tells a null id from a null text."""
+    return F.xxhash64(F.col(key).isNull(), F.col(key), F.col(text))
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row (id, n_shingles, digest, registers) for each document; digest and registers are null for empty sets."""
+    """A row (node, name, n_shingles, digest, registers) for each document, ``name`` its id; digest and registers are null for empty sets."""
     kind = docs.schema[key].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +125,10 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     regs.append(registers(s, probes).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n_shingles", "digest", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("name"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["node", "name", "n_shingles", "digest", "registers"])
 
-    rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(signed, f"id {kind}, n_shingles long, digest binary, registers binary")
+    rows = docs.select(node_of(key, text).alias("node"), F.col(key).alias("name"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(signed, f"node long, name {kind}, n_shingles long, digest binary, registers binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -193,13 +200,18 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row (id, n_shingles, component_id) for each document."""
+    """A row (node, id, n_shingles, component_id, kept) for each document; ``kept`` holds for one node of each component.
+
+    Representatives are numbered in order of id and node, so that a component's least number is that of its kept node.
+    """
     signed = materialize(signatures(docs, key, text), "near-signatures")
     full = signed.filter("digest is not null")
-    classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = materialize(signed.select("id", "n_shingles", "digest").join(classes, "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), "digest"), "near-members")
-    one = members.filter("id = rep and digest is not null").select("id", "digest").distinct()
-    reps = materialize(full.join(one, ["id", "digest"], "left_semi").select("id", "digest", "registers").dropDuplicates(["id", "digest"]), "near-reps")
+    first = F.min(F.struct(F.col("name").isNull().alias("none"), "name", "node"))
+    classes = full.groupBy("digest").agg(first["node"].alias("rep"))
+    members = materialize(signed.select("node", "name", "n_shingles", "digest").join(classes, "digest", "left").select("node", "name", "n_shingles", F.coalesce("rep", "node").alias("rep"), "digest"), "near-members")
+    one = members.filter("node = rep and digest is not null").select("node").distinct()
+    single = full.join(one, "node", "left_semi").select("node", "name", "registers").dropDuplicates(["node"])
+    reps = materialize(single.orderBy(F.col("name").asc_nulls_last(), "node").withColumn("id", F.monotonically_increasing_id()), "near-reps")
 
     banded = bands(reps)
     centre = banded.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
@@ -207,7 +219,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = materialize(likely(stars, reps), "near-stars")
 
     grouped = banded.join(centre.select("band"), "band", "left_semi").select("id").distinct()
-    sets = materialize(_sets(docs, key, text, grouped), "near-sets")
+    sets = materialize(_sets(docs, key, text, reps.join(grouped, "id", "left_semi").select("node", "id")), "near-sets")
     best = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "near-best")
     edges = materialize(confirmed(best, sets), "near-edges")
     labels = reps.select("id", F.col("id").alias("label")).distinct()
@@ -221,8 +233,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     held = placed.join(mixed, "band", "left_semi").select("id", "label").distinct()
     across = materialize(likely(sharing_rare(sets, held), reps).select("a", "b"), "near-across")
     labels = _linked(labels, across, sets)
-    named = labels.select(F.col("id").alias("rep"), "label")
-    return members.join(named, "rep", "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    joined = labels.filter("id != label").join(reps.select(F.col("id").alias("label"), F.col("node").alias("lead"), F.col("name").alias("lead_name")), "label")
+    named = joined.join(reps.select("id", F.col("node").alias("rep")), "id").select("rep", "lead", "lead_name")
+    # A class that no other joins is led by its own representative.
+    classes = members.filter("node = rep").select("rep", F.col("name").alias("rep_name")).distinct()
+    own = members.join(classes, "rep").join(named, "rep", "left")
+    component = F.when(F.col("lead").isNull(), F.col("rep_name")).otherwise(F.col("lead_name"))
+    return own.select("node", F.col("name").alias("id"), "n_shingles", component.alias("component_id"), (F.col("node") == F.coalesce("lead", "rep")).alias("kept"))
 
 
 def sharing_rare(sets: DataFrame, held: DataFrame) -> DataFrame:
@@ -272,8 +289,7 @@ def _linked(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """A row (id, hashes) with the full set of each of ``ids``."""
-    kind = docs.schema[key].dataType.simpleString()
+    """A row (id, hashes) with the full set of each of ``ids`` (node, id)."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,20 +297,21 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())], names=["id", "hashes"])
 
-    rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(full, f"id {kind}, hashes binary").dropDuplicates(["id"])
+    rows = docs.select(node_of(key, text).alias("node"), text_or_empty(text).alias("text")).join(ids, "node").select("id", "text")
+    return rows.mapInArrow(full, "id long, hashes binary").dropDuplicates(["id"])
 
 
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that of the least id; all columns. Of rows with one id, one is kept."""
-    kept = near_components(docs, key, text).filter("id = component_id").select(F.col("id").alias(key)).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key])
+    """One document of each component, that of the least id (null last); all columns. Of rows that agree in id and text, one is kept."""
+    kept = near_components(docs, key, text).filter("kept").select(F.col("node").alias("_node")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), node_of(key, text).alias("_node"))
+    return rows.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select("_doc.*")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     found = near_components(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 OP10_SQL = """

@@ -293,3 +293,21 @@ def test_op10_family_and_chain(spark):
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_components(df).collect()}
     assert got == brute_components(pairs)
     assert len({c for _, c in got.values()}) < len(pairs)
+
+
+def test_op10_null_and_equal_ids(spark, tmp_path):
+    """Rows are the nodes: no null id and no second text of an id is dropped unless it has a near duplicate that stays."""
+    from .conftest import prose
+
+    alone, same, family = prose(80, 60), [prose(81, 60), prose(82, 60)], prose(83, 60)
+    pairs = [(None, alone), (None, prose(84, 60)), (None, None), (5, same[0]), (5, same[1]), (5, same[1]), (None, family), (7, family), (6, family + " end"), (None, prose(85, 60)), (None, prose(85, 60) + " end")]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_one_each(df).collect()), key=str)
+    last = [p for p in kept if p in pairs[-2:]]
+    assert len(last) == 1
+    assert kept == sorted([(None, alone), pairs[1], (None, None), (5, same[0]), (5, same[1]), (6, family + " end"), *last], key=str)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = near_dedup.op10_minhash_near_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == len(pairs) and all(r["kept"] is not None for r in got)
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0)] * 5 + [(0, 6)] + [(5, 5)] * 3 + [(6, 6), (7, 6)]
+    assert sum(r["kept"] for r in got) == 8
