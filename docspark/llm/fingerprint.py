@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing [native].
 
-The tokens of a text are its runs of non-space characters, long runs cut after ``TOKEN`` characters. Every ``GRAM`` successive
+The tokens of a text are its runs of non-space characters; a run of over ``TOKEN`` characters counts as its rolling grams of
+``CHARS`` characters, one at every character. Every ``GRAM`` successive
 tokens are hashed; of each window of ``WINDOW`` successive hashes the least is selected, the rightmost of equal ones. Two
-texts that share ``WINDOW + GRAM - 1`` tokens share at least one selected hash, with its position. All of this
+texts that share ``WINDOW + GRAM - 1`` tokens, or over ``TOKEN`` characters of one run at whatever offsets, share at least one
+selected hash, with its position among the tokens. All of this
 is array expressions on one row: a hash and its position are packed into one long, hash first and position reversed, so that
 the least long of a window is its rightmost least hash.
 
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import documents, text_or_empty, words
 
-TOKEN = 24
+#: The longest run that is one token, and the characters of a rolling gram in longer ones.
+TOKEN, CHARS = 24, 12
 GRAM = 3
 WINDOW = 4
 _HASH_BITS = 0x7FFFFFFF00000000
@@ -37,11 +40,19 @@ def _none() -> Column:
     return F.array().cast(NO_LONGS)
 
 
+def _rolling(run: Column) -> Column:
+    """The grams of ``CHARS`` characters at every character of a run; its characters are split once."""
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (CHARS - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(CHARS)), ""))
+    return F.transform(F.array(F.split(run, "")), grams)[0]
+
+
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """Add ``into``: the selected packed hashes of ``text``, in order of position. Each level is its own projection, so that it is computed once."""
-    t, g, m = (f"{into}_{x}" for x in ("tokens", "grams", "least"))
-    cut = F.regexp_replace(text_or_empty(text), rf"([^\x20\x09-\x0D]{{{TOKEN}}})(?=[^\x20\x09-\x0D])", "$1 ")
-    out = docs.withColumn(t, words(cut))
+    r, t, g, m = (f"{into}_{x}" for x in ("runs", "tokens", "grams", "least"))
+    out = docs.withColumn(r, words(text_or_empty(text)))
+    long = lambda x: F.char_length(x) > TOKEN
+    each = F.flatten(F.transform(r, lambda x: F.when(long(x), _rolling(x)).otherwise(F.array(x))))
+    out = out.withColumn(t, F.when(F.exists(r, long), each).otherwise(F.col(r)))
     tokens = F.col(t)
     pack = lambda h, i: h.bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(F.lit(_LAST) - i)
     starts = F.sequence(F.lit(0), F.greatest(F.size(t) - GRAM, F.lit(0)))
@@ -51,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint")
     least = F.transform(hashes, lambda x, i: F.least(x, *(F.get(hashes, i + k) for k in range(1, WINDOW))))
     out = out.withColumn(m, least)
     whole = F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))
-    return out.withColumn(into, F.when(F.size(g) > 0, F.array_distinct(F.slice(m, F.lit(1), whole))).otherwise(_none())).drop(t, g, m)
+    return out.withColumn(into, F.when(F.size(g) > 0, F.array_distinct(F.slice(m, F.lit(1), whole))).otherwise(_none())).drop(r, t, g, m)
 
 
 def position(packed: Column) -> Column:

@@ -250,6 +250,23 @@ def test_winnowing_guarantee(spark):
     assert a & b
 
 
+def test_winnowing_guarantee_without_spaces(spark):
+    """A passage in unspaced text is found at any offset of its run; the fewest characters are TOKEN + 1."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("的一是不了人我在有他这中大来上𝒜") for _ in range(n))
+    shared = text(25)
+    pairs = [(0, text(40) + shared + text(30)), *((1 + k, "前" * k + shared + text(9)) for k in range(26))]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    sets = [set(r["h"]) for r in fingerprint.fingerprints(df).orderBy("doc_id").select(fingerprint.hash_set(F.col("fingerprint")).alias("h")).collect()]
+    assert all(sets[0] & s for s in sets[1:])
+    whole = spark.createDataFrame([(pairs[0][1],)], "text string").select(fingerprint._rolling(F.col("text"))).first()[0]
+    assert whole == [pairs[0][1][i : i + fingerprint.CHARS] for i in range(len(pairs[0][1]) - fingerprint.CHARS + 1)]
+
+
 def brute_components(pairs):
     sets = {}
     for k, t in pairs:
