@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POS = "_pos"
+#: Positions in a part of a group.
+PART = 100_000
 
 
 def key_of(key: str | Column) -> Column:
@@ -23,10 +25,24 @@ def _row(c: DataFrame) -> Column:
 
 
 def group_by(c: DataFrame, key: str | Column) -> DataFrame:
-    """(key, items): the items of each key in order. For very large groups keep rows and order by key and position instead."""
+    """(key, items): the items of each key in order. A group is one array in one row: where no bound on groups is known take ``group_rows``."""
     return c.groupBy(key_of(key).alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(POS, _row(c).alias("item")))), lambda x: x["item"]).alias("items"))
 
 
+def group_rows(c: DataFrame, key: str | Column, part: int = PART) -> DataFrame:
+    """The items with ``key`` and ``n``, their place in their group from 0: groups as rows, of any size.
+
+    A group is dealt by stretches of ``part`` positions, which are counted and summed before items are numbered within each.
+    """
+    rows = c.select(F.struct(*c.columns).alias("_item"), key_of(key).alias("key"), F.floor(F.col(POS) / part).alias("_part"))
+    counts = rows.groupBy("key", "_part").agg(F.count("*").alias("_count"))
+    before = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col("key").alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
+    within = rows.withColumn("_in", F.row_number().over(Window.partitionBy("key", "_part").orderBy(F.col("_item")[POS])) - 1)
+    both = within.join(bases, F.col("key").eqNullSafe(F.col("_k")) & F.col("_part").eqNullSafe(F.col("_p")))
+    return both.select("key", (F.col("_base") + F.col("_in")).alias("n"), F.col("_item").alias("item"))
+
+
 def count_by(c: DataFrame, key: str | Column) -> DataFrame:
     """(key, n): how many items each key has."""
     return c.groupBy(key_of(key).alias("key")).agg(F.count("*").alias("n"))

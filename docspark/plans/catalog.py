@@ -206,6 +206,12 @@ def helper_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("key", F.array_join(F.transform("items", lambda x: x["p_partkey"].cast("string")), ",").alias("members"))
 
 
+@query("SELECT p_size AS key, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS n, p_partkey FROM part")
+def helper_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of any size: a row for each item with its place in its group."""
+    return coll.group_rows(parts(spark, sf_dir).select("_pos", "p_partkey", "p_size"), "p_size", part=1000).select("key", "n", "item.p_partkey")
+
+
 @query("SELECT sum(p_size)::DOUBLE AS total, min(p_retailprice) AS least, max(p_retailprice) AS greatest FROM part")
 def helper_sum_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)

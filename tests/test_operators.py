@@ -89,3 +89,15 @@ def test_clean(spark):
     texts = ["```json\n{'a': 1,}\n```", ")]}',\n{\"a\":2}", json.dumps(json.dumps({"a": 3})), "{a: 4, /* c */}", "nonsense", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     assert [r["value"] and r["value"]["a"] for r in sources.clean(df, "t", "a int").orderBy("id").collect()] == [1, 2, 3, 4, None, None]
+
+
+def test_group_rows(spark):
+    """A hot group spreads over parts; null keys are a group; places run through each group in order."""
+    from docspark.operators import collections as coll
+
+    rows = [(k, None if k % 7 == 0 else "hot" if k % 3 else "cold") for k in range(0, 200, 2)]
+    got = coll.group_rows(spark.createDataFrame(rows, "_pos long, kind string"), "kind", part=16).collect()
+    want = []
+    for kind in (None, "hot", "cold"):
+        want += [(str(kind), n, pos) for n, pos in enumerate(k for k, x in rows if x == kind)]
+    assert sorted((str(r["key"]), r["n"], r["item"]["_pos"]) for r in got) == sorted(want)
