@@ -175,6 +175,13 @@ def clean_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.clean(e, "bad", "k bigint").select("event_id", "value.k").filter("k % 2 = 0")
 
 
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def clean_lenient_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``clean_lenient``, every row."""
+    e = table(spark, sf_dir, "events").withColumn("bad", F.concat(F.lit("/* x */ {'k': "), F.regexp_extract("props", r"\d+", 0), F.lit(",}")))
+    return sources.clean(e, "bad", "k bigint").select("event_id", "value.k")
+
+
 @query("SELECT p_partkey, 'value' AS kind, p_name AS text FROM part WHERE contains(lower(p_name), 'an') UNION ALL SELECT p_partkey, 'key', 'p_brand' FROM part")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
@@ -189,6 +196,13 @@ def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(d, "doc_id", "the", whole_word=True, keys=False).select("doc_id").distinct()
 
 
+@query(None)
+def search_whole_word_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as they are, by Unicode word bounds; the SQL's bounds are ASCII, so a test holds it against brute force."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.struct("text").alias("doc"))
+    return search.search(d, "doc_id", "the", whole_word=True, keys=False).select("doc_id").distinct()
+
+
 @query("SELECT p_partkey, p_brand AS text FROM part WHERE regexp_matches(p_brand, '#?[1-3]+$')")
 def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -230,6 +244,12 @@ def helper_sort_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coll.sort_by(parts(spark, sf_dir), "p_retailprice", descending=True).select("p_partkey", "p_retailprice").limit(10)
 
 
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey")
+def helper_sort_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``helper_sort_by``, every row in order."""
+    return coll.sort_by(parts(spark, sf_dir), "p_retailprice", descending=True).select("p_partkey", "p_retailprice")
+
+
 @query("SELECT p_partkey // 100 AS chunk, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
 def helper_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = coll.chunk(parts(spark, sf_dir).select("_pos", "p_partkey"), 100)

@@ -101,3 +101,22 @@ def test_group_rows(spark):
     for kind in (None, "hot", "cold"):
         want += [(str(kind), n, pos) for n, pos in enumerate(k for k, x in rows if x == kind)]
     assert sorted((str(r["key"]), r["n"], r["item"]["_pos"]) for r in got) == sorted(want)
+
+
+def test_whole_queries(spark, tmp_path):
+    """All rows are sorted and cleaned, and texts are searched as they are."""
+    import re
+
+    from docspark.plans import catalog
+
+    at = str(tmp_path)
+    prices = [(k, float(k % 5)) for k in range(40)]
+    spark.createDataFrame(prices, "p_partkey long, p_retailprice double").write.parquet(f"{at}/part.parquet")
+    spark.createDataFrame([(k, f'{{"k": {k}}}') for k in range(9)], "event_id long, props string").write.parquet(f"{at}/events.parquet")
+    texts = list(enumerate(["see the end", "éthe", "theé", "The—end", "the", "不the", "other", "Vive «the» fin", None, ""]))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["helper_sort_by_all"](spark, at).collect()]
+    assert got == sorted(prices, key=lambda x: (-x[1], x[0]))
+    assert sorted(map(tuple, catalog.QUERIES["clean_lenient_all"](spark, at).collect())) == [(k, k) for k in range(9)]
+    found = sorted(r["doc_id"] for r in catalog.QUERIES["search_whole_word_unicode"](spark, at).collect())
+    assert found == [k for k, t in texts if re.search(r"(?i)(?<!\w)the(?!\w)", t or "")]
