@@ -75,8 +75,12 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
 
 
 def quotas(sources: list[Source], block: int = BLOCK_WORDS) -> list[int]:
-    """Slots of each source: its target in blocks, never over ``MOST_PASSES`` times its blocks."""
-    return [min(MOST_PASSES * math.ceil(s.size / block), round(s.target / block)) for s in sources]
+    """Slots of each source: its target in blocks of its mean words, never over ``MOST_PASSES`` times its blocks.
+
+    The last block of a source may be short; by the mean a target of whole passes is that many slots for each block.
+    """
+    blocks = [math.ceil(s.size / block) for s in sources]
+    return [min(MOST_PASSES * n, round(s.target * n / s.size)) if n else 0 for s, n in zip(sources, blocks, strict=True)]
 
 
 def shard_counts(quota: list[int], seed: int, slots: int = SHARD_SLOTS) -> np.ndarray:

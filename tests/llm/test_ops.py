@@ -201,6 +201,14 @@ def test_targets_and_quotas():
     assert counts.sum(axis=0).tolist() == [500, 20, 0, 90] and set(counts.sum(axis=1)[:-1]) == {64}
 
 
+def test_quotas_of_tiny_sources():
+    """A target of twice the size is two passes of all blocks, however short the last block is."""
+    sizes = [1, 5, 8, 32, 33, 40, 1000]
+    sources = [mixing.Source(str(n), n, 2.0 * n) for n in sizes]
+    assert mixing.quotas([*sources, mixing.Source("none", 0, 0.0)]) == [2, 2, 2, 2, 4, 4, 64, 0]
+    assert mixing.quotas([mixing.Source("once", 33, 33.0)]) == [2]
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
