@@ -6,7 +6,8 @@ whose least cell stands at one occurs once. A second pass sends only windows est
 by 80 bits of the hashes, which settles them.
 
 The sketch grows with the number of windows up to ``MAX_CELLS``; what is broadcast is one bit for each cell, 64 MB at the
-most. Beyond that size more windows are estimated repeated and grouped exactly; none is lost.
+most. Beyond that size more windows are estimated repeated and grouped exactly, in the end nearly all; none is lost, and
+buckets go on growing with the words.
 
 Defined results
 * null text: no words; 0 words, 0 removed, the hash of the empty text. Texts of fewer than ``WINDOW`` words lose nothing.
@@ -35,8 +36,8 @@ DEPTH = 2
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 28
 #: Cells in a range of a row, the unit of merging.
 RANGE = 1 << 18
-#: Suspect windows that a task holds before it sends them, and cells for each bucket of hashes.
-GROUP_WINDOWS, BUCKET_CELLS = 2_000_000, 1 << 20
+#: Suspect windows that a task holds before it sends them, and cells or words for each bucket of hashes, whichever makes more.
+GROUP_WINDOWS, BUCKET_CELLS, BUCKET_WORDS = 2_000_000, 1 << 20, 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -147,16 +148,25 @@ def _large(raw: bytes, n: int) -> np.ndarray:
     return steps
 
 
-def sketch_cells(rows: DataFrame) -> int:
-    """Cells in a row of the sketch: about two for each word of usual length, within MIN_CELLS and MAX_CELLS."""
-    n = (rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0) // 6
+def usual_words(rows: DataFrame) -> int:
+    """About how many words the texts have, by their bytes."""
+    return (rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0) // 6
+
+
+def bucket_count(n: int, cells: int) -> int:
+    """Buckets of hashes for ``n`` words: where the sketch stops growing they go on, so that a group stays of one size."""
+    return max(64, cells // BUCKET_CELLS, n // BUCKET_WORDS)
+
+
+def sketch_cells(n: int) -> int:
+    """Cells in a row of the sketch: about two for each of ``n`` words, within MIN_CELLS and MAX_CELLS."""
     cells = MIN_CELLS
     while cells < min(MAX_CELLS, 2 * n):
         cells *= 2
     return cells
 
 
-def repeated_windows(rows: DataFrame, cells: int, window: int = WINDOW) -> DataFrame:
+def repeated_windows(rows: DataFrame, cells: int, buckets: int, window: int = WINDOW) -> DataFrame:
     """The first words (row, first) of all windows whose hashes occur more than once; ``rows`` has (row, _text).
 
     Suspects travel packed, by hash bucket. A hash that one task meets more than once is known to be repeated: its
@@ -169,7 +179,6 @@ def repeated_windows(rows: DataFrame, cells: int, window: int = WINDOW) -> DataF
     for r in sketch(rows, cells, window).toLocalIterator():  # one bit a cell: at most DEPTH * MAX_CELLS / 8 bytes in all
         planes[r["depth"]][r["range"] * (span // 8) : (r["range"] + 1) * (span // 8)] = np.frombuffer(r["bits"], dtype=np.uint8)
     sent = spark.sparkContext.broadcast([p.tobytes() for p in planes])
-    buckets = max(64, cells // BUCKET_CELLS)
     names = ["bucket", "row", "first", "one", "two", "told"]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -258,7 +267,9 @@ def repeated_windows(rows: DataFrame, cells: int, window: int = WINDOW) -> DataF
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """A row (key, n_words, n_removed, kept_text) for each document, without the words that repeated windows cover."""
     rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumn("row", F.xxhash64("_key", "_text"))
-    starts = repeated_windows(rows, sketch_cells(rows), window).groupBy("row").agg(F.collect_list("first").alias("firsts"))
+    n = usual_words(rows)
+    cells = sketch_cells(n)
+    starts = repeated_windows(rows, cells, bucket_count(n, cells), window).groupBy("row").agg(F.collect_list("first").alias("firsts"))
     key_type = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -229,6 +229,14 @@ def test_op8(spark, corpus):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
 
 
+def test_buckets_grow_beyond_the_sketch():
+    """A bucket holds about a million words at any size, also where the sketch is at its largest."""
+    for n in (0, 10**6, 10**8, 10**9, 5 * 10**9, 10**11):
+        cells = substring_dedup.sketch_cells(n)
+        assert cells <= substring_dedup.MAX_CELLS
+        assert n / substring_dedup.bucket_count(n, cells) <= 1.01 * 2**20
+
+
 def test_op9(spark, corpus):
     got = fingerprint.op9_document_fingerprints(spark, corpus).collect()
     order = sorted(TEXTS, key=lambda x: (-x[0], x[1].encode()))
