@@ -218,23 +218,34 @@ def test_permutation_is_one(spark):
     assert sorted(one) == sorted(two) == list(range(37)) and one != two
 
 
-def test_op8(spark, corpus):
-    n = collections.Counter(tuple(w[i : i + 35]) for _, t in TEXTS for w in [words(t)] for i in range(len(w) - 34))
+def brute_windows(pairs):
+    n = collections.Counter(tuple(w[i : i + 35]) for _, t in pairs for w in [words(t)] for i in range(len(w) - 34))
     want = []
-    for k, t in TEXTS:
+    for k, t in pairs:
         w = words(t)
         gone = {j for i in range(len(w) - 34) if n[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
         want.append((k, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    return sorted(want)
+
+
+def test_op8(spark, corpus):
     got = substring_dedup.op8_substring_dedup(spark, corpus).collect()
-    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_windows(TEXTS)
+
+
+@pytest.mark.parametrize("slice_cells", [16, 1024])
+def test_op8_many_chunks_slices_and_buckets(spark, docs, slice_cells):
+    """Many small chunks, slices and buckets, also with a sketch that is nearly full, give the same words."""
+    got = substring_dedup.remove_repeats(docs, chunk_bytes=2000, slice_cells=slice_cells, bucket_words=100).collect()
+    shown = sorted((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got)
+    assert shown == brute_windows(TEXTS)
 
 
-def test_buckets_grow_beyond_the_sketch():
-    """A bucket holds about a million words at any size, also where the sketch is at its largest."""
-    for n in (0, 10**6, 10**8, 10**9, 5 * 10**9, 10**11):
-        cells = substring_dedup.sketch_cells(n)
-        assert cells <= substring_dedup.MAX_CELLS
-        assert n / substring_dedup.bucket_count(n, cells) <= 1.01 * 2**20
+def test_op8_sizes_grow_with_the_words():
+    """A sketch has two cells a word at any size; only the number of slices grows."""
+    for n in (0, 10**6, 10**8, 10**9, 5 * 10**9, 10**13):
+        slices, cells = substring_dedup.sketch_shape(n)
+        assert cells <= substring_dedup.SLICE_CELLS and slices * cells >= 2 * n
 
 
 def test_op9(spark, corpus):
