@@ -1,21 +1,23 @@
 """Mixing sources to target weights.
 
-Each source's words, document after document, are cut into blocks of fixed length. The mix is
-a list of shards of equal length; each shard draws how many of its slots every source fills.
+Each source's words, document after document, are cut into blocks of one length (to a word: a source's blocks differ by one word
+at most). The mix is a list of shards of equal length; each shard draws how many of its slots every source fills.
 A source's slots are numbered over all shards; slot numbers go through a pseudorandom permutation of
-the source's block indexes, once for each pass over the source, and slots join blocks by index.
+the source's block indexes, once for each pass over the source, and slots join blocks by index. A source's last slot takes as
+many words of its block as the target still lacks.
 
-Shard counts are multinomial draws without replacement from the sources' quotas: a shard's slots are a
-random share of all slots, so the counts vary as in a multinomial and their sums are the quotas.
+A departure: shard counts are multinomial draws without replacement from the sources' slots. A shard's slots are a
+random share of all slots, so the counts vary as in a multinomial and their sums are the slots that the targets ask for.
 Independent draws would miss the targets by chance and could take a block more than twice.
+The driver draws for groups of shards, each group's task for its shards.
 
-Every source's order, blocks and slots are dealt by (source, part), never by source alone: a source that holds
-a third of all rows is as many groups as its rows call for.
+Every source's order, blocks and slots are dealt by (source, part) or by group of shards, never by source alone: a source that holds
+a third of all rows is as many groups as its rows call for. The driver holds a line for each source.
 
 Defined results
 * null text: size 0. Documents of size 0 are listed with 0 words taken.
 * null source: a source of its own, last in order. Empty tables: an empty result.
-* repeated rows and equal ids: each row has its own words; equal (id, text) rows are exchangeable and share their sum evenly.
+* repeated rows and equal ids: each row has its own words and its own sum; which of equal rows gets which sum is not defined.
 * very long texts: a document spans many blocks; only block indexes are exploded.
 * other columns, whatever their names, are ignored by the query and kept by ``mixed_documents``.
 """
@@ -24,25 +26,23 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import documents, materialize, text_or_empty, words
 
-BLOCK_WORDS = 32
+BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_PASSES = 2
-#: Rows in a part of a source, and the most parts.
-PART_ROWS, MAX_PARTS = 2000, 20_000
-#: A mix names a weight for each source, so sources are few; more than this is refused, not cut off.
-MAX_SOURCES = 50_000
-MAX_COUNTS = 400_000
+#: Counts that the driver draws at once, and slots for each task that makes them.
+DRIVER_COUNTS, TASK_SLOTS = 1_000_000, 250_000
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,20 @@ class Source:
     size: int
     target: float
 
+    def blocks(self, block: int = BLOCK_WORDS) -> int:
+        return math.ceil(self.size / block)
+
+    def slots(self, block: int = BLOCK_WORDS) -> tuple[int, int]:
+        """How many slots the source fills, and how many words the last one takes."""
+        n, want = self.blocks(block), min(round(self.target), MOST_PASSES * self.size)
+        if not n or not want:
+            return 0, 0
+        passes, rest = divmod(want, self.size)
+        more = rest * n // self.size
+        part = round((rest * n - more * self.size) / n)
+        full = passes * n + more
+        return (full + 1, part) if part else (full, self.size // n + 1)
+
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> list[Source]:
     """Share ``share`` times all words by weight; no source gets over twice its size, the excess goes to the others."""
@@ -74,28 +88,15 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return [Source(name, n, want[k]) for k, (name, n) in enumerate(order)]
 
 
-def quotas(sources: list[Source], block: int = BLOCK_WORDS) -> list[int]:
-    """Slots of each source: its target in blocks of its mean words, never over ``MOST_PASSES`` times its blocks.
-
-    The last block of a source may be short; by the mean a target of whole passes is that many slots for each block.
-    """
-    blocks = [math.ceil(s.size / block) for s in sources]
-    return [min(MOST_PASSES * n, round(s.target * n / s.size)) if n else 0 for s, n in zip(sources, blocks, strict=True)]
-
-
-def shard_counts(quota: list[int], seed: int, slots: int = SHARD_SLOTS) -> np.ndarray:
-    """How many slots of each source every shard holds: multinomial without replacement, row for shard."""
-    total = sum(quota)
-    rng = np.random.default_rng(seed)
-    left = np.array(quota, dtype=np.int64)
-    rows = []
-    for k in range(math.ceil(total / slots)):
-        rest = min(slots, total - k * slots)
+def shard_counts(quota: list[int], rng: np.random.Generator, lengths: list[int]) -> np.ndarray:
+    """How many slots of each source every shard of these lengths holds: multinomial without replacement, a row for each shard."""
+    left, rows = np.array(quota, dtype=np.int64), []
+    for rest in lengths:
         # A draw without replacement, source by source: hypergeometric margins.
         drawn, pool = np.zeros(len(left), dtype=np.int64), int(left.sum())
-        for j, have in enumerate(left):
-            pool -= int(have)
-            drawn[j] = rest if pool == 0 else have if have == 0 else _hypergeometric(rng, int(have), pool, rest)
+        for j, have in enumerate(left.tolist()):
+            pool -= have
+            drawn[j] = rest if pool == 0 else have if have == 0 else _hypergeometric(rng, have, pool, rest)
             rest -= int(drawn[j])
         left -= drawn
         rows.append(drawn)
@@ -109,95 +110,129 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
     return max(n - bad, min(good, n, int(rng.binomial(n, good / (good + bad)))))
 
 
-def permuted(number: Column, blocks: Column, seed: Column) -> Column:
+def permuted(number: np.ndarray, blocks: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The block of each slot number: pass by pass over a source, each pass a permutation of its blocks.
 
     A four-round Feistel network on the least even number of bits that holds all indexes, walked until the
     index is in range; it is its own function for every source and pass.
     """
+    n, j = blocks.astype(np.uint64), number.astype(np.uint64)
+    key = key.astype(np.uint64) + (j // n) * np.uint64(0x9E3779B97F4A7C15)
+    half = (np.ceil(np.log2(np.maximum(n, np.uint64(2)).astype(np.float64))).astype(np.uint64) + np.uint64(2)) // np.uint64(2)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    x = j % n
+    todo = np.ones(len(x), dtype=bool)
+    while todo.any():
+        k, h, m = key[todo], half[todo], mask[todo]
+        left, right = x[todo] >> h, x[todo] & m
+        for turn in range(4):
+            z = (right + k + np.uint64(turn)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((z >> np.uint64(32)) & m)
+        x[todo] = (left << h) | right
+        todo &= x >= n
+    return x.astype(np.int64)
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def block_of(word: Column, base: Column, longer: Column) -> Column:
+    """The block that holds a word; the first ``longer`` blocks have base + 1 words, the others base."""
+    edge = longer * (base + 1)
+    return F.when(word < edge, _div(word, base + 1)).otherwise(longer + _div(word - edge, base))
+
+
+def block_begin(block: Column, base: Column, longer: Column) -> Column:
+    return block * base + F.least(block, longer)
+
 
-    @F.pandas_udf("long")
-    def feistel(number: pd.Series, blocks: pd.Series, seed: pd.Series) -> pd.Series:
-        n = blocks.to_numpy(np.uint64)
-        j = number.to_numpy(np.uint64)
-        key = seed.to_numpy(np.int64).astype(np.uint64) + (j // n) * np.uint64(0x9E3779B97F4A7C15)
-        half = ((np.ceil(np.log2(np.maximum(n, np.uint64(2)).astype(np.float64))).astype(np.uint64) + np.uint64(2)) // np.uint64(2))
-        mask = (np.uint64(1) << half) - np.uint64(1)
-        x = j % n
-        todo = np.ones(len(x), dtype=bool)
-        while todo.any():
-            k, h, m = key[todo], half[todo], mask[todo]
-            left, right = x[todo] >> h, x[todo] & m
-            for turn in range(4):
-                z = (right + k + np.uint64(turn)) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                left, right = right, left ^ ((z >> np.uint64(32)) & m)
-            x[todo] = (left << h) | right
-            todo &= x >= n
-        return pd.Series(x.astype(np.int64))
-
-    return feistel(number, blocks, seed)
-
-
-def located(docs: DataFrame, key: str, size: Column) -> tuple[DataFrame, list[tuple[str | None, int]]]:
-    """Documents with their size and the place of their first word in their source, and the sizes of sources.
-
-    Prefix sums in two levels: parts of a source are summed, then rows within a part.
+def block_words(block: Column, base: Column, longer: Column) -> Column:
+    return base + (block < longer).cast("long")
+
+
+def located(rows: DataFrame, key: str, *ties: str) -> tuple[DataFrame, list[tuple[str | None, int]]]:
+    """Add to rows (key, source, size, ...) the place ``start`` of their first word in their source; and the sizes of sources.
+
+    Prefix sums in two levels: parts of a source are summed, then rows within a part; there are about as many parts as rows in a part.
     """
-    rows = docs.withColumn("size", size)
-    n = docs.count()
-    parts = max(1, min(MAX_PARTS, n // PART_ROWS))
-    rows = materialize(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "mix-sizes")
+    rows = materialize(rows, "mix-sizes")
+    parts = max(1, math.isqrt(rows.count()))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     sums = rows.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
-    by_source = sums.groupBy("source").agg(F.sum("_sum").alias("n"))
-    sizes = [(r["source"], int(r["n"])) for r in by_source.limit(MAX_SOURCES + 1).collect()]
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources to weigh")
+    sizes = [(r["source"], int(r["n"])) for r in sums.groupBy("source").agg(F.sum("_sum").alias("n")).collect()]
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    within = Window.partitionBy("source", "_part").orderBy(key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_part").orderBy(key, "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     b = bases.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), "_base")
     placed = placed.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     return placed.withColumn("start", F.col("_in") + F.col("_base")).drop("_in", "_base", "_s", "_p", "_part"), sizes
 
 
-def slots(spark: SparkSession, sources: list[Source], seed: int, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix: a row (shard, slot, source_no, block) for each slot.
-
-    The driver draws the counts, at most ``MAX_COUNTS`` numbers: beyond that shards get longer. Slots are made on the executors.
-    """
-    quota = quotas(sources, block)
+def slots(spark: SparkSession, sources: list[Source], seed: int, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, driver_counts: int = DRIVER_COUNTS) -> DataFrame:
+    """The mix: a row (shard, source_no, block, n_words) for each slot; ``n_words`` are those it takes of its block, null for all."""
+    asked = [s.slots(block) for s in sources]
+    quota = [q for q, _ in asked]
     total = sum(quota)
-    shard_slots = max(shard_slots, math.ceil(total * max(1, len(sources)) / MAX_COUNTS))
-    shards = max(1, math.ceil(total / shard_slots))
-    counts = shard_counts(quota, seed, shard_slots)
-    first = np.cumsum(counts, axis=0) - counts
-    rows = [(k, j, int(first[k, j]), int(counts[k, j])) for k in range(len(counts)) for j in range(len(sources)) if counts[k, j]]
-    table = spark.createDataFrame(rows or [], "shard int, source_no int, first long, n long")
-    facts = F.broadcast(spark.createDataFrame([(j, math.ceil(s.size / block), zlib.crc32(repr(s.name).encode()) + seed) for j, s in enumerate(sources)] or [], "source_no int, blocks long, key long"))
-    each = (
-        table.repartition(max(1, min(shards, 2000)), "shard", "source_no")
-        .join(facts, "source_no")
-        .filter("blocks > 0")
-        .select("shard", "source_no", "blocks", "key", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("number"))
-    )
-    return each.select("shard", "source_no", "number", permuted(F.col("number"), F.col("blocks"), F.col("key")).alias("block"))
-
-
-def taken(placed: DataFrame, sources: list[Source], key: str, seed: int, block: int = BLOCK_WORDS) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``taken``, the words of each row that the mix takes."""
+    shards = math.ceil(total / shard_slots)
+    groups = max(1, min(shards, driver_counts // max(1, len(sources))))
+    per = math.ceil(shards / groups) if shards else 1
+    firsts = list(range(0, shards, per))
+    counts = shard_counts(quota, np.random.default_rng(seed), [min(total, (f + per) * shard_slots) - f * shard_slots for f in firsts])
+    begin = np.cumsum(counts, axis=0) - counts
+    table = [(f, begin[k].tolist(), counts[k].tolist()) for k, f in enumerate(firsts)]
+    keys = np.array([zlib.crc32(repr(s.name).encode()) + seed for s in sources], dtype=np.int64)
+    blocks = np.array([s.blocks(block) for s in sources], dtype=np.int64)
+    last, part = np.array([q - 1 for q in quota]), np.array([p for _, p in asked])
+    whole = np.array([s.size // n if (n := s.blocks(block)) else 0 for s in sources]) < part
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, at, own in zip(*(batch.column(c).to_pylist() for c in ("first", "at", "own")), strict=True):
+                at, lengths = np.array(at, dtype=np.int64), [min(total, (k + 1) * shard_slots) - k * shard_slots for k in range(first, min(shards, first + per))]
+                for k, counts in enumerate(shard_counts(own, np.random.default_rng((seed, first + 1)), lengths)):
+                    source = np.repeat(np.arange(len(own)), counts)
+                    number = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts) + at[source]
+                    at = at + counts
+                    n_words = pa.array(part[source], pa.int64(), mask=(number != last[source]) | whole[source])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(source), first + k), pa.int64()), pa.array(source, pa.int32()), pa.array(permuted(number, blocks[source], keys[source]), pa.int64()), n_words],
+                        names=["shard", "source_no", "block", "n_words"],
+                    )
+
+    dealt = spark.createDataFrame(table, "first long, at array<long>, own array<long>").repartition(max(1, min(len(table), total // TASK_SLOTS)), "first")
+    return dealt.mapInArrow(made, "shard long, source_no int, block long, n_words long")
+
+
+def taken_blocks(placed: DataFrame, sources: list[Source], seed: int, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The rows with their source's number, size, target and block lengths; and rows (source_no, start, begin, n_words, takes).
+
+    There is one of the latter for each block that a row has words in and the mix takes: the place of the block's first word, its
+    words, and for each time it is taken how many of them from the first, most first.
+    """
     spark = placed.sparkSession
-    named = F.broadcast(spark.createDataFrame([(j, s.name, s.size, s.target) for j, s in enumerate(sources)] or [], "source_no int, _name string, source_size long, target double"))
-    rows = placed.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_row", F.xxhash64(key, "size", "start"))
-    drawn = slots(spark, sources, seed, block).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    pieces = rows.filter("size > 0").select(
-        "source_no", "_row", F.col(key).alias("_key"), "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
-    )
-    covers = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    got = pieces.join(drawn, ["source_no", "block"]).groupBy(F.col("source_no").alias("_no"), F.col("start").alias("_start")).agg(F.sum(covers * F.col("times")).alias("taken"))
-    joined = rows.join(got, (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
-    return joined.withColumn("taken", F.coalesce("taken", F.lit(0))).drop("_no", "_start", "_row", "source_no")
+    facts = [(j, s.name, s.size, s.target, s.size // n if (n := s.blocks(block)) else 1, s.size % n if n else 0) for j, s in enumerate(sources)]
+    named = F.broadcast(spark.createDataFrame(facts, "source_no int, _name string, source_size long, target double, _base long, _longer long"))
+    rows = placed.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    drawn = slots(spark, sources, seed, block).groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.coalesce("n_words", F.lit(1 << 40))), asc=False).alias("takes"))
+    base, longer = F.col("_base"), F.col("_longer")
+    first, last = block_of(F.col("start"), base, longer), block_of(F.col("start") + F.col("size") - 1, base, longer)
+    pieces = rows.filter("size > 0").select("source_no", "start", "_base", "_longer", F.explode(F.sequence(first, last)).alias("block"))
+    begin, n = block_begin(F.col("block"), base, longer), block_words(F.col("block"), base, longer)
+    return rows, pieces.join(drawn, ["source_no", "block"]).select("source_no", "start", begin.alias("begin"), F.transform("takes", lambda x: F.least(x, n)).alias("takes"))
+
+
+def taken(placed: DataFrame, sources: list[Source], seed: int, block: int = BLOCK_WORDS) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``taken``, the words of each row that the mix takes."""
+    rows, got = taken_blocks(placed, sources, seed, block)
+    of = rows.filter("size > 0").select("source_no", "start", "size")
+    end = F.col("start") + F.col("size")
+    words_of = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(0), F.least(end, F.col("begin") + x) - F.greatest("start", "begin")))
+    sums = got.join(of, ["source_no", "start"]).groupBy(F.col("source_no").alias("_no"), F.col("start").alias("_start")).agg(F.sum(words_of).alias("taken"))
+    joined = rows.join(sums, (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
+    return joined.withColumn("taken", F.coalesce("taken", F.lit(0))).drop("_no", "_start", "source_no", "_base", "_longer")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
@@ -205,33 +240,31 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     A document is there once for each pass that takes words of it, with the words taken: unchanged where that is all of
     them, else the words of the blocks taken, with single spaces. ``n_chars``, where there is one, is renewed.
+
+    All placing is done on a hash of the row, its source and its size; the texts are shuffled once, to meet the blocks taken of them.
+    Equal rows are told apart by counting them on either side.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.col("source"), text_or_empty(text).alias("_text"), F.size(words(text_or_empty(text))).cast("long").alias("size")
-    )
-    placed, sizes = located(rows, "_key", F.col("size"))
-    sources = targets(sizes)
-    named = F.broadcast(spark.createDataFrame([(j, s.name) for j, s in enumerate(sources)] or [], "source_no int, _name string"))
-    numbered = placed.filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "source")
-    drawn = slots(spark, sources, seed, block).groupBy("source_no", "block").agg(F.count("*").cast("int").alias("times"))
-    pieces = numbered.select(
-        "source_no", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
+    row = F.xxhash64(F.col(key).isNull(), F.col(key), F.col(text).isNull(), F.col(text), F.col("source").isNull(), F.col("source"))
+    placed, sizes = located(docs.select(row.alias("_row"), F.col(key).alias("_key"), "source", F.size(words(text_or_empty(text))).cast("long").alias("size")), "_key", "_row")
+    rows, got = taken_blocks(placed, targets(sizes), seed, block)
+    passes = got.groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct("begin", "takes"))).alias("_got"))
+    nth = lambda order: F.row_number().over(Window.partitionBy("_row").orderBy(order))
+    small = rows.filter("size > 0").join(passes, ["source_no", "start"]).select(F.col("_row").alias("_at"), "start", "size", "_got", "_row").withColumn("_nth", nth("start")).drop("_row")
+    full = docs.select(F.struct(*docs.columns).alias("_doc"), row.alias("_row")).withColumn("_copy", nth("_row"))
+    # Written as two bounds, the count is no key of the join: both sides keep the partitioning by row that their windows need.
+    joined = full.join(small, (F.col("_row") == F.col("_at")) & (F.col("_copy") <= F.col("_nth")) & (F.col("_copy") >= F.col("_nth")))
+    joined = joined.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))))
+    inside = F.transform(
+        F.filter("_got", lambda x: F.size(x["takes"]) > F.col("_pass")),
+        lambda x: F.struct(
+            F.greatest(x["begin"] - F.col("start"), F.lit(0)).alias("a"), F.least(x["begin"] + F.get(x["takes"], F.col("_pass")) - F.col("start"), F.col("size")).alias("b")
+        ),
     )
-    got = pieces.join(drawn, ["source_no", "block"]).groupBy("source_no", "start").agg(F.collect_list(F.struct("block", "times")).alias("_got"))
-    joined = numbered.join(got, ["source_no", "start"]).select("_doc", "_text", "start", "size", F.array_sort("_got").alias("_got"), F.explode(F.sequence(F.lit(1), F.lit(MOST_PASSES))).alias("_pass"))
-    joined = joined.withColumn("_got", F.transform(F.filter("_got", lambda x: x["times"] >= F.col("_pass")), lambda x: x["block"])).filter(F.size("_got") > 0)
-    joined = joined.withColumn("_all", F.size("_got") == F.floor((F.col("start") + F.col("size") - 1) / block) - F.floor(F.col("start") / block) + 1)
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, start: pd.Series, blocks: pd.Series) -> pd.Series:
-        out = []
-        for t, first, own in zip(text, start, blocks, strict=True):
-            w = t.encode("utf-8", "surrogatepass").split()
-            out.append(b" ".join(x for b in own for x in w[max(0, b * block - first) : (b + 1) * block - first]).decode("utf-8", "surrogatepass"))
-        return pd.Series(out)
-
-    joined = joined.withColumn("_new", F.when(F.col("_all"), F.col("_text")).otherwise(cut(F.when(F.col("_all"), F.lit("")).otherwise(F.col("_text")), F.col("start"), F.col("_got"))))
+    joined = joined.withColumn("_cut", F.filter(inside, lambda x: x["a"] < x["b"])).filter(F.size("_cut") > 0)
+    whole = F.aggregate("_cut", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"]) == F.col("size")
+    own = words(F.col("_doc")[text])
+    cut = F.array_join(F.flatten(F.transform("_cut", lambda x: F.slice(F.col("_own"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))), " ")
+    joined = joined.withColumn("_own", F.when(~whole, own)).withColumn("_new", F.when(F.col("_own").isNull(), F.col("_doc")[text]).otherwise(cut))
     renewed = {text: F.col("_new")}
     if "n_chars" in docs.columns:
         renewed["n_chars"] = F.char_length("_new").cast(docs.schema["n_chars"].dataType)
@@ -240,6 +273,6 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
 def op7_mixing(spark: SparkSession, sf_dir: str, seed: int = 7) -> DataFrame:
     """How many words of each document the mix takes."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    placed, sizes = located(docs.select("doc_id", "source", F.size(words(text_or_empty("text"))).cast("long").alias("size")), "doc_id", F.col("size"))
-    return taken(placed, targets(sizes), "doc_id", seed).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", F.size(words(text_or_empty("text"))).cast("long").alias("size"))
+    placed, sizes = located(docs, "doc_id")
+    return taken(placed, targets(sizes), seed).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

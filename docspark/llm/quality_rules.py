@@ -173,10 +173,11 @@ def fit(with_stats: DataFrame, stats: str = STATS) -> VoteModel:
 def keep_good(docs: DataFrame, min_posterior: float = 0.5) -> DataFrame:
     """The documents that pass the base rule and that the votes call good; all their columns."""
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))
-    with_stats = text_statistics(rows)
-    model = fit(with_stats)
-    good = ~base_failed(F.col(STATS)) & (model.posterior(votes(F.col(STATS))) >= min_posterior)
-    return with_stats.filter(good).select("_doc.*")
+    stats = F.col(STATS)
+    # Counting is the costly part: the documents are written once with their counts, which the fit and the verdict read.
+    counted = materialize(text_statistics(rows).select("_doc", STATS), "quality-counted")
+    good = ~base_failed(stats) & (fit(counted).posterior(votes(stats)) >= min_posterior)
+    return counted.filter(good).select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str, min_posterior: float = 0.5) -> DataFrame:
