@@ -9,7 +9,7 @@ dropped and the others are confirmed on their full sets.
 
 Work on groups. Documents with equal sets are one class and stand as one representative. In a band's group
 every member is first compared with the least member only; members that this joins are one component. What is then
-compared is only members of different components that share a rare shingle (``sharing_rare``). A group of
+compared is only members of different components that share a rare shingle early enough (``sharing_rare``). A group of
 thousands of near copies so costs about one comparison each, and no link between components is missed.
 
 Defined results
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.arrow_words import mix, word_hashes
-from docspark.llm.common import documents, materialize, text_or_empty
+from docspark.llm.common import discard, documents, materialize, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
@@ -175,28 +175,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """A row (id, label) for each end of an edge; the label is the least id of its component.
+    """A written table (id, label) with a row for each end of an edge; the label is the least id of its component.
 
     Labels fall to the least label among neighbours, then jump to their label's label, until nothing moves. Each round is written to
-    the shared folder.
+    the shared folder and the one before deleted.
     """
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "near-edges")
     labels = materialize(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "near-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("low"))
-        lower = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        to = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        old = labels.select("id", "label")
+        near = both.join(old.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("low"))
+        lower = old.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "low").alias("label"))
+        to = old.select(F.col("id").alias("label"), F.col("label").alias("next"))
         moved = materialize(lower.join(to, "label", "left").select("id", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "near-labels")
-        done = moved.filter("was != label").isEmpty()
-        labels = moved.select("id", "label")
-        if done:
+        discard(labels)
+        labels = moved
+        if labels.filter("was != label").isEmpty():
+            discard(both)
             return labels
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after joining the components that ``links`` (a, b: labels) connect."""
-    new = components(links).select(F.col("id").alias("label"), F.col("label").alias("low"))
-    return materialize(labels.join(new, "label", "left").select("id", F.coalesce("low", "label").alias("label")), "near-labels")
+    found = components(links)
+    new = found.select(F.col("id").alias("label"), F.col("label").alias("low"))
+    out = materialize(labels.join(new, "label", "left").select("id", F.coalesce("low", "label").alias("label")), "near-labels")
+    discard(found, labels)
+    return out
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,6 +217,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one = members.filter("node = rep and digest is not null").select("node").distinct()
     single = full.join(one, "node", "left_semi").select("node", "name", "registers").dropDuplicates(["node"])
     reps = materialize(single.orderBy(F.col("name").asc_nulls_last(), "node").withColumn("id", F.monotonically_increasing_id()), "near-reps")
+    discard(signed)
 
     banded = bands(reps)
     centre = banded.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
@@ -224,15 +230,18 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     edges = materialize(confirmed(best, sets), "near-edges")
     labels = reps.select("id", F.col("id").alias("label")).distinct()
     if not edges.isEmpty():
-        labels = materialize(labels.select("id").join(components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "near-labels")
+        found = components(edges)
+        labels = materialize(labels.select("id").join(found.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "near-labels")
+        discard(found)
 
     # Other stars whose ends are still apart, then members of one band group that are still apart.
     labels = _linked(labels, _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), sets)
     placed = banded.join(labels, "id")
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
     held = placed.join(mixed, "band", "left_semi").select("id", "label").distinct()
-    across = materialize(likely(sharing_rare(sets, held), reps).select("a", "b"), "near-across")
-    labels = _linked(labels, across, sets)
+    across, rare = sharing_rare(sets, held)
+    labels = _linked(labels, likely(across, reps).select("a", "b"), sets)
+    discard(stars, best, edges, sets, rare)
     joined = labels.filter("id != label").join(reps.select(F.col("id").alias("label"), F.col("node").alias("lead"), F.col("name").alias("lead_name")), "label")
     named = joined.join(reps.select("id", F.col("node").alias("rep")), "id").select("rep", "lead", "lead_name")
     # A class that no other joins is led by its own representative.
@@ -242,12 +251,17 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return own.select("node", F.col("name").alias("id"), "n_shingles", component.alias("component_id"), (F.col("node") == F.coalesce("lead", "rep")).alias("kept"))
 
 
-def sharing_rare(sets: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels among ``held`` (id, label) that may reach the threshold; none that does is missed.
+def sharing_rare(sets: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different labels among ``held`` (id, label) that may reach the threshold; none that does is missed. And the table they are read from.
 
     Each set is ordered by how many of the held sets a shingle is in, rarest first. Two sets that reach three quarters share a
-    shingle within the first quarter and one of both (prefix filtering). Families that share only a common passage
-    have rare shingles of their own first and never meet, however large they are.
+    shingle within the first quarter and one of both (prefix filtering). At the first shingle they share, what is left of
+    either set from there on must still hold all they need in common (positional filtering): shingles before it are in no
+    common part. Families that share only a common passage, and copies each edited too far from the others, have
+    shingles of their own first and do not meet, however many they are.
+
+    Of two members with different labels one at least is outside the largest label among the members with a shingle. Only those outside
+    look for partners: once a family's links are found, its members are not compared with each other.
     """
     kind = sets.schema["id"].dataType.simpleString()
 
@@ -260,18 +274,23 @@ def sharing_rare(sets: DataFrame, held: DataFrame) -> DataFrame:
                 which = pa.array(np.repeat(np.arange(len(own)), n))
                 yield pa.RecordBatch.from_arrays([part.column("id").take(which), part.column("label").take(which), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(own))], names=["id", "label", "n", "shingle"])
 
+    low, high = THRESHOLD
     each = sets.join(held, "id").select("id", "label", "hashes").mapInArrow(spread, f"id {kind}, label {kind}, n int, shingle long")
     often = each.groupBy("shingle").agg(F.count("*").cast("int").alias("often")).filter("often > 1")
     shared = each.join(often, "shingle").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("own"))
-    # Shingles of this set alone come first and meet nobody.
-    room = F.col("n") - F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1]).cast("int") + 1 - (F.col("n") - F.size("own"))
-    first = shared.withColumn("room", room).filter("room > 0").select("id", "label", "n", F.explode(F.slice("own", F.lit(1), F.col("room"))["shingle"]).alias("shingle"))
-    mixed = first.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle")
-    first = materialize(first.join(mixed, "shingle", "left_semi"), "near-rare")
-    x = first.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    y = first.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (F.least("na", "nb") * THRESHOLD[1] >= F.greatest("na", "nb") * THRESHOLD[0]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))
-    return x.join(y, "shingle").filter(near).select("a", "b").distinct()
+    # Shingles of this set alone come first and meet nobody; ``rest`` counts the shared ones from a position on.
+    room = F.size("own") - F.ceil(F.col("n") * low / high).cast("int") + 1
+    placed = shared.withColumn("room", room).filter("room > 0").select("id", "label", "n", F.size("own").alias("c"), F.posexplode(F.slice("own", F.lit(1), F.col("room"))["shingle"]).alias("at", "shingle"))
+    placed = placed.select("shingle", "id", "label", "n", (F.col("c") - F.col("at")).alias("rest"))
+    counted = placed.groupBy("shingle", "label").agg(F.count("*").alias("n_label"))
+    mixed = counted.groupBy("shingle").agg(F.max_by("label", F.struct("n_label", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("shingle", "most")
+    first = materialize(placed.join(mixed, "shingle"), "near-rare")
+    x = first.filter("label != most").select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    y = first.select("shingle", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("rest").alias("ry"))
+    total = F.col("nx") + F.col("ny")
+    near = (F.least("rx", "ry") * (low + high) >= total * low) & (F.least("nx", "ny") * high >= F.greatest("nx", "ny") * low) & (F.col("lx") != F.col("ly"))
+    met = x.join(y, "shingle").filter(near)
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), first
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,9 +302,12 @@ def _linked(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Labels after confirming pairs of different labels and joining their components."""
     good = materialize(confirmed(pairs, sets), "near-edges")
     if good.isEmpty():
+        discard(good)
         return labels
     la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    return _relabelled(labels, good.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b").distinct())
+    out = _relabelled(labels, good.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b").distinct())
+    discard(good)
+    return out
 
 
 def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:

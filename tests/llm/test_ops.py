@@ -381,6 +381,46 @@ def test_op10_family_and_chain(spark):
     assert len({c for _, c in got.values()}) < len(pairs)
 
 
+def test_op10_large_families(spark):
+    """Families of hundreds, each copy edited in one to nine places, some of copies that are all too far from their original: no link is lost.
+
+    Brute force counts shared shingles of all pairs by an inverted index. Measured recall of links is 1.
+    """
+    import random
+
+    from .conftest import prose
+
+    rng, pairs = random.Random(3), []
+    for f in range(4):
+        base = prose(900 + f, 110).split()
+        for k in range(250):
+            own = list(base)
+            for _ in range(rng.randint(4, 9) if f == 3 else rng.randint(1, 9)):
+                own[rng.randrange(len(own))] = prose(rng.randrange(10**6), 1)
+            pairs.append((len(pairs), " ".join(own)))
+    rng.shuffle(pairs)
+    sets = {k: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)} for k, t in pairs}
+    where, up, links = collections.defaultdict(list), {k: k for k in sets}, []
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in sorted(sets):
+        n = collections.Counter(b for s in sets[a] for b in where[s])
+        links += [(a, b) for b, c in n.items() if 100 * c >= 75 * (len(sets[a]) + len(sets[b]) - c)]
+        for s in sets[a]:
+            where[s].append(a)
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_components(spark.createDataFrame(pairs, "doc_id long, text string").repartition(8)).collect()}
+    assert len(links) > 1000 and sum(got[a] == got[b] for a, b in links) == len(links)
+    assert got == {k: find(k) for k in sets}
+    assert sum(find(k) == k for k in sets) > 100
+
+
 def test_op10_null_and_equal_ids(spark, tmp_path):
     """Rows are the nodes: no null id and no second text of an id is dropped unless it has a near duplicate that stays."""
     from .conftest import prose
