@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from docspark.llm.common import documents, materialize
+from docspark.llm.common import discard, documents, materialize
 
 
 def _docs(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
@@ -57,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
