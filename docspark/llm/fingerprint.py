@@ -1,134 +1,179 @@
-"""Document fingerprints by winnowing [native].
+"""Document fingerprints by winnowing.
 
-The tokens of a text are its runs of non-space characters; a run of over ``TOKEN`` characters counts as its rolling grams of
-``CHARS`` characters, one at every character. Every ``GRAM`` successive
-tokens are hashed; of each window of ``WINDOW`` successive hashes the least is selected, the rightmost of equal ones. Two
-texts that share ``WINDOW + GRAM - 1`` tokens, or over ``TOKEN`` characters of one run at whatever offsets, share at least one
-selected hash, with its position among the tokens. All of this
-is array expressions on one row: a hash and its position are packed into one long, hash first and position reversed, so that
-the least long of a window is its rightmost least hash.
+Every ``GRAM`` successive characters of a text are hashed, by a rolling polynomial; of each window of ``WINDOW`` successive hashes the least is
+selected, the rightmost of equal ones, with its position. Two texts that share ``WINDOW + GRAM - 1`` characters, at whatever offsets
+and in whatever script, share at least one selected hash.
+
+The hashing is numpy in Arrow batches. A native form with the same result takes about a microsecond a character (see the README), more than the
+limits allow. Order and neighbours, ranges and the shuffle of texts are DataFrame operations.
 
 Defined results
-* null text: the empty text. Texts without tokens have an empty fingerprint; two empty fingerprints have likeness 1, one
+* null text: the empty text. Empty texts have an empty fingerprint; two empty fingerprints have likeness 1, one
   empty and one other 0.
-* texts of fewer tokens than a gram: all tokens are the one gram. Fewer grams than a window: one window.
-* repeated rows and equal ids: the order is descending id (null last), then the text; each row has a next row.
+* texts of fewer characters than a gram: the whole text is the one gram. Fewer grams than a window: one window.
+* repeated rows and equal ids: the order is descending id (null last), then a hash of the text; each row has a next row.
 * a single document is its own next one; an empty table gives an empty result.
-* very long texts: linear time; the tokens of one text are in memory at once.
+* very long texts: linear time; one text and its neighbour are in memory at once.
 * other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from docspark.llm.common import documents, text_or_empty, words
-
-#: The longest run that is one token, and the characters of a rolling gram in longer ones.
-TOKEN, CHARS = 24, 12
-GRAM = 3
-WINDOW = 4
-_HASH_BITS = 0x7FFFFFFF00000000
-_LAST = 0x7FFFFFFF
-#: Rows in a range of ids, and the most ranges: what the driver sees of the ids.
-RANGE_ROWS, MAX_RANGES = 200, 10_000
-NO_LONGS = "array<bigint>"
-
-
-def _none() -> Column:
-    return F.array().cast(NO_LONGS)
-
-
-def _rolling(run: Column) -> Column:
-    """The grams of ``CHARS`` characters at every character of a run; its characters are split once."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (CHARS - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(CHARS)), ""))
-    return F.transform(F.array(F.split(run, "")), grams)[0]
-
-
-def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """Add ``into``: the selected packed hashes of ``text``, in order of position. Each level is its own projection, so that it is computed once."""
-    r, t, g, m = (f"{into}_{x}" for x in ("runs", "tokens", "grams", "least"))
-    out = docs.withColumn(r, words(text_or_empty(text)))
-    long = lambda x: F.char_length(x) > TOKEN
-    each = F.flatten(F.transform(r, lambda x: F.when(long(x), _rolling(x)).otherwise(F.array(x))))
-    out = out.withColumn(t, F.when(F.exists(r, long), each).otherwise(F.col(r)))
-    tokens = F.col(t)
-    pack = lambda h, i: h.bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(F.lit(_LAST) - i)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(t) - GRAM, F.lit(0)))
-    grams = F.transform(starts, lambda i: pack(F.xxhash64(*(F.get(tokens, i + k) for k in range(GRAM))), i))
-    out = out.withColumn(g, F.when(F.size(t) > 0, grams).otherwise(_none()))
-    hashes = F.col(g)
-    least = F.transform(hashes, lambda x, i: F.least(x, *(F.get(hashes, i + k) for k in range(1, WINDOW))))
-    out = out.withColumn(m, least)
-    whole = F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))
-    return out.withColumn(into, F.when(F.size(g) > 0, F.array_distinct(F.slice(m, F.lit(1), whole))).otherwise(_none())).drop(r, t, g, m)
+import hashlib
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def position(packed: Column) -> Column:
-    return F.lit(_LAST) - packed.bitwiseAND(F.lit(_LAST))
+from docspark.llm.arrow_words import mix
+from docspark.llm.common import documents, text_or_empty
 
+GRAM = 12
+WINDOW = 32
+#: Characters that are hashed at once.
+BATCH_CHARS = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_NONE = np.iinfo(np.uint64).max
 
-def shown(chosen: Column) -> Column:
-    """Hashes in hexadecimal with their positions: hash@position, in order of position."""
-    return F.array_join(F.transform(chosen, lambda x: F.concat(F.lower(F.hex(F.shiftrightunsigned(x, 32))), F.lit("@"), position(x).cast("string"))), ",")
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-def hash_set(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, 32)))
 
+def grams(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit hashes of all grams, text after text, and how many each text has."""
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    count = np.where(n >= gram, n - gram + 1, np.minimum(n, 1))
+    start = np.arange(int(count.sum())) + np.repeat(np.cumsum(n) - n - (np.cumsum(count) - count), count)
+    sums = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum(mix(code + np.uint64(1)) * _powers(_BASE, len(code)), out=sums[1:])
+    end = start + np.repeat(np.minimum(n, gram), count)
+    return (mix((sums[end] - sums[start]) * _powers(pow(_BASE, -1, 1 << 64), len(code))[start]) >> np.uint64(32)).astype(np.uint32), count
 
-def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard likeness of two sets of hashes."""
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, 1.0).otherwise(both / either)
 
+def winnowed(hashes: np.ndarray, count: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """For each text the selected hashes above their positions, as 64-bit numbers in order of position.
 
-def with_next(docs: DataFrame, key: str, carry: list[str], ties: str) -> DataFrame:
-    """Add ``next_<c>`` for each carried column: its value in the row next in descending ``key``, after the last the first.
+    A hash and its position counted backwards are one number, so that the least of a window is its rightmost least hash.
+    """
+    at = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
+    padded = np.full(len(hashes) + (window - 1) * len(count), _NONE, dtype=np.uint64)  # after each text room for windows that run over
+    first = np.cumsum(count + window - 1) - (count + window - 1)
+    padded[at + np.repeat(first, count)] = (hashes.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
+    least, reach = padded, 1
+    while reach < window:
+        step = min(reach, window - reach)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        reach += step
+    out = []
+    for a, n in zip(first.tolist(), count.tolist(), strict=True):
+        own = least[a : a + max(n - window + 1, min(n, 1))]
+        out.append(own[np.diff(own, prepend=_NONE) != 0] ^ np.uint64(0xFFFFFFFF))
+    return out
+
+
+def fingerprints_of(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[np.ndarray]:
+    """The fingerprint of each text: hash in the upper, position in the lower half of each number."""
+    out, held, n = [], [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= BATCH_CHARS:
+            out += winnowed(*grams(held, gram), window)
+            held, n = [], 0
+    return out + (winnowed(*grams(held, gram), window) if held else [])
+
+
+def shown(chosen: np.ndarray) -> str:
+    """Sixteen hexadecimal digits for each selected hash, eight of the hash and eight of its position."""
+    return chosen.astype(">u8").tobytes().hex()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard likeness of the hash sets of two fingerprints."""
+    x, y = np.unique(a >> np.uint64(32)), np.unique(b >> np.uint64(32))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    either = len(x) + len(y) - both
+    return both / either if either else 1.0
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """A row (key, hash, position) arrays for each document: its selected hashes and their places, in order of position."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = fingerprints_of(batch.column(1).to_pylist(), gram, window)
+            arrays = [[(x >> np.uint64(32)).astype(np.int64) for x in found], [(x & np.uint64(0xFFFFFFFF)).astype(np.int64) for x in found]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(a, pa.list_(pa.int64())) for a in arrays)], names=[key, "hashes", "positions"])
+
+    return docs.select(key, text_or_empty(text)).mapInArrow(made, f"`{key}` {docs.schema[key].dataType.simpleString()}, hashes array<long>, positions array<long>")
+
+
+def with_next(docs: DataFrame, key: str, carry: str) -> DataFrame:
+    """Add ``next_<carry>``: the value of ``carry`` in the row next in descending ``key``, after the last the first.
 
     Rows are dealt by ranges of the key, whose bounds are approximate quantiles; each range sees
-    its successor's first row as a guest. The driver sees at most MAX_RANGES bounds.
+    its successor's first row as a guest. There are about as many ranges as rows in a range, and the driver sees their bounds only. Rows
+    without a key come last, in ranges of the hash that orders them.
     """
     spark = docs.sparkSession
-    n = docs.agg(F.count(key)).first()[0]
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
+    docs = docs.withColumn("_tie", F.bitwise_not(F.xxhash64(carry)))
+    n, none = docs.agg(F.count(key), F.count_if(F.col(key).isNull())).first()
+    ranges = max(1, math.isqrt(n))
     found = docs.agg(F.percentile_approx(key, [k / ranges for k in range(ranges)], max(10_000, 10 * ranges))).first()[0]
     bounds = sorted(set(found or []))
-    part = max(1, int(len(bounds) ** 0.5))
+    part = max(1, math.isqrt(len(bounds)))
     parts = [bounds[i : i + part] for i in range(0, len(bounds), part)]
+    # Ranges of null keys: the top bits of the hash, in order.
+    bits = min(62, (max(1, math.isqrt(none)) - 1).bit_length())
+    nulls = F.shiftright("_tie", 63 - bits) - F.lit(1 << bits) - 1
+    of = nulls
     if bounds:
         at = F.greatest(F.size(F.filter(F.array(*(F.lit(p[0]) for p in parts)), lambda b: b <= F.col(key))), F.lit(1))
         inner = F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), at)
-        of = F.when(F.col(key).isNull(), -1).otherwise(at * part + F.size(F.filter(inner, lambda b: b <= F.col(key))))
-    else:
-        of = F.lit(-1)
-    dealt = docs.withColumn("_range", of)
-    heads = sorted(dealt.groupBy("_range").agg(F.max(key)).collect(), reverse=True)
-    guests = [(h[1], heads[i - 1][0]) for i, h in enumerate(heads)]
-    to = spark.createDataFrame(guests, f"_head {docs.schema[key].dataType.simpleString()}, _to int")
-    guest = docs.join(F.broadcast(to), F.col(key).eqNullSafe(F.col("_head"))).select(*docs.columns, F.col("_to").alias("_range"), F.lit(1).alias("_guest"))
-    w = Window.partitionBy("_range").orderBy("_guest", F.col(key).desc_nulls_last(), F.col(ties))
+        of = F.when(F.col(key).isNull(), nulls).otherwise(at * part + F.size(F.filter(inner, lambda b: b <= F.col(key))))
+    dealt = docs.withColumn("_range", of.cast("long"))
+    heads = dealt.groupBy("_range").agg(F.max(F.struct(key, "_tie")).alias("head")).orderBy(F.desc("_range")).collect()
+    guests = [(h["head"][0], h["head"][1], heads[i - 1]["_range"]) for i, h in enumerate(heads)]
+    to = spark.createDataFrame(guests, f"_head {docs.schema[key].dataType.simpleString()}, _head_tie long, _to long")
+    is_head = F.col(key).eqNullSafe(F.col("_head")) & (F.col("_tie") == F.col("_head_tie"))
+    guest = docs.join(F.broadcast(to), is_head).select(*docs.columns, F.col("_to").alias("_range"), F.lit(1).alias("_guest"))
+    w = Window.partitionBy("_range").orderBy("_guest", F.col(key).desc_nulls_last(), F.col("_tie").desc())
     both = dealt.select(*docs.columns, "_range", F.lit(0).alias("_guest")).unionByName(guest)
-    nexts = {f"next_{c}": F.lead(c).over(w) for c in carry}
-    return both.withColumns(nexts).filter("_guest = 0").drop("_guest", "_range")
+    return both.withColumn(f"next_{carry}", F.lead(carry).over(w)).filter("_guest = 0").drop("_guest", "_range", "_tie")
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     docs = documents(spark, sf_dir).select("doc_id", text_or_empty("text").alias("text"))
-    rows = with_next(fingerprints(docs, into="fp"), "doc_id", ["text", "fp"], "text")
-    rows = rows.withColumn("n", F.char_length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
-    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, n - half)"), F.expr("substring(next_text, 1, half)"))).drop("text", "next_text")
-    rows = fingerprints(rows, "edited", "edited_fp")
-    rows = rows.withColumns({"a": hash_set(F.col("fp")), "b": hash_set(F.col("edited_fp")), "c": hash_set(F.col("next_fp"))})
-    return rows.select(
-        "doc_id",
-        F.col("n").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("fp")).alias("fingerprint"),
-        shown(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.col("c")).alias("near_next"),
-    )
+    rows = with_next(docs, "doc_id", "text").select("doc_id", "text", "next_text")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts, nexts = batch.column("text").to_pylist(), batch.column("next_text").to_pylist()
+                edited = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for t, x in zip(texts, nexts, strict=True)]
+                own, new, far = fingerprints_of(texts), fingerprints_of(edited), fingerprints_of(nexts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        pa.array([len(t) for t in texts], pa.int64()),
+                        pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
+                        pa.array([shown(x) for x in own], pa.string()),
+                        pa.array([shown(x) for x in new], pa.string()),
+                        pa.array([likeness(a, b) for a, b in zip(own, new, strict=True)], pa.float64()),
+                        pa.array([likeness(a, b) for a, b in zip(own, far, strict=True)], pa.float64()),
+                    ],
+                    names=names,
+                )
+
+    return rows.mapInArrow(made, schema)
