@@ -6,14 +6,15 @@ pairs of blob and rule version that the ledger lacks; findings join back to ever
 ever held the blob.
 
 Spans are code points, end exclusive, leftmost and non-overlapping within a kind: they follow
-from the lengths of the gaps between matches, so no row leaves the JVM and a text is read once
-for each rule.
+from the lengths of the gaps between matches, summed by a window over the matches of a blob. No row leaves the JVM, a text is read once
+for each rule, and only lengths are shuffled.
 
 Defined results
 * null text: the empty text; empty texts have no spans.
 * repeated rows and equal texts: one blob, scanned once; each row gets the findings.
 * ties (spans of several kinds at one start): in the order of ``RULES``.
-* very long texts: matching is linear; the cost of placing matches is that of the matches in one text.
+* very long texts: matching is linear; placing sorts the matches of a blob.
+* a changed rule: findings carry the version that made them; those of other versions are not returned.
 * empty tables: an empty result and an empty ledger part. Other columns, whatever their names, are ignored.
 """
 
@@ -23,10 +24,10 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, shared_dir, text_or_empty
+from docspark.llm.common import discard, documents, materialize, shared_dir, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -56,41 +57,28 @@ MORE_RULES = (
     Rule("url_password", r"://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
 )
 RULES = BASE_RULES + MORE_RULES
-FINDING = "struct<start:int,rank:int,end:int,kind:string>"
+LENGTHS = "array<struct<rank:int,gap:int,hit:int,part:int>>"
+FINDING = "struct<start:int,rank:int,end:int,kind:string,version:int>"
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """All spans of one rule in a text, as an array of (start, rank, end, kind)."""
+def _lengths(text: Column, rule: Rule, rank: int) -> Column:
+    """For each match of a rule the characters between it and the one before, those of the match, and those of its group."""
     pattern = F.lit(rule.pattern)
-    placed = F.aggregate(
-        F.arrays_zip(
-            F.split(text, rule.pattern, -1).alias("gap"),
-            F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
-            F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
-        ),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FINDING}>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                F.char_length(x["part"]) >= rule.least,
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.char_length(x["gap"])).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"),
-                            F.lit(rule.kind).alias("kind"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
+    zipped = F.arrays_zip(
+        F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part")
     )
-    return F.when(text.rlike(rule.pattern), placed).otherwise(F.array().cast(f"array<{FINDING}>"))
+    each = lambda x: F.struct(F.lit(rank).alias("rank"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), F.char_length(x["part"]).alias("part"))
+    return F.when(text.rlike(rule.pattern), F.filter(F.transform(zipped, each), lambda x: x["hit"].isNotNull())).otherwise(F.array().cast(LENGTHS))
+
+
+def _placed(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A row (blob, findings) for each blob with findings: matches long enough, at the sums of the lengths before them."""
+    hits = scanned.select("blob", F.posexplode("lengths").alias("at", "x")).select("blob", "at", "x.*")
+    end = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("blob", "rank").orderBy("at"))
+    of = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("rank") + 1)
+    found = hits.withColumn("end", end.cast("int")).filter(F.col("part") >= of([r.least for r in rules]))
+    finding = F.struct((F.col("end") - F.col("hit")).alias("start"), "rank", "end", of([r.kind for r in rules]).alias("kind"), of([r.version for r in rules]).alias("version"))
+    return found.groupBy("blob").agg(F.array_sort(F.collect_list(finding.cast(FINDING))).alias("findings"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -122,20 +110,28 @@ def scan_new_blobs(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...
         .select(F.col("blob").alias("_blob"), F.col("_key").alias("_first"), "todo")
     )
     one = rows.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & F.col("_key").eqNullSafe(F.col("_first"))).select("blob", "todo", "_text")
-    found = F.concat(*(F.when(F.array_contains("todo", r.key), spans(F.col("_text"), r, k)).otherwise(F.array().cast(f"array<{FINDING}>")) for k, r in enumerate(rules)))
-    fresh = one.select("blob", F.col("todo").alias("rules"), F.array_sort(found).alias("findings"))
+    lengths = F.concat(*(F.when(F.array_contains("todo", r.key), _lengths(F.col("_text"), r, k)).otherwise(F.array().cast(LENGTHS)) for k, r in enumerate(rules)))
+    scanned = materialize(one.select("blob", F.col("todo").alias("rules"), lengths.alias("lengths")), "secret-lengths")
+    once = scanned.dropDuplicates(["blob"])  # rows of equal key and text are scanned each
+    found = _placed(once.filter(F.size("lengths") > 0), rules)
+    fresh = once.select("blob", "rules").join(found, "blob", "left").select("blob", "rules", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("findings"))
     fresh.write.mode("append").parquet(ledger_path)
+    discard(scanned)
     return read_ledger(spark, ledger_path)
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row (key, findings) for each row of ``versions``; findings of other rule versions are left out."""
     keys = F.array(*(F.lit(r.key) for r in rules))
-    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    ranks = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)))
+    name = lambda x: F.concat_ws("@", x["kind"], x["version"])
+    own = F.filter("findings", lambda x: F.array_contains(keys, name(x)))
+    # A later scan may have numbered its rules in another order: ranks are those of ``rules``.
+    ranked = F.transform(own, lambda x: F.struct(x["start"], ranks[name(x)].alias("rank"), x["end"], x["kind"], x["version"]).cast(FINDING))
     one = (
         ledger.filter(F.arrays_overlap("rules", keys) & (F.size("findings") > 0))
-        .select("blob", F.explode(F.filter("findings", lambda x: F.array_contains(kinds, x["kind"]))).alias("x"))
-        .distinct()  # a blob that two rows of equal key hold may have been scanned twice
+        .select("blob", F.explode(ranked).alias("x"))
+        .distinct()  # two scans that ran at the same time may have found the same
         .groupBy("blob")
         .agg(F.array_sort(F.collect_list("x")).alias("findings"))
     )
