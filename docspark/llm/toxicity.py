@@ -34,10 +34,13 @@ from docspark.llm.common import documents, text_or_empty
 BUCKETS = 1 << 18
 FACTORS = 4
 MAX_SAMPLE = 20_000
-#: Terms in fewer training rows, or whose share in the two classes differs by fewer standard errors, are left out
-#: of the fit: most of the many terms differ by chance, and a machine given all of them learns its rows by heart.
+#: Terms in fewer training rows are left out of the fit, and so are those that differ between the classes by fewer standard errors, taken
+#: alone and in all pairs: most of the many terms differ by chance, and a machine given all of them learns its rows by heart.
 LEAST_ROWS = 3
 LEAST_ERRORS = 3.5
+#: Pairs among the so many commonest terms of the training rows are looked at; there are half a million, so more errors are asked of them.
+PAIR_TERMS = 1024
+LEAST_PAIR_ERRORS = 6.0
 ROUNDS = 200
 SEED = 11
 _WORD = re.compile(r"[^\W\d_]+")
@@ -71,7 +74,6 @@ class Machine:
     factors: np.ndarray
 
 
-
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of rows; empty stretches sum to 0."""
     total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
@@ -89,6 +91,34 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
+    """The terms that matter in a pair: the rows with both are toxic more or less often than the effects of either alone add up to.
+
+    Only such terms can be missed by a look at each alone, as when two terms are toxic together and apart but either one's share is as usual.
+    """
+    common = np.argsort(-counts, kind="stable")[:most]
+    common = np.sort(common[counts[common] >= LEAST_ROWS])
+    both, toxic = np.zeros((2, len(common), len(common)))
+    for at in range(0, len(rows), 1024):
+        own = rows[at : at + 1024]
+        flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), [len(r) for r in own])
+        place = np.searchsorted(common, flat)
+        held = common[np.minimum(place, len(common) - 1)] == flat if len(common) else np.zeros(len(flat), dtype=bool)
+        x = np.zeros((len(own), len(common)), dtype=np.float32)
+        x[of[held], place[held]] = 1
+        both += x.T @ x
+        toxic += x.T @ (x * labels[at : at + 1024, None].astype(np.float32))
+    share = (np.diag(toxic) + 0.5) / (np.diag(both) + 1)
+    expected = logistic(_logit(share)[:, None] + _logit(share)[None, :] - _logit((labels.sum() + 0.5) / (len(labels) + 1)))
+    errors = np.abs(toxic - both * expected) / np.sqrt(np.maximum(both * expected * (1 - expected), 1.0))
+    np.fill_diagonal(errors, 0)
+    return common[(errors >= LEAST_PAIR_ERRORS).any(axis=1)] if len(common) else common
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> Machine:
     """Fit by Adagrad on the logistic loss, with ridge penalties that keep unneeded terms near 0."""
     if not len(rows):
@@ -98,7 +128,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed
     toxic = np.bincount(np.concatenate(rows), weights=np.repeat(labels, [len(r) for r in rows]), minlength=BUCKETS)
     overall = labels.mean()
     errors = np.abs(toxic - counts * overall) / np.sqrt(np.maximum(counts * overall * (1 - overall), 1e-9))
-    kept = np.flatnonzero((counts >= LEAST_ROWS) & (errors >= LEAST_ERRORS))
+    kept = np.union1d(np.flatnonzero((counts >= LEAST_ROWS) & (errors >= LEAST_ERRORS)), paired(rows, labels, counts))
     place = np.full(BUCKETS, -1, dtype=np.int64)
     place[kept] = np.arange(len(kept))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
