@@ -45,20 +45,54 @@ def test_machine_learns_a_pair_that_sums_miss():
     assert (m.factors[0] @ m.factors[1]) > 0
 
 
-def brute_lines(pairs, run=3):
-    """Lines kept of each (id, text), repeats of earlier runs deleted."""
+def test_machine_learns_terms_that_matter_only_jointly():
+    """Labels by exclusive or: either term alone says nothing, and no sum of weights separates."""
+    rng = np.random.default_rng(2)
+    sets, labels = [], []
+    for _ in range(3000):
+        has = rng.random(2) < 0.5
+        labels.append(float(has[0] != has[1]))
+        sets.append(np.array([k for k in (1, 2) if has[k - 1]] + [int(rng.integers(10, 60))]))
+    m = toxicity.train(sets, np.array(labels))
+    assert set(m.buckets) >= {1, 2} and len(m.buckets) < 10
+    score = lambda s: toxicity.margins(np.searchsorted(m.buckets, np.array(s, dtype=int)), np.array([0, len(s)]), m.constant, m.weights, m.factors)[0][0]
+    assert min(score([1]), score([2])) > 1 and max(score([1, 2]), score([])) < -1
+
+
+def brute_lines(pairs, run=3, long=50):
+    """Lines kept of each (id, text): the longest repeats of earlier runs are deleted, if they have ``run`` lines or a line of ``long`` words."""
     first, gone = {}, collections.defaultdict(set)
     for key, text in sorted(set(pairs)):
         lines = (text or "").split("\n")
         at = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
-        for k in range(len(at) - run + 1):
-            w = tuple(lines[i] for i in at[k : k + run])
+        runs = [at[k : k + run] for k in range(len(at) - run + 1)] + [[k] for k in at if len(words(lines[k])) >= long]
+        for own in runs:
+            w = tuple(lines[i] for i in own)
             if w in first:
-                gone[key, text].update(at[k : k + run])
-            first.setdefault(w, (key, k))
+                gone[key, text].update(own)
+            first.setdefault(w, (key, own))
     return {p: [x for k, x in enumerate((p[1] or "").split("\n")) if k not in gone[p]] for p in set(pairs)}
 
 
+def test_op2_extends_matches_and_finds_long_lines(spark):
+    """Each pair of texts: what two of them share, line by line as far as it agrees, goes from the later one; so does a long line alone."""
+    from .conftest import prose
+
+    lines = [prose(700 + k, 8) for k in range(12)]
+    alone, two = prose(720, 60), [prose(721 + k, 8) for k in range(2)]
+    texts = [
+        "\n".join(["start", *lines, "end"]), "\n".join(["other", *lines[2:11], "stop"]), "\n".join([*lines[:2], "x y", *lines[5:7]]),
+        "\n".join(["a b", alone, *two]), "\n".join(["c d", alone, "e f", *two]), alone, "\n".join([alone, "", alone]),
+        "\n".join([lines[5], "other", lines[6], lines[7]]), "\n".join(lines[4:9] + ["  "] + lines[9:12]),
+    ]
+    pairs = list(enumerate(texts))
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(df).collect()}
+    assert got[1] == "other\nstop" and got[2] == texts[2] and got[4] == "\n".join(["c d", "e f", *two]) and got[5] == "" and got[6] == ""
+    want = brute_lines(pairs)
+    assert got == {k: "\n".join(want[k, t]) for k, t in pairs}
+
+
 def test_op2(spark, corpus, docs):
     want = brute_lines(TEXTS)
     got = line_dedup.op2_line_dedup(spark, corpus).collect()
@@ -134,6 +168,22 @@ def test_op4(spark, corpus, tmp_path):
     assert found == {1: [("assign", 0, 14)], 2: [("assign", 0, 14)], 3: [("hosting_token", 0, 40), ] if not re.search("[0-9a-f]{24}", "ghp_" + "a" * 36) else [("hosting_token", 0, 40), ("hex", 4, 40)]}
 
 
+def test_op4_changed_rule(spark, tmp_path):
+    """A rule's new version is scanned anew and the old one's findings are no longer returned; many matches in one text are placed."""
+    from docspark.llm import secret_scan
+    from docspark.llm.secret_scan import Rule
+
+    many = "x token=abcdefgh é" * 5000
+    versions = spark.createDataFrame([(1, "token=abcdefgh"), (2, many)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    old, new = (Rule("assign", "token=[a-z]+"),), (Rule("assign", "token=[0-9]+", version=2),)
+    show = lambda ledger, rules: {r["doc_id"]: [(x["start"], x["end"]) for x in r["findings"]] for r in secret_scan.findings_by_path(versions, ledger, rules).collect()}
+    first = secret_scan.scan_new_blobs(versions, path, old)
+    assert show(first, old) == {1: [(0, 14)], 2: [(m.start(), m.end()) for m in re.finditer("token=[a-z]+", many)]}
+    second = secret_scan.scan_new_blobs(versions, path, new)
+    assert show(second, new) == {1: [], 2: []} and show(second, old)[1] == [(0, 14)]
+
+
 def test_op5(spark, corpus, docs):
     def counts(t):
         w = words(t)
@@ -290,50 +340,86 @@ def test_op8_sizes_grow_with_the_words():
         assert cells <= substring_dedup.SLICE_CELLS and slices * cells >= 2 * n
 
 
+def brute_winnow(text, gram=None, window=None):
+    """The selected (hash, position) of a text: each gram hashed by itself, each window's least taken from the right."""
+    gram, window = gram or fingerprint.GRAM, window or fingerprint.WINDOW
+    parts = [text[i : i + gram] for i in range(len(text) - gram + 1)] or ([text] if text else [])
+    hashes = [int(fingerprint.grams([p], gram)[0][0]) for p in parts]
+    chosen = set()
+    for s in range(max(len(hashes) - window + 1, min(len(hashes), 1))):
+        own = range(s, min(s + window, len(hashes)))
+        least = min(hashes[i] for i in own)
+        i = max(i for i in own if hashes[i] == least)
+        chosen.add((i, least))
+    return [(h, i) for i, h in sorted(chosen)]
+
+
 def test_op9(spark, corpus):
     got = fingerprint.op9_document_fingerprints(spark, corpus).collect()
-    order = sorted(TEXTS, key=lambda x: (-x[0], x[1].encode()))
-    want = []
-    for k, (key, t) in enumerate(order):
-        half = len(t) // 2
-        want.append((key, len(t), hashlib.sha256((t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]).encode()).hexdigest()))
-    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
-    by_text = collections.defaultdict(set)
-    texts = collections.defaultdict(set)
-    for k, t in TEXTS:
-        texts[k].add(t)
-    for r in got:
-        by_text[min(texts[r["doc_id"]])].add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert all(len(x) == 1 for x in by_text.values())
-
+    short = lambda t: t[:3000]  # noqa: E731 - the fingerprints of longer texts are compared below in another way
+    order = sorted(TEXTS, key=lambda x: -x[0])
+    seen = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in got}
+    text = dict(TEXTS)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    shown = lambda x: "".join(f"{h:08x}{i:08x}" for h, i in x)
+    assert len(got) == len(TEXTS) and sorted(r["doc_id"] for r in got) == sorted(k for k, _ in TEXTS)
+    assert {k for k, _ in order} == set(text)
+    distinct = sorted(text, reverse=True)
+    for k, key in enumerate(distinct):
+        t, x = text[key], text[distinct[(k + 1) % len(distinct)]]
+        own = [r for r in got if r["doc_id"] == key]
+        # Of equal ids the last is followed by another id; the others by an equal row.
+        wanted = [(t, x)] if len(own) == 1 else [(t, t), (t, x)]
+        found = []
+        for t, x in wanted:
+            edited = t[: len(t) - len(t) // 2] + x[: len(t) // 2]
+            r = seen[key, len(t), hashlib.sha256(edited.encode()).hexdigest()]
+            found.append(r)
+            if len(t) <= 3000 and len(x) <= 3000:
+                a, b, c = brute_winnow(t), brute_winnow(edited), brute_winnow(short(x))
+                hashes = [{h for h, _ in f} for f in (a, b, c)]
+                assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(a), shown(b))
+                assert abs(r["near_edited"] - jaccard(hashes[0], hashes[1])) < 1e-12
+                assert abs(r["near_next"] - jaccard(hashes[0], hashes[2])) < 1e-12
+        assert found
+
+
+@pytest.mark.parametrize("script", ["abcdefgh ", "的一是不了人我在有他这中大来上𝒜"])
+def test_winnowing_guarantee(spark, script):
+    """A passage of WINDOW + GRAM - 1 characters is found at any offset, in spaced and unspaced text."""
+    import random
 
-def test_winnowing_guarantee(spark):
-    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice(script) for _ in range(n))
+    shared = text(fingerprint.WINDOW + fingerprint.GRAM - 1)
+    pairs = [(0, text(40) + shared + text(30)), *((1 + k, text(k) + shared + text(9)) for k in range(60))]
+    found = fingerprint.fingerprints(spark.createDataFrame(pairs, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(set(found[0]["hashes"]) & set(r["hashes"]) for r in found[1:])
+    assert [list(zip(r["hashes"], r["positions"], strict=True)) for r in found] == [brute_winnow(t) for _, t in pairs]
 
-    from .conftest import prose
 
-    shared = " ".join(prose(50, 60).split()[: fingerprint.WINDOW + fingerprint.GRAM - 1])
-    df = spark.createDataFrame([(0, " ".join((prose(51, 80), shared, prose(52, 50)))), (1, prose(53, 30) + " " + shared)], "doc_id long, text string")
-    a, b = (set(r["h"]) for r in fingerprint.fingerprints(df).orderBy("doc_id").select(fingerprint.hash_set(F.col("fingerprint")).alias("h")).collect())
-    assert a & b
+def test_repeated_text_takes_the_rightmost():
+    assert fingerprint.fingerprints_of(["a" * 100])[0].tolist() == [x for h, i in brute_winnow("a" * 100) for x in [(h << 32) | i]]
+    assert [i for _, i in brute_winnow("a" * 100)] == list(range(fingerprint.WINDOW - 1, 100 - fingerprint.GRAM + 1))
 
 
-def test_winnowing_guarantee_without_spaces(spark):
-    """A passage in unspaced text is found at any offset of its run; the fewest characters are TOKEN + 1."""
+def test_next_rows_over_many_ranges(spark):
+    """The next row over ranges of ids and of hashes of rows without an id: one circle through all rows."""
     import random
 
-    from pyspark.sql import functions as F
-
-    rng = random.Random(5)
-    text = lambda n: "".join(rng.choice("的一是不了人我在有他这中大来上𝒜") for _ in range(n))
-    shared = text(25)
-    pairs = [(0, text(40) + shared + text(30)), *((1 + k, "前" * k + shared + text(9)) for k in range(26))]
-    df = spark.createDataFrame(pairs, "doc_id long, text string")
-    sets = [set(r["h"]) for r in fingerprint.fingerprints(df).orderBy("doc_id").select(fingerprint.hash_set(F.col("fingerprint")).alias("h")).collect()]
-    assert all(sets[0] & s for s in sets[1:])
-    whole = spark.createDataFrame([(pairs[0][1],)], "text string").select(fingerprint._rolling(F.col("text"))).first()[0]
-    assert whole == [pairs[0][1][i : i + fingerprint.CHARS] for i in range(len(pairs[0][1]) - fingerprint.CHARS + 1)]
+    rng = random.Random(1)
+    pairs = [(rng.choice([None, rng.randrange(50), rng.randrange(10**6)]), f"t{k}") for k in range(2000)]
+    got = fingerprint.with_next(spark.createDataFrame(pairs, "doc_id long, text string").repartition(5), "doc_id", "text").collect()
+    after = {r["text"]: r["next_text"] for r in got}
+    ids = {t: k for k, t in pairs}
+    assert len(got) == len(pairs) == len(set(after.values()))
+    at = start = next(t for t in after if ids[t] == max(k for k, _ in pairs if k is not None))
+    seen = []
+    while not seen or at != start:
+        seen.append(ids[at])
+        at = after[at]
+    assert len(seen) == len(pairs)
+    assert seen == sorted(seen, key=lambda k: (k is None, -(k or 0)))
 
 
 def brute_components(pairs):
