@@ -1,11 +1,13 @@
-"""Document fingerprints by winnowing.
+"""Document fingerprints by winnowing [native].
 
-Every ``GRAM`` successive characters of a text are hashed, by a rolling polynomial; of each window of ``WINDOW`` successive hashes the least is
+Every ``GRAM`` successive characters of a text are hashed; of each window of ``WINDOW`` successive hashes the least is
 selected, the rightmost of equal ones, with its position. Two texts that share ``WINDOW + GRAM - 1`` characters, at whatever offsets
 and in whatever script, share at least one selected hash.
 
-The hashing is numpy in Arrow batches. A native form with the same result takes about a microsecond a character (see the README), more than the
-limits allow. Order and neighbours, ranges and the shuffle of texts are DataFrame operations.
+All of this is array expressions on one row. One pass of a regular expression with a look-ahead rolls over the text and gives the gram at every
+character. A hash and its position are packed into one long, hash first and position reversed, so that the least long of a window is its
+rightmost least hash; minima of windows are built up from those of shorter ones. An edited text shares its first half with its original, and
+only what is new in it is hashed.
 
 Defined results
 * null text: the empty text. Empty texts have an empty fingerprint; two empty fingerprints have likeness 1, one
@@ -13,117 +15,95 @@ Defined results
 * texts of fewer characters than a gram: the whole text is the one gram. Fewer grams than a window: one window.
 * repeated rows and equal ids: the order is descending id (null last), then a hash of the text; each row has a next row.
 * a single document is its own next one; an empty table gives an empty result.
-* very long texts: linear time; one text and its neighbour are in memory at once.
+* very long texts: linear time; the grams of one text are in memory at once.
 * other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from docspark.llm.arrow_words import mix
 from docspark.llm.common import documents, text_or_empty
 
 GRAM = 12
+#: A window of hashes, and how its minima are built: of the hash at hand and those so far ahead, then of these minima, and so on.
 WINDOW = 32
-#: Characters that are hashed at once.
-BATCH_CHARS = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_NONE = np.iinfo(np.uint64).max
+AHEAD = ((1, 2, 3), (4, 8, 12), (16,))
+_HASH_BITS = 0x7FFFFFFF00000000
+_LAST = 0x7FFFFFFF
+NO_LONGS = "array<bigint>"
+#: Characters at a place and after it; a look-ahead, so that the next match starts one character on. Halves of a surrogate pair start no gram.
+_GRAMS = r"(?s)(?=([^\x{DC00}-\x{DFFF}].{%d}))" % (GRAM - 1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _none() -> Column:
+    return F.array().cast(NO_LONGS)
 
 
-def grams(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The 32-bit hashes of all grams, text after text, and how many each text has."""
-    n = np.array([len(t) for t in texts], dtype=np.int64)
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    count = np.where(n >= gram, n - gram + 1, np.minimum(n, 1))
-    start = np.arange(int(count.sum())) + np.repeat(np.cumsum(n) - n - (np.cumsum(count) - count), count)
-    sums = np.zeros(len(code) + 1, dtype=np.uint64)
-    np.cumsum(mix(code + np.uint64(1)) * _powers(_BASE, len(code)), out=sums[1:])
-    end = start + np.repeat(np.minimum(n, gram), count)
-    return (mix((sums[end] - sums[start]) * _powers(pow(_BASE, -1, 1 << 64), len(code))[start]) >> np.uint64(32)).astype(np.uint32), count
+def _packed(text: Column, first: Column) -> Column:
+    """The hashes of all grams with their positions, the first gram's being ``first``."""
+    grams = F.when(F.char_length(text) >= GRAM, F.regexp_extract_all(text, F.lit(_GRAMS), F.lit(1))).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.transform(grams, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(F.lit(_LAST) - first - i))
 
 
-def winnowed(hashes: np.ndarray, count: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each text the selected hashes above their positions, as 64-bit numbers in order of position.
+def _least_of(array: str, steps: tuple[int, ...]) -> Column:
+    return F.transform(array, lambda x, i: F.least(x, *(F.get(F.col(array), i + s) for s in steps)))
 
-    A hash and its position counted backwards are one number, so that the least of a window is its rightmost least hash.
-    """
-    at = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
-    padded = np.full(len(hashes) + (window - 1) * len(count), _NONE, dtype=np.uint64)  # after each text room for windows that run over
-    first = np.cumsum(count + window - 1) - (count + window - 1)
-    padded[at + np.repeat(first, count)] = (hashes.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
-    least, reach = padded, 1
-    while reach < window:
-        step = min(reach, window - reach)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        reach += step
-    out = []
-    for a, n in zip(first.tolist(), count.tolist(), strict=True):
-        own = least[a : a + max(n - window + 1, min(n, 1))]
-        out.append(own[np.diff(own, prepend=_NONE) != 0] ^ np.uint64(0xFFFFFFFF))
-    return out
-
-
-def fingerprints_of(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[np.ndarray]:
-    """The fingerprint of each text: hash in the upper, position in the lower half of each number."""
-    out, held, n = [], [], 0
-    for text in texts:
-        held.append(text)
-        n += len(text)
-        if n >= BATCH_CHARS:
-            out += winnowed(*grams(held, gram), window)
-            held, n = [], 0
-    return out + (winnowed(*grams(held, gram), window) if held else [])
-
-
-def shown(chosen: np.ndarray) -> str:
-    """Sixteen hexadecimal digits for each selected hash, eight of the hash and eight of its position."""
-    return chosen.astype(">u8").tobytes().hex()
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard likeness of the hash sets of two fingerprints."""
-    x, y = np.unique(a >> np.uint64(32)), np.unique(b >> np.uint64(32))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    either = len(x) + len(y) - both
-    return both / either if either else 1.0
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """A row (key, hash, position) arrays for each document: its selected hashes and their places, in order of position."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = fingerprints_of(batch.column(1).to_pylist(), gram, window)
-            arrays = [[(x >> np.uint64(32)).astype(np.int64) for x in found], [(x & np.uint64(0xFFFFFFFF)).astype(np.int64) for x in found]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(a, pa.list_(pa.int64())) for a in arrays)], names=[key, "hashes", "positions"])
-
-    return docs.select(key, text_or_empty(text)).mapInArrow(made, f"`{key}` {docs.schema[key].dataType.simpleString()}, hashes array<long>, positions array<long>")
 
+def _with_least(rows: DataFrame, packed: str, into: str) -> DataFrame:
+    """Add the least of the window that starts at each hash. Each level is its own projection, so that it is computed once."""
+    at = packed
+    for k, steps in enumerate(AHEAD):
+        rows = rows.withColumn(f"{into}_{k}", _least_of(at, steps))
+        at = f"{into}_{k}"
+    return rows.withColumn(into, F.col(at)).drop(*(f"{into}_{k}" for k in range(len(AHEAD))))
+
+
+def _windows(packed: str) -> Column:
+    """How many windows a text has."""
+    return F.when(F.size(packed) == 0, 0).otherwise(F.greatest(F.size(packed) - (WINDOW - 1), F.lit(1)))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
+    """Add ``into``: the selected packed hashes of ``text``, in order of position."""
+    rows = docs.withColumn("_p", _packed(text_or_empty(text), F.lit(0)))
+    return _with_least(rows, "_p", "_m").withColumn(into, F.array_distinct(F.slice("_m", F.lit(1), _windows("_p")))).drop("_p", "_m")
+
+
+def position(packed: Column) -> Column:
+    return F.lit(_LAST) - packed.bitwiseAND(F.lit(_LAST))
+
+
+def shown(chosen: Column) -> Column:
+    """Hashes in hexadecimal with their positions: hash@position, in order of position."""
+    return F.array_join(F.transform(chosen, lambda x: F.concat(F.lower(F.hex(F.shiftrightunsigned(x, 32))), F.lit("@"), position(x).cast("string"))), ",")
+
+
+def hash_set(chosen: Column) -> Column:
+    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, 32)))
 
-def with_next(docs: DataFrame, key: str, carry: str) -> DataFrame:
-    """Add ``next_<carry>``: the value of ``carry`` in the row next in descending ``key``, after the last the first.
+
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard likeness of two sets of hashes."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
+    return F.when(either == 0, 1.0).otherwise(both / either)
+
+
+def in_circle(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, WindowSpec]:
+    """The rows of ``docs`` with ``_guest``, and a window in which each row's next one is that in descending ``key``, after the last the first.
+
+    Whoever has taken what he needs from the next row filters on ``_guest = 0``: guests are the first rows of the next range.
 
     Rows are dealt by ranges of the key, whose bounds are approximate quantiles; each range sees
     its successor's first row as a guest. There are about as many ranges as rows in a range, and the driver sees their bounds only. Rows
     without a key come last, in ranges of the hash that orders them.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("_tie", F.bitwise_not(F.xxhash64(carry)))
+    docs = docs.withColumn("_tie", F.bitwise_not(F.xxhash64(text)))
     n, none = docs.agg(F.count(key), F.count_if(F.col(key).isNull())).first()
     ranges = max(1, math.isqrt(n))
     found = docs.agg(F.percentile_approx(key, [k / ranges for k in range(ranges)], max(10_000, 10 * ranges))).first()[0]
@@ -146,34 +126,47 @@ def with_next(docs: DataFrame, key: str, carry: str) -> DataFrame:
     guest = docs.join(F.broadcast(to), is_head).select(*docs.columns, F.col("_to").alias("_range"), F.lit(1).alias("_guest"))
     w = Window.partitionBy("_range").orderBy("_guest", F.col(key).desc_nulls_last(), F.col("_tie").desc())
     both = dealt.select(*docs.columns, "_range", F.lit(0).alias("_guest")).unionByName(guest)
-    return both.withColumn(f"next_{carry}", F.lead(carry).over(w)).filter("_guest = 0").drop("_guest", "_range", "_tie")
+    return both, w
+
+
+def with_next(docs: DataFrame, key: str, carry: str) -> DataFrame:
+    """Add ``next_<carry>``: the value of ``carry`` in the row next in descending ``key``, after the last the first."""
+    rows, window = in_circle(docs, key, carry)
+    return rows.withColumn(f"next_{carry}", F.lead(carry).over(window)).filter("_guest = 0").drop("_guest", "_range", "_tie")
+
+
+def edited_fingerprints(rows: DataFrame) -> DataFrame:
+    """Rows with ``text`` and ``next_text``: add ``n``, the edited text's hash ``edited_sha256``, and the fingerprints ``fp`` and ``edited_fp``.
+
+    The edited text keeps the first ``stay`` characters. Its first ``a`` grams are those of the text, and so are its first ``b`` windows.
+    """
+    rows = rows.withColumn("n", F.char_length("text")).withColumn("stay", (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
+    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, stay)"), F.expr("substring(next_text, 1, n - stay)")))
+    rows = rows.withColumn("a", F.greatest(F.col("stay") - (GRAM - 1), F.lit(0))).withColumn("b", F.greatest(F.col("a") - (WINDOW - 1), F.lit(0)))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("rest", F.expr("substring(edited, a + 1)")).drop("edited", "next_text")
+    rows = _with_least(rows.withColumn("p", _packed(F.col("text"), F.lit(0))).drop("text"), "p", "m")
+    new = F.when((F.col("a") == 0) | (F.char_length("rest") >= GRAM), _packed(F.col("rest"), F.col("a"))).otherwise(_none())
+    rows = rows.withColumn("q", F.concat(F.slice("p", F.col("b") + 1, F.col("a") - F.col("b")), new)).drop("rest")
+    rows = rows.withColumn("fp", F.array_distinct(F.slice("m", F.lit(1), _windows("p")))).withColumn("old", F.slice("m", F.lit(1), F.col("b"))).drop("p", "m")
+    rows = _with_least(rows, "q", "mq")
+    more = F.when(F.col("b") > 0, F.greatest(F.size("q") - (WINDOW - 1), F.lit(0))).otherwise(_windows("q"))
+    return rows.withColumn("edited_fp", F.array_distinct(F.concat("old", F.slice("mq", F.lit(1), more)))).drop("q", "mq", "old", "stay", "a", "b")
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     docs = documents(spark, sf_dir).select("doc_id", text_or_empty("text").alias("text"))
-    rows = with_next(docs, "doc_id", "text").select("doc_id", "text", "next_text")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts, nexts = batch.column("text").to_pylist(), batch.column("next_text").to_pylist()
-                edited = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for t, x in zip(texts, nexts, strict=True)]
-                own, new, far = fingerprints_of(texts), fingerprints_of(edited), fingerprints_of(nexts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
-                        pa.array([shown(x) for x in own], pa.string()),
-                        pa.array([shown(x) for x in new], pa.string()),
-                        pa.array([likeness(a, b) for a, b in zip(own, new, strict=True)], pa.float64()),
-                        pa.array([likeness(a, b) for a, b in zip(own, far, strict=True)], pa.float64()),
-                    ],
-                    names=names,
-                )
-
-    return rows.mapInArrow(made, schema)
+    rows, window = in_circle(docs, "doc_id", "text")
+    rows = rows.withColumn("next_text", F.coalesce(F.lead("text").over(window), F.lit("")))
+    # Guests keep their fingerprint for the row before them; the same window finds it without another shuffle or sort.
+    rows = edited_fingerprints(rows).withColumn("next_fp", F.lead("fp").over(window)).filter("_guest = 0")
+    rows = rows.withColumns({"s": hash_set(F.col("fp")), "t": hash_set(F.col("edited_fp")), "u": hash_set(F.col("next_fp"))})
+    return rows.select(
+        "doc_id",
+        F.col("n").cast("bigint").alias("n_chars"),
+        "edited_sha256",
+        shown(F.col("fp")).alias("fingerprint"),
+        shown(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("s"), F.col("t")).alias("near_edited"),
+        likeness(F.col("s"), F.col("u")).alias("near_next"),
+    )
