@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, rule_ensemble, substring_dedup, toxicity
 from docspark.llm.registry import QUERIES
@@ -344,7 +346,7 @@ def brute_winnow(text, gram=None, window=None):
     """The selected (hash, position) of a text: each gram hashed by itself, each window's least taken from the right."""
     gram, window = gram or fingerprint.GRAM, window or fingerprint.WINDOW
     parts = [text[i : i + gram] for i in range(len(text) - gram + 1)] or ([text] if text else [])
-    hashes = [int(fingerprint.grams([p], gram)[0][0]) for p in parts]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), seed=42) >> 32 & 0x7FFFFFFF for p in parts]
     chosen = set()
     for s in range(max(len(hashes) - window + 1, min(len(hashes), 1))):
         own = range(s, min(s + window, len(hashes)))
@@ -361,7 +363,7 @@ def test_op9(spark, corpus):
     seen = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in got}
     text = dict(TEXTS)
     jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    shown = lambda x: "".join(f"{h:08x}{i:08x}" for h, i in x)
+    shown = lambda x: ",".join(f"{h:x}@{i}" for h, i in x)
     assert len(got) == len(TEXTS) and sorted(r["doc_id"] for r in got) == sorted(k for k, _ in TEXTS)
     assert {k for k, _ in order} == set(text)
     distinct = sorted(text, reverse=True)
@@ -393,16 +395,32 @@ def test_winnowing_guarantee(spark, script):
     text = lambda n: "".join(rng.choice(script) for _ in range(n))
     shared = text(fingerprint.WINDOW + fingerprint.GRAM - 1)
     pairs = [(0, text(40) + shared + text(30)), *((1 + k, text(k) + shared + text(9)) for k in range(60))]
-    found = fingerprint.fingerprints(spark.createDataFrame(pairs, "doc_id long, text string")).orderBy("doc_id").collect()
-    assert all(set(found[0]["hashes"]) & set(r["hashes"]) for r in found[1:])
-    assert [list(zip(r["hashes"], r["positions"], strict=True)) for r in found] == [brute_winnow(t) for _, t in pairs]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    longs = [r["fingerprint"] for r in fingerprint.fingerprints(df).orderBy("doc_id").collect()]
+    found = [[(x >> 32, 0x7FFFFFFF - (x & 0x7FFFFFFF)) for x in own] for own in longs]
+    assert all({h for h, _ in found[0]} & {h for h, _ in own} for own in found[1:])
+    assert found == [brute_winnow(t) for _, t in pairs]
 
 
 def test_repeated_text_takes_the_rightmost():
-    assert fingerprint.fingerprints_of(["a" * 100])[0].tolist() == [x for h, i in brute_winnow("a" * 100) for x in [(h << 32) | i]]
     assert [i for _, i in brute_winnow("a" * 100)] == list(range(fingerprint.WINDOW - 1, 100 - fingerprint.GRAM + 1))
 
 
+def test_edited_fingerprints_are_those_of_the_edited_text(spark):
+    """Texts of all lengths around a gram and a window, with next texts that are empty, short, long or beyond the first plane."""
+    import random
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abc 的𝒜\n") for _ in range(n))
+    pairs = [(k, text(n), text(m)) for k, (n, m) in enumerate((n, m) for n in [*range(30), 40, 43, 44, 45, 80, 86, 87, 88, 90, 130, 300] for m in (0, 1, 7, 60, 200))]
+    df = spark.createDataFrame([*pairs, (len(pairs), "a" * 200, "a" * 50)], "doc_id long, text string, next_text string")
+    got = fingerprint.edited_fingerprints(df).orderBy("doc_id").select("doc_id", fingerprint.shown(F.col("fp")).alias("f"), fingerprint.shown(F.col("edited_fp")).alias("e")).collect()
+    for k, t, x in pairs:
+        edited = t[: len(t) - len(t) // 2] + x[: len(t) // 2]
+        assert got[k]["doc_id"] == k
+        assert (got[k]["f"], got[k]["e"]) == tuple(",".join(f"{h:x}@{i}" for h, i in brute_winnow(s)) for s in (t, edited)), (k, len(t), len(x))
+
+
 def test_next_rows_over_many_ranges(spark):
     """The next row over ranges of ids and of hashes of rows without an id: one circle through all rows."""
     import random
