@@ -2,7 +2,8 @@
 
 ``$.store.book[?(@.price < 10)].title`` on a nested column turns into struct access, ``filter`` and
 ``transform``, so Catalyst prunes nested fields, pushes filters and generates code. A path that can match more than one node
-gives an array in document order (unions in written order), any other the value itself, null where nothing matches.
+gives an array: children in written order of the selectors, descendants in document order, each node once. Any other gives the value itself, null
+where nothing matches. Branches of a path keep their types to the end; only a result of several types meets as JSON text.
 
 A typed column can't tell a missing member from a null one; both count as missing here. Truth is two-valued: a comparison with a
 missing side is false but for ``!=``, and two missing sides are equal. Comparisons over many nodes hold if any pair does. Order is defined
@@ -312,40 +313,28 @@ def _below(at: Nodes) -> list[Nodes]:
     return found
 
 
-def _merged(found: list[Nodes]) -> Nodes:
-    found = [x for x in found if x.column is not None]
-    if not found:
-        return _NONE
-    if len(found) == 1:
-        return found[0]
-    kinds = {x.kind.simpleString() for x in found}
-    kind = found[0].kind
-    if len(kinds) > 1:  # values of different types meet as JSON text
-        as_text = lambda k: (lambda v: v.cast("string") if isinstance(k, T.AtomicType) else F.to_json(v))
-        found = [Nodes(F.transform(x.each(), as_text(x.kind)), T.StringType(), True) for x in found]
-        kind = T.StringType()
-    return Nodes(F.concat(*(x.each() for x in found)), kind, True)
+def walk(at: Nodes, segments: tuple[Segment, ...], root: Nodes) -> list[Nodes]:
+    """Follow ``segments`` from ``at``: what is reached, a list for each type location, in no order between them."""
+    found = [at]
+    for s in segments:
+        starts = [y for x in found for y in (_below(x) if s.deep else [x])]
+        found = [y for x in starts for sel in s.selectors if not _virtual(s, sel, x.kind) for y in _select(x, sel, root) if y.column is not None]
+    return found
 
 
-def walk(at: Nodes, segments: tuple[Segment, ...], root: Nodes) -> Nodes:
-    """Follow ``segments`` from ``at``."""
-    for s in segments:
-        if at.column is None:
-            return _NONE
-        starts = _below(at) if s.deep else [at]
-        found = [y for x in starts if x.column is not None for sel in s.selectors for y in _select(x, sel, root) if not (s.deep and sel.value == "length" and not isinstance(x.kind, T.StructType))]
-        at = _merged(found)
-    return at
+def _virtual(s: Segment, sel: Selector, kind: T.DataType) -> bool:
+    """Whether this would be the length of something, which descendants don't have."""
+    return s.deep and sel.value == "length" and not isinstance(kind, T.StructType)
 
 
-def _operand(e: Expression, here: Nodes, root: Nodes) -> Nodes:
+def _operand(e: Expression, here: Nodes, root: Nodes) -> list[Nodes]:
     if e.op == "path":
         return walk(here if e.args[0] == "@" else root, e.args[1], root)
     if e.op == "value":
         v = e.args[0]
         kind = T.NullType() if v is None else T.BooleanType() if isinstance(v, bool) else T.DoubleType() if isinstance(v, (int, float)) else T.StringType()
-        return Nodes(F.lit(v), kind)
-    return Nodes(_truth(e, here, root), T.BooleanType())
+        return [Nodes(F.lit(v), kind)]
+    return [Nodes(_truth(e, here, root), T.BooleanType())]
 
 
 def _pair(op: str, a: Column, ka: T.DataType, b: Column, kb: T.DataType) -> Column:
@@ -375,33 +364,157 @@ def _truth(e: Expression, here: Nodes, root: Nodes) -> Column:
         v = e.args[0]
         return F.lit(v if isinstance(v, bool) else v is not None)
     if e.op == "path":
-        at = _operand(e, here, root)
-        if at.column is None:
-            return F.lit(False)
-        return F.size(at.each()) > 0 if at.many else at.column.isNotNull()
+        return _any(F.size(x.each()) > 0 if x.many else x.column.isNotNull() for x in _operand(e, here, root))
     if e.op == "match":
-        at = _operand(e.args[0], here, root)
-        if not isinstance(at.kind, T.StringType):
-            return F.lit(False)
-        return F.exists(at.each(), lambda x: x.rlike(e.args[1])) if at.many else F.coalesce(at.column.rlike(e.args[1]), F.lit(False))
-    a, b = (_operand(x, here, root) for x in e.args)
-    a, b = (Nodes(F.lit(None), T.NullType()) if x.column is None else x for x in (a, b))
+        texts = [x for x in _operand(e.args[0], here, root) if isinstance(x.kind, T.StringType)]
+        return _any(F.exists(x.each(), lambda v: v.rlike(e.args[1])) if x.many else F.coalesce(x.column.rlike(e.args[1]), F.lit(False)) for x in texts)
+    left, right = (_operand(x, here, root) or [Nodes(F.lit(None), T.NullType())] for x in e.args)
+    # One node on either side may be missing; of many, those that are there take part.
+    left, right = ([Nodes(F.array(x.column), x.kind, True) if len(side) > 1 and not x.many else x for x in side] for side in (left, right))
+    return _any(_compared(e.op, a, b) for a in left for b in right)
+
+
+def _any(tests) -> Column:  # noqa: ANN001
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _compared(op: str, a: Nodes, b: Nodes) -> Column:
     if a.many:
-        return F.exists(a.each(), lambda x: F.exists(b.each(), lambda y: _pair(e.op, x, a.kind, y, b.kind)) if b.many else _pair(e.op, x, a.kind, b.column, b.kind))
+        return F.exists(a.each(), lambda x: F.exists(b.each(), lambda y: _pair(op, x, a.kind, y, b.kind)) if b.many else _pair(op, x, a.kind, b.column, b.kind))
     if b.many:
-        return F.exists(b.each(), lambda y: _pair(e.op, a.column, a.kind, y, b.kind))
-    return _pair(e.op, a.column, a.kind, b.column, b.kind)
+        return F.exists(b.each(), lambda y: _pair(op, a.column, a.kind, y, b.kind))
+    return _pair(op, a.column, a.kind, b.column, b.kind)
+
+
+@dataclass(frozen=True)
+class Located:
+    """Nodes of one type location: an array of (ord, path, pointer, value)."""
+
+    column: Column
+    kind: T.DataType
+
+
+def _step_name(name: str) -> str:
+    return f".{name}" if re.fullmatch(r"[A-Za-z_]\w*", name, re.ASCII) else "['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
+def _node(x: Column, order: tuple[Column, ...], path_: Column, pointer: Column, value: Column) -> Column:
+    return F.struct(
+        F.concat(x["ord"], F.array(*(o.cast("int") for o in order))).alias("ord"), F.concat(x["path"], path_).alias("path"), F.concat(x["pointer"], pointer).alias("pointer"), value.alias("value")
+    )
+
+
+def _present(nodes: Column) -> Column:
+    return F.filter(nodes, lambda x: x["value"].isNotNull())
+
+
+def _located_member(at: Located, name: str, order) -> list[Located]:  # noqa: ANN001
+    """The member of a name; ``order`` makes the order key of its place among the members."""
+    value = _member(Nodes(F.lit(None), at.kind), name)
+    if value.column is None:
+        return []
+    place = at.kind.names.index(name) if isinstance(at.kind, T.StructType) and name in at.kind.names else 0
+    pointer = "/" + name.replace("~", "~0").replace("/", "~1")
+    return [Located(_present(F.transform(at.column, lambda x: _node(x, order(F.lit(place)), F.lit(_step_name(name)), F.lit(pointer), _member(Nodes(x["value"], at.kind), name).column))), value.kind)]
+
+
+def _located_elements(at: Located, picked, order) -> list[Located]:  # noqa: ANN001
+    """Elements at the positions that ``picked`` gives for an array."""
+    each = lambda x: F.transform(
+        picked(x["value"]), lambda i, k: _node(x, order(i, k), F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.concat(F.lit("/"), i.cast("string")), F.get(x["value"], i))
+    )
+    return [Located(_present(F.flatten(F.transform(at.column, each))), at.kind.elementType)]
+
+
+def _located_select(at: Located, selector: Selector, root: Nodes, number: int, deep: bool) -> list[Located]:
+    """What one selector picks. Children are ordered by selector and place in it, descendants by place in the document."""
+    kind, value = selector.kind, selector.value
+    order = (lambda i, k=None: (i,)) if deep else (lambda i, k=None: (F.lit(number), i if k is None else k))
+    if kind == "name":
+        return [] if deep and value == "length" and not isinstance(at.kind, T.StructType) else _located_member(at, value, order)
+    if isinstance(at.kind, T.StructType) and kind in ("all", "filter"):
+        found = [y for n in at.kind.names for y in _located_member(at, n, order)]
+        return found if kind == "all" else [Located(F.filter(y.column, lambda x, y=y: _truth(value, Nodes(x["value"], y.kind), root)), y.kind) for y in found]
+    if not isinstance(at.kind, T.ArrayType):
+        return []
+    none = F.array().cast("array<int>")
+    every = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(none)
+    if kind == "all":
+        return _located_elements(at, every, order)
+    if kind == "index":
+        return _located_elements(at, lambda a: F.filter(F.array(F.lit(value) if value >= 0 else F.size(a) + value), lambda i: (i >= 0) & (i < F.size(a))), order)
+    if kind == "slice":
+        return _located_elements(at, (lambda a: _positions(a, *value)) if value[2] else (lambda a: none), order)
+    return _located_elements(at, lambda a: F.filter(every(a), lambda i: _truth(value, Nodes(F.get(a, i), at.kind.elementType), root)), order)
+
+
+def _located_below(at: Located) -> list[Located]:
+    """``at`` and everything below it, ordered by place in the document."""
+    found = [at]
+    if isinstance(at.kind, (T.StructType, T.ArrayType)):
+        for y in _located_select(at, Selector("all"), _NONE, 0, True):
+            found += _located_below(y)
+    return found
+
+
+def located(root: Nodes, segments: tuple[Segment, ...]) -> list[Located]:
+    """Follow ``segments`` from the root with orders and paths."""
+    start = F.filter(F.array(F.struct(F.array().cast("array<int>").alias("ord"), F.lit("$").alias("path"), F.lit("").alias("pointer"), root.column.alias("value"))), lambda x: x["value"].isNotNull())
+    found = [Located(start, root.kind)]
+    for s in segments:
+        starts = [y for x in found for y in (_located_below(x) if s.deep else [x])]
+        found = [y for x in starts for k, sel in enumerate(s.selectors) for y in _located_select(x, sel, root, k, s.deep)]
+    return found
+
+
+def _in_order(found: list[Located]) -> tuple[Column, T.DataType] | None:
+    """All nodes in order, each path once, with the type of their values: their own, or JSON text if there are several."""
+    if not found:
+        return None
+    kind = found[0].kind
+    columns = [x.column for x in found]
+    if len({x.kind.simpleString() for x in found}) > 1:
+        as_text = lambda k, v: F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(v.alias("v")))) - 6)
+        columns = [F.transform(x.column, lambda n, x=x: F.struct(n["ord"], n["path"], n["pointer"], as_text(x.kind, n["value"]).alias("value"))) for x in found]
+        kind = T.StringType()
+    by = lambda *names: (lambda a, b: F.when(F.struct(*(a[n] for n in names)) < F.struct(*(b[n] for n in names)), -1).when(F.struct(*(a[n] for n in names)) > F.struct(*(b[n] for n in names)), 1).otherwise(0))
+    by_path = F.array_sort(F.concat(*columns), by("path", "ord"))
+    # One-element detour: the sorted array is computed once.
+    once = F.transform(F.array(by_path), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["path"] != F.get(a, i - 1)["path"])))
+    return F.array_sort(F.coalesce(once[0], columns[0]), by("ord")), kind
+
+
+def _plain(segments: tuple[Segment, ...], found: list[Nodes]) -> bool:
+    """Whether nodes come in order and once each anyway: one type location, and one selector a step, a name where it is deep."""
+    return len(found) <= 1 and all(len(s.selectors) == 1 and (not s.deep or s.selectors[0].kind == "name") for s in segments)
+
+
+def _root(df, column: str) -> Nodes:  # noqa: ANN001
+    return Nodes(F.col(column), df.schema[column].dataType)
 
 
 def path(df, column: str, text: str) -> Column:  # noqa: ANN001
     """The nodes that ``text`` matches in the nested ``column`` of ``df``: an array if it can match many, else a value."""
-    root = Nodes(F.col(column), df.schema[column].dataType)
-    found = walk(root, parse(text), root)
-    return F.lit(None) if found.column is None else found.column
+    root, segments = _root(df, column), parse(text)
+    found = walk(root, segments, root)
+    return (found[0].column if found else F.lit(None)) if _plain(segments, found) else matches(df, column, text)
 
 
 def matches(df, column: str, text: str) -> Column:  # noqa: ANN001
     """Like ``path``, but always an array, empty where nothing matches."""
-    root = Nodes(F.col(column), df.schema[column].dataType)
-    found = walk(root, parse(text), root)
-    return F.array() if found.column is None else found.each()
+    root, segments = _root(df, column), parse(text)
+    found = walk(root, segments, root)
+    if _plain(segments, found):
+        return found[0].each() if found else F.array()
+    ordered = _in_order(located(root, segments))
+    return F.array() if ordered is None else F.transform(ordered[0], lambda x: x["value"])
+
+
+def nodes(df, column: str, text: str) -> Column:  # noqa: ANN001
+    """What ``text`` matches, in order, as an array of (path, pointer, value)."""
+    root, segments = _root(df, column), parse(text)
+    ordered = _in_order(located(root, segments))
+    return F.array() if ordered is None else F.transform(ordered[0], lambda x: F.struct(x["path"].alias("path"), x["pointer"].alias("pointer"), x["value"].alias("value")))
