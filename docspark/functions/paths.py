@@ -437,7 +437,8 @@ def _located_select(at: Located, selector: Selector, root: Nodes, number: int, d
         return [] if deep and value == "length" and not isinstance(at.kind, T.StructType) else _located_member(at, value, order)
     if isinstance(at.kind, T.StructType) and kind in ("all", "filter"):
         found = [y for n in at.kind.names for y in _located_member(at, n, order)]
-        return found if kind == "all" else [Located(F.filter(y.column, lambda x, y=y: _truth(value, Nodes(x["value"], y.kind), root)), y.kind) for y in found]
+        passing = lambda y: F.filter(y.column, lambda x: _truth(value, Nodes(x["value"], y.kind), root))
+        return found if kind == "all" else [Located(passing(y), y.kind) for y in found]
     if not isinstance(at.kind, T.ArrayType):
         return []
     none = F.array().cast("array<int>")
@@ -477,8 +478,8 @@ def _in_order(found: list[Located]) -> tuple[Column, T.DataType] | None:
     kind = found[0].kind
     columns = [x.column for x in found]
     if len({x.kind.simpleString() for x in found}) > 1:
-        as_text = lambda k, v: F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(v.alias("v")))) - 6)
-        columns = [F.transform(x.column, lambda n, x=x: F.struct(n["ord"], n["path"], n["pointer"], as_text(x.kind, n["value"]).alias("value"))) for x in found]
+        as_text = lambda v: F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(v.alias("v")))) - 6)
+        columns = [F.transform(x.column, lambda n: F.struct(n["ord"], n["path"], n["pointer"], as_text(n["value"]).alias("value"))) for x in found]
         kind = T.StringType()
     by = lambda *names: (lambda a, b: F.when(F.struct(*(a[n] for n in names)) < F.struct(*(b[n] for n in names)), -1).when(F.struct(*(a[n] for n in names)) > F.struct(*(b[n] for n in names)), 1).otherwise(0))
     by_path = F.array_sort(F.concat(*columns), by("path", "ord"))

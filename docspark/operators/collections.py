@@ -66,19 +66,34 @@ def number(x: Column) -> Column:
     return F.coalesce(x.try_cast("double"), F.lit(0.0))
 
 
+def total_of(key: str | Column) -> Column:
+    """The sum as an aggregate; 0 for no items."""
+    return F.coalesce(F.sum(number(key_of(key))), F.lit(0.0))
+
+
+def least_of(key: str | Column) -> Column:
+    """The least number as an aggregate, what is no number counting as 0; null for no items."""
+    return F.min(number(key_of(key)))
+
+
+def greatest_of(key: str | Column) -> Column:
+    """The greatest number as an aggregate, what is no number counting as 0; null for no items."""
+    return F.max(number(key_of(key)))
+
+
 def total(c: DataFrame, key: str | Column) -> DataFrame:
     """(value): the sum; 0 for no items."""
-    return c.agg(F.coalesce(F.sum(number(key_of(key))), F.lit(0.0)).alias("value"))
+    return c.agg(total_of(key).alias("value"))
 
 
 def least(c: DataFrame, key: str | Column) -> DataFrame:
-    """(value): the least number, null counting as 0; null for no items."""
-    return c.agg(F.min(F.coalesce(key_of(key).cast("double"), F.lit(0.0))).alias("value"))
+    """(value): the least number; null for no items."""
+    return c.agg(least_of(key).alias("value"))
 
 
 def greatest(c: DataFrame, key: str | Column) -> DataFrame:
-    """(value): the greatest number, null counting as 0; null for no items."""
-    return c.agg(F.max(F.coalesce(key_of(key).cast("double"), F.lit(0.0))).alias("value"))
+    """(value): the greatest number; null for no items."""
+    return c.agg(greatest_of(key).alias("value"))
 
 
 def compact(c: DataFrame, key: str | Column) -> DataFrame:

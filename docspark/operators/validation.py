@@ -1,13 +1,18 @@
 """Validation of typed rows against a JSON Schema whose constraints become column expressions.
 
-Each keyword of each property gives one violation test; the tests of a row are an array that is filtered in place, so only
-violations become rows. Reading is strict about the schema: keywords with unfit values are refused when the plan is built.
+Each keyword of each property gives a test: whether it is violated, and the array of its violations, which elements of arrays fill with
+their own paths. Only violations become rows. Reading is strict about the schema: unfit values, references that lead nowhere or in a circle and
+literals that a column can't be compared with are refused when the plan is built. Annotations and unknown keywords are passed over.
+Null is a missing member.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from decimal import Decimal
+from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +21,14 @@ from pyspark.sql import types as T
 #: Fixed patterns of asserted formats.
 FORMATS = {
     "date": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$",
+    "date-time": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$",
     "time": r"^([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$",
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     "ipv4": r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$",
+    # Eight groups, or fewer with one gap.
+    "ipv6": r"^(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=([^:]*:){2,7}[^:]*$|::([^:]*:){6}[^:]*$|([^:]*:){7}:$)(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?::(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?)$",
+    "uri-reference": r"^[^\s<>\"{}|\\^`]*$",
     "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$",
     "hostname": r"^(?=.{1,253}$)[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*$",
 }
@@ -41,31 +50,120 @@ def _kinds(kind: T.DataType) -> set[str]:
     return {"number"} if isinstance(kind, T.NumericType) else {"string"}
 
 
-def _literal(v: object) -> Column:
-    return F.lit(float(v)) if isinstance(v, int) and not isinstance(v, bool) else F.lit(v)
+class Test(NamedTuple):
+    """Whether a value violates a keyword, and the array of its violations."""
 
+    bad: Column
+    rows: Column
 
-def tests(value: Column, kind: T.DataType, schema: dict | bool, at: str = "", where: str = "#") -> list[tuple[str, str, str, Column]]:
-    """The tests (instance path, schema path, keyword, whether it is violated) of a value. Null is a missing member."""
+
+VIOLATION = "array<struct<instance_path:string,schema_path:string,keyword:string>>"
+
+
+def _none() -> Column:
+    return F.array().cast(VIOLATION)
+
+
+def _one(at: Column, where: str, keyword: str, bad: Column) -> Test:
+    bad = F.coalesce(bad, F.lit(False))
+    row = F.struct(at.alias("instance_path"), F.lit(where).alias("schema_path"), F.lit(keyword).alias("keyword"))
+    return Test(bad, F.when(bad, F.array(row)).otherwise(_none()))
+
+
+def _any(found: list[Test]) -> Column:
+    out = F.lit(False)
+    for t in found:
+        out = out | t.bad
+    return out
+
+
+def _rows(found: list[Test]) -> Column:
+    return F.concat(*(t.rows for t in found)) if found else _none()
+
+
+def _only(when: Column, found: list[Test]) -> list[Test]:
+    return [Test(when & t.bad, F.when(when, t.rows).otherwise(_none())) for t in found]
+
+
+def _among(value: Column, kind: T.DataType, literals: list) -> Column:
+    """Whether a value equals one of the literals of its own kind."""
+    if isinstance(kind, (T.StructType, T.ArrayType)):
+        own = [x for x in literals if isinstance(x, dict if isinstance(kind, T.StructType) else list)]
+        return F.coalesce(*(F.when(value.eqNullSafe(F.from_json(F.lit(json.dumps(x)), kind.json())), True) for x in own), F.lit(False))
+    if isinstance(kind, T.BooleanType):
+        own = [x for x in literals if isinstance(x, bool)]
+    elif isinstance(kind, T.NumericType):
+        own = [float(x) for x in literals if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    else:
+        own = [x for x in literals if isinstance(x, str)]
+    return value.isin(*own) if own else F.lit(False)
+
+
+def _anchored(schema: object, name: str) -> object | None:
+    """The part of a schema with this ``$anchor`` or ``$id``."""
+    if isinstance(schema, dict):
+        if name and name in (schema.get("$anchor"), schema.get("$id"), schema.get("$dynamicAnchor")):
+            return schema
+        return next((y for x in schema.values() if (y := _anchored(x, name)) is not None), None)
+    return next((y for x in schema if (y := _anchored(x, name)) is not None), None) if isinstance(schema, list) else None
+
+
+def resolved(root: dict | bool, ref: str) -> dict | bool:
+    """What a reference within the schema ``root`` means: ``#``, a pointer, an anchor or an ``$id``."""
+    base, _, part = ref.partition("#")
+    at = root if not base or (isinstance(root, dict) and root.get("$id") == base) else _anchored(root, base)
+    part = unquote(part)
+    if at is not None and part and not part.startswith("/"):
+        at = _anchored(at, part)
+    for step in part.split("/")[1:] if part.startswith("/") else ():
+        step = step.replace("~1", "/").replace("~0", "~")
+        at = at.get(step) if isinstance(at, dict) else at[int(step)] if isinstance(at, list) and step.isdigit() and int(step) < len(at) else None
+    if not isinstance(at, (dict, bool)):
+        raise SchemaError(f"no schema at {ref!r}")
+    return at
+
+
+def tests(value: Column, kind: T.DataType, schema: dict | bool, at: Column, where: str, root: dict | bool, refs: tuple[str, ...] = ()) -> list[Test]:
+    """The tests of a value at the path ``at``. ``refs`` are the references followed since the last step down into the value."""
     if isinstance(schema, bool):
-        return [] if schema else [(at, where, "false", value.isNotNull())]
+        return [] if schema else [_one(at, where, "false", value.isNotNull())]
     if not isinstance(schema, dict):
         raise SchemaError(f"no schema at {where}")
     there = value.isNotNull()
-    out: list[tuple[str, str, str, Column]] = []
-    number, text, items = isinstance(kind, T.NumericType), isinstance(kind, T.StringType), isinstance(kind, T.ArrayType)
+    out: list[Test] = []
+    number, text, items, members = isinstance(kind, T.NumericType), isinstance(kind, T.StringType), isinstance(kind, T.ArrayType), isinstance(kind, T.StructType)
 
     def add(keyword: str, bad: Column) -> None:
-        out.append((at, f"{where}/{keyword}", keyword, F.coalesce(there & bad, F.lit(False))))
+        out.append(_one(at, f"{where}/{keyword}", keyword, there & bad))
+
+    def same(inner: dict | bool, sub: str) -> list[Test]:
+        return tests(value, kind, inner, at, f"{where}/{sub}", root, refs)
 
+    def member(name: str, inner: dict | bool, sub: str) -> list[Test]:
+        step = "/" + name.replace("~", "~0").replace("/", "~1")
+        return tests(value[name], kind[name].dataType, inner, F.concat(at, F.lit(step)), f"{where}/{sub}", root)
+
+    def elements(first: int, inner: dict | bool, sub: str) -> None:
+        """Every element from ``first`` on, with its index in the path."""
+        rest = F.when(F.size(value) > first, F.slice(value, first + 1, F.size(value))).otherwise(F.slice(value, 1, 0))
+        own = lambda x, i: tests(x, kind.elementType, inner, F.concat(at, F.lit("/"), (i + first).cast("string")), f"{where}/{sub}", root)
+        bad = F.coalesce(F.exists(rest, lambda x: _any(own(x, F.lit(0)))), F.lit(False))
+        out.append(Test(bad, F.when(bad, F.flatten(F.transform(rest, lambda x, i: _rows(own(x, i))))).otherwise(_none())))
+
+    known = set(schema.get("properties", {}))
+    patterned = {n for p in schema.get("patternProperties", {}) for n in (kind.names if members else ()) if _regex(p, where).search(n)}
+    tuple_ = schema.get("prefixItems") or (schema.get("items") if isinstance(schema.get("items"), list) else [])
     for keyword, v in schema.items():
-        if keyword == "type":
+        if keyword in ("$ref", "$dynamicRef", "$recursiveRef"):
+            if v in refs:
+                raise SchemaError(f"{v!r} refers to itself at {where}")
+            out += tests(value, kind, resolved(root, v), at, f"{where}/{keyword}", root, (*refs, v))
+        elif keyword == "type":
             allowed = set(v if isinstance(v, list) else [v])
             if not allowed & (_kinds(kind) | {"any"}):
                 add("type", value != F.floor(value) if number and "integer" in allowed else F.lit(True))
         elif keyword in ("enum", "const"):
-            own = v if keyword == "enum" else [v]
-            add(keyword, ~value.isin(*[x for x in own if x is not None]))
+            add(keyword, ~_among(value, kind, v if keyword == "enum" else [v]))
         elif number and keyword in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") and not isinstance(v, bool):
             strict = schema.get("exclusive" + keyword.capitalize()) is True
             bad = {"minimum": value <= v if strict else value < v, "maximum": value >= v if strict else value > v, "exclusiveMinimum": value <= v, "exclusiveMaximum": value >= v}[keyword]
@@ -73,77 +171,95 @@ def tests(value: Column, kind: T.DataType, schema: dict | bool, at: str = "", wh
         elif number and keyword == "multipleOf":
             if not v > 0:
                 raise SchemaError(f"multipleOf must be positive at {where}")
-            step = Decimal(str(v))
-            places = max(0, -step.as_tuple().exponent)
-            add(keyword, value.cast(f"decimal(38,{max(places, 6)})") % F.lit(step) != 0)
+            # The decimal that the number is written as, so that no digit is rounded away before the division.
+            add(keyword, value.cast("string").try_cast("decimal(38,18)") % F.lit(Decimal(str(v))) != 0)
         elif text and keyword in ("minLength", "maxLength"):
             add(keyword, F.char_length(value) < v if keyword == "minLength" else F.char_length(value) > v)
         elif text and keyword == "pattern":
-            try:
-                re.compile(v)
-            except re.error as e:
-                raise SchemaError(f"bad pattern at {where}: {e}") from e
+            _regex(v, where)
             add(keyword, ~value.rlike(f"(?U){v}"))
+        elif text and keyword == "format" and v == "regex":
+            raise SchemaError(f"format regex isn't tested at {where}")
         elif text and keyword == "format" and v in FORMATS:
             bad = ~value.rlike(FORMATS[v])
-            add(keyword, bad | F.try_to_date(value, "yyyy-MM-dd").isNull() if v == "date" else bad)
+            add(keyword, bad | F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd").isNull() if v in ("date", "date-time") else bad)
         elif items and keyword in ("minItems", "maxItems"):
             add(keyword, F.size(value) < v if keyword == "minItems" else F.size(value) > v)
         elif items and keyword == "uniqueItems" and v:
-            add(keyword, F.size(F.array_distinct(value)) < F.size(value))
-        elif items and keyword in ("items", "contains") and isinstance(v, (dict, bool)):
-
-            def fails(x: Column, v=v) -> Column:  # noqa: ANN001
-                own = [t[3] for t in tests(x, kind.elementType, v)]
-                bad = F.lit(False)
-                for t in own:
-                    bad = bad | t
-                return bad
-
-            if keyword == "items":
-                add(keyword, F.exists(value, lambda x: fails(x)))
-            else:
-                hits = F.size(F.filter(value, lambda x: ~fails(x)))
-                add(keyword, (hits < schema.get("minContains", 1)) | (hits > schema.get("maxContains", 2**31 - 1)))
-        elif isinstance(kind, T.StructType) and keyword == "required":
+            again = F.size(value) - F.size(F.array_distinct(value))
+            one = F.struct(at.alias("instance_path"), F.lit(f"{where}/uniqueItems").alias("schema_path"), F.lit(keyword).alias("keyword"))
+            bad = F.coalesce(again > 0, F.lit(False))
+            out.append(Test(bad, F.when(bad, F.array_repeat(one, again)).otherwise(_none())))
+        elif items and keyword == "prefixItems" or (items and keyword == "items" and isinstance(v, list)):
+            for i, inner in enumerate(tuple_):
+                out += tests(F.get(value, i), kind.elementType, inner, F.concat(at, F.lit(f"/{i}")), f"{where}/{keyword}/{i}", root)
+        elif items and (keyword == "items" or (keyword == "additionalItems" and isinstance(schema.get("items"), list))):
+            elements(len(tuple_), v, keyword)
+        elif items and keyword == "contains":
+            inner = v
+            hits = F.size(F.filter(value, lambda x: ~_any(tests(x, kind.elementType, inner, at, where, root))))
+            add(keyword, (hits < schema.get("minContains", 1)) | (hits > schema.get("maxContains", 2**31 - 1)))
+        elif members and keyword == "required":
             for name in v:
-                missing = value[name].isNull() if name in kind.names else F.lit(True)
-                add(keyword, missing)
-        elif isinstance(kind, T.StructType) and keyword == "properties":
+                add(keyword, value[name].isNull() if name in kind.names else F.lit(True))
+        elif members and keyword in ("minProperties", "maxProperties"):
+            n = sum((value[x].isNotNull().cast("int") for x in kind.names), F.lit(0))
+            add(keyword, n < v if keyword == "minProperties" else n > v)
+        elif members and keyword in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for name, inner in v.items():
+                if name in kind.names and isinstance(inner, list):
+                    for other in inner:
+                        add(keyword, value[name].isNotNull() & (value[other].isNull() if other in kind.names else F.lit(True)))
+                elif name in kind.names:
+                    out += _only(F.coalesce(value[name].isNotNull(), F.lit(False)), same(inner, f"{keyword}/{name}"))
+        elif members and keyword == "propertyNames":
+            for name in kind.names:
+                path = F.concat(at, F.lit("/" + name.replace("~", "~0").replace("/", "~1")))
+                out += _only(F.coalesce(value[name].isNotNull(), F.lit(False)), tests(F.lit(name), T.StringType(), v, path, f"{where}/{keyword}", root))
+        elif members and keyword == "properties":
             for name, inner in v.items():
                 if name in kind.names:
-                    out += tests(value[name], kind[name].dataType, inner, f"{at}/{name}", f"{where}/properties/{name}")
-        elif keyword in ("allOf", "anyOf", "oneOf"):
-            branches = [[t[3] for t in tests(value, kind, s, at, f"{where}/{keyword}/{i}")] for i, s in enumerate(v)]
-            if keyword == "allOf":
-                for i, s in enumerate(v):
-                    out += tests(value, kind, s, at, f"{where}/allOf/{i}")
-                continue
-            passed = F.lit(0)
-            for b in branches:
-                bad = F.lit(False)
-                for t in b:
-                    bad = bad | t
-                passed = passed + (~bad).cast("int")
+                    out += member(name, inner, f"properties/{name}")
+        elif members and keyword == "patternProperties":
+            for pattern, inner in v.items():
+                for name in kind.names:
+                    if _regex(pattern, where).search(name):
+                        out += member(name, inner, f"patternProperties/{pattern}")
+        elif members and keyword == "additionalProperties":
+            for name in kind.names:
+                if name not in known and name not in patterned:
+                    out += member(name, v, keyword)
+        elif keyword == "allOf":
+            for i, inner in enumerate(v):
+                out += same(inner, f"allOf/{i}")
+        elif keyword in ("anyOf", "oneOf"):
+            passed = sum(((~_any(same(inner, f"{keyword}/{i}"))).cast("int") for i, inner in enumerate(v)), F.lit(0))
             add(keyword, passed == 0 if keyword == "anyOf" else passed != 1)
         elif keyword == "not":
-            bad = F.lit(False)
-            for t in tests(value, kind, v, at, f"{where}/not"):
-                bad = bad | t[3]
-            add(keyword, ~bad)
+            add(keyword, ~_any(same(v, "not")))
         elif keyword == "if":
-            bad = F.lit(False)
-            for t in tests(value, kind, v, at, f"{where}/if"):
-                bad = bad | t[3]
+            bad = _any(same(v, "if"))
             for branch, when in (("then", ~bad), ("else", bad)):
-                out += [(p, w, k, when & t) for p, w, k, t in tests(value, kind, schema.get(branch, True), at, f"{where}/{branch}")]
+                out += _only(when, same(schema.get(branch, True), branch))
     return out
 
 
+def _regex(pattern: str, where: str) -> re.Pattern:
+    try:
+        return re.compile(pattern)
+    except re.error as e:
+        raise SchemaError(f"bad pattern at {where}: {e}") from e
+
+
 def validate(df: DataFrame, key: str, schema: dict) -> DataFrame:
-    """(key, instance_path, schema_path, keyword): a row for each violation in a row's other columns."""
+    """(key, ord, instance_path, schema_path, keyword): a row for each violation in a row's other columns, ``ord`` numbering those of a row."""
     whole = T.StructType([f for f in df.schema.fields if f.name != key])
     body = F.struct(*(F.col(f"`{n}`") for n in whole.names))
-    found = tests(body, whole, schema)
-    marked = F.array(*(F.struct(F.lit(p).alias("instance_path"), F.lit(w).alias("schema_path"), F.lit(k).alias("keyword"), bad.alias("bad")) for p, w, k, bad in found))
-    return df.select(key, F.inline(F.filter(marked, lambda x: x["bad"]))).drop("bad")
+    found = _rows(tests(body, whole, schema, F.lit(""), "#", schema))
+    return df.select(key, F.posexplode(found).alias("ord", "_violation")).select(key, "ord", "_violation.*")
+
+
+def by_place(violations: DataFrame, key: str) -> DataFrame:
+    """(key, instance_path, keywords): the violated keywords of each place of each row, in order."""
+    own = F.array_sort(F.collect_list(F.struct("ord", "keyword")))
+    return violations.groupBy(key, "instance_path").agg(F.transform(own, lambda x: x["keyword"]).alias("keywords"))

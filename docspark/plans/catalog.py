@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions.paths import matches, path
+from docspark.functions.paths import matches, nodes, path
 from docspark.operators import collections as coll
 from docspark.operators import inference, search, validation
 from docspark.plans.steps import Context, Flatten, ForEach, Path, Pipeline, Script, SetVariable, Step, SubPipeline, Template
@@ -108,6 +108,37 @@ def path_union_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(d, matches(d, "doc", "$['o_orderstatus','o_orderpriority']"), "value")
 
 
+_ITEMS = f"({_NTH.replace('l_extendedprice,', 'l_extendedprice, l_quantity, l_discount,', 1)}) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"
+
+
+@query(
+    f"SELECT l_orderkey AS o_orderkey, 2 * n - 2 AS ord, '/items/' || (n - 1) || '/l_quantity' AS pointer, l_quantity AS value FROM {_ITEMS}"
+    f" UNION ALL SELECT l_orderkey, 2 * n - 1, '/items/' || (n - 1) || '/l_discount', l_discount FROM {_ITEMS}"
+)
+def path_union_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two members of each item, item by item."""
+    return _located(orders(spark, sf_dir), "$.items[*]['l_quantity','l_discount']")
+
+
+@query(
+    f"SELECT l_orderkey AS o_orderkey, 2 * n - 2 AS ord, '/items/' || (n - 1) || '/l_quantity' AS pointer, l_quantity AS value FROM {_ITEMS}"
+    f" UNION ALL SELECT l_orderkey, 2 * n - 1, '/items/' || (n - 1) || '/l_discount', l_discount FROM {_ITEMS}"
+)
+def path_descendant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants come in document order, whatever the order of the selectors."""
+    return _located(orders(spark, sf_dir), "$..['l_discount','l_quantity']")
+
+
+@query(f"SELECT l_orderkey AS o_orderkey, n - 1 AS ord, '/items/' || (n - 1) || '/l_discount' AS pointer, l_discount AS value FROM {_ITEMS}")
+def path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node that several selectors reach is there once."""
+    return _located(orders(spark, sf_dir), "$['items','items'][*]['l_discount','l_discount']")
+
+
+def _located(d: DataFrame, text: str) -> DataFrame:
+    return d.select("o_orderkey", F.posexplode(nodes(d, "doc", text)).alias("ord", "n")).select("o_orderkey", F.col("ord").cast("bigint").alias("ord"), "n.pointer", "n.value")
+
+
 @query("SELECT l_orderkey AS o_orderkey, l_discount AS discount FROM lineitem")
 def path_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = orders(spark, sf_dir)
@@ -228,10 +259,7 @@ def helper_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sum(p_size)::DOUBLE AS total, min(p_retailprice) AS least, max(p_retailprice) AS greatest FROM part")
 def helper_sum_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir)
-    size, least, most = coll.total(p, "p_size"), coll.least(p, "p_retailprice"), coll.greatest(p, "p_retailprice")
-    # Three one-row results side by side.
-    return size.withColumnRenamed("value", "total").join(least.withColumnRenamed("value", "least")).join(most.withColumnRenamed("value", "greatest"))
+    return parts(spark, sf_dir).agg(coll.total_of("p_size").alias("total"), coll.least_of("p_retailprice").alias("least"), coll.greatest_of("p_retailprice").alias("greatest"))
 
 
 @query("SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
@@ -328,10 +356,43 @@ def validate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, 'items' AS keyword FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)"
-    " UNION ALL SELECT l_orderkey, 'maxItems' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) > 5"
-    " UNION ALL SELECT o_orderkey, 'enum' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"
+    "SELECT l_orderkey AS o_orderkey, '/doc/items/' || (n - 1) || '/l_quantity' AS instance_path, 'maximum' AS keyword"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE l_quantity > 40 AND l_orderkey IN (SELECT o_orderkey FROM orders)"
+    " UNION ALL SELECT l_orderkey, '/doc/items', 'maxItems' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) > 5"
+    " UNION ALL SELECT o_orderkey, '/doc/o_orderstatus', 'enum' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"
 )
 def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = {"properties": {"doc": {"properties": {"o_orderstatus": {"enum": ["F", "O"]}, "items": {"maxItems": 5, "items": {"properties": {"l_quantity": {"maximum": 40}}}}}}}}
-    return validation.validate(orders(spark, sf_dir), "o_orderkey", schema).select("o_orderkey", "keyword")
+    return validation.validate(orders(spark, sf_dir), "o_orderkey", schema).select("o_orderkey", "instance_path", "keyword")
+
+
+@query(
+    "SELECT p_partkey, '/p_type' AS instance_path, 'false' AS keyword FROM part WHERE p_type IS NOT NULL"
+    " UNION ALL SELECT p_partkey, '/p_size', 'multipleOf' FROM part WHERE p_size % 3 <> 0"
+    " UNION ALL SELECT p_partkey, '', 'maxProperties' FROM part"
+)
+def validate_additional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that no keyword names, a pattern of names, a reference, and a bound on the number of members."""
+    schema = {
+        "$defs": {"third": {"multipleOf": 3}},
+        "maxProperties": 3,
+        "properties": {"p_size": {"$ref": "#/$defs/third"}},
+        "patternProperties": {"^p_(name|brand|retail)": True},
+        "additionalProperties": False,
+    }
+    return validation.validate(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "p_partkey", schema).select("p_partkey", "instance_path", "keyword")
+
+
+@query("SELECT l_orderkey AS o_orderkey, count(*) - count(DISTINCT l_returnflag) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 HAVING count(*) > count(DISTINCT l_returnflag)")
+def validate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error for each later duplicate."""
+    d = orders(spark, sf_dir).select("o_orderkey", F.col("doc.items.l_returnflag").alias("flags"))
+    return validation.validate(d, "o_orderkey", {"properties": {"flags": {"uniqueItems": True}}}).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_linenumber - 1) || ': ' || l_returnflag || ' true ' || (l_quantity > 25) AS label FROM lineitem")
+def pipeline_template_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template of the loop's position and item, a variable and an earlier step's column."""
+    many = Script(lambda df, c: df.withColumn("many", F.col("l_quantity") > 25).withColumn("item", F.struct("l_returnflag")))
+    p = Pipeline((Step("many", many), Step("on", SetVariable("on", True)), Step("label", Template("{{ loop.index }}: {{ loop.item.l_returnflag }} {{ vars.on }} {{ steps.many }}", "item", "label"))))
+    return p.run(items(spark, sf_dir)).select("l_orderkey", "l_linenumber", "label")

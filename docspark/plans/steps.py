@@ -6,14 +6,16 @@ that is read from the data.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docspark.functions.paths import Nodes, matches, parse, walk
+from docspark.functions.paths import matches, path
 from docspark.operators import collections as coll
 
 
@@ -87,9 +89,28 @@ class SetVariable:
         return df
 
 
+def rendered(value: object) -> str:
+    """A value of the driver as a template shows it: texts as they are, nothing for None, all else as JSON."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
+def rendered_column(value: Column, kind: T.DataType) -> Column:
+    """The same for a column."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(value, F.lit(""))
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.coalesce(F.to_json(value), F.lit(""))
+    whole = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNull(), "").otherwise(whole.substr(F.lit(6), F.char_length(whole) - 6))
+
+
 @dataclass(frozen=True)
 class Template:
-    """Add a text column from a template: ``{{ path }}`` of the input column, ``{{ vars.name }}``; missing is empty."""
+    """Add a text column from a template of ``{{ root.path }}``; what is missing is empty, an open ``{{`` stays as it is.
+
+    Roots are ``input`` or ``$`` (the input column, also without a root), ``vars`` or ``env`` (variables), ``steps.name`` (the column of that
+    name that an earlier step added), ``document`` (the column of that name), ``loop.index`` (the position) and ``loop.item`` (the input column).
+    """
 
     text: str
     column: str
@@ -98,17 +119,30 @@ class Template:
     def apply(self, df: DataFrame, context: Context) -> DataFrame:
         parts: list[Column] = []
         for k, piece in enumerate(re.split(r"\{\{\s*(.+?)\s*\}\}", self.text)):
-            if k % 2 == 0:
-                parts.append(F.lit(piece))
-            elif piece.startswith(("vars.", "env.")):
-                parts.append(F.lit(str(context.variables.get(piece.split(".", 1)[1], ""))))
-            else:
-                root = Nodes(F.col(self.column), df.schema[self.column].dataType)
-                at = walk(root, parse(re.sub(r"^input(?=[.\[]|$)", "$", piece)), root)
-                atomic = at.column is not None and not at.many and not hasattr(at.kind, "fields") and not hasattr(at.kind, "elementType")
-                parts.append(F.lit("") if at.column is None else F.coalesce(at.column.cast("string") if atomic else F.to_json(at.column), F.lit("")))
+            parts.append(F.lit(piece) if k % 2 == 0 else self._value(df, context, piece))
         return df.withColumn(self.into, F.concat(*parts))
 
+    def _value(self, df: DataFrame, context: Context, piece: str) -> Column:
+        root, _, rest = piece.partition(".")
+        if root in ("vars", "env"):
+            name, _, inner = rest.partition(".")
+            value = context.variables.get(name)
+            for step in inner.split(".") if inner else ():
+                value = value.get(step) if isinstance(value, dict) else None
+            return F.lit(rendered(value))
+        if piece == "loop.index":
+            return rendered_column(F.col(coll.POS), T.LongType())
+        column, path_ = self.column, re.sub(r"^(input|loop\.item)(?=[.\[]|$)", "$", piece)
+        if root in ("steps", "document"):
+            column, _, path_ = (rest if root == "steps" else piece).partition(".")
+            path_ = "$." + path_ if path_ else "$"
+            if column not in df.columns:
+                raise ValueError(f"{{{{ {piece} }}}}: no earlier step has added a column {column!r}")
+        elif root == "loop" and column not in df.columns:
+            raise ValueError(f"{{{{ {piece} }}}}: no loop")
+        found = df.select(path(df, column, path_).alias("v"))
+        return rendered_column(path(df, column, path_), found.schema["v"].dataType)
+
 
 @dataclass(frozen=True)
 class ForEach:

@@ -45,7 +45,9 @@ def clean(df: DataFrame, text: str, schema: T.StructType | str, into: str = "val
     t = F.aggregate(F.sequence(F.lit(1), F.lit(5)), unwrap(wrapped), lambda acc, _: inner(acc))
     df = df.select("*", F.explode(F.array(t)).alias("_unwrapped"))
     t = F.col("_unwrapped")
-    lenient = F.regexp_replace(t, r"(?s),(\s*(?:/\*.*?\*/\s*)*[\]}])", "$1")
+    # Texts and comments are matched first and kept, so that only commas between values go.
+    kept = r"""/\*.*?\*/|//[^\n]*|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'"""
+    lenient = F.regexp_replace(t, rf"(?s)({kept})|,(\s*(?:(?:/\*.*?\*/|//[^\n]*\n)\s*)*[\]}}])", "$1$2")
     strict = F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema))
     return df.withColumn(into, F.coalesce(strict, F.from_json(lenient, schema, LENIENT))).drop("_unwrapped")
 

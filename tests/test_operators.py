@@ -71,6 +71,57 @@ def test_validation(spark):
         validation.validate(df, "id", {"properties": {"age": {"multipleOf": 0}}})
 
 
+def found(df, schema):
+    return sorted((r["id"], r["instance_path"], r["keyword"]) for r in validation.validate(df, "id", schema).collect())
+
+
+def test_validation_of_members(spark):
+    rows = [(1, ("a", 1, None, None)), (2, ("b", None, 2, "z")), (3, (None, 1, None, "q")), (4, None)]
+    df = spark.createDataFrame(rows, "id int, d struct<name:string,x_a:int,`x-b`:int,other:string>")
+    check = lambda s: found(df, {"properties": {"d": s}})
+    assert check({"minProperties": 3}) == [(1, "/d", "minProperties"), (3, "/d", "minProperties")]
+    assert check({"maxProperties": 2}) == [(2, "/d", "maxProperties")]
+    assert check({"properties": {"name": True}, "patternProperties": {"^x-": {"maximum": 1}}, "additionalProperties": False}) == [
+        (1, "/d/x_a", "false"), (2, "/d/other", "false"), (2, "/d/x-b", "maximum"), (3, "/d/other", "false"), (3, "/d/x_a", "false"),
+    ]
+    assert check({"propertyNames": {"pattern": "^[a-z_]+$"}}) == [(2, "/d/x-b", "pattern")]
+    assert check({"dependentRequired": {"other": ["name", "x_a"]}}) == [(2, "/d", "dependentRequired"), (3, "/d", "dependentRequired")]
+    assert check({"dependentSchemas": {"other": {"required": ["name"]}}}) == [(3, "/d", "required")]
+    assert check({"dependencies": {"x_a": ["other"], "x-b": {"properties": {"other": {"const": "y"}}}}}) == [(1, "/d", "dependencies"), (2, "/d/other", "const")]
+    assert check({"const": {"name": "a", "x_a": 1}}) == [(2, "/d", "const"), (3, "/d", "const")]
+
+
+def test_validation_of_elements(spark):
+    df = spark.createDataFrame([(1, [1, 5, 1, 1]), (2, []), (3, [9]), (4, None)], "id int, ns array<int>")
+    check = lambda s: found(df, {"properties": {"ns": s}})
+    assert check({"items": {"maximum": 4}}) == [(1, "/ns/1", "maximum"), (3, "/ns/0", "maximum")]
+    assert check({"uniqueItems": True}) == [(1, "/ns", "uniqueItems")] * 2
+    assert check({"prefixItems": [{"minimum": 2}, {"maximum": 3}], "items": False}) == [(1, "/ns/0", "minimum"), (1, "/ns/1", "maximum"), (1, "/ns/2", "false"), (1, "/ns/3", "false")]
+    assert check({"items": [{"enum": [1, "x", None]}], "additionalItems": {"const": 5}}) == [(1, "/ns/2", "const"), (1, "/ns/3", "const"), (3, "/ns/0", "enum")]
+    places = validation.by_place(validation.validate(df, "id", {"properties": {"ns": {"minItems": 2, "contains": {"const": 1}}}}), "id")
+    assert {(r["id"], r["instance_path"]): r["keywords"] for r in places.collect()} == {(2, "/ns"): ["minItems", "contains"], (3, "/ns"): ["minItems", "contains"]}
+
+
+def test_validation_of_references_and_numbers(spark):
+    df = spark.createDataFrame([(1, 0.5, "a"), (2, 0.5000000001, "abc"), (3, 1e10, None)], "id int, v double, t string")
+    schema = {"$defs": {"step": {"multipleOf": 0.25}, "short": {"$anchor": "short", "maxLength": 2}}, "properties": {"v": {"$ref": "#/$defs/step"}, "t": {"$ref": "#short"}}}
+    assert found(df, schema) == [(2, "/t", "maxLength"), (2, "/v", "multipleOf")]
+    assert found(df, {"properties": {"v": {"enum": [0.5, "x", None]}}}) == [(2, "/v", "enum"), (3, "/v", "enum")]
+    assert found(df, {}) == [] and validation.validate(df, "id", {}).columns == ["id", "ord", "instance_path", "schema_path", "keyword"]
+    for bad in ({"$ref": "#/nowhere"}, {"$ref": "http://else.where/x"}, {"$ref": "#"}, {"properties": {"t": {"pattern": "("}}}):
+        with pytest.raises(validation.SchemaError):
+            validation.validate(df, "id", bad)
+
+
+def test_validation_formats(spark):
+    good = {"date-time": ["2024-02-29T10:00:00Z", "2024-01-01 23:59:60+01:00"], "ipv6": ["::1", "2001:db8::8:800", "1:2:3:4:5:6:7:8"], "uri-reference": ["a/b?c", "#x"], "date": ["2024-02-29"]}
+    bad = {"date-time": ["2023-02-29T10:00:00Z", "2024-01-01T10:00:00"], "ipv6": ["1:2:3", "1::2::3", "12345::", ":::"], "uri-reference": ["a b"], "date": ["2023-02-29", "2024-13-01"]}
+    for name in good:
+        values = [(k, x) for k, x in enumerate(good[name] + bad[name])]
+        df = spark.createDataFrame(values, "id int, t string")
+        assert [k for k, _, _ in found(df, {"properties": {"t": {"format": name}}})] == list(range(len(good[name]), len(values))), name
+
+
 def test_pipeline(spark, people):
     inner = Pipeline((Step("count", SetVariable("n", aggregate=F.count("*"))),))
     label = Pipeline((Step("sub", SubPipeline("c")), Step("label", Template("{{k}}/{{ vars.n }}/{{zz}}", "d", "label"))))

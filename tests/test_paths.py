@@ -101,6 +101,8 @@ CASES = {
     "$.trams[?(@.line =~ /^[ac]$/i || @.note)].seats": [["trams"], [lambda x: x["line"] in "AC" or "note" in x], ["seats"]],
     "$.trams[?(@.seats > $.depot.lanes)].seats": [["trams"], [lambda x: x["seats"] > 3], ["seats"]],
     "$.trams[?(@.* == 41)].line": [["trams"], [lambda x: 41 in x.values()], ["line"]],
+    "$[?(@[?(@.seats > 50)])]..at": [[lambda x: isinstance(x, list) and any(y["seats"] > 50 for y in x)], ["..", "at"]],
+    "$.trams[*][?(@ == 'B' || @ > 60)]": [["trams"], ["*"], [lambda x: x == "B" or isinstance(x, int) and x > 60]],
     "$['odd key']": [["odd key"]],
     "$.nothing..line": [["nothing"], ["..", "line"]],
 }
