@@ -7,20 +7,22 @@ give: types unite, ``required`` is what every object has, a format stays only if
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed formats, tried in this order.
+#: Fixed formats, tried in this order: RFC 3339 times with a zone, addresses by their characters, schemes of references that need no slashes.
 FORMATS = (
-    ("date-time", r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"),
+    ("date-time", r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"),
     ("date", r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"),
-    ("time", r"^\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})?$"),
-    ("email", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
-    ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
-    ("ipv4", r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"),
-    ("uri", r"^[A-Za-z][A-Za-z0-9+.-]*://\S+$"),
+    ("time", r"^\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"),
+    ("email", r"^[\w.%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"),
+    ("uuid", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"),
+    ("ipv4", r"^(?!.*(^|\.)0\d)((25[0-5]|2[0-4]\d|1?\d?\d)(\.(?!$)|$)){4}$"),
+    ("uri", r"^([A-Za-z][A-Za-z0-9+.-]*://|(mailto|urn|tel|data|news):)\S+$"),
 )
-MAX_DEPTH = 64
+#: The step of a path into an array; steps into members are their names after a dot, so that no name is taken for two steps.
+ELEMENT = "[*]"
 
 
 def format_of(text: Column) -> Column:
@@ -46,25 +48,27 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def nodes(docs: DataFrame, key: str, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, path, name, depth, kind, text): every node of every valid text. Paths have ``[*]`` for positions in arrays.
+def nodes(docs: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, steps, depth, kind, text): every node of every valid text, however deep. ``steps`` generalise positions in arrays.
 
-    One pass for each level: what is left at a level is exploded for the next until no level has containers.
+    One pass for each level: what is left at a level is exploded for the next until no level has containers. Levels are kept, in memory or on the
+    executors' disks, so that none is computed twice; a lost one is computed again.
     """
-    level = docs.select(F.col(key), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.try_parse_json(json).alias("v")).filter("v is not null")
-    out = None
-    for depth in range(max_depth):
-        kind = kind_of(F.col("v"))
-        here = level.select(key, "path", "name", F.lit(depth).alias("depth"), kind.alias("kind"), F.when(~kind.isin("object", "array"), F.col("v").cast("string")).alias("text"))
+    spark = docs.sparkSession
+    level = docs.select(F.col(key), F.array().cast("array<string>").alias("steps"), F.try_parse_json(json).alias("v")).filter("v is not null").withColumn("kind", kind_of(F.col("v")))
+    out, depth = None, 0
+    while True:
+        level = level.persist(StorageLevel.MEMORY_AND_DISK)
+        leaf = ~F.col("kind").isin("object", "array")
+        here = level.select(key, "steps", F.lit(depth).alias("depth"), "kind", F.when(leaf, F.col("v").cast("string")).alias("text"))
         out = here if out is None else out.unionByName(here)
-        inner = level.filter(kind.isin("object", "array"))
+        inner = level.filter(~leaf)
         if inner.isEmpty():
-            break
-        inner.createOrReplaceTempView("_docspark_level")
-        level = docs.sparkSession.sql(
-            f"SELECT l.`{key}`, concat(l.path, CASE WHEN e.key IS NULL THEN '[*]' ELSE concat('.', e.key) END) AS path, e.key AS name, e.value AS v FROM _docspark_level l, LATERAL variant_explode(l.v) e"
-        )
-    return out
+            return out
+        each = inner.alias("l").lateralJoin(spark.tvf.variant_explode(F.col("l.v").outer()).alias("e"))
+        step = F.when(F.col("e.key").isNull(), ELEMENT).otherwise(F.concat(F.lit("."), F.col("e.key")))
+        level = each.select(F.col(f"l.{key}").alias(key), F.array_append("l.steps", step).alias("steps"), F.col("e.value").alias("v")).withColumn("kind", kind_of(F.col("v")))
+        depth += 1
 
 
 def statistics(docs: DataFrame, key: str, json: str) -> DataFrame:
@@ -73,34 +77,56 @@ def statistics(docs: DataFrame, key: str, json: str) -> DataFrame:
     return docs.select(key, F.octet_length(json).cast("bigint").alias("bytes")).join(found, key)
 
 
-def infer(docs: DataFrame, key: str, json: str) -> DataFrame:
-    """(path, kinds, present, of, required, format): what all texts say about each generalised path.
+def infer(docs: DataFrame, key: str, json: str, required: str = "all") -> DataFrame:
+    """(steps, path, kinds, present, required, format, examples, alternatives): what all texts say about each generalised path.
 
-    ``kinds`` unites kinds, integer being part of number, null last; ``required`` is whether every object that could have the member has it.
+    ``kinds`` unites kinds, integer being part of number, null last; ``required`` is whether every object that could have the member has it, or by
+    policy "none" or "any" no or every member. ``examples`` are the five least texts of scalars. ``alternatives`` names object, array and scalar where
+    several of them stand at one path, else it is empty.
     """
-    n = nodes(docs, key, json)
-    per = n.groupBy("path").agg(
+    text = F.col("kind") == "string"
+    per = nodes(docs, key, json).groupBy("steps").agg(
         F.collect_set("kind").alias("kinds"),
         F.count("*").alias("present"),
         F.sum((F.col("kind") == "object").cast("bigint")).alias("objects"),
         F.count_distinct(F.coalesce(format_of(F.col("text")), F.lit("-"))).alias("formats"),
-        F.min(F.when(F.col("kind") == "string", format_of(F.col("text")))).alias("format"),
-        F.max("name").alias("name"),
+        F.min(F.when(text, format_of(F.col("text")))).alias("format"),
     )
-    parents = per.select(F.col("path").alias("parent"), F.col("objects").alias("of"))
-    parent = F.when(F.col("name").isNotNull(), F.expr("substring(path, 1, length(path) - length(name) - 1)"))
+    examples = nodes_examples(docs, key, json)
+    parents = per.select(F.col("steps").alias("_parent"), F.col("objects").alias("of"))
+    last = F.try_element_at("steps", F.lit(-1))
+    parent = F.when(last != ELEMENT, F.slice("steps", F.lit(1), F.size("steps") - 1))
     merged = F.when(F.array_contains("kinds", "number"), F.array_remove("kinds", "integer")).otherwise(F.col("kinds"))
-    ordered = F.concat(F.array_sort(F.array_remove(merged, "null")), F.when(F.array_contains("kinds", "null"), F.array(F.lit("null"))).otherwise(F.array().cast("array<string>")))
-    out = per.withColumn("parent", parent).join(parents, "parent", "left")
+    nothing = F.array().cast("array<string>")
+    ordered = F.concat(F.array_sort(F.array_remove(merged, "null")), F.when(F.array_contains("kinds", "null"), F.array(F.lit("null"))).otherwise(nothing))
+    classes = F.array_sort(F.array_distinct(F.transform(F.array_remove("kinds", "null"), lambda k: F.when(k.isin("object", "array"), k).otherwise("scalar"))))
+    out = per.withColumn("_of", parent).join(parents, F.col("_of") == F.col("_parent"), "left").join(examples, "steps", "left")
+    must = {"all": F.coalesce(F.col("present") == F.col("of"), F.lit(False)), "none": F.lit(False), "any": F.col("of").isNotNull()}[required]
     return out.select(
-        "path",
+        "steps",
+        F.concat(F.lit("$"), F.array_join("steps", "")).alias("path"),
         F.array_join(ordered, "|").alias("kinds"),
         "present",
-        F.coalesce(F.col("present") == F.col("of"), F.lit(False)).alias("required"),
+        must.alias("required"),
         F.when((F.col("formats") == 1) & (F.array_join(ordered, "|") == "string"), F.col("format")).alias("format"),
+        F.coalesce("examples", nothing).alias("examples"),
+        F.when(F.size(classes) > 1, classes).otherwise(nothing).alias("alternatives"),
     )
 
 
+def nodes_examples(docs: DataFrame, key: str, json: str, most: int = 5) -> DataFrame:
+    """(steps, examples): the ``most`` least distinct scalar texts at each path; texts are made distinct first, so that no list grows with the data."""
+    found = nodes(docs, key, json).filter("text is not null").groupBy("steps", "text").agg(F.lit(1).alias("_"))
+    nth = F.row_number().over(Window.partitionBy("steps").orderBy("text"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("steps").agg(F.array_sort(F.collect_list("text")).alias("examples"))
+
+
+def infer_items(docs: DataFrame, key: str, json: str) -> DataFrame:
+    """``infer`` with the elements of each text's outermost array as samples."""
+    elements = docs.select(key, F.try_parse_json(json).alias("_v")).filter("_v is not null").alias("l").lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("l._v").outer()).alias("e"))
+    return infer(elements.filter("e.key is null").select(F.col(f"l.{key}").alias(key), F.to_json("e.value").alias("_item")), key, "_item")
+
+
 def canonical(json: Column) -> Column:
     """A text equal for values that are equal: sorted members, numbers by value, no spaces; null for invalid texts."""
     return F.to_json(F.try_parse_json(json))

@@ -396,3 +396,24 @@ def pipeline_template_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = Script(lambda df, c: df.withColumn("many", F.col("l_quantity") > 25).withColumn("item", F.struct("l_returnflag")))
     p = Pipeline((Step("many", many), Step("on", SetVariable("on", True)), Step("label", Template("{{ loop.index }}: {{ loop.item.l_returnflag }} {{ vars.on }} {{ steps.many }}", "item", "label"))))
     return p.run(items(spark, sf_dir)).select("l_orderkey", "l_linenumber", "label")
+
+
+@query(
+    "WITH o AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS named, min(o_orderpriority) AS p FROM orders)"
+    " SELECT '$' AS path, 'object' AS kinds, n AS present, false AS required, NULL AS format FROM o"
+    " UNION ALL SELECT '$.key', 'integer', n, true, NULL FROM o"
+    " UNION ALL SELECT '$.day', 'string', n, true, 'date' FROM o"
+    " UNION ALL SELECT '$.more', 'array', n, true, NULL FROM o"
+    " UNION ALL SELECT '$.more[*]', 'number|string', 2 * n, false, NULL FROM o"
+    " UNION ALL SELECT '$.who', 'object', named, false, NULL FROM o WHERE named > 0"
+    " UNION ALL SELECT '$.who.status', 'string', named, true, NULL FROM o WHERE named > 0"
+)
+def infer_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema of texts with a member in a third of them, an array of mixed kinds and a format."""
+    o = table(spark, sf_dir, "orders")
+    who = F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.col("o_orderstatus").alias("status")))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    head = F.to_json(F.struct(F.col("o_orderkey").alias("key"), day.alias("day"), who.alias("who")))
+    more = F.concat(F.lit(',"more":['), (F.floor("o_totalprice") + 0.5).cast("string"), F.lit(',"'), F.col("o_orderpriority"), F.lit('"]}'))
+    texts = o.withColumn("h", head).select("o_orderkey", F.concat(F.expr("substring(h, 1, length(h) - 1)"), more).alias("json"))
+    return inference.infer(texts, "o_orderkey", "json").select("path", "kinds", "present", "required", "format")

@@ -62,6 +62,25 @@ def test_inference(spark):
     assert {r["id"]: (r["nodes"], r["depth"]) for r in inference.statistics(df, "id", "j").collect()} == {0: (4, 2), 1: (9, 2)}
 
 
+def test_inference_of_paths_formats_and_alternatives(spark):
+    texts = ['{"a":{"x.y":1},"m":[{"k":1},"t",null]}', '{"a":{"x":{"y":"z"}},"m":7}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    got = {tuple(r["steps"]): r for r in inference.infer(df, "id", "j").collect()}
+    assert got[".a", ".x.y"]["kinds"] == "integer" and got[".a", ".x", ".y"]["kinds"] == "string"
+    assert got[(".m",)]["alternatives"] == ["array", "scalar"] and got[".m", "[*]"]["alternatives"] == ["object", "scalar"] and got[(".a",)]["alternatives"] == []
+    assert got[".m", "[*]", ".k"]["examples"] == ["1"] and got[".m", "[*]", ".k"]["required"] and not got[".a", ".x.y"]["required"]
+    few = spark.createDataFrame([(1, '{"a":' * 9 + "1" + "}" * 9)], "id int, j string")
+    assert inference.statistics(few, "id", "j").first()["depth"] == 9
+    items = spark.createDataFrame([(1, '[{"id":1},{"id":2.5,"n":"x"}]')], "id int, j string")
+    assert {r["path"]: (r["kinds"], r["required"]) for r in inference.infer_items(items, "id", "j").collect()} == {"$": ("object", False), "$.id": ("number", True), "$.n": ("string", False)}
+    formats = {
+        "2024-13-01T00:00:00Z": "date-time", "2024-13-01": None, "10:00:00": None, "10:00:00Z": "time", "a@b.c": "email", "1.2.3.4": "ipv4", "01.02.03.04": None, "1.2.3": None, "1.2.3.4.": None,
+        "mailto:x": "uri", "urn:a:b": "uri", "http://a": "uri", "x:y": None, "": None,
+    }
+    shown = spark.createDataFrame([(k,) for k in formats], "t string").select("t", inference.format_of(F.col("t")).alias("f")).collect()
+    assert {r["t"]: r["f"] for r in shown} == formats
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(1, "Ann", 5, ["a", "a"]), (2, None, -1, ["b"]), (3, "x-y", None, None)], "id int, name string, age int, tags array<string>")
     schema = {"required": ["name"], "properties": {"name": {"minLength": 3, "pattern": "^[A-Z]"}, "age": {"minimum": 0}, "tags": {"uniqueItems": True, "contains": {"const": "a"}}}}
