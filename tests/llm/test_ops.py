@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, rule_ensemble, substring_dedup, toxicity
+from docspark.llm.common import documents
 from docspark.llm.registry import QUERIES
 
 from .conftest import rows
@@ -541,3 +543,42 @@ def test_op10_null_and_equal_ids(spark, tmp_path):
     assert len(got) == len(pairs) and all(r["kept"] is not None for r in got)
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0)] * 5 + [(0, 6)] + [(5, 5)] * 3 + [(6, 6), (7, 6)]
     assert sum(r["kept"] for r in got) == 8
+
+
+LABELLED = "/root/testdata/sf0.01"
+
+
+def auc(pairs):
+    """The chance that a row of label 1 scores above one of label 0."""
+    ones, zeros = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+def labelled(spark, label):
+    if not os.path.isdir(LABELLED):
+        pytest.skip("no labelled tables here")
+    return {r[0]: r[1] for r in spark.read.parquet(f"{LABELLED}/labels.parquet").select("doc_id", label).collect() if r[1] in (0, 1)}
+
+
+def test_op1_held_out_accuracy(spark):
+    known = labelled(spark, "toxic")
+    got = toxicity.op1_toxicity(spark, LABELLED).collect()
+    held = [(r["score"], known[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in known]
+    assert len(held) > 50 and auc(held) > 0.85
+    assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_op6_rules_and_held_out_accuracy(spark):
+    """Forest, path rules and lasso run on over 200 labelled rows; scores are those of the rules applied one by one."""
+    known = labelled(spark, "quality")
+    docs = documents(spark, LABELLED).select("doc_id", "text")
+    measures = rule_ensemble.measured(docs).cache()
+    labels = spark.read.parquet(f"{LABELLED}/labels.parquet")
+    ensemble = rule_ensemble.fit(measures, labels, ~rule_ensemble._held_out(F.col("_id")))
+    assert len(known) > 200 and ensemble.rules and all(r.bounds and r.weight for r in ensemble.rules)
+    rows = {r["doc_id"]: r for r in measures.select("*", ensemble.score().alias("score")).collect()}
+    for r in rows.values():
+        odds = ensemble.constant + sum(x.weight for x in ensemble.rules if all((r[n] <= v) if at_most else (r[n] > v) for n, at_most, v in x.bounds))
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-9
+    held = [(r["score"], known[k]) for k, r in rows.items() if k in known and zlib.crc32(str(k).encode()) % 5 == 0]
+    assert len(held) > 30 and auc(held) > 0.8
