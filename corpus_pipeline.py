@@ -2,7 +2,14 @@
 
 Each stage takes what its predecessor kept and returns the columns of ``documents``; the last returns the pieces of
 the packed sequences. ``run`` writes every stage's result in the shared folder and reads it back, so that a lost executor never sends the work
-back further than one stage.
+back further than one stage; a stage's input is deleted once its result is written.
+
+Defined results
+* null, empty and wordless texts fail the quality rules and go. Empty tables: an empty result.
+* null ids: ids like any other. Equal ids with different texts are different documents; of rows that agree in id and text one stays (near dedup).
+* ties: near dedup keeps the least id, line dedup the line of the least id; the mix's order of equal ids is that of their sizes and hashes.
+* very long texts: every stage works on the whole text; line dedup, mixing and packing cut it, none drops a part for its length.
+* other columns, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
