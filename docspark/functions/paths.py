@@ -481,11 +481,12 @@ def _in_order(found: list[Located]) -> tuple[Column, T.DataType] | None:
         as_text = lambda v: F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(v.alias("v")))) - 6)
         columns = [F.transform(x.column, lambda n: F.struct(n["ord"], n["path"], n["pointer"], as_text(n["value"]).alias("value"))) for x in found]
         kind = T.StringType()
-    by = lambda *names: (lambda a, b: F.when(F.struct(*(a[n] for n in names)) < F.struct(*(b[n] for n in names)), -1).when(F.struct(*(a[n] for n in names)) > F.struct(*(b[n] for n in names)), 1).otherwise(0))
-    by_path = F.array_sort(F.concat(*columns), by("path", "ord"))
+    # Structs sort by their fields in order; path and ord settle it before the value is looked at.
+    put = lambda nodes, *names: F.transform(nodes, lambda n: F.struct(*(n[x].alias(x) for x in names)))
+    by_path = F.array_sort(put(F.concat(*columns), "path", "ord", "pointer", "value"))
     # One-element detour: the sorted array is computed once.
     once = F.transform(F.array(by_path), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["path"] != F.get(a, i - 1)["path"])))
-    return F.array_sort(F.coalesce(once[0], columns[0]), by("ord")), kind
+    return F.array_sort(put(F.coalesce(once[0], by_path), "ord", "path", "pointer", "value")), kind
 
 
 def _plain(segments: tuple[Segment, ...], found: list[Nodes]) -> bool:
