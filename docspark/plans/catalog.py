@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.paths import matches, nodes, path
 from docspark.operators import collections as coll
-from docspark.operators import inference, search, validation
+from docspark.operators import edits, inference, search, validation
 from docspark.plans.steps import Context, Flatten, ForEach, Path, Pipeline, Script, SetVariable, Step, SubPipeline, Template
 from docspark.sources import documents as sources
 
@@ -184,7 +184,7 @@ def json_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (kind == "integer").alias("is_integer"))
 
 
-@query("SELECT event_id, 2::BIGINT AS nodes, strlen(props)::BIGINT AS bytes, 1::BIGINT AS depth FROM events")
+@query("SELECT event_id, (1 + len(json_keys(props)))::BIGINT AS nodes, strlen(props)::BIGINT AS bytes, CASE WHEN len(json_keys(props)) > 0 THEN 1 ELSE 0 END::BIGINT AS depth FROM events")
 def json_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.statistics(table(spark, sf_dir, "events"), "event_id", "props")
 
@@ -194,23 +194,44 @@ def json_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sources.minified(F.col("props")).alias("json"))
 
 
-@query("SELECT * FROM (VALUES ('$', 'object', false), ('$.k', 'integer', true)) t(path, kinds, required)")
+@query(
+    "WITH m AS (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events),"
+    " t AS (SELECT k, CASE WHEN json_type(props, '$.' || k) IN ('UBIGINT', 'BIGINT') THEN 'integer' ELSE lower(json_type(props, '$.' || k)) END AS kind, event_id FROM m)"
+    " SELECT '$' AS path, string_agg(DISTINCT lower(json_type(props)), '|') AS kinds, false AS required FROM events"
+    " UNION ALL SELECT '$.' || k, string_agg(DISTINCT kind, '|'), count(*) = (SELECT count(*) FROM events) FROM t GROUP BY k"
+)
 def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.infer(table(spark, sf_dir, "events"), "event_id", "props").select("path", "kinds", "required")
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k')::BIGINT % 2 = 0")
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def clean_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts made sloppy (comments, single quotes, a trailing comma) are read all the same."""
     e = table(spark, sf_dir, "events").withColumn("bad", F.concat(F.lit("/* x */ {'k': "), F.regexp_extract("props", r"\d+", 0), F.lit(",}")))
-    return sources.clean(e, "bad", "k bigint").select("event_id", "value.k").filter("k % 2 = 0")
+    return sources.clean(e, "bad", "k bigint").select("event_id", "value.k")
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def clean_lenient_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``clean_lenient``, every row."""
-    e = table(spark, sf_dir, "events").withColumn("bad", F.concat(F.lit("/* x */ {'k': "), F.regexp_extract("props", r"\d+", 0), F.lit(",}")))
-    return sources.clean(e, "bad", "k bigint").select("event_id", "value.k")
+    """The earlier name of ``clean_lenient``, which once left rows out."""
+    return clean_lenient(spark, sf_dir)
+
+
+@query(
+    "SELECT event_id, json_extract(props, '$.k')::DOUBLE + 0.5 AS k,"
+    " CASE event_id % 3 WHEN 0 THEN 'fence,repaired' WHEN 1 THEN 'guard' ELSE 'unwrapped' END AS notes FROM events"
+)
+def clean_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fenced texts with a plus sign, guarded ones and texts within texts, with notes of what was done."""
+    k = F.regexp_extract("props", r"\d+", 0)
+    turn = F.pmod("event_id", F.lit(3))
+    bad = (
+        F.when(turn == 0, F.concat(F.lit("```json\n{k: +"), k, F.lit(".5}\n```")))
+        .when(turn == 1, F.concat(F.lit(")]}'\n{\"k\": "), k, F.lit(".5}")))
+        .otherwise(F.concat(F.lit('"{\\"k\\": '), k, F.lit('.5}"')))
+    )
+    e = table(spark, sf_dir, "events").withColumn("bad", bad)
+    return sources.clean(e, "bad", "k double", notes="notes").select("event_id", "value.k", F.array_join("notes", ",").alias("notes"))
 
 
 @query("SELECT p_partkey, 'value' AS kind, p_name AS text FROM part WHERE contains(lower(p_name), 'an') UNION ALL SELECT p_partkey, 'key', 'p_brand' FROM part")
@@ -221,17 +242,27 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.union(keys).select("p_partkey", "kind", "text")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\w])the($|[^\\w])')")
+#: Word characters of Unicode, as SQL's pattern language names them.
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^{WORD}])the($|[^{WORD}])')")
 def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text")).alias("doc"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.struct("text").alias("doc"))
     return search.search(d, "doc_id", "the", whole_word=True, keys=False).select("doc_id").distinct()
 
 
-@query(None)
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^{WORD}])the($|[^{WORD}])')")
 def search_whole_word_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts as they are, by Unicode word bounds; the SQL's bounds are ASCII, so a test holds it against brute force."""
+    """The earlier name of ``search_whole_word``, which once searched ASCII only."""
+    return search_whole_word(spark, sf_dir)
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^{WORD}])de($|[^{WORD}])')")
+def search_whole_word_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word of several languages, in this case only, by Unicode word bounds."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.struct("text").alias("doc"))
-    return search.search(d, "doc_id", "the", whole_word=True, keys=False).select("doc_id").distinct()
+    return search.search(d, "doc_id", "de", case_sensitive=True, whole_word=True, keys=False).select("doc_id").distinct()
 
 
 @query("SELECT p_partkey, p_brand AS text FROM part WHERE regexp_matches(p_brand, '#?[1-3]+$')")
@@ -267,15 +298,21 @@ def helper_uniq_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coll.uniq_by(parts(spark, sf_dir), "p_brand").select("p_partkey", "p_brand")
 
 
-@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey")
 def helper_sort_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coll.sort_by(parts(spark, sf_dir), "p_retailprice", descending=True).select("p_partkey", "p_retailprice").limit(10)
+    return coll.sort_by(parts(spark, sf_dir), "p_retailprice", descending=True).select("p_partkey", "p_retailprice")
 
 
 @query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey")
 def helper_sort_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``helper_sort_by``, every row in order."""
-    return coll.sort_by(parts(spark, sf_dir), "p_retailprice", descending=True).select("p_partkey", "p_retailprice")
+    """The earlier name of ``helper_sort_by``, which once returned ten rows."""
+    return helper_sort_by(spark, sf_dir)
+
+
+@query("SELECT p_partkey, p_size, p_brand FROM part ORDER BY p_size, p_partkey")
+def helper_sort_by_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ascending, with many ties, which stay in order."""
+    return coll.sort_by(parts(spark, sf_dir), "p_size").select("p_partkey", "p_size", "p_brand")
 
 
 @query("SELECT p_partkey // 100 AS chunk, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
@@ -417,3 +454,30 @@ def infer_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.concat(F.lit(',"more":['), (F.floor("o_totalprice") + 0.5).cast("string"), F.lit(',"'), F.col("o_orderpriority"), F.lit('"]}'))
     texts = o.withColumn("h", head).select("o_orderkey", F.concat(F.expr("substring(h, 1, length(h) - 1)"), more).alias("json"))
     return inference.infer(texts, "o_orderkey", "json").select("path", "kinds", "present", "required", "format")
+
+
+@query(
+    "SELECT o_orderkey, o_totalprice, len(i) AS n, i[2].l_quantity AS second, o_orderstatus || '!' AS status, o_orderpriority AS priority, '[ ' || len(i) || CASE len(i) WHEN 1 THEN ' item ]' ELSE ' items ]' END AS shown"
+    " FROM orders JOIN (SELECT l_orderkey, list({'l_quantity': l_quantity} ORDER BY l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag) AS i FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
+)
+def edit_rename_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A member replaced, one renamed, one inserted; an item by its pointer; a preview."""
+    d = edits.put(orders(spark, sf_dir), "doc", "/o_orderstatus", F.concat("doc.o_orderstatus", F.lit("!")))
+    d = edits.rename_member(d, "doc", "/o_orderpriority", "priority")
+    d = edits.insert_member(d, "doc", "", "n", F.size("doc.items"), 0)
+    shown = edits.preview(F.col("doc.items"), d.schema["doc"].dataType["items"].dataType)
+    second = edits.at(d, "doc", "/items/1/l_quantity")
+    return d.select("o_orderkey", "doc.o_totalprice", F.col("doc.n").cast("bigint").alias("n"), second.alias("second"), F.col("doc.o_orderstatus").alias("status"), "doc.priority", shown.alias("shown"))
+
+
+@query(
+    "WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"
+    " SELECT l_orderkey AS o_orderkey, (n - 2)::BIGINT AS at, CASE WHEN n = 2 THEN 0 ELSE l_quantity END AS quantity FROM i WHERE n > 1"
+    " UNION ALL SELECT l_orderkey, max(n)::BIGINT - 1, -1 FROM i GROUP BY 1"
+)
+def edit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first item removed, a member of the next set, an item added at the end."""
+    d = orders(spark, sf_dir).select("o_orderkey", F.struct(F.transform("doc.items", lambda x: F.struct(x["l_quantity"].alias("quantity"))).alias("items")).alias("doc"))
+    d = edits.put(edits.remove(d, "doc", "/items/0"), "doc", "/items/0/quantity", F.lit(0))
+    d = edits.insert_item(d, "doc", "/items", F.struct(F.lit(-1.0).alias("quantity")))
+    return d.select("o_orderkey", F.posexplode("doc.items").alias("at", "item")).select("o_orderkey", F.col("at").cast("bigint").alias("at"), "item.quantity")
