@@ -13,7 +13,8 @@ Defined results
 * null text: the empty text. Empty texts have an empty fingerprint; two empty fingerprints have likeness 1, one
   empty and one other 0.
 * texts of fewer characters than a gram: the whole text is the one gram. Fewer grams than a window: one window.
-* repeated rows and equal ids: the order is descending id (null last), then a hash of the text; each row has a next row.
+* repeated rows and equal ids: the order is descending id (null last), then a hash of the text; each row has a next row. Rows of a hot id
+  are dealt to many ranges by that hash.
 * a single document is its own next one; an empty table gives an empty result.
 * very long texts: linear time; the grams of one text are in memory at once.
 * other columns, whatever their names, are ignored.
@@ -22,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -100,7 +102,8 @@ def in_circle(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, WindowSp
 
     Rows are dealt by ranges of the key, whose bounds are approximate quantiles; each range sees
     its successor's first row as a guest. There are about as many ranges as rows in a range, and the driver sees their bounds only. Rows
-    without a key come last, in ranges of the hash that orders them.
+    without a key come last, in ranges of the hash that orders them. A key that holds several quantiles is dealt by that hash too; only rows
+    that agree in key and text stay together.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("_tie", F.bitwise_not(F.xxhash64(text)))
@@ -108,6 +111,8 @@ def in_circle(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, WindowSp
     ranges = max(1, math.isqrt(n))
     found = docs.agg(F.percentile_approx(key, [k / ranges for k in range(ranges)], max(10_000, 10 * ranges))).first()[0]
     bounds = sorted(set(found or []))
+    times = Counter(found or [])
+    hot = [b for b in bounds if times[b] > 1]
     part = max(1, math.isqrt(len(bounds)))
     parts = [bounds[i : i + part] for i in range(0, len(bounds), part)]
     # Ranges of null keys: the top bits of the hash, in order.
@@ -117,7 +122,13 @@ def in_circle(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, WindowSp
     if bounds:
         at = F.greatest(F.size(F.filter(F.array(*(F.lit(p[0]) for p in parts)), lambda b: b <= F.col(key))), F.lit(1))
         inner = F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), at)
-        of = F.when(F.col(key).isNull(), nulls).otherwise(at * part + F.size(F.filter(inner, lambda b: b <= F.col(key))))
+        of = at * part + F.size(F.filter(inner, lambda b: b <= F.col(key)))
+        if hot:
+            # A hot key is the least of its range: its pieces, by the top bits of the hash, come before the range's other keys.
+            more = (max(times.values()) - 1).bit_length()
+            piece = F.when(F.col(key).isin(hot), F.shiftright("_tie", 63 - more) + F.lit(1 << more)).otherwise(F.lit(2 << more))
+            of = of.cast("long") * ((2 << more) + 1) + piece
+        of = F.when(F.col(key).isNull(), nulls).otherwise(of)
     dealt = docs.withColumn("_range", of.cast("long"))
     heads = dealt.groupBy("_range").agg(F.max(F.struct(key, "_tie")).alias("head")).orderBy(F.desc("_range")).collect()
     guests = [(h["head"][0], h["head"][1], heads[i - 1]["_range"]) for i, h in enumerate(heads)]
