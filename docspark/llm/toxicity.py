@@ -12,7 +12,7 @@ Defined results
 * null and empty texts: no terms; the score of the machine's constant alone.
 * labels: rows without a 0 or 1 label, or whose document is missing, are no training rows. Without any training row all
   scores are 0.5. With labels of one kind only, the constant is all that is learnt.
-* repeated rows: each is scored alike; repeated labels count as often as they stand there, up to the bound.
+* repeated rows: each is scored alike; repeated labels and ids count as often as they stand there, up to the bound.
 * very long texts: terms are counted once each, linear time. Empty tables: an empty result.
 * other columns, whatever their names, are ignored: only the text is an input of a score.
 """
@@ -171,9 +171,9 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic") -> Machine:
-    """Train on a bounded sample. Its term sets are made on the executors; the driver fits the machine."""
-    rows = sample(docs, labels, label, training)
+def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic", most: int = MAX_SAMPLE) -> Machine:
+    """Train on a bounded sample of ``most`` rows. Its term sets are made on the executors; the driver fits the machine."""
+    rows = sample(docs, labels, label, training, most=most)
 
     def termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -181,8 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
             found = [np.sort(terms(t)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("_at"), pa.array(found, pa.binary())], names=["label", "_at", "terms"])
 
-    got = sorted((r["_at"], r["label"], bytes(r["terms"])) for r in rows.mapInArrow(termed, "label int, _at long, terms binary").toLocalIterator())
-    return train([np.frombuffer(t, dtype=np.int32).astype(np.int64) for _, _, t in got[:MAX_SAMPLE]], np.array([y for _, y, _ in got[:MAX_SAMPLE]], dtype=np.float64))
+    # Repeated ids may bring more rows than were chosen: the cut is made again on the executors, in an order of its own.
+    some = rows.mapInArrow(termed, "label int, _at long, terms binary").orderBy("_at", "label", "terms").limit(most)
+    got = [(r["label"], bytes(r["terms"])) for r in some.toLocalIterator()]
+    return train([np.frombuffer(t, dtype=np.int32).astype(np.int64) for _, t in got], np.array([y for y, _ in got], dtype=np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -442,6 +442,22 @@ def test_next_rows_over_many_ranges(spark):
     assert seen == sorted(seen, key=lambda k: (k is None, -(k or 0)))
 
 
+def test_next_rows_with_a_hot_id(spark):
+    """An id that holds a third of all rows spreads over ranges, and the rows stay in one order."""
+    import random
+
+    rng = random.Random(2)
+    pairs = [(rng.choice([70, rng.randrange(140), rng.randrange(140)]), f"t{k}") for k in range(3000)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    rows, _ = fingerprint.in_circle(df, "doc_id", "text")
+    sizes = {r["_range"]: r["n"] for r in rows.filter("_guest = 0").groupBy("_range").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == 70).cast("int")).alias("hot")).filter("hot = 1").collect()}
+    assert len(sizes) > 10 and max(sizes.values()) < 300
+    tie = {r["text"]: r["t"] for r in df.select("text", F.bitwise_not(F.xxhash64("text")).alias("t")).collect()}
+    order = [t for k, t in sorted(pairs, key=lambda x: (-x[0], -tie[x[1]]))]
+    got = {r["text"]: r["next_text"] for r in fingerprint.with_next(df, "doc_id", "text").collect()}
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def brute_components(pairs):
     sets = {}
     for k, t in pairs:
@@ -568,6 +584,16 @@ def test_op1_held_out_accuracy(spark):
     assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_op1_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 4, f"w{k} same") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int")
+    fed = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, y: fed.append((len(rows), sorted(y.tolist()))))
+    toxicity.fit(docs, labels, F.lit(True), most=3)
+    toxicity.fit(docs, labels, F.lit(True), most=1000)
+    assert fed[0][0] == 3 and fed[1] == (200, [0.0] * 100 + [1.0] * 100)
+
+
 def test_op6_rules_and_held_out_accuracy(spark):
     """Forest, path rules and lasso run on over 200 labelled rows; scores are those of the rules applied one by one."""
     known = labelled(spark, "quality")
