@@ -19,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -181,10 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
             found = [np.sort(terms(t)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("_at"), pa.array(found, pa.binary())], names=["label", "_at", "terms"])
 
-    # Repeated ids may bring more rows than were chosen: the cut is made again on the executors, in an order of its own.
-    some = rows.mapInArrow(termed, "label int, _at long, terms binary").orderBy("_at", "label", "terms").limit(most)
-    got = [(r["label"], bytes(r["terms"])) for r in some.toLocalIterator()]
-    return train([np.frombuffer(t, dtype=np.int32).astype(np.int64) for _, t in got], np.array([y for y, _ in got], dtype=np.float64))
+    # Repeated ids may bring more rows than were chosen. The driver reads a partition at a time and holds the least ``most`` rows.
+    found = rows.mapInArrow(termed, "label int, _at long, terms binary").toLocalIterator()
+    got = heapq.nsmallest(most, ((r["_at"], r["label"], bytes(r["terms"])) for r in found))
+    return train([np.frombuffer(t, dtype=np.int32).astype(np.int64) for _, _, t in got], np.array([y for _, y, _ in got], dtype=np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
