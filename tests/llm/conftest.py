@@ -27,12 +27,28 @@ def rows() -> list[tuple]:
     return [*out, out[0], out[3], (99, base, None, "z", len(base), None, None, None, None, None)]
 
 
+ITEMS = [(1, "one two WORD"), (2, None), (3, ""), (4, "no such terms zzzzz"), (4, "Ünïcode word word, and two"), (None, "marks of " + prose(9, 30)), (5, prose(1, 60))]
+INF, NAN = float("inf"), float("nan")
+
+
+def vectors() -> list[tuple]:
+    rng = random.Random(4)
+    own = [(k, [rng.gauss(0.1 * j, 1.0 + j) for j in range(20)], "x") for k in range(60)]
+    bad = [(90, None, "x"), (91, [], "x"), (92, [None] * 20, "x"), (93, [NAN] * 20, "x"), (94, [1.0] * 19 + [INF], "x"), (95, [1.0, 2.0], "x"), (96, [1e30] * 20, "x")]
+    return [*own, own[3], (None, own[4][1], None), (3, own[5][1], "x"), *bad]
+
+
+VECTORS = "vec_id long, embedding array<float>, x string"
+
+
 @pytest.fixture(scope="session")
 def corpus(spark, tmp_path_factory):
     """The folder of the awkward tables."""
     at = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame(rows(), KIND).repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(0, 1, 0), (9, 0, 1), (None, 1, 0), (3, None, None), (500, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(vectors(), VECTORS).repartition(3).write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -42,6 +58,8 @@ def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], KIND).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
