@@ -48,19 +48,19 @@ LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
 PROBES = 64
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of ``width`` words."""
     flat, counts = word_hashes(texts, lower=True)
     up = np.uint64(0x9E3779B97F4A7C15)
     n = len(flat)
-    h = np.zeros(max(n - SHINGLE + 1, 0), dtype=np.uint64)
-    for k in range(SHINGLE):
+    h = np.zeros(max(n - width + 1, 0), dtype=np.uint64)
+    for k in range(width):
         h = mix(h * up + flat[k : k + len(h)])
     ends = np.cumsum(counts)
     for begin, end in zip((ends - counts).tolist(), ends.tolist(), strict=True):
         size = end - begin
-        if size >= SHINGLE:
-            yield np.unique(h[begin : end - SHINGLE + 1])
+        if size >= width:
+            yield np.unique(h[begin : end - width + 1])
         elif size:
             x = np.full(1, size, dtype=np.uint64)
             for w in flat[begin:end]:
@@ -156,8 +156,9 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(kept, f"a {kind}, b {kind}, estimate double")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Of the pairs (a, b) those whose full sets reach the threshold. The side that many pairs share comes last."""
+    low, high = threshold
     kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("sb")), "b")
 
@@ -166,8 +167,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * THRESHOLD[1] >= THRESHOLD[0] * max(len(a), len(b)) else 0
-                good.append(THRESHOLD[1] * shared >= THRESHOLD[0] * (len(a) + len(b) - shared))
+                shared = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * high >= low * max(len(a), len(b)) else 0
+                good.append(high * shared >= low * (len(a) + len(b) - shared))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -204,19 +205,35 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def representatives(signed: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables of all rows with the node ``rep`` of their class of equal sets, and of the representatives (id, node, name, ...), numbered in order."""
+    full = signed.filter("digest is not null")
+    first = F.min(F.struct(F.col("name").isNull().alias("none"), "name", "node"))
+    classes = full.groupBy("digest").agg(first["node"].alias("rep"))
+    members = materialize(signed.select("node", "name", "n_shingles", "digest").join(classes, "digest", "left").select("node", "name", "n_shingles", F.coalesce("rep", "node").alias("rep"), "digest"), "near-members")
+    one = members.filter("node = rep and digest is not null").select("node").distinct()
+    single = full.join(one, "node", "left_semi").select("node", "name", *columns).dropDuplicates(["node"])
+    return members, materialize(single.orderBy(F.col("name").asc_nulls_last(), "node").withColumn("id", F.monotonically_increasing_id()), "near-reps")
+
+
+def named_components(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, id, n_shingles, component_id, kept) of all rows, from the labels (id, label) of representatives."""
+    joined = labels.filter("id != label").join(reps.select(F.col("id").alias("label"), F.col("node").alias("lead"), F.col("name").alias("lead_name")), "label")
+    named = joined.join(reps.select("id", F.col("node").alias("rep")), "id").select("rep", "lead", "lead_name")
+    # A class that no other joins is led by its own representative.
+    classes = members.filter("node = rep").select("rep", F.col("name").alias("rep_name")).distinct()
+    own = members.join(classes, "rep").join(named, "rep", "left")
+    component = F.when(F.col("lead").isNull(), F.col("rep_name")).otherwise(F.col("lead_name"))
+    return own.select("node", F.col("name").alias("id"), "n_shingles", component.alias("component_id"), (F.col("node") == F.coalesce("lead", "rep")).alias("kept"))
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row (node, id, n_shingles, component_id, kept) for each document; ``kept`` holds for one node of each component.
 
     Representatives are numbered in order of id and node, so that a component's least number is that of its kept node.
     """
     signed = materialize(signatures(docs, key, text), "near-signatures")
-    full = signed.filter("digest is not null")
-    first = F.min(F.struct(F.col("name").isNull().alias("none"), "name", "node"))
-    classes = full.groupBy("digest").agg(first["node"].alias("rep"))
-    members = materialize(signed.select("node", "name", "n_shingles", "digest").join(classes, "digest", "left").select("node", "name", "n_shingles", F.coalesce("rep", "node").alias("rep"), "digest"), "near-members")
-    one = members.filter("node = rep and digest is not null").select("node").distinct()
-    single = full.join(one, "node", "left_semi").select("node", "name", "registers").dropDuplicates(["node"])
-    reps = materialize(single.orderBy(F.col("name").asc_nulls_last(), "node").withColumn("id", F.monotonically_increasing_id()), "near-reps")
+    members, reps = representatives(signed, "registers")
     discard(signed)
 
     banded = bands(reps)
@@ -225,7 +242,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = materialize(likely(stars, reps), "near-stars")
 
     grouped = banded.join(centre.select("band"), "band", "left_semi").select("id").distinct()
-    sets = materialize(_sets(docs, key, text, reps.join(grouped, "id", "left_semi").select("node", "id")), "near-sets")
+    sets = materialize(full_sets(docs, key, text, reps.join(grouped, "id", "left_semi").select("node", "id")), "near-sets")
     best = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "near-best")
     edges = materialize(confirmed(best, sets), "near-edges")
     labels = reps.select("id", F.col("id").alias("label")).distinct()
@@ -235,20 +252,14 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         discard(found)
 
     # Other stars whose ends are still apart, then members of one band group that are still apart.
-    labels = _linked(labels, _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), sets)
+    labels = linked(labels, apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), sets)
     placed = banded.join(labels, "id")
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
     held = placed.join(mixed, "band", "left_semi").select("id", "label").distinct()
     across, rare = sharing_rare(sets, held)
-    labels = _linked(labels, likely(across, reps).select("a", "b"), sets)
+    labels = linked(labels, likely(across, reps).select("a", "b"), sets)
     discard(stars, best, edges, sets, rare)
-    joined = labels.filter("id != label").join(reps.select(F.col("id").alias("label"), F.col("node").alias("lead"), F.col("name").alias("lead_name")), "label")
-    named = joined.join(reps.select("id", F.col("node").alias("rep")), "id").select("rep", "lead", "lead_name")
-    # A class that no other joins is led by its own representative.
-    classes = members.filter("node = rep").select("rep", F.col("name").alias("rep_name")).distinct()
-    own = members.join(classes, "rep").join(named, "rep", "left")
-    component = F.when(F.col("lead").isNull(), F.col("rep_name")).otherwise(F.col("lead_name"))
-    return own.select("node", F.col("name").alias("id"), "n_shingles", component.alias("component_id"), (F.col("node") == F.coalesce("lead", "rep")).alias("kept"))
+    return named_components(members, reps, labels)
 
 
 def sharing_rare(sets: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -293,14 +304,14 @@ def sharing_rare(sets: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), first
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     return pairs.join(la, "a").join(lb, "b").filter("la != lb").select("a", "b")
 
 
-def _linked(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(labels: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Labels after confirming pairs of different labels and joining their components."""
-    good = materialize(confirmed(pairs, sets), "near-edges")
+    good = materialize(confirmed(pairs, sets, threshold), "near-edges")
     if good.isEmpty():
         discard(good)
         return labels
@@ -310,14 +321,14 @@ def _linked(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, width: int = SHINGLE) -> DataFrame:
     """A row (id, hashes) with the full set of each of ``ids`` (node, id)."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())], names=["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], names=["id", "hashes"])
 
     rows = docs.select(node_of(key, text).alias("node"), text_or_empty(text).alias("text")).join(ids, "node").select("id", "text")
     return rows.mapInArrow(full, "id long, hashes binary").dropDuplicates(["id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality_rules, ranked_search, rule_ensemble, secret_scan, substring_dedup, toxicity, whitening
+from docspark.llm import fingerprint, line_dedup, mixing, near_dedup, ngram_join, packing, quality_rules, ranked_search, rule_ensemble, secret_scan, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_minhash_near_dedup": near_dedup.OP10_SQL,
     "op11_ranked_search": ranked_search.OP11_SQL,
+    "op12_ngram_join": ngram_join.OP12_SQL,
 }

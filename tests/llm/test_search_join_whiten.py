@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docspark.llm import ranked_search, whitening
+from docspark.llm import ngram_join, ranked_search, whitening
 
 from .conftest import ITEMS, rows, vectors
 
@@ -104,3 +104,111 @@ def test_triangle_merges_as_a_tree(spark, monkeypatch):
     r = whitening.triangle(df, len(x), sums)
     c = x - np.array(sums) / len(x)
     assert np.allclose(r.T @ r, c.T @ c) and np.allclose(r, np.triu(r))
+
+
+def brute_join(pairs, width=4, low=85):
+    """(doc_id, set size, component's least doc_id) of each row, by comparing all sets; None sorts last."""
+    sets = []
+    for _, text in pairs:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+        sets.append(frozenset(tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, min(len(w), 1)))))
+    low_of = list(range(len(pairs)))
+
+    def root(k):
+        while low_of[k] != k:
+            k = low_of[k]
+        return k
+
+    for a in range(len(pairs)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= low * len(sets[a] | sets[b]):
+                low_of[root(a)] = root(b)
+    least = {}
+    for k, (d, _) in enumerate(pairs):
+        least[root(k)] = min(least.get(root(k), (True, 0)), (d is None, d or 0))
+    return [(d, len(s), None if least[root(k)][0] else least[root(k)][1]) for k, ((d, _), s) in enumerate(zip(pairs, sets, strict=True))]
+
+
+def joined(spark, pairs):
+    found = ngram_join.join_components(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3))
+    return sorted((tuple(r) for r in found.select("id", "n_shingles", "component_id").collect()), key=str)
+
+
+def test_op12(spark, corpus):
+    got = ngram_join.op12_ngram_join(spark, corpus).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_join([(r[0], r[1]) for r in rows()]), key=str)
+
+
+def edited(rng, base, edits):
+    w = list(base)
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_op12_families_near_the_threshold_and_common_passages(spark):
+    """Copies with more and fewer edits than the threshold allows, a passage in every third text, short texts that differ by a word, chains."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(60)]
+    pairs, at = [], 0
+    for size in (8, 9, 12, 30, 90, 200):
+        base = [word() for _ in range(size)]
+        for edits in (0, 1, 1, 2, 3, 5, 8):
+            for _ in range(4):
+                pairs.append((at := at + 1, edited(rng, base, min(edits, size // 8 + 1)) + rng.choice(["", " tail", " two more"])))
+    for _ in range(60):
+        own = [word() for _ in range(rng.choice([20, 60, 150]))]
+        pairs.append((at := at + 1, " ".join(own[:10] + passage + own[10:])))
+    chain = [word() for _ in range(140)]
+    for k in range(12):
+        pairs.append((at := at + 1, " ".join(chain[k * 4 : k * 4 + 80])))
+    pairs += [(at + 1, "a b c"), (at + 2, "A b c"), (at + 3, "a b c d"), (at + 4, "a b c d a b c d"), (7, edited(rng, passage, 0)), (None, edited(rng, passage, 0)), (None, "x"), (at + 4, None)]
+    rng.shuffle(pairs)
+    want = brute_join(pairs)
+    assert len({c for _, _, c in want}) < len(want) - 30
+    assert joined(spark, pairs) == sorted(want, key=str)
+
+
+def test_op12_members_of_one_group_are_compared(spark):
+    """Sets of one size and one prefix that are no near copies of each other: their early shingles are the common ones, the rest differs in pairs."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(100)]
+    tails = [[f"t{j}x{k}" for k in range(14)] for j in range(4)]
+    pairs = [(10 * j + i, " ".join(base + tails[j] + [f"end{i % 2}"])) for j in range(4) for i in range(6)]
+    rng.shuffle(pairs)
+    assert joined(spark, pairs) == sorted(brute_join(pairs), key=str)
+
+
+def test_op12_a_family_costs_about_a_comparison_a_member(spark, monkeypatch):
+    """Pairs that are confirmed on full sets grow with the members of a family of near copies, not with their square."""
+    counted = []
+    real = ngram_join.confirmed
+
+    def confirmed(pairs, sets, threshold):
+        counted.append(pairs.count())
+        return real(pairs, sets, threshold)
+
+    monkeypatch.setattr(ngram_join, "confirmed", confirmed)
+    monkeypatch.setattr("docspark.llm.near_dedup.confirmed", confirmed)
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    sums = []
+    for m in (60, 240):
+        counted.clear()
+        pairs = [(k, edited(rng, base, 1)) for k in range(m)]
+        assert {c for _, _, c in joined(spark, pairs)} == {0}
+        sums.append(sum(counted))
+    assert sums[1] < 8 * 240
+
+
+def test_op12_heads_hold_what_a_link_needs():
+    """The bound of the first look, for all sizes and least overlaps."""
+    n = np.arange(1, 1200)
+    head, need = ngram_join.head_length(n), ngram_join.head_need(n)
+    for x in n.tolist():
+        y = np.arange(-(-85 * x // 100), x + 1)
+        o = -(-85 * (x + y) // 185)
+        y, o = y[o <= y], o[o <= y]
+        both = np.minimum(np.minimum(head[x - 1] - x + o, head[y - 1] - y + o), o)
+        assert (both >= need[x - 1]).all() and (both >= need[y - 1]).all()
