@@ -19,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.functions import patterns
+
 
 class PathSyntaxError(ValueError):
     """A path text that can't be read; ``position`` counts characters from 0."""
@@ -56,11 +58,14 @@ _TOKEN = re.compile(
     r"""\s*(?:(?P<num>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w])|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<re>/(?:[^/\\]|\\.)+/[imsx]*)"""
     r"""|(?P<op>&&|\|\||==|!=|<=|>=|=~|\.\.|[-!<>()\[\].,:?*@$])|(?P<name>(?:[\w]|[^\x00-\x7F\s])[\w-]*))"""
 )
+#: Parentheses within one another.
+DEEPEST = 64
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "0": "\0"}
 
 
 def _text(token: str) -> str:
-    return re.sub(r"\\(u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _ESCAPES.get(m[1], m[1]), token[1:-1])
+    raw = re.sub(r"\\(u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _ESCAPES.get(m[1], m[1]), token[1:-1])
+    return raw.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # two halves of a pair are one character, a half alone is U+FFFD
 
 
 class _Reader:
@@ -76,7 +81,7 @@ class _Reader:
                 raise PathSyntaxError(f"Unexpected {text[at:].lstrip()[:1]!r}", at)
             self.tokens.append((m.lastgroup, m[m.lastgroup], m.start(m.lastgroup)))
             at = m.end()
-        self.k = 0
+        self.k = self.depth = 0
 
     def peek(self, *values: str) -> bool:
         return self.k < len(self.tokens) and self.tokens[self.k][0] == "op" and self.tokens[self.k][1] in values
@@ -134,6 +139,8 @@ class _Reader:
         at, raw = self.tokens[self.k][2], self.take()
         if not re.fullmatch(r"-?\d+", raw):
             raise PathSyntaxError("Invalid integer", at)
+        if abs(int(raw)) >= 2**63:
+            raise PathSyntaxError("Invalid integer", at)
         return int(raw)
 
     def selector(self) -> Selector:
@@ -180,22 +187,31 @@ class _Reader:
             return Expression(self.take(), (left, self.operand()))
         if self.peek("=~"):
             self.take()
-            raw = self.take()
+            at, raw = self.tokens[self.k][2] if self.k < len(self.tokens) else len(self.text), self.take()
             pattern, flags = (raw[1 : raw.rindex("/")].replace("\\/", "/"), raw[raw.rindex("/") + 1 :]) if raw[0] == "/" else (_text(raw), "")
-            return Expression("match", (left, f"(?U{flags})" + pattern))
+            if patterns.compiled(patterns.unicode(pattern, flags)) is None:
+                raise PathSyntaxError("Invalid regular expression", at)
+            return Expression("match", (left, patterns.unicode(pattern, flags)))
         return left
 
     def operand(self) -> Expression:
         if self.peek("("):
+            self.depth += 1
+            if self.depth > DEEPEST:
+                raise PathSyntaxError("Expression nested too deeply", self.tokens[self.k][2])
             self.take()
             inner = self.either()
+            self.depth -= 1
             self.expect(")")
             return inner
         if self.peek("@", "$"):
             return Expression("path", (self.take(), self.segments(inner=True)))
         kind, raw = self.kind(), self.take()
         if kind == "num":
-            return Expression("value", (float(raw) if re.search(r"[.eE]", raw) else int(raw),))
+            value = float(raw) if re.search(r"[.eE]", raw) or abs(int(raw)) >= 2**63 else int(raw)
+            if value in (float("inf"), float("-inf")):
+                raise PathSyntaxError("Invalid number", self.tokens[self.k - 1][2])
+            return Expression("value", (value,))
         if kind == "str":
             return Expression("value", (_text(raw),))
         if raw in ("true", "false", "null"):
@@ -481,12 +497,12 @@ def _in_order(found: list[Located]) -> tuple[Column, T.DataType] | None:
         as_text = lambda v: F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(v.alias("v")))) - 6)
         columns = [F.transform(x.column, lambda n: F.struct(n["ord"], n["path"], n["pointer"], as_text(n["value"]).alias("value"))) for x in found]
         kind = T.StringType()
-    # Structs sort by their fields in order; path and ord settle it before the value is looked at.
-    put = lambda nodes, *names: F.transform(nodes, lambda n: F.struct(*(n[x].alias(x) for x in names)))
-    by_path = F.array_sort(put(F.concat(*columns), "path", "ord", "pointer", "value"))
-    # One-element detour: the sorted array is computed once.
-    once = F.transform(F.array(by_path), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["path"] != F.get(a, i - 1)["path"])))
-    return F.array_sort(put(F.coalesce(once[0], by_path), "ord", "path", "pointer", "value")), kind
+    # Keys sort without the values, which may have no order, and lead back to the nodes by their place. One-element detours: each array is computed once.
+    by_path = lambda nodes: F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["path"].alias("path"), n["ord"].alias("ord"), i.alias("i"))))
+    once = lambda keys: F.filter(keys, lambda x, i: (i == 0) | (x["path"] != F.get(keys, i - 1)["path"]))
+    each = lambda nodes: F.transform(F.array(by_path(nodes)), once)[0]
+    ordered = lambda nodes: F.transform(F.array_sort(F.transform(each(nodes), lambda k: F.struct(k["ord"], k["i"]))), lambda k: F.get(nodes, k["i"]))
+    return F.transform(F.array(F.concat(*columns)), ordered)[0], kind
 
 
 def _plain(segments: tuple[Segment, ...], found: list[Nodes]) -> bool:
@@ -515,6 +531,12 @@ def matches(df, column: str, text: str) -> Column:  # noqa: ANN001
     return F.array() if ordered is None else F.transform(ordered[0], lambda x: x["value"])
 
 
+def exists(df, column: str, text: str) -> Column:  # noqa: ANN001
+    """Whether ``text`` matches anything, without putting nodes in order."""
+    root = _root(df, column)
+    return _any(F.size(x.each()) > 0 if x.many else x.column.isNotNull() for x in walk(root, parse(text), root))
+
+
 def nodes(df, column: str, text: str) -> Column:  # noqa: ANN001
     """What ``text`` matches, in order, as an array of (path, pointer, value)."""
     root, segments = _root(df, column), parse(text)

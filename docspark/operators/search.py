@@ -2,7 +2,7 @@
 
 The keys and scalar values of a typed row are known from its type: an array of (path, kind, text) is built in one
 expression, filtered there, and only hits become rows. Values search as they are written: texts by content, numbers and booleans by
-their literal, null as ``null``.
+their literal, null as ``null``. Patterns are Java's with Unicode classes; one that the JVM can't compile finds nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.functions import patterns
+
 
 def _step(name: str) -> str:
     return f".{name}" if re.fullmatch(r"[^\W\d]\w*", name) else "['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
@@ -43,14 +45,11 @@ def matcher(query: str, case_sensitive: bool = False, whole_word: bool = False,
     """A function from a text column to whether it matches. A pattern that can't be compiled matches nothing."""
     if not whole_word and not regex:
         return (lambda t: t.contains(query)) if case_sensitive else (lambda t: F.contains(F.lower(t), F.lit(query.lower())))
-    try:
-        re.compile(query if regex else re.escape(query))
-    except re.error:
-        return lambda t: F.lit(False)
     inner = query if regex else re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", query)
-    pattern = rf"(?<!\w)(?:{inner})(?!\w)" if whole_word else inner
-    flags = "U" if case_sensitive else "iU"
-    return lambda t: t.rlike(f"(?{flags}){pattern}")
+    pattern = patterns.unicode(rf"(?<!\w)(?:{inner})(?!\w)" if whole_word else inner, "" if case_sensitive else "i")
+    if patterns.compiled(pattern) is None:
+        return lambda t: F.lit(False)
+    return lambda t: t.rlike(pattern)
 
 
 def search(df: DataFrame, key: str, query: str, *, case_sensitive: bool = False, whole_word: bool = False, regex: bool = False, keys: bool = True, values: bool = True) -> DataFrame:

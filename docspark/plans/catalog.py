@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions.paths import matches, nodes, path
+from docspark.functions.paths import exists, matches, nodes, path
 from docspark.operators import collections as coll
 from docspark.operators import edits, inference, search, validation
 from docspark.plans.steps import Context, Flatten, ForEach, Path, Pipeline, Script, SetVariable, Step, SubPipeline, Template
@@ -148,7 +148,7 @@ def path_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def path_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = orders(spark, sf_dir)
-    return d.filter(F.size(matches(d, "doc", "$[?(@[?(@.l_quantity > 45)])]")) > 0).select("o_orderkey")
+    return d.filter(exists(d, "doc", "$[?(@[?(@.l_quantity > 45)])]")).select("o_orderkey")
 
 
 @query("SELECT l_orderkey AS o_orderkey, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice > o_totalprice")
@@ -481,3 +481,81 @@ def edit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = edits.put(edits.remove(d, "doc", "/items/0"), "doc", "/items/0/quantity", F.lit(0))
     d = edits.insert_item(d, "doc", "/items", F.struct(F.lit(-1.0).alias("quantity")))
     return d.select("o_orderkey", F.posexplode("doc.items").alias("at", "item")).select("o_orderkey", F.col("at").cast("bigint").alias("at"), "item.quantity")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, m): an order as an open object, whose names depend on the row."""
+    o = table(spark, sf_dir, "orders")
+    status, priority = F.concat(F.lit("x-"), "o_orderstatus"), F.left("o_orderpriority", F.lit(1))
+    return o.select("o_orderkey", F.create_map(F.lit("price"), F.col("o_totalprice"), status, F.floor("o_totalprice").cast("double") % 7, F.concat(F.lit("p"), priority), F.lit(1.0)).alias("m"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, '/m/x-' || o_orderstatus AS x, floor(o_totalprice)::BIGINT % 7 AS v, '/m/p' || o_orderpriority[1] AS p, o_orderpriority[1] AS c FROM orders)"
+    " SELECT o_orderkey, x AS instance_path, 'maximum' AS keyword, 'Value ' || v || ' exceeds maximum 4' AS message FROM o WHERE v > 4"
+    " UNION ALL SELECT o_orderkey, p, 'false', 'Not allowed' FROM o WHERE c NOT IN ('1', '2')"
+    " UNION ALL SELECT o_orderkey, p, 'pattern', 'Does not match pattern ''^(price|x-.|p[1-4])$''' FROM o WHERE c NOT IN ('1', '2', '3', '4')"
+    " UNION ALL SELECT o_orderkey, '/m', 'maxProperties', 'Object has 3 properties, expected at most 2' FROM o"
+    " UNION ALL SELECT o_orderkey, '/m', 'required', 'Missing required property ''x-F''' FROM o WHERE x <> '/m/x-F'"
+    " UNION ALL SELECT o_orderkey, '/m', 'dependentRequired', 'Property ''x-F'' is required when ''p1'' is present' FROM o WHERE c = '1' AND x <> '/m/x-F'"
+)
+def validate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members known at run time only: patterns of names, names nothing else takes, names themselves, their number."""
+    schema = {
+        "properties": {"price": {"type": "number"}, "p1": True}, "patternProperties": {"^x-": {"maximum": 4}, "^p2$": True}, "additionalProperties": False,
+        "propertyNames": {"pattern": "^(price|x-.|p[1-4])$"}, "minProperties": 3, "maxProperties": 2, "required": ["price", "x-F"], "dependentRequired": {"p1": ["x-F"]},
+    }
+    return validation.validate(_members(spark, sf_dir), "o_orderkey", {"properties": {"m": schema}}).select("o_orderkey", "instance_path", "keyword", "message")
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_size, p_size < 10 AS low, p_size % 7 <> 0 AS odd FROM part WHERE NOT (p_size >= 10 AND p_size % 7 = 0) AND p_size <> 3)"
+    " SELECT p_partkey, 'anyOf' AS keyword, 'Does not match any of 3 schemas' AS message FROM p"
+    " UNION ALL SELECT p_partkey, 'minimum', 'Value ' || p_size || ' is less than minimum 10' FROM p WHERE low AND NOT odd"
+    " UNION ALL SELECT p_partkey, 'multipleOf', 'Value ' || p_size || ' is not a multiple of 7' FROM p WHERE odd AND NOT low"
+    " UNION ALL SELECT p_partkey, 'const', 'Must be equal to 3' FROM p WHERE odd AND low"
+    " UNION ALL SELECT p_partkey, 'oneOf', 'Matches 2 of 2 schemas, expected exactly one' FROM part WHERE p_retailprice BETWEEN 950 AND 1500"
+)
+def validate_best_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the best branch: a branch for texts ranks last, of the others the one with fewer errors, then the earlier one."""
+    schema = {"properties": {"p_size": {"anyOf": [{"type": "string"}, {"minimum": 10, "multipleOf": 7}, {"const": 3}]}, "p_retailprice": {"oneOf": [{"minimum": 950}, {"maximum": 1500}]}}}
+    return validation.validate(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", schema).select("p_partkey", "keyword", "message")
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS r FROM orders)"
+    " SELECT k AS o_orderkey, '/ip' AS instance_path FROM o WHERE k % 300 > 255 UNION ALL SELECT k, '/day' FROM o WHERE r = 1 UNION ALL SELECT k, '/at' FROM o WHERE r = 2"
+    " UNION ALL SELECT k, '/mail' FROM o WHERE r = 3 UNION ALL SELECT k, '/v6' FROM o WHERE k % 20000 > 9999 UNION ALL SELECT k, '/uri' FROM o WHERE r = 0"
+)
+def validate_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made of each order that a format takes or refuses."""
+    k, r, d = F.col("o_orderkey"), F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("10.0.0."), (k % 300).cast("string")).alias("ip"),
+        F.when(r == 1, F.concat(F.left(d, F.lit(8)), F.lit("32"))).otherwise(d).alias("day"),
+        F.concat(d, F.when(r == 2, " ").otherwise("T"), F.lit("10:20:30.5Z")).alias("at"),
+        F.concat(F.lit("a."), F.when(r == 3, ".").otherwise("b"), k.cast("string"), F.lit("@example.org")).alias("mail"),
+        F.concat(F.lit("::"), (k % 20000).cast("string")).alias("v6"),
+        F.concat(F.when(r == 0, "").otherwise("urn"), F.lit(":x:"), k.cast("string")).alias("uri"),
+    )
+    names = {"ip": "ipv4", "day": "date", "at": "date-time", "mail": "email", "v6": "ipv6", "uri": "uri"}
+    return validation.validate(o, "o_orderkey", {"properties": {c: {"format": f} for c, f in names.items()}}).select("o_orderkey", "instance_path")
+
+
+@query(
+    "SELECT o_orderkey, 'pattern' AS keyword FROM orders WHERE NOT regexp_matches(strftime(o_orderdate, '%Y-%m-%d'), '^199[0-5]')"
+    " UNION ALL SELECT o_orderkey, 'enum' FROM orders WHERE o_orderkey NOT IN (9007199254740992, 7, 32)"
+)
+def validate_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date column is a text to keywords; whole numbers are compared as such."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("n"))
+    schema = {"properties": {"day": {"type": "string", "format": "date", "pattern": "^199[0-5]", "minLength": 10}, "n": {"enum": [9007199254740992, 7.0, 32, "x"]}}}
+    return validation.validate(o, "o_orderkey", schema).select("o_orderkey", "keyword")
+
+
+@query(r"SELECT p_partkey, p_name AS text FROM part WHERE regexp_matches(p_name, '^\p{L}+ \p{Ll}')")
+def search_unicode_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of Unicode in a pattern."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return search.search(p, "p_partkey", r"^\p{L}+ \p{Ll}", case_sensitive=True, regex=True, keys=False).select("p_partkey", "text")

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docspark.functions import formats
 from docspark.operators import collections as coll
 from docspark.operators import inference, search, validation
 from docspark.plans.steps import Context, Flatten, ForEach, Pipeline, SetVariable, Step, SubPipeline, Template
@@ -73,12 +74,12 @@ def test_inference_of_paths_formats_and_alternatives(spark):
     assert inference.statistics(few, "id", "j").first()["depth"] == 9
     items = spark.createDataFrame([(1, '[{"id":1},{"id":2.5,"n":"x"}]')], "id int, j string")
     assert {r["path"]: (r["kinds"], r["required"]) for r in inference.infer_items(items, "id", "j").collect()} == {"$": ("object", False), "$.id": ("number", True), "$.n": ("string", False)}
-    formats = {
+    shapes = {
         "2024-13-01T00:00:00Z": "date-time", "2024-13-01": None, "10:00:00": None, "10:00:00Z": "time", "a@b.c": "email", "1.2.3.4": "ipv4", "01.02.03.04": None, "1.2.3": None, "1.2.3.4.": None,
         "mailto:x": "uri", "urn:a:b": "uri", "http://a": "uri", "x:y": None, "": None,
     }
-    shown = spark.createDataFrame([(k,) for k in formats], "t string").select("t", inference.format_of(F.col("t")).alias("f")).collect()
-    assert {r["t"]: r["f"] for r in shown} == formats
+    shown = spark.createDataFrame([(k,) for k in shapes], "t string").select("t", formats.detected(F.col("t")).alias("f")).collect()
+    assert {r["t"]: r["f"] for r in shown} == shapes
 
 
 def test_validation(spark):
@@ -126,15 +127,15 @@ def test_validation_of_references_and_numbers(spark):
     schema = {"$defs": {"step": {"multipleOf": 0.25}, "short": {"$anchor": "short", "maxLength": 2}}, "properties": {"v": {"$ref": "#/$defs/step"}, "t": {"$ref": "#short"}}}
     assert found(df, schema) == [(2, "/t", "maxLength"), (2, "/v", "multipleOf")]
     assert found(df, {"properties": {"v": {"enum": [0.5, "x", None]}}}) == [(2, "/v", "enum"), (3, "/v", "enum")]
-    assert found(df, {}) == [] and validation.validate(df, "id", {}).columns == ["id", "ord", "instance_path", "schema_path", "keyword"]
+    assert found(df, {}) == [] and validation.validate(df, "id", {}).columns == ["id", "ord", "instance_path", "schema_path", "keyword", "message"]
     for bad in ({"$ref": "#/nowhere"}, {"$ref": "http://else.where/x"}, {"$ref": "#"}, {"properties": {"t": {"pattern": "("}}}):
         with pytest.raises(validation.SchemaError):
             validation.validate(df, "id", bad)
 
 
 def test_validation_formats(spark):
-    good = {"date-time": ["2024-02-29T10:00:00Z", "2024-01-01 23:59:60+01:00"], "ipv6": ["::1", "2001:db8::8:800", "1:2:3:4:5:6:7:8"], "uri-reference": ["a/b?c", "#x"], "date": ["2024-02-29"]}
-    bad = {"date-time": ["2023-02-29T10:00:00Z", "2024-01-01T10:00:00"], "ipv6": ["1:2:3", "1::2::3", "12345::", ":::"], "uri-reference": ["a b"], "date": ["2023-02-29", "2024-13-01"]}
+    good = {"date-time": ["2024-02-29T10:00:00Z", "2024-01-01T23:59:60+01:00"], "ipv6": ["::1", "2001:db8::8:800", "1:2:3:4:5:6:7:8"], "uri-reference": ["a/b?c", "#x"], "date": ["2024-02-29"]}
+    bad = {"date-time": ["2023-02-29T10:00:00Z", "2024-01-01T10:00:00", "2024-01-01 23:59:60+01:00"], "ipv6": ["1:2:3", "1::2::3", "12345::", ":::"], "uri-reference": ["a b"], "date": ["2023-02-29", "2024-13-01"]}
     for name in good:
         values = [(k, x) for k, x in enumerate(good[name] + bad[name])]
         df = spark.createDataFrame(values, "id int, t string")

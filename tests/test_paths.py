@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.functions.paths import PathSyntaxError, matches, nodes, parse, path
+from docspark.functions.paths import PathSyntaxError, exists, matches, nodes, parse, path
 
 FLEET = {
     "depot": {"city": "Turku", "lanes": 3},
@@ -135,3 +135,25 @@ def test_path(fleet, text, value):
 def test_errors(text):
     with pytest.raises(PathSyntaxError):
         parse(text)
+
+
+def test_maps_on_the_way_and_in_descent(spark):
+    """Maps have no order among values; their nodes are found all the same."""
+    df = spark.sql("SELECT named_struct('m', map('k', 1), 'a', array(named_struct('x', 2))) AS doc")
+    assert [n["path"] for n in df.select(F.explode(nodes(df, "doc", "$..*")).alias("n")).select("n.*").collect()][:1] == ["$.m"]
+
+
+@pytest.mark.parametrize("text", ["$[?(@ =~ /(/)]", "$[?(@ =~ '(?P<a>x)')]", "$[99999999999999999999]", "$[?(@ > 1e999)]", "$[?(" + "(" * 70 + "1" + ")" * 70 + ")]"])
+def test_refused(spark, text):
+    with pytest.raises(PathSyntaxError):
+        parse(text)
+
+
+def test_escapes_of_pairs(spark):
+    assert parse(r"$['😀']")[0].selectors[0].value == "😀" and parse(r"$['\ud83d']")[0].selectors[0].value == "�"
+    assert parse(r"$[?(@ =~ /\p{L}/)]")
+
+
+def test_exists_needs_no_order(spark):
+    df = spark.sql("SELECT named_struct('a', array(1, 2), 'b', cast(null AS int)) AS doc")
+    assert [df.select(exists(df, "doc", t)).first()[0] for t in ("$.a[?(@ > 1)]", "$.b", "$..b", "$.a[5]", "$.zz")] == [True, False, False, False, False]
