@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import inference, trees
+from docspark.operators import inference, tree_validation, trees
 from docspark.plans.catalog import query, table
 from docspark.sources.nodes import shred, written
 
@@ -118,3 +118,25 @@ def infer_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five values seen, in order."""
     found = inference.infer(table(spark, sf_dir, "events"), "event_id", "props").filter("path = '$.k'")
     return found.select("path", F.posexplode("examples").alias("n", "example")).select("path", (F.col("n") + 1).cast("bigint").alias("n"), "example")
+
+
+_REPLY = "(SELECT k, q, f, repeat('/replies/0', i::INTEGER) AS place FROM " + _NTH + ")"
+
+
+@query(
+    f"SELECT k AS o_orderkey, place || '/q' AS instance_path, 'anyOf' AS keyword, 'Does not match any of 2 schemas' AS message FROM {_REPLY} WHERE q > 10 AND q % 5 <> 0"
+    f" UNION ALL SELECT k, place || '/q', 'maximum', 'Value ' || q || ' exceeds maximum 10' FROM {_REPLY} WHERE q > 10 AND q % 5 <> 0"
+    f" UNION ALL SELECT k, place || '/f', 'type', 'Expected string, got null' FROM {_REPLY} WHERE f = 'N'"
+    f" UNION ALL SELECT k, place, 'required', 'Missing required property ''f''' FROM {_REPLY} WHERE f = 'A'"
+)
+def validate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments within comments, as deep as an order has items, by a schema that refers to itself."""
+    inner = F.aggregate(F.reverse("items"), F.lit(""), lambda below, x: F.concat(x.substr(F.lit(1), F.char_length(x) - 1), F.lit(',"replies":['), below, F.lit("]}")))
+    texts = _items(spark, sf_dir).select("o_orderkey", inner.alias("json"))
+    comment = {
+        "type": "object", "required": ["q", "f"],
+        "properties": {"q": {"type": "integer", "anyOf": [{"maximum": 10}, {"multipleOf": 5}]}, "f": {"type": "string"}, "replies": {"type": "array", "items": {"$ref": "#/$defs/comment"}}},
+    }
+    nodes = written(shred(texts, "o_orderkey", "json"), "tree-nodes")
+    found = tree_validation.validate_nodes(nodes, "o_orderkey", {"$defs": {"comment": comment}, "$ref": "#/$defs/comment"})
+    return found.select("o_orderkey", "instance_path", "keyword", "message")
