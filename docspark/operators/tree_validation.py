@@ -1,11 +1,10 @@
 """Validation of ragged documents: a JSON Schema over the table of nodes, recursive references included.
 
-Three passes over the depths of the documents, each a few joins for a depth, and each depth written before the next:
-
-* down: a frontier of (node, place in the schema). Places that apply to the same node, through references and branches, are known from the schema alone; a
-  join with the children gives the next depth. A recursive reference goes on for as long as there are nodes.
-* up: the violations of each node at each place, and how many there are below; with them branches are decided (``anyOf`` and its kin).
-* down again: which places report, so that only the best branch of a failed ``anyOf`` or ``oneOf`` does.
+Which places of the schema apply to a node follows from the steps that lead to it, so each node finds its places from its own path, in one pass and
+without a join, however deep a recursive reference goes. Places reached by ``properties``, ``items``, ``allOf`` and references apply for sure, and their violations are
+the result. Only places under branches (``anyOf`` and its kin, ``contains``) need a verdict first: what fails at a node and below. Verdicts
+go up by the height of a branch in the schema, or by depth where a branch refers to itself; then the branches that report, such as the best one of a failed ``anyOf``,
+are followed down until none has places below. Each of these rounds is written.
 
 A document's nodes meet by document and parent only, so work spreads over the nodes of a large document too. Nodes tell null from missing, so a
 null member is there. Numbers are compared by their doubles, multiples by their digits. A false schema reports the keyword ``false`` at its node.
@@ -24,7 +23,7 @@ from pyspark.sql import types as T
 from docspark.functions import formats
 from docspark.operators import validation as typed
 from docspark.operators.validation import VIOLATION, SchemaError
-from docspark.sources.nodes import dropped, literal_canon, written
+from docspark.sources.nodes import ELEMENT, dropped, literal_canon, written
 
 KIDS = "array<struct<sib:int,name:string,canon:string>>"
 
@@ -51,11 +50,12 @@ class Places:
     """The places of a schema, found from the root on."""
 
     def __init__(self, root: dict | bool) -> None:
-        self.root, self.found, self._at = root, {}, {}
+        self.root, self.found, self._at, self.below = root, {}, {}, {}
         self._index(root, "#")
         self._visit("#", root)
-        for p in self.found:
-            self.closure(p)  # a reference that leads back without a step down is refused here
+        for p in self.found.values():
+            self.closure(p.at)  # a reference that leads back without a step down is refused here
+            self.children(p, F.lit(None), F.lit(None))  # notes the places below
 
     def _index(self, schema: object, at: str) -> None:
         if isinstance(schema, dict):
@@ -101,19 +101,41 @@ class Places:
             out += [y for y in self.closure(x, (*above, at)) if y not in out]
         return [*out, at]
 
+    def sure(self, at: str) -> set[str]:
+        """A place and those that apply wherever it does."""
+        return {at}.union(*(self.sure(x) for x in self.found[at].every))
+
+    def branched(self) -> set[str]:
+        """The places that a branch can lead to."""
+        todo = [x for p in self.found.values() for x in p.same() if x not in p.every]
+        todo += [f"{p.at}/contains" for p in self.found.values() if isinstance(p.schema, dict) and "contains" in p.schema]
+        out: set[str] = set()
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out.add(x)
+                todo += [*self.found[x].same(), *self.below.get(x, ())]
+        return out
+
+    def height(self, at: str, above: tuple[str, ...] = ()) -> float:
+        """Steps down that a verdict at a place can need; infinite where it refers to itself."""
+        if at in above:
+            return float("inf")
+        return max((1 + self.height(y, (*above, at)) for x in self.closure(at) for y in self.below.get(x, ())), default=0)
+
     def needs_kids(self) -> bool:
         words = {"required", "dependentRequired", "dependencies", "dependentSchemas", "propertyNames", "uniqueItems"}
         return any(isinstance(p.schema, dict) and words & set(p.schema) for p in self.found.values())
 
-    def children(self, p: Place) -> Column | None:
-        """For a child ``c`` of a node at this place, its places as an array of (entry, contains)."""
+    def children(self, p: Place, name: Column, idx: Column) -> Column | None:
+        """The places of a child of a node at this place, as an array of (entry, contains)."""
         s, found = p.schema, []
         if isinstance(s, bool):
             return None
-        name, idx = F.col("c.name"), F.col("c.idx")
 
         def add(when: Column, sub: str, contains: bool = False) -> None:
             at = f"{p.at}/{sub}"
+            self.below.setdefault(p.at, set()).add(at)
             if self.found[at].schema is not True or contains:
                 found.append(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(at).alias("entry"), F.lit(contains).alias("contains"))))
 
@@ -192,12 +214,6 @@ class Places:
                 says = lambda t: F.concat(F.lit("Array has duplicate items at indices "), t["i"].cast("string"), F.lit(" and "), t["j"].cast("string"))
                 double = array & (F.size(F.array_distinct(F.transform(kids, lambda y: y["canon"]))) < n)
                 rows.append(F.when(double, F.transform(F.filter(firsts, lambda t: t["i"] < t["j"]), lambda t: typed._row(here, f"{p.at}/uniqueItems", "uniqueItems", says(t)))).otherwise(typed._none()))
-            elif keyword == "contains":
-                least, most, hits = s.get("minContains", 1), s.get("maxContains"), F.col("hits")
-                found = F.concat(F.lit("Found "), typed._count(hits, "item", "items"), F.lit(" matching 'contains'"))
-                add(keyword, array & (hits < least), F.lit("No items match 'contains' schema") if "minContains" not in s else F.concat(found, F.lit(f", expected at least {least}")))
-                if most is not None:
-                    add(keyword, array & (hits > most), F.concat(found, F.lit(f", expected at most {most}")))
             elif keyword == "required":
                 for name in v:
                     add(keyword, object_ & ~has(name), f"Missing required property '{name}'")
@@ -211,6 +227,16 @@ class Places:
                 rows.append(F.when(object_, F.flatten(F.transform(names, lambda k: each(k)))).otherwise(typed._none()))
         return typed._rows(rows)
 
+    def contained(self, p: Place) -> Column:
+        """The violations of ``contains``, from ``hits``, the number of items that match."""
+        s, rows, hits = p.schema, [], F.col("hits")
+        least, most = s.get("minContains", 1), s.get("maxContains")
+        found = F.concat(F.lit("Found "), typed._count(hits, "item", "items"), F.lit(" matching 'contains'"))
+        says = F.lit("No items match 'contains' schema") if "minContains" not in s else F.concat(found, F.lit(f", expected at least {least}"))
+        for bad, message in ((hits < least, says), *([(hits > most, F.concat(found, F.lit(f", expected at most {most}")))] if most is not None else [])):
+            rows.append(typed._one(F.col("pointer"), f"{p.at}/contains", "contains", (F.col("kind") == "array") & bad, message))
+        return typed._rows(rows)
+
     # Verdicts from ``m``, a map of places to (errors, type): the violations of a place itself and below, and whether the node's own type is one of them.
 
     def verdict(self, at: str, m: Column) -> Column:
@@ -254,10 +280,10 @@ class Places:
 
         return typed._let(self._branches(branches, m), decide)
 
-    def active(self, at: str, m: Column) -> Column:
+    def active(self, at: str, m: Column, every: bool = True) -> Column:
         """The places that report where this one does, as an array of (place, rows), with the violations of their branches."""
         p = self.found[at]
-        here, rows, more = F.col("pointer"), [], [self.active(x, m) for x in p.every]
+        here, rows, more = F.col("pointer"), [], [self.active(x, m) for x in p.every] if every else []
         for keyword, branches in (("anyOf", p.any_of), ("oneOf", p.one_of)):
             if branches:
                 b = self._branches(branches, m)
@@ -293,72 +319,144 @@ def _same(a: str, b: str) -> Column:
 def validate_nodes(nodes: DataFrame, key: str, schema: dict | bool) -> DataFrame:
     """(key, ord, instance_path, schema_path, keyword, message): the violations of each document, in order of the nodes. ``nodes`` is best a written table."""
     places = Places(schema)
+    branched, kept = places.branched(), []
     nodes = nodes.withColumnRenamed(key, "_doc")
-    closures = F.create_map(*(x for p in places.found for x in (F.lit(p), F.array(*(F.lit(y) for y in places.closure(p))))))
-    below = [(p.at, c) for p in places.found.values() if (c := places.children(p)) is not None]
-    entries = F.array().cast("array<struct<entry:string,contains:boolean>>")
 
-    # Down: pairs of nodes and places by depth, and the steps between depths.
-    frontier = nodes.filter("depth = 0").select("_doc", "pre", F.lit("#").alias("entry"))
-    pairs, steps = [], []
-    while True:
-        pairs.append(written(frontier.select("_doc", "pre", F.explode(closures[F.col("entry")]).alias("place")).distinct(), "tree-pairs"))
-        child = nodes.filter(F.col("depth") == len(pairs)).select(F.col("_doc").alias("_cd"), F.col("pre").alias("child"), "parent", "name", "idx").alias("c")
-        met = pairs[-1].join(child, _same("_doc", "_cd") & (F.col("pre") == F.col("parent")))
-        step = met.select("_doc", F.col("pre").alias("parent"), "place", "child", F.explode(_switch(below, entries)).alias("e")).select("_doc", "parent", "place", "child", "e.*")
-        step = written(step, "tree-steps")
-        if step.isEmpty():
-            dropped(step)
-            break
-        steps.append(step)
-        frontier = step.select("_doc", F.col("child").alias("pre"), "entry").distinct()
-
-    # Up: the violations of each pair and the verdict of each place, from the deepest nodes on.
-    local = [(p.at, places.local(p)) for p in places.found.values()]
-    verdicts = [(p, places.verdict(p, F.col("m"))) for p in places.found]
-    kids = nodes.filter("depth > 0").groupBy(F.col("_doc").alias("_kd"), F.col("parent").alias("_kp")).agg(F.array_sort(F.collect_list(F.struct("sib", "name", "canon"))).alias("kids")) if places.needs_kids() else None
-    rows_at, found_at = [None] * len(pairs), [None] * len(pairs)
-    for depth in range(len(pairs) - 1, -1, -1):
-        here = nodes.filter(F.col("depth") == depth).select(F.col("_doc").alias("_nd"), F.col("pre").alias("_np"), "pointer", "kind", "text", "num", "n", "canon")
-        own = pairs[depth].join(here, _same("_doc", "_nd") & (F.col("pre") == F.col("_np"))).drop("_nd", "_np")
-        if kids is not None:
-            own = own.join(kids, _same("_doc", "_kd") & (F.col("pre") == F.col("_kp")), "left").drop("_kd", "_kp").withColumn("kids", F.coalesce("kids", F.array().cast(KIDS)))
-        else:
-            own = own.withColumn("kids", F.array().cast(KIDS))
-        if depth + 1 < len(pairs):
-            lower = found_at[depth + 1].select(F.col("_doc").alias("_ld"), F.col("pre").alias("_lp"), F.col("place").alias("entry"), F.col("v.errors").alias("errors"))
-            sums = steps[depth].join(lower, _same("_doc", "_ld") & (F.col("child") == F.col("_lp")) & (steps[depth]["entry"] == lower["entry"])).groupBy(F.col("_doc").alias("_sd"), F.col("parent").alias("_sp"), F.col("place").alias("_sat")).agg(
-                F.sum(F.when(~F.col("contains"), F.col("errors")).otherwise(0)).alias("below"), F.count_if(F.col("contains") & (F.col("errors") == 0)).alias("hits")
-            )
-            own = own.join(sums, _same("_doc", "_sd") & (F.col("pre") == F.col("_sp")) & (F.col("place") == F.col("_sat")), "left").drop("_sd", "_sp", "_sat")
-        else:
-            own = own.withColumns({"below": F.lit(0).cast("bigint"), "hits": F.lit(0).cast("bigint")})
-        own = own.withColumns({"below": F.coalesce("below", F.lit(0)), "hits": F.coalesce("hits", F.lit(0))})
-        own = own.withColumn("rows", _switch(local, typed._none()))
-        rows_at[depth] = written(own.select("_doc", "pre", "place", "pointer", "kids", "rows", "below"), "tree-rows")
-        self_type = F.exists("rows", lambda r: r["keyword"] == "type")
-        entry = F.struct("place", F.struct((F.size("rows") + F.col("below")).alias("errors"), self_type.alias("type")).alias("v"))
-        by_node = rows_at[depth].groupBy("_doc", "pre").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.first("pointer").alias("pointer"), F.first("kids").alias("kids"))
-        found = by_node.select("_doc", "pre", "pointer", "kids", "m", F.explode(F.map_keys("m")).alias("place"))
-        found_at[depth] = written(found.withColumn("v", _switch(verdicts, F.lit(None).cast("struct<errors:bigint,type:boolean>"))), "tree-found")
-
-    # Down again: where the root's place fails, what reports.
-    reports = [(p, places.active(p, F.col("m"))) for p in places.found]
-    none = F.array().cast(f"array<struct<place:string,rows:{VIOLATION}>>")
-    active, out, kept = found_at[0].filter("place = '#' and v.errors > 0").select("_doc", "pre", F.lit("#").alias("entry")), None, []
-    for depth in range(len(pairs)):
-        want = active.select(F.col("_doc").alias("_ad"), F.col("pre").alias("_ap"), "entry").distinct()
-        told = found_at[depth].join(want, _same("_doc", "_ad") & (F.col("pre") == F.col("_ap")) & (F.col("place") == F.col("entry"))).drop("place")
-        told = told.select("_doc", "pre", F.explode(_switch(reports, none, "entry")).alias("a")).select("_doc", "pre", "a.place", F.col("a.rows").alias("branch"))
-        own = rows_at[depth].select(F.col("_doc").alias("_rd"), F.col("pre").alias("_rp"), F.col("place").alias("_rat"), "rows")
-        told = written(told.join(own, _same("_doc", "_rd") & (F.col("pre") == F.col("_rp")) & (F.col("place") == F.col("_rat"))).select("_doc", "pre", "place", F.concat("rows", "branch").alias("rows")), "tree-told")
-        kept.append(told)
-        here = told.select("_doc", "pre", F.explode("rows").alias("r")).select("_doc", "pre", "r.*")
-        out = here if out is None else out.unionByName(here)
-        if depth < len(steps):
-            on = told.select(F.col("_doc").alias("_td"), F.col("pre").alias("_tp"), F.col("place").alias("_tat"))
-            active = steps[depth].filter("not contains").join(on, _same("_doc", "_td") & (F.col("parent") == F.col("_tp")) & (F.col("place") == F.col("_tat")), "left_semi").select("_doc", F.col("child").alias("pre"), "entry")
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept.append(written(df, name))
+        return kept[-1]
+
+    states = keep(_states(places, nodes), "tree-states")
+    base = _base(places, nodes, states)
+    if branched or any(p.same() for p in places.found.values()):
+        base = keep(base, "tree-base")
+        out = _with_branches(places, branched, states, base, keep)
+    else:
+        out = base.filter("sure").select("_doc", "pre", F.explode("rows").alias("r")).select("_doc", "pre", "r.*")
     out = written(out.distinct(), "tree-violations")
-    dropped(*pairs, *steps, *rows_at, *found_at, *kept)
+    dropped(*kept)
     order = F.row_number().over(Window.partitionBy("_doc").orderBy("pre", "instance_path", "schema_path", "message")) - 1
     return out.select(F.col("_doc").alias(key), order.alias("ord"), "instance_path", "schema_path", "keyword", "message")
+
+
+def _reached(places: Places, state: Column, step: Column) -> Column:
+    """Where a step leads from a state, an array of (place, sure): an array of (place, from_sure, entry, contains)."""
+    spread = F.create_map(*(x for p in places.found for x in (F.lit(p), F.array(*(F.struct(F.lit(y).alias("place"), F.lit(y in places.sure(p)).alias("sure")) for y in places.closure(p))))))
+    below = [(p.at, c) for p in places.found.values() if (c := places.children(p, step["name"], step["idx"])) is not None]
+    none = F.array().cast("array<struct<entry:string,contains:boolean>>")
+
+    def of(place: Column) -> Column:
+        out = None
+        for at, value in below:
+            out = F.when(place == at, value) if out is None else out.when(place == at, value)
+        return none if out is None else out.otherwise(none)
+
+    each = lambda st, q: F.transform(of(q["place"]), lambda e: F.struct(q["place"].alias("place"), (st["sure"] & q["sure"]).alias("from_sure"), e["entry"].alias("entry"), e["contains"].alias("contains")))
+    return F.flatten(F.transform(state, lambda st: F.flatten(F.transform(spread[st["place"]], lambda q: each(st, q)))))
+
+
+def _trail() -> Column:
+    """The steps to a node as an array of (name, idx)."""
+    at = F.split("pointer", "/")
+    return F.transform("steps", lambda x, i: F.struct(F.when(x != ELEMENT, x.substr(F.lit(2), F.char_length(x))).alias("name"), F.when(x == ELEMENT, F.get(at, i + 1)).try_cast("int").alias("idx")))
+
+
+def _states(places: Places, nodes: DataFrame) -> DataFrame:
+    """Nodes with ``led``, where the last step leads from the places of the parent; null for roots. Written by the caller, as it is read twice."""
+    start = F.array(F.struct(F.lit("#").alias("place"), F.lit(True).alias("sure")))
+    entered = lambda led: F.array_distinct(F.transform(led, lambda e: F.struct(e["entry"].alias("place"), (e["from_sure"] & ~e["contains"]).alias("sure"))))
+    up = F.aggregate(F.slice(F.col("trail"), F.lit(1), F.greatest(F.size("trail") - 1, F.lit(0))), start, lambda state, x: entered(_reached(places, state, x)))
+    led = F.when(F.col("depth") > 0, F.transform(F.array(up), lambda state: _reached(places, state, F.element_at("trail", F.lit(-1))))[0])
+    own = nodes.select("_doc", "pre", "parent", "depth", "pointer", "kind", "text", "num", "n", "canon", _trail().alias("trail"))
+    return own.withColumn("led", led).drop("trail")
+
+
+def _base(places: Places, nodes: DataFrame, states: DataFrame) -> DataFrame:
+    """(_doc, pre, depth, pointer, kind, kids, place, sure, rows): the violations of each node at each of its places, without branches."""
+    spread = F.create_map(*(x for p in places.found for x in (F.lit(p), F.array(*(F.struct(F.lit(y).alias("place"), F.lit(y in places.sure(p)).alias("sure")) for y in places.closure(p))))))
+    pairs = F.flatten(F.transform("state", lambda st: F.transform(spread[st["place"]], lambda q: F.struct(q["place"].alias("place"), (st["sure"] & q["sure"]).alias("sure")))))
+    # Of a place that is there twice, the sure one.
+    once = F.filter(F.array_distinct(pairs), lambda x: x["sure"] | ~F.exists(pairs, lambda y: (y["place"] == x["place"]) & y["sure"]))
+    start = F.array(F.struct(F.lit("#").alias("place"), F.lit(True).alias("sure")))
+    entered = F.array_distinct(F.transform("led", lambda e: F.struct(e["entry"].alias("place"), (e["from_sure"] & ~e["contains"]).alias("sure"))))
+    own = states.filter(F.col("led").isNull() | (F.size("led") > 0)).withColumn("state", F.coalesce(entered, start)).drop("led", "parent")
+    none = F.array().cast(KIDS)
+    if places.needs_kids():
+        kids = nodes.filter("depth > 0").groupBy(F.col("_doc").alias("_kd"), F.col("parent").alias("_kp")).agg(F.array_sort(F.collect_list(F.struct("sib", "name", "canon"))).alias("kids"))
+        own = own.join(kids, _same("_doc", "_kd") & (F.col("pre") == F.col("_kp")), "left").withColumn("kids", F.coalesce("kids", none))
+    else:
+        own = own.withColumn("kids", none)
+    local = [(p.at, places.local(p)) for p in places.found.values()]
+    own = own.select("_doc", "pre", "depth", "pointer", "kind", "text", "num", "n", "canon", "kids", F.explode(once).alias("x")).select("*", "x.place", "x.sure")
+    return own.select("_doc", "pre", "depth", "pointer", "kind", "kids", "place", "sure", _switch(local, typed._none()).alias("rows"))
+
+
+def _with_branches(places: Places, branched: set[str], states: DataFrame, base: DataFrame, keep) -> DataFrame:  # noqa: ANN001
+    """The violations (_doc, pre, ...) of sure places and of the branches that report."""
+    ways = states.filter("depth > 0").select("_doc", F.col("parent"), F.col("pre").alias("child"), F.explode("led").alias("e")).select("_doc", "parent", "child", "e.*")
+    ways = keep(ways.filter(F.col("place").isin(*branched) | F.col("contains")) if branched else ways.filter("contains"), "tree-ways")
+    heights = {x: places.height(x) for x in branched}
+    by_depth = float("inf") in heights.values()
+    own = base.filter(F.col("place").isin(*branched)) if branched else base.filter("false")
+    rounds = range(own.agg(F.max("depth")).first()[0] or 0, -1, -1) if by_depth else range(int(max(heights.values(), default=0)) + 1)
+    verdicts = [(p, places.verdict(p, F.col("m"))) for p in branched]
+    done = None
+    for k in rounds:
+        here = own.filter(F.col("depth") == k) if by_depth else own.filter(F.col("place").isin(*(x for x, h in heights.items() if h == k)))
+        here = _summed(places, here, ways, done)
+        here = here.withColumn("own", F.struct((F.size("rows") + F.col("below")).alias("errors"), F.exists("rows", lambda r: r["keyword"] == "type").alias("type")))
+        mine = here.select("_doc", "pre", "pointer", "kids", "place", "own", F.lit(True).alias("now"))
+        if done is not None and not by_depth:
+            mine = mine.unionByName(done.select("_doc", "pre", "pointer", "kids", "place", "own", F.lit(False).alias("now")))
+        by_node = mine.groupBy("_doc", "pre").agg(F.collect_list(F.struct("place", "own", "now")).alias("all"), F.first("pointer").alias("pointer"), F.first("kids").alias("kids"))
+        by_node = by_node.withColumn("m", F.map_from_entries(F.transform("all", lambda x: F.struct(x["place"], x["own"])))).withColumn("all", F.filter("all", lambda x: x["now"]))
+        found = by_node.select("_doc", "pre", "pointer", "kids", "m", F.explode("all").alias("a")).select("_doc", "pre", "pointer", "kids", "m", "a.place", "a.own")
+        found = keep(found.select("_doc", "pre", "pointer", "kids", "place", "own", _switch(verdicts, F.lit(None).cast("struct<errors:bigint,type:boolean>")).alias("v")), "tree-verdicts")
+        done = found if done is None else done.unionByName(found)
+
+    told = _summed(places, base, ways, done).select("_doc", "pre", "pointer", "kids", "place", "sure", "rows")
+    out = told.filter("sure").select("_doc", "pre", F.explode("rows").alias("r")).select("_doc", "pre", "r.*")
+    deciding = [p.at for p in places.found.values() if set(p.same()) - set(p.every)]
+    if not deciding:
+        return out
+    m = done.groupBy(F.col("_doc").alias("_md"), F.col("pre").alias("_mp")).agg(F.map_from_entries(F.collect_list(F.struct("place", "own"))).alias("m"))
+    m = keep(m, "tree-own")
+    own = told.select(F.col("_doc").alias("_od"), F.col("pre").alias("_op"), F.col("place").alias("_oat"), "rows")
+    none = F.array().cast(f"array<struct<place:string,rows:{VIOLATION}>>")
+    first = [(p, places.active(p, F.col("m"), every=False)) for p in deciding]
+    later = [(p, places.active(p, F.col("m"))) for p in branched]
+    asked = told.filter(F.col("sure") & F.col("place").isin(*deciding)).select("_doc", "pre", "pointer", "kids", "place")
+    reports, goes_on = first, any(places.below.get(x) for x in branched)
+    while True:
+        both = asked.join(m, _same("_doc", "_md") & (F.col("pre") == F.col("_mp")))
+        some = both.select("_doc", "pre", F.col("place").alias("from"), F.explode(_switch(reports, none)).alias("a")).select("_doc", "pre", "from", "a.*")
+        some = keep(some, "tree-told")
+        out = out.unionByName(some.select("_doc", "pre", F.explode("rows").alias("r")).select("_doc", "pre", "r.*"))
+        fresh = some.filter(F.col("place") != F.col("from")) if reports is first else some
+        fresh = fresh.select("_doc", "pre", "place").distinct()
+        out = out.unionByName(fresh.join(own, _same("_doc", "_od") & (F.col("pre") == F.col("_op")) & (F.col("place") == F.col("_oat"))).select("_doc", "pre", F.explode("rows").alias("r")).select("_doc", "pre", "r.*"))
+        if not goes_on:
+            return out
+        on = fresh.select(F.col("_doc").alias("_td"), F.col("pre").alias("_tp"), F.col("place").alias("_tat"))
+        entries = ways.filter("not contains").join(on, _same("_doc", "_td") & (F.col("parent") == F.col("_tp")) & (F.col("place") == F.col("_tat")), "left_semi").select(F.col("_doc").alias("_ed"), F.col("child").alias("_ep"), "entry").distinct()
+        at = told.join(entries, _same("_doc", "_ed") & (F.col("pre") == F.col("_ep")) & (F.col("place") == F.col("entry")))
+        asked = keep(at.select("_doc", "pre", "pointer", "kids", "place"), "tree-asked")
+        if asked.isEmpty():
+            return out
+        reports = later
+
+
+def _summed(places: Places, pairs: DataFrame, ways: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    """Pairs with ``below``, the violations under them, and those of ``contains`` among their rows."""
+    if verdicts is None:
+        pairs = pairs.withColumns({"below": F.lit(0).cast("bigint"), "hits": F.lit(0).cast("bigint")})
+    else:
+        lower = verdicts.select(F.col("_doc").alias("_ld"), F.col("pre").alias("_lp"), F.col("place").alias("_le"), F.col("v.errors").alias("errors"))
+        joined = ways.join(lower, _same("_doc", "_ld") & (F.col("child") == F.col("_lp")) & (F.col("entry") == F.col("_le")))
+        sums = joined.groupBy(F.col("_doc").alias("_sd"), F.col("parent").alias("_sp"), F.col("place").alias("_sat")).agg(
+            F.sum(F.when(~F.col("contains"), F.col("errors")).otherwise(0)).alias("below"), F.count_if(F.col("contains") & (F.col("errors") == 0)).alias("hits")
+        )
+        pairs = pairs.join(sums, _same("_doc", "_sd") & (F.col("pre") == F.col("_sp")) & (F.col("place") == F.col("_sat")), "left").drop("_sd", "_sp", "_sat")
+        pairs = pairs.withColumns({"below": F.coalesce("below", F.lit(0)), "hits": F.coalesce("hits", F.lit(0))})
+    contains = [(p.at, places.contained(p)) for p in places.found.values() if isinstance(p.schema, dict) and "contains" in p.schema]
+    return pairs.withColumn("rows", F.concat("rows", _switch(contains, typed._none()))) if contains else pairs
