@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docspark.functions.paths import exists, matches, nodes, path
 from docspark.operators import collections as coll
 from docspark.operators import edits, inference, search, validation
-from docspark.plans.steps import Context, Flatten, ForEach, Path, Pipeline, Script, SetVariable, Step, SubPipeline, Template
+from docspark.plans.steps import Context, Flatten, ForEach, Path, Pipeline, Script, SetVariable, Step, SubPipeline, Template, attempt_cast, attempt_if
 from docspark.sources import documents as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,3 +559,35 @@ def search_unicode_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of Unicode in a pattern."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return search.search(p, "p_partkey", r"^\p{L}+ \p{Ll}", case_sensitive=True, regex=True, keys=False).select("p_partkey", "text")
+
+
+@query(
+    "WITH i AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, CASE WHEN l_returnflag = 'N' THEN 'n/a' ELSE (l_quantity::BIGINT)::VARCHAR END AS t FROM lineitem)"
+    " SELECT l_orderkey, l_linenumber, 'null' AS policy, CASE WHEN t <> 'n/a' AND q <= 40 THEN 100 - q END AS result,"
+    " CASE WHEN t = 'n/a' THEN 'can''t read n/a as bigint' WHEN q > 40 THEN 'too much: ' || q END AS error FROM i"
+    " UNION ALL SELECT l_orderkey, l_linenumber, 'skip', 100 - q, NULL FROM i WHERE t <> 'n/a' AND q <= 40"
+)
+def for_each_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that fail are values with an error: kept as null with the error, or left out."""
+    text = F.when(F.col("l_returnflag") == "N", "n/a").otherwise(F.col("l_quantity").cast("bigint").cast("string"))
+    rows = items(spark, sf_dir).withColumn("t", text)
+    body = lambda df: attempt_cast(F.col("t"), "bigint").then(lambda v: attempt_if(100 - v, v <= 40, F.concat(F.lit("too much: "), v.cast("string"))))
+    kept = Pipeline((Step("each", ForEach(body, policy="null", errors="error")),)).run(rows)
+    left = Pipeline((Step("each", ForEach(body, policy="skip")),)).run(rows).withColumn("error", F.lit(None).cast("string"))
+    shown = lambda df, policy: df.select("l_orderkey", "l_linenumber", F.lit(policy).alias("policy"), "result", "error")
+    return shown(kept, "null").unionByName(shown(left, "skip"))
+
+
+@query(
+    "WITH v AS (SELECT count(*) AS n, (SELECT o_orderstatus FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)) AS s, max(o_orderkey) FILTER (WHERE o_totalprice > 1000) AS last FROM orders)"
+    " SELECT o_orderkey, o_orderkey || ' of ' || n || ', first ' || s || ', last ' || last AS label FROM orders, v"
+)
+def pipeline_variable_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables by aggregate, by path and from items that succeed are subqueries of one plan."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(coll.POS), "o_orderkey", F.struct("o_orderkey", "o_orderstatus").alias("doc"), "o_totalprice")
+    good = ForEach(lambda df: attempt_if(F.col("o_totalprice"), F.col("o_totalprice") > 1000, "cheap"), policy="null", saves={"last": lambda df: F.col("o_orderkey")})
+    p = Pipeline((
+        Step("count", SetVariable("n", aggregate=F.count("*"))), Step("status", SetVariable("s", path=("doc", "$.o_orderstatus"))), Step("each", good),
+        Step("label", Template("{{ o_orderkey }} of {{ vars.n }}, first {{ vars.s }}, last {{ vars.last }}", "doc", "label")),
+    ))
+    return p.run(o).select("o_orderkey", "label")
