@@ -152,8 +152,8 @@ def test_pipeline(spark, people):
         loop.run(df, Context(df, library={"again": loop}))
     body = ForEach(lambda d: F.col("v") + 1, ok=lambda d: F.col("v").isNotNull(), policy="skip")
     assert Pipeline((Step("f", body), Step("off", Flatten("zz"), enabled=False))).run(people).count() == 3
-    with pytest.raises(ValueError, match="item 1"):
-        ForEach(lambda d: F.col("v"), ok=lambda d: F.col("v").isNotNull()).apply(people, Context(people))
+    with pytest.raises(Exception, match="item 1"):
+        ForEach(lambda d: F.col("v"), ok=lambda d: F.col("v").isNotNull()).apply(people, Context(people)).collect()
 
 
 def test_clean(spark):
