@@ -140,3 +140,37 @@ def validate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = written(shred(texts, "o_orderkey", "json"), "tree-nodes")
     found = tree_validation.validate_nodes(nodes, "o_orderkey", {"$defs": {"comment": comment}, "$ref": "#/$defs/comment"})
     return found.select("o_orderkey", "instance_path", "keyword", "message")
+
+
+#: The texts as SQL builds them, and what they hold.
+_TEXTS = (
+    "(WITH i AS (SELECT k, string_agg('{\"q\":' || q || CASE f WHEN 'N' THEN ',\"f\":null' WHEN 'A' THEN '' ELSE ',\"f\":\"' || f || '\"' END || '}', ',' ORDER BY i) AS items, sum(CASE f WHEN 'A' THEN 2 ELSE 3 END)::BIGINT AS inner_nodes FROM "
+    + _NTH
+    + " GROUP BY k) SELECT k, inner_nodes, CASE k % 3 WHEN 0 THEN '{\"key\":' || k || ',\"note\":null,\"items\":[' || items || ']}' WHEN 1 THEN '[' || items || ']'"
+    " ELSE '{\"order\":{\"price\":' || floor(o_totalprice)::BIGINT || '.50,\"items\":[' || items || ']}}' END AS text FROM i JOIN orders ON o_orderkey = k)"
+)
+
+
+@query(f"SELECT k AS o_orderkey, inner_nodes + CASE k % 3 WHEN 1 THEN 1 ELSE 4 END AS nodes, strlen(text)::BIGINT AS bytes, (CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 4 END)::BIGINT AS depth FROM {_TEXTS}")
+def json_statistics_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, bytes and depth of texts of several shapes."""
+    return inference.statistics(ragged(spark, sf_dir), "o_orderkey", "json")
+
+
+@query(f"SELECT k AS o_orderkey, text AS json FROM {_TEXTS}")
+def json_minified_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with spaces, line feeds and a name given twice, minified: numbers as written, members in their order, the last value of a name."""
+    spaced = F.regexp_replace(F.regexp_replace("json", ":", " :\n"), ",", " ,\t")
+    twice = F.regexp_replace(spaced, '"key"', '"key":0,"key"')
+    return shred(ragged(spark, sf_dir).select("o_orderkey", twice.alias("json")), "o_orderkey", "json").filter("pre = 0").select("o_orderkey", "json")
+
+
+@query(f"SELECT k AS o_orderkey, CASE k % 3 WHEN 1 THEN '/0' ELSE CASE k % 3 WHEN 0 THEN '/items/0' ELSE '/order/items/0' END END AS pointer, q::VARCHAR AS q, CASE f WHEN 'A' THEN 'missing' WHEN 'N' THEN 'null' ELSE f END AS flag FROM {_NTH} WHERE i = 0")
+def node_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by pointer, whatever stands around them; a null member apart from a missing one."""
+    nodes = _nodes(spark, sf_dir)
+    first = nodes.filter(F.col("pointer").isin("/0", "/items/0", "/order/items/0")).select("o_orderkey", "pointer", "pre")
+    member = lambda name: nodes.filter(F.col("name") == name).select(F.col("o_orderkey").alias("_k"), F.col("parent").alias("_p"), F.col("text").alias(name))
+    both = first.join(member("q"), (F.col("o_orderkey") == F.col("_k")) & (F.col("pre") == F.col("_p"))).drop("_k", "_p")
+    both = both.join(member("f"), (F.col("o_orderkey") == F.col("_k")) & (F.col("pre") == F.col("_p")), "left")
+    return both.select("o_orderkey", "pointer", "q", F.coalesce("f", F.lit("missing")).alias("flag"))
