@@ -51,10 +51,10 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("url_password", r"://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("url_password", r"://[^\s/:@]++:[^\s/:@]{3,}+@", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 LENGTHS = "array<struct<rank:int,gap:int,hit:int,part:int>>"
