@@ -6,7 +6,7 @@ text by a weight for each term and, for each pair of terms, the product of their
 that are toxic only together (an insult and the mention of a group) are learnt, which sums of weights miss.
 
 Training takes at most ``MAX_SAMPLE`` labelled rows, those of least hash of id, so that two fits agree. Terms are kept for the fit for what they tell
-alone or in any pair of terms. Scoring is one pass over the texts without a shuffle.
+alone, or in a pair with another of the ``PAIR_TERMS`` commonest terms; both are parameters of the fit. Scoring is one pass over the texts without a shuffle.
 
 Defined results
 * null and empty texts: no terms; the score of the machine's constant alone.
@@ -39,10 +39,9 @@ MAX_SAMPLE = 20_000
 #: alone and in all pairs: most of the many terms differ by chance, and a machine given all of them learns its rows by heart.
 LEAST_ROWS = 3
 LEAST_ERRORS = 3.5
-#: All pairs of terms are looked at, which are many, so more errors are asked of them. A pair in fewer rows than that can't reach them.
+#: Pairs among the so many commonest terms of the training rows are looked at; there are half a million, so more errors are asked of them.
+PAIR_TERMS = 1024
 LEAST_PAIR_ERRORS = 6.0
-#: Cells of a block of pairs, and pairs that are counted at once.
-BLOCK_CELLS, AT_ONCE = 1 << 21, 1 << 22
 ROUNDS = 200
 SEED = 11
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,82 +96,28 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-@dataclass
-class Pairs:
-    """The rows as lists of common terms, numbered from 0, to count pairs block by block: what ``errors`` of a block of terms needs."""
-
-    flat: np.ndarray
-    bounds: np.ndarray
-    toxic_row: np.ndarray
-    entries: np.ndarray
-    starts: np.ndarray
-    share: np.ndarray
-    overall: float
-
-    def _counted(self, entries: np.ndarray, first: int, n: int) -> np.ndarray:
-        """In how many rows each of ``n`` terms from ``first`` on stands with each term."""
-        terms = len(self.share)
-        out = np.zeros(n * terms, dtype=np.int64)
-        row = np.searchsorted(self.bounds, entries, side="right") - 1
-        sizes = np.diff(self.bounds)[row]
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < len(entries):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
-            own, r = sizes[at:to], row[at:to]
-            inner = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-            out += np.bincount(np.repeat(self.flat[entries[at:to]].astype(np.int64) - first, own) * terms + self.flat[np.repeat(self.bounds[r], own) + inner], minlength=n * terms)
-            at = to
-        return out.reshape(n, terms)
-
-    def matter(self, first: int, last: int) -> np.ndarray:
-        """The terms from ``first`` to before ``last`` that matter in a pair."""
-        entries = self.entries[self.starts[first] : self.starts[last]]
-        both = self._counted(entries, first, last - first)
-        row = np.searchsorted(self.bounds, entries, side="right") - 1
-        toxic = self._counted(entries[self.toxic_row[row]], first, last - first)
-        expected = logistic(_logit(self.share[first:last])[:, None] + _logit(self.share)[None, :] - _logit(self.overall))
-        errors = np.abs(toxic - both * expected) / np.sqrt(np.maximum(both * expected * (1 - expected), 1.0))
-        errors[np.arange(last - first), np.arange(first, last)] = 0
-        return first + np.flatnonzero((errors >= LEAST_PAIR_ERRORS).any(axis=1))
-
-
-def paired(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def paired(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
     """The terms that matter in a pair: the rows with both are toxic more or less often than the effects of either alone add up to.
 
-    Only such terms can be missed by a look at each alone, as when two terms are toxic together and apart but either one's share is as usual. Pairs are
-    counted exactly, a block of terms with all others at a time. Where there are many, executors count the blocks, each with the sample's terms, which
-    are bounded as the sample is; the result is the same.
+    Only such terms can be missed by a look at each alone, as when two terms are toxic together and apart but either one's share is as usual.
     """
-    common = np.flatnonzero(counts >= LEAST_PAIR_ERRORS)
-    if not len(common):
-        return common
-    place = np.full(len(counts), -1, dtype=np.int32)
-    place[common] = np.arange(len(common), dtype=np.int32)
-    own = [p[p >= 0] for p in (place[r] for r in rows)]
-    flat, bounds = np.concatenate(own), np.concatenate(([0], np.cumsum([len(r) for r in own])))
-    toxic_row = labels > 0
-    toxic = np.bincount(flat[np.repeat(toxic_row, np.diff(bounds))], minlength=len(common))
-    entries = np.argsort(flat, kind="stable").astype(np.int32)
-    starts = np.concatenate(([0], np.cumsum(counts[common])))
-    pairs = Pairs(flat, bounds, toxic_row, entries, starts, (toxic + 0.5) / (counts[common] + 1), (labels.sum() + 0.5) / (len(labels) + 1))
-    step = max(1, BLOCK_CELLS // len(common))
-    spark = SparkSession.getActiveSession()
-    if spark is None or int((np.diff(bounds).astype(np.int64) ** 2).sum()) <= 16 * AT_ONCE:
-        return common[np.concatenate([pairs.matter(k, min(k + step, len(common))) for k in range(0, len(common), step)])]
-    sent = spark.sparkContext.broadcast(pairs)
-
-    def matter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                p = sent.value
-                yield pa.RecordBatch.from_arrays([pa.array(p.matter(k * step, min((k + 1) * step, len(p.share))), pa.int64())], names=["term"])
-
-    blocks = -(-len(common) // step)
-    found = spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(matter, "term long")
-    kept = np.sort(np.array([r["term"] for r in found.collect()], dtype=np.int64))  # at most BUCKETS numbers
-    sent.unpersist()
-    return common[kept]
+    common = np.argsort(-counts, kind="stable")[:most]
+    common = np.sort(common[counts[common] >= LEAST_ROWS])
+    both, toxic = np.zeros((2, len(common), len(common)))
+    for at in range(0, len(rows), 1024):
+        own = rows[at : at + 1024]
+        flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), [len(r) for r in own])
+        place = np.searchsorted(common, flat)
+        held = common[np.minimum(place, len(common) - 1)] == flat if len(common) else np.zeros(len(flat), dtype=bool)
+        x = np.zeros((len(own), len(common)), dtype=np.float32)
+        x[of[held], place[held]] = 1
+        both += x.T @ x
+        toxic += x.T @ (x * labels[at : at + 1024, None].astype(np.float32))
+    share = (np.diag(toxic) + 0.5) / (np.diag(both) + 1)
+    expected = logistic(_logit(share)[:, None] + _logit(share)[None, :] - _logit((labels.sum() + 0.5) / (len(labels) + 1)))
+    errors = np.abs(toxic - both * expected) / np.sqrt(np.maximum(both * expected * (1 - expected), 1.0))
+    np.fill_diagonal(errors, 0)
+    return common[(errors >= LEAST_PAIR_ERRORS).any(axis=1)] if len(common) else common
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> Machine:

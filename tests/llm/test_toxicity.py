@@ -1,4 +1,4 @@
-"""The factorization machine: pairs of all terms, its score, its sample."""
+"""The factorization machine: its score and its sample."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -6,51 +6,6 @@ from pyspark.sql import functions as F
 from docspark.llm import toxicity
 
 
-def exclusive(rng, common, n=3000):
-    """Rows labelled by exclusive or of terms 1 and 2, among many commoner terms that tell nothing."""
-    sets, labels = [], []
-    for _ in range(n):
-        has = rng.random(2) < 0.12
-        labels.append(float(has[0] != has[1]))
-        own = 10 + np.flatnonzero(rng.random(common) < 0.16) if common < 1000 else 10 + rng.choice(common, 150, replace=False)
-        sets.append(np.sort(np.concatenate([np.array([k for k in (1, 2) if has[k - 1]], dtype=np.int64), own])))
-    return sets, np.array(labels)
-
-
-def test_pairs_among_thousands_of_commoner_terms(spark):
-    """A pair that only matters jointly is found whatever number of terms is about; executors and driver find the same."""
-    rng = np.random.default_rng(4)
-    sets, labels = [], []
-    for _ in range(4000):
-        has = rng.random(2) < 0.5
-        labels.append(float(has[0] != has[1]))
-        own = rng.choice(5000, 90, replace=False) + 10
-        sets.append(np.sort(np.concatenate([np.array([k for k in (1, 2) if has[k - 1]], dtype=np.int64), own])))
-    labels = np.array(labels)
-    counts = np.bincount(np.concatenate(sets), minlength=toxicity.BUCKETS)
-    found = toxicity.paired(sets, labels, counts)
-    assert {1, 2} <= set(found.tolist()) and len(found) < 20
-
-
-def test_pairs_are_those_counted_one_by_one(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    sets, labels = exclusive(rng, 40, 600)
-    counts = np.bincount(np.concatenate(sets), minlength=64)
-    common = [t for t in range(64) if counts[t] >= toxicity.LEAST_PAIR_ERRORS]
-    x = np.array([[t in s for t in common] for s in map(set, (s.tolist() for s in sets))], dtype=float)
-    both, toxic = x.T @ x, x.T @ (x * labels[:, None])
-    share = (np.diag(toxic) + 0.5) / (np.diag(both) + 1)
-    logit = lambda p: np.log(p / (1 - p))
-    expected = 1 / (1 + np.exp(-(logit(share)[:, None] + logit(share)[None, :] - logit((labels.sum() + 0.5) / (len(labels) + 1)))))
-    errors = np.abs(toxic - both * expected) / np.sqrt(np.maximum(both * expected * (1 - expected), 1))
-    np.fill_diagonal(errors, 0)
-    want = [common[k] for k in np.flatnonzero((errors >= toxicity.LEAST_PAIR_ERRORS).any(axis=1))]
-    for cells, at_once in ((1 << 21, 1 << 22), (200, 64), (200, 1)):  # on the driver; in blocks; on executors
-        monkeypatch.setattr(toxicity, "BLOCK_CELLS", cells)
-        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
-        assert toxicity.paired(sets, labels, counts).tolist() == want
-
-
 def test_score_is_the_sum_over_pairs():
     rng = np.random.default_rng(6)
     weights, factors = rng.normal(size=50), rng.normal(size=(50, toxicity.FACTORS))
