@@ -80,3 +80,21 @@ def test_null_is_a_member_and_shapes_differ(spark):
     for bad in ({"$ref": "#"}, {"allOf": [{"$ref": "#"}]}, {"$ref": "#/nowhere"}, {"properties": {"a": 3}}, {"items": {"pattern": "("}}):
         with pytest.raises(SchemaError):
             tree_validation.validate_nodes(nodes, "id", bad).collect()
+
+
+def test_branch_that_refers_to_itself(spark):
+    """Lists of lists of numbers, or of objects that hold such: verdicts go up by depth."""
+
+    def errors(v):
+        """Whether a value is an integer, or a list of such values, or an object whose ``in`` is one."""
+        if isinstance(v, list):
+            return any(errors(x) for x in v)
+        return errors(v["in"]) if isinstance(v, dict) and set(v) == {"in"} else not (isinstance(v, int) and not isinstance(v, bool))
+
+    docs = [1, "x", [1, [2, []]], [1, ["x"]], {"in": [{"in": 1}]}, {"in": [{"in": "x"}, 3]}, {"no": 1}, [[[[{"in": [7]}]]]], [[[[{"in": [7.5]}]]]]]
+    schema = {"anyOf": [{"type": "integer"}, {"type": "array", "items": {"$ref": "#"}}, {"type": "object", "required": ["in"], "additionalProperties": False, "properties": {"in": {"$ref": "#"}}}]}
+    nodes = written(shred(spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(docs)], "id int, j string"), "id", "j"), "t")
+    got = tree_validation.validate_nodes(nodes, "id", schema).collect()
+    assert {r["id"] for r in got} == {k for k, v in enumerate(docs) if errors(v)}
+    # The best branch is followed down to what is wrong.
+    assert sorted((r["instance_path"], r["keyword"]) for r in got if r["id"] == 3) == [("", "anyOf"), ("/1", "anyOf"), ("/1/0", "anyOf"), ("/1/0", "type")]
