@@ -4,7 +4,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from docspark.operators import inference, trees
 from docspark.sources import nodes as nodes_of
