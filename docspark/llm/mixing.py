@@ -12,12 +12,15 @@ Independent draws would miss the targets by chance and could take a block more t
 The driver draws for groups of shards, each group's task for its shards.
 
 Every source's order, blocks and slots are dealt by (source, part) or by group of shards, never by source alone: a source that holds
-a third of all rows is as many groups as its rows call for. The driver holds a line for each source.
+a third of all rows is as many groups as its rows call for. Equal rows are counted before anything is placed, and a count is
+dealt in runs of ``RUN``: rows without an id, or a row that is there a million times, fill no task. What a source's rows need to know of it
+comes with the sums of its parts. The driver holds a line for each source.
 
 Defined results
 * null text: size 0. Documents of size 0 are listed with 0 words taken.
 * null source: a source of its own, last in order. Empty tables: an empty result.
 * repeated rows and equal ids: each row has its own words and its own sum; which of equal rows gets which sum is not defined.
+* null ids: ids like any other, last in a part's order.
 * very long texts: a document spans many blocks; only block indexes are exploded.
 * other columns, whatever their names, are ignored by the query and kept by ``mixed_documents``.
 """
@@ -42,7 +45,11 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_PASSES = 2
 #: Counts that the driver draws at once, and slots for each task that makes them.
-DRIVER_COUNTS, TASK_SLOTS = 1_000_000, 250_000
+DRIVER_COUNTS, TASK_SLOTS = 100_000, 250_000
+#: Most equal rows that are placed as one.
+RUN = 1000
+#: What is looked at of a draw's distribution: so many standard deviations, and counts, on both sides of its mode.
+REACH = (10, 60)
 
 
 @dataclass(frozen=True)
@@ -104,10 +111,18 @@ def shard_counts(quota: list[int], rng: np.random.Generator, lengths: list[int])
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # Beyond numpy's range the draw is a small share of the pool: binomial, kept within what is there.
-    return max(n - bad, min(good, n, int(rng.binomial(n, good / (good + bad)))))
+    """How many of ``n`` drawn from ``good`` and ``bad`` are good; by inversion, from the ratios of neighbouring probabilities, at any size."""
+    low, high, pool = max(0, n - bad), min(n, good), good + bad
+    if low == high:
+        return low
+    mode = min(high, max(low, (n + 1) * (good + 1) // (pool + 2)))
+    reach = int(REACH[0] * math.sqrt(n * (good / pool) * (bad / pool) * ((pool - n) / (pool - 1)))) + REACH[1]
+    first = max(low, mode - reach)
+    k = np.arange(first, min(high, mode + reach), dtype=np.float64)
+    rises = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    logs = np.concatenate([np.zeros(1), np.cumsum(rises)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + min(int(np.searchsorted(sums, rng.random() * sums[-1], side="right")), len(k))
 
 
 def permuted(number: np.ndarray, blocks: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -152,23 +167,38 @@ def block_words(block: Column, base: Column, longer: Column) -> Column:
     return base + (block < longer).cast("long")
 
 
-def located(rows: DataFrame, key: str, *ties: str) -> tuple[DataFrame, list[tuple[str | None, int]]]:
-    """Add to rows (key, source, size, ...) the place ``start`` of their first word in their source; and the sizes of sources.
+def counted(rows: DataFrame, key: str, *ties: str) -> DataFrame:
+    """Equal rows of (key, source, size, ...) as runs of ``n`` of them, at most ``RUN``; ``_part_key`` is a hash of the run."""
+    own = [key, "source", "size", *ties]
+    groups = rows.groupBy(*own).agg(F.count("*").alias("_n"))
+    runs = groups.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("_n") - 1, F.lit(RUN)))))
+    hashed = F.xxhash64(*(y for c in own for y in (F.col(c).isNull(), F.col(c))), "_run")
+    return runs.select(*own, "_run", F.least(F.lit(RUN), F.col("_n") - F.col("_run") * RUN).alias("_n"), hashed.alias("_part_key"))
 
-    Prefix sums in two levels: parts of a source are summed, then rows within a part; there are about as many parts as rows in a part.
+
+def located(rows: DataFrame, key: str, *ties: str, block: int = BLOCK_WORDS) -> tuple[DataFrame, list[Source]]:
+    """Add to rows (key, source, size, ...) the place ``start`` of their first word in their source, and what they need of the source; and the sources.
+
+    Added are the source's number, size, target and block lengths. Prefix sums in two levels: parts of a source are summed, then runs of equal
+    rows within a part; there are about as many parts as runs in a part.
     """
-    rows = materialize(rows, "mix-sizes")
-    parts = max(1, math.isqrt(rows.count()))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-    sums = rows.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
-    sizes = [(r["source"], int(r["n"])) for r in sums.groupBy("source").agg(F.sum("_sum").alias("n")).collect()]
-    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    within = Window.partitionBy("source", "_part").orderBy(key, "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    b = bases.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), "_base")
-    placed = placed.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return placed.withColumn("start", F.col("_in") + F.col("_base")).drop("_in", "_base", "_s", "_p", "_part"), sizes
+    spark = rows.sparkSession
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source")  # null apart from every name
+    runs = materialize(counted(rows, key, *ties).select("*", named), "mix-sizes")
+    parts = max(1, math.isqrt(runs.count()))
+    runs = runs.withColumn("_part", F.pmod("_part_key", F.lit(parts)).cast("int"))
+    words_of = F.col("size") * F.col("_n")
+    sums = runs.groupBy("_source", "_part").agg(F.first("source").alias("source"), F.sum(words_of).alias("_sum"))
+    sources = targets([(r["source"], int(r["n"])) for r in sums.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_sum").alias("n")).collect()])
+    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_source", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    facts = [("n" if s.name is None else f"s{s.name}", j, s.size, s.target, s.size // n if (n := s.blocks(block)) else 1, s.size % n if n else 0) for j, s in enumerate(sources)]
+    known = bases.join(spark.createDataFrame(facts, "_source string, source_no int, source_size long, target double, _base long, _longer long"), "_source")
+    within = Window.partitionBy("_source", "_part").orderBy(F.col(key).asc_nulls_last(), "size", *ties, "_run").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("_in", F.coalesce(F.sum(words_of).over(within), F.lit(0))).join(known, ["_source", "_part"])
+    each = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    start = F.col("_before") + F.col("_in") + F.col("_i") * F.col("size")
+    return each.withColumn("start", start).drop("_source", "_part", "_part_key", "_run", "_n", "_in", "_i", "_before"), sources
 
 
 def slots(spark: SparkSession, sources: list[Source], seed: int, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, driver_counts: int = DRIVER_COUNTS) -> DataFrame:
@@ -206,27 +236,23 @@ def slots(spark: SparkSession, sources: list[Source], seed: int, block: int = BL
     return dealt.mapInArrow(made, "shard long, source_no int, block long, n_words long")
 
 
-def taken_blocks(placed: DataFrame, sources: list[Source], seed: int, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The rows with their source's number, size, target and block lengths; and rows (source_no, start, begin, n_words, takes).
+def taken_blocks(rows: DataFrame, sources: list[Source], seed: int, block: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (source_no, start, begin, n_words, takes) of the ``located`` rows.
 
-    There is one of the latter for each block that a row has words in and the mix takes: the place of the block's first word, its
+    There is one for each block that a row has words in and the mix takes: the place of the block's first word, its
     words, and for each time it is taken how many of them from the first, most first.
     """
-    spark = placed.sparkSession
-    facts = [(j, s.name, s.size, s.target, s.size // n if (n := s.blocks(block)) else 1, s.size % n if n else 0) for j, s in enumerate(sources)]
-    named = F.broadcast(spark.createDataFrame(facts, "source_no int, _name string, source_size long, target double, _base long, _longer long"))
-    rows = placed.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    drawn = slots(spark, sources, seed, block).groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.coalesce("n_words", F.lit(1 << 40))), asc=False).alias("takes"))
+    drawn = slots(rows.sparkSession, sources, seed, block).groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.coalesce("n_words", F.lit(1 << 40))), asc=False).alias("takes"))
     base, longer = F.col("_base"), F.col("_longer")
     first, last = block_of(F.col("start"), base, longer), block_of(F.col("start") + F.col("size") - 1, base, longer)
     pieces = rows.filter("size > 0").select("source_no", "start", "_base", "_longer", F.explode(F.sequence(first, last)).alias("block"))
     begin, n = block_begin(F.col("block"), base, longer), block_words(F.col("block"), base, longer)
-    return rows, pieces.join(drawn, ["source_no", "block"]).select("source_no", "start", begin.alias("begin"), F.transform("takes", lambda x: F.least(x, n)).alias("takes"))
+    return pieces.join(drawn, ["source_no", "block"]).select("source_no", "start", begin.alias("begin"), F.transform("takes", lambda x: F.least(x, n)).alias("takes"))
 
 
-def taken(placed: DataFrame, sources: list[Source], seed: int, block: int = BLOCK_WORDS) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``taken``, the words of each row that the mix takes."""
-    rows, got = taken_blocks(placed, sources, seed, block)
+def taken(rows: DataFrame, sources: list[Source], seed: int, block: int = BLOCK_WORDS) -> DataFrame:
+    """Add to ``located`` rows ``taken``, the words of each row that the mix takes."""
+    got = taken_blocks(rows, sources, seed, block)
     of = rows.filter("size > 0").select("source_no", "start", "size")
     end = F.col("start") + F.col("size")
     words_of = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(0), F.least(end, F.col("begin") + x) - F.greatest("start", "begin")))
@@ -235,25 +261,33 @@ def taken(placed: DataFrame, sources: list[Source], seed: int, block: int = BLOC
     return joined.withColumn("taken", F.coalesce("taken", F.lit(0))).drop("_no", "_start", "source_no", "_base", "_longer")
 
 
+def _row_hash(docs: DataFrame, seed: int) -> Column:
+    """A hash of a row's columns, null apart; maps, which have no hash, by their JSON text."""
+    plain = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    return F.xxhash64(F.lit(seed), *(y for c in plain for y in (c.isNull(), c)))
+
+
+def placed_documents(docs: DataFrame, key: str, text: str, block: int = BLOCK_WORDS) -> tuple[DataFrame, list[Source]]:
+    """The ``located`` rows (_key, source, size, _row_0, _row_1, ...) of documents, and the sources; two hashes stand for a row."""
+    size = F.size(words(text_or_empty(text))).cast("long").alias("size")
+    small = docs.select(F.col(key).alias("_key"), "source", size, *(_row_hash(docs, k).alias(f"_row_{k}") for k in range(2)))
+    return located(small, "_key", "_row_0", "_row_1", block=block)
+
+
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
     """The documents as the mix takes them; their columns are those of ``docs``.
 
     A document is there once for each pass that takes words of it, with the words taken: unchanged where that is all of
     them, else the words of the blocks taken, with single spaces. ``n_chars``, where there is one, is renewed.
 
-    All placing is done on a hash of the row, its source and its size; the texts are shuffled once, to meet the blocks taken of them.
-    Equal rows are told apart by counting them on either side.
+    All placing is done on two hashes of the row, its source and its size; the texts are shuffled once, to meet the blocks taken of them. Of rows
+    that agree in all columns, one brings its text for all of them, and the tasks that read them leave one each.
     """
-    row = F.xxhash64(F.col(key).isNull(), F.col(key), F.col(text).isNull(), F.col(text), F.col("source").isNull(), F.col("source"))
-    placed, sizes = located(docs.select(row.alias("_row"), F.col(key).alias("_key"), "source", F.size(words(text_or_empty(text))).cast("long").alias("size")), "_key", "_row")
-    rows, got = taken_blocks(placed, targets(sizes), seed, block)
-    passes = got.groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct("begin", "takes"))).alias("_got"))
-    nth = lambda order: F.row_number().over(Window.partitionBy("_row").orderBy(order))
-    small = rows.filter("size > 0").join(passes, ["source_no", "start"]).select(F.col("_row").alias("_at"), "start", "size", "_got", "_row").withColumn("_nth", nth("start")).drop("_row")
-    full = docs.select(F.struct(*docs.columns).alias("_doc"), row.alias("_row")).withColumn("_copy", nth("_row"))
-    # Written as two bounds, the count is no key of the join: both sides keep the partitioning by row that their windows need.
-    joined = full.join(small, (F.col("_row") == F.col("_at")) & (F.col("_copy") <= F.col("_nth")) & (F.col("_copy") >= F.col("_nth")))
-    joined = joined.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))))
+    rows, sources = placed_documents(docs, key, text, block)
+    passes = taken_blocks(rows, sources, seed, block).groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct("begin", "takes"))).alias("_got"))
+    met = rows.filter("size > 0").join(passes, ["source_no", "start"]).select("_row_0", "_row_1", "start", "size", "_got")
+    full = docs.select(F.struct(*docs.columns).alias("_doc"), *(_row_hash(docs, k).alias(f"_row_{k}") for k in range(2))).dropDuplicates(["_row_0", "_row_1"])
+    joined = full.join(met, ["_row_0", "_row_1"]).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))))
     inside = F.transform(
         F.filter("_got", lambda x: F.size(x["takes"]) > F.col("_pass")),
         lambda x: F.struct(
@@ -273,6 +307,5 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
 def op7_mixing(spark: SparkSession, sf_dir: str, seed: int = 7) -> DataFrame:
     """How many words of each document the mix takes."""
-    docs = documents(spark, sf_dir).select("doc_id", "source", F.size(words(text_or_empty("text"))).cast("long").alias("size"))
-    placed, sizes = located(docs, "doc_id")
-    return taken(placed, targets(sizes), seed).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    mixed = taken(*placed_documents(documents(spark, sf_dir), "doc_id", "text"), seed)
+    return mixed.select(F.col("_key").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -256,6 +257,52 @@ def test_targets_and_counts():
     assert counts.sum(axis=0).tolist() == [500, 20, 0, 90] and counts.sum(axis=1).tolist() == lengths
 
 
+def test_draws_of_all_sizes_follow_one_distribution():
+    """Probabilities of a small draw against counted ones, moments of a pool as at 100 TB."""
+    rng = np.random.default_rng(5)
+    got = collections.Counter(mixing._hypergeometric(rng, 6, 9, 5) for _ in range(20_000))
+    for k in range(6):
+        want = math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5)
+        assert abs(got[k] / 20_000 - want) < 5 * math.sqrt(want * (1 - want) / 20_000) + 1e-9
+    good, bad, n = 7 * 10**9, 60 * 10**9, 10**6
+    share = good / (good + bad)
+    many = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(400)])
+    sd = math.sqrt(n * share * (1 - share))
+    assert abs(many.mean() - n * share) < 5 * sd / 20 and 0.8 < many.std() / sd < 1.2
+    assert mixing._hypergeometric(rng, 5, 3, 8) == 5 and mixing._hypergeometric(rng, 0, 4, 2) == 0 and mixing._hypergeometric(rng, 4, 0, 2) == 2
+
+
+def test_op7_null_ids_and_equal_rows_fill_no_task(spark, monkeypatch):
+    """A third of the rows without an id, a third the same row: no part of the placing holds more than a few times its share; the words are all placed once."""
+    monkeypatch.setattr(mixing, "RUN", 10)
+    pairs = [(None, f"null {k} " + "w " * (k % 7), "a", k) for k in range(1000)] + [(5, "the same row", "a", 0)] * 1000 + [(k, "own " * (k % 9), "b", 0) for k in range(10, 1010)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string, source string, start long").repartition(4)
+    small = docs.select("doc_id", "source", F.size(F.array_remove(F.split("text", " "), "")).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
+    runs = mixing.counted(small, "doc_id", "tie")
+    n = runs.count()
+    parts = math.isqrt(n)
+    assert runs.agg(F.sum("_n")).first()[0] == 3000
+    assert runs.groupBy(F.pmod("_part_key", F.lit(parts))).agg(F.sum("_n").alias("rows")).agg(F.max("rows")).first()[0] < 3000 / 5
+    rows, sources = mixing.located(small, "doc_id", "tie")
+    placed = collections.defaultdict(list)
+    for r in rows.collect():
+        placed[r["source"]].append((r["start"], r["size"]))
+    for s in sources:
+        own = sorted(placed[s.name])
+        ends = np.cumsum([size for _, size in own])
+        assert [at for at, _ in own] == [0, *ends[:-1].tolist()] and ends[-1] == s.size
+    taken = collections.Counter()
+    for r in mixing.taken(rows, sources, 7).collect():
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words_of = collections.Counter()
+    for r in mixed.collect():
+        words_of[r["source"]] += len(words(r["text"]))
+    assert all(abs(x[s.name] - s.target) <= 0.01 * s.size + 2 for s in sources for x in (taken, words_of))
+
+
 def test_slots_of_tiny_sources():
     """A target of twice the size is two passes of all blocks; any other target is met to a word, however small the source."""
     for size in (1, 5, 8, 32, 33, 40, 255, 257, 1000, 99_999):
@@ -442,6 +489,17 @@ def test_next_rows_over_many_ranges(spark):
     assert seen == sorted(seen, key=lambda k: (k is None, -(k or 0)))
 
 
+def test_bounds_of_ranges_are_not_in_the_plan(spark):
+    """The plan has as many expressions for sixteen times as many rows, and four times as many ranges; each row's range is found from literals alone."""
+    sizes = []
+    for n in (400, 6400):
+        rows, _ = fingerprint.in_circle(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), "doc_id", "text")
+        assert rows.agg(F.count_distinct("_range")).first()[0] >= 0.9 * math.isqrt(n)
+        sizes.append(rows._jdf.queryExecution().analyzed().toString().count("from_json"))
+        assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sizes[0] == sizes[1] > 0
+
+
 def test_next_rows_with_a_hot_id(spark):
     """An id that holds a third of all rows spreads over ranges, and the rows stay in one order."""
     import random
