@@ -112,7 +112,6 @@ def in_circle(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, WindowSp
     found = docs.agg(F.percentile_approx(key, [k / ranges for k in range(ranges)], max(10_000, 10 * ranges))).first()[0]
     bounds = sorted(set(found or []))
     times = Counter(found or [])
-    hot = [b for b in bounds if times[b] > 1]
     part = max(1, math.isqrt(len(bounds)))
     parts = [bounds[i : i + part] for i in range(0, len(bounds), part)]
     # Ranges of null keys: the top bits of the hash, in order.
@@ -120,14 +119,18 @@ def in_circle(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, WindowSp
     nulls = F.shiftright("_tie", 63 - bits) - F.lit(1 << bits) - 1
     of = nulls
     if bounds:
-        at = F.greatest(F.size(F.filter(F.array(*(F.lit(p[0]) for p in parts)), lambda b: b <= F.col(key))), F.lit(1))
-        inner = F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), at)
+        # The bounds are one literal, a JSON text that Spark parses while it optimizes: however many there are, the plan has the same size.
+        kind = docs.schema[key].dataType.simpleString()
+        kinds = f"parts array<array<{kind}>>, firsts array<{kind}>, hot array<{kind}>"
+        held = spark.createDataFrame([(parts, [p[0] for p in parts], [b for b in bounds if times[b] > 1])], kinds)
+        held = F.from_json(F.lit(held.select(F.to_json(F.struct("*"))).first()[0]), kinds)
+        at = F.greatest(F.size(F.filter(held["firsts"], lambda b: b <= F.col(key))), F.lit(1))
+        inner = F.element_at(held["parts"], at)
         of = at * part + F.size(F.filter(inner, lambda b: b <= F.col(key)))
-        if hot:
-            # A hot key is the least of its range: its pieces, by the top bits of the hash, come before the range's other keys.
-            more = (max(times.values()) - 1).bit_length()
-            piece = F.when(F.col(key).isin(hot), F.shiftright("_tie", 63 - more) + F.lit(1 << more)).otherwise(F.lit(2 << more))
-            of = of.cast("long") * ((2 << more) + 1) + piece
+        # A hot key is the least of its range: its pieces, by the top bits of the hash, come before the range's other keys.
+        more = (max(times.values()) - 1).bit_length()
+        piece = F.when(F.array_contains(held["hot"], F.col(key)), F.shiftright("_tie", 63 - more) + F.lit(1 << more)).otherwise(F.lit(2 << more))
+        of = of.cast("long") * ((2 << more) + 1) + piece
         of = F.when(F.col(key).isNull(), nulls).otherwise(of)
     dealt = docs.withColumn("_range", of.cast("long"))
     heads = dealt.groupBy("_range").agg(F.max(F.struct(key, "_tie")).alias("head")).orderBy(F.desc("_range")).collect()
