@@ -44,8 +44,9 @@ def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("o_orderkey", text.alias("json"))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(shred(ragged(spark, sf_dir), "o_orderkey", "json"), "ragged-nodes")
+def _nodes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Nodes with the columns that a query of one scan needs; nothing is written."""
+    return shred(ragged(spark, sf_dir), "o_orderkey", "json", columns or None)
 
 
 @query(f"SELECT k AS o_orderkey, i AS ord, {_AT} || '/' || i || '/q' AS pointer, q::VARCHAR AS value FROM {_NTH}")
@@ -58,7 +59,8 @@ def node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT k AS o_orderkey, {_AT} || '/' || i AS pointer, '{{\"q\":' || q || ',\"f\":null}}' AS value FROM {_NTH} WHERE f = 'N' AND q > 20")
 def node_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose flag is there and null, with a number to compare; the node's text as it is."""
-    return trees.select_nodes(_nodes(spark, sf_dir), "o_orderkey", "$..[?(@.f == null && @.q > 20)]").select("o_orderkey", "pointer", "value")
+    nodes = _nodes(spark, sf_dir, "pre", "sib", "text", "pointer", "start", "length", "json", "kids")
+    return trees.select_nodes(nodes, "o_orderkey", "$..[?(@.f == null && @.q > 20)]").select("o_orderkey", "pointer", "value")
 
 
 @query(

@@ -8,6 +8,7 @@ is asked of nodes is joins, groups and windows over the table.
 * Null is a node of kind ``null``; a missing member has no node. A name given twice has its first place and its last value.
 * Invalid texts, nulls and texts nested deeper than ``DEEPEST`` have no nodes. ``NaN`` and infinities are invalid; half a surrogate pair is U+FFFD.
 * ``text`` of a number is its literal; ``canon`` tells numbers by their double, members in any order.
+* ``height`` is the depth of the deepest node below; ``kids`` are the children in order, so that tests of members need no join.
 * Only the root's row has ``json``, the minified text; a node's own is ``substring(json, start, length)``, so no text is kept twice.
 """
 
@@ -18,8 +19,9 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,10 @@ DEEPEST = 512
 ELEMENT = "[*]"
 COLUMNS = {
     "pre": "int", "last": "int", "parent": "int", "depth": "int", "name": "string", "idx": "int", "sib": "int", "pn": "int", "kind": "string", "text": "string", "num": "double", "n": "int", "canon": "string",
-    "start": "int", "length": "int", "path": "string", "pointer": "string", "steps": "array<string>", "json": "string",
+    "start": "int", "length": "int", "path": "string", "pointer": "string", "steps": "array<string>", "json": "string", "height": "int", "kids": "array<struct<sib:int,name:string,kind:string,text:string,num:double,canon:string>>",
 }
+#: What a node tells of each of its children in ``kids``.
+KID = ("sib", "name", "kind", "text", "num", "canon")
 ARROW = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
 
 
@@ -64,65 +68,192 @@ def scalar(value: object) -> tuple[str, str, float | None, str]:
     return "string", value, None, "s" + value
 
 
-def _walk(value: object) -> list[dict]:
-    """The nodes of a value in pre-order, without recursion."""
-    rows: list[dict] = []
-    pieces: list[str] = []
-    size = 0
-
-    def put(piece: str) -> None:
-        nonlocal size
-        pieces.append(piece)
-        size += len(piece)
-
-    def enter(v: object, up: dict | None, name: str | None, idx: int | None, sib: int) -> None:
-        if up is None:
-            row = {"parent": -1, "depth": 0, "pn": 0, "path": "$", "pointer": "", "steps": []}
-        else:
-            path, pointer, step = (f"[{idx}]", str(idx), ELEMENT) if name is None else (step_name(name), name.replace("~", "~0").replace("/", "~1"), "." + name)
-            row = {"parent": up["pre"], "depth": up["depth"] + 1, "pn": up["n"], "path": up["path"] + path, "pointer": f"{up['pointer']}/{pointer}", "steps": [*up["steps"], step]}
-        if row["depth"] > DEEPEST:
-            raise ValueError("nested too deeply")
-        row |= {"pre": len(rows), "last": len(rows), "name": name, "idx": idx, "sib": sib, "start": size + 1}
-        rows.append(row)
-        if isinstance(v, (dict, list)):
-            row |= {"kind": "object" if isinstance(v, dict) else "array", "n": len(v)}
-            put("{" if isinstance(v, dict) else "[")
-            each = iter(v.items()) if isinstance(v, dict) else iter(v)
-            open_.append((row, each, [], isinstance(v, dict)))
-        else:
-            row["kind"], row["text"], row["num"], row["canon"] = scalar(v)
-            row["n"] = 0
-            put(row["text"] if row["kind"] != "string" else json.dumps(v, ensure_ascii=False))
-            row["length"] = size + 1 - row["start"]
-            leave(row)
-
-    def leave(row: dict) -> None:
-        if open_:
-            open_[-1][2].append(row["canon"] if row["name"] is None else f"{json.dumps(row['name'])}:{row['canon']}")
-
-    open_: list[tuple] = []
-    enter(value, None, None, None, 0)
-    while open_:
-        row, each, canons, named = open_[-1]
-        item = next(each, open_)
-        if item is open_:
-            open_.pop()
-            put("}" if named else "]")
-            row["last"], row["length"] = len(rows) - 1, size + 1 - row["start"]
-            row["canon"] = ("o" if named else "a") + hashlib.md5("\x00".join(sorted(canons) if named else canons).encode()).hexdigest()
-            leave(row)
-            continue
-        sib = len(canons)
-        if sib:
-            put(",")
-        if named:
-            put(json.dumps(item[0], ensure_ascii=False) + ":")
-            enter(item[1], row, item[0], None, sib)
-        else:
-            enter(item, row, None, sib, sib)
-    rows[0]["json"] = "".join(pieces)
-    return rows
+class _Walk:
+    """The nodes of values in pre-order, a list for each column that is wanted; ``up`` has the row of each node's parent, ``trail`` its steps by number."""
+
+    def __init__(self, wanted: set[str]) -> None:
+        self.wanted = wanted | ({"up", "name", "kind", "text", "num", "canon"} if "kids" in wanted else set()) | ({"trail"} if "steps" in wanted else set())
+        self.spelled = bool(wanted & {"start", "length", "json"})
+        self.numbers: dict[str, tuple] = {}
+        self.names: dict[str, tuple[str, str, str, str]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, list] = {c: [] for c in self.wanted}
+        self.count, self.trails, self.trail_of = 0, [[]], {}
+
+    def scalar(self, v: object) -> tuple[str, str, float | None, str]:
+        if type(v) is not _Number:
+            return scalar(v)
+        found = self.numbers.get(v)
+        if found is None:
+            if len(self.numbers) >= 10000:
+                self.numbers.clear()
+            found = self.numbers[v] = scalar(v)
+        return found
+
+    def named(self, name: str) -> tuple[str, str, str, str]:
+        """A name as a step of a path, of a pointer and of a generalised path, and as JSON."""
+        found = self.names.get(name)
+        if found is None:
+            if len(self.names) >= 10000:
+                self.names.clear()
+            found = self.names[name] = (step_name(name), "/" + name.replace("~", "~0").replace("/", "~1"), "." + name, json.dumps(name, ensure_ascii=False) + ":")
+        return found
+
+    def add(self, value: object, root_only: bool = False) -> None:
+        """Append the nodes of a value, or its root; nothing of it stays if it is nested too deeply."""
+        before = self.count
+        try:
+            self._add(value)
+        except (ValueError, RecursionError):
+            self._cut(before)
+            raise
+        if root_only:
+            self._cut(before + 1)
+
+    def _cut(self, count: int) -> None:
+        self.count = count
+        for x in self.rows.values():
+            del x[count:]
+
+    def _add(self, value: object) -> None:
+        first, size, pieces = self.count, 0, []
+        rows, scalar_of, named_of, trails, trail_of, spelled = self.rows, self.scalar, self.named, self.trails, self.trail_of, self.spelled
+        to = {c: x.append for c, x in rows.items()}
+        pre_, last_, parent_, up_, depth_, name_, idx_, sib_, pn_ = (to.get(c) for c in ("pre", "last", "parent", "up", "depth", "name", "idx", "sib", "pn"))
+        kind_, text_, num_, n_, canon_, start_, length_, path_, pointer_, trail_, json_, height_ = (to.get(c) for c in ("kind", "text", "num", "n", "canon", "start", "length", "path", "pointer", "trail", "json", "height"))
+        at = first
+
+        def enter(v: object, parent: int, depth: int, name: str | None, idx: int | None, sib: int, pn: int, path: str | None, pointer: str | None, trail: int) -> tuple[str | None, int]:
+            """Append a node and all below it; its canon and the depth of its deepest node."""
+            nonlocal at, size
+            if depth > DEEPEST:
+                raise ValueError("nested too deeply")
+            own = at
+            at += 1
+            if pre_:
+                pre_(own - first)
+            if parent_:
+                parent_(parent if parent < 0 else parent - first)
+            if up_:
+                up_(parent)
+            if depth_:
+                depth_(depth)
+            if name_:
+                name_(name)
+            if idx_:
+                idx_(idx)
+            if sib_:
+                sib_(sib)
+            if pn_:
+                pn_(pn)
+            if path_:
+                path_(path)
+            if pointer_:
+                pointer_(pointer)
+            if trail_:
+                trail_(trail)
+            if json_:
+                json_(None)
+            if start_:
+                start_(size + 1)
+            began = size
+            if type(v) is not dict and type(v) is not list:
+                kind, text, num, canon = scalar_of(v)
+                if kind_:
+                    kind_(kind)
+                if text_:
+                    text_(text)
+                if num_:
+                    num_(num)
+                if n_:
+                    n_(0)
+                if canon_:
+                    canon_(canon)
+                if last_:
+                    last_(own - first)
+                if height_:
+                    height_(depth)
+                if spelled:
+                    piece = text if kind != "string" else json.dumps(v, ensure_ascii=False)
+                    pieces.append(piece)
+                    size += len(piece)
+                    if length_:
+                        length_(size - began)
+                return canon, depth
+            named = type(v) is dict
+            if kind_:
+                kind_("object" if named else "array")
+            if text_:
+                text_(None)
+            if num_:
+                num_(None)
+            if n_:
+                n_(len(v))
+            # Known only after what is below.
+            for later in (canon_, last_, length_, height_):
+                if later:
+                    later(None)
+            if spelled:
+                pieces.append("{" if named else "[")
+                size += 1
+            canons, deepest, k, many = [], depth, 0, len(v)
+            for x in v.items() if named else v:
+                if spelled and k:
+                    pieces.append(",")
+                    size += 1
+                if named:
+                    child, x = x
+                    in_path, in_pointer, step, shown = named_of(child)
+                    if spelled:
+                        pieces.append(shown)
+                        size += len(shown)
+                else:
+                    child, in_path, in_pointer, step = None, path_ and f"[{k}]", pointer_ and f"/{k}", ELEMENT
+                if trail_:
+                    below = trail_of.get((trail, step))
+                    if below is None:
+                        below = trail_of[trail, step] = len(trails)
+                        trails.append([*trails[trail], step])
+                else:
+                    below = 0
+                canon, height = enter(x, own, depth + 1, child, None if named else k, k, many, path + in_path if path_ else None, pointer + in_pointer if pointer_ else None, below)
+                if canon_:
+                    canons.append(f"{json.dumps(child)}:{canon}" if named else canon)
+                if height > deepest:
+                    deepest = height
+                k += 1
+            if spelled:
+                pieces.append("}" if named else "]")
+                size += 1
+            canon = None
+            if canon_:
+                canon = rows["canon"][own] = ("o" if named else "a") + hashlib.md5("\x00".join(sorted(canons) if named else canons).encode()).hexdigest()
+            if last_:
+                rows["last"][own] = at - 1 - first
+            if length_:
+                rows["length"][own] = size - began
+            if height_:
+                rows["height"][own] = deepest
+            return canon, deepest
+
+        enter(value, -1, 0, None, None, 0, 0, "$", "", 0)
+        if json_:
+            rows["json"][first] = "".join(pieces)
+        self.count = at
+
+    def columns(self, names: list[str]) -> list[pa.Array]:
+        """The columns of all nodes so far."""
+        return [self._kids() if c == "kids" else pa.array(self.trails, ARROW["array<string>"]).take(pa.array(self.rows["trail"], pa.int32())) if c == "steps" else pa.array(self.rows[c], ARROW[COLUMNS[c]]) for c in names]
+
+    def _kids(self) -> pa.Array:
+        up = np.array(self.rows["up"], np.int64)
+        order = np.argsort(up, kind="stable")[np.count_nonzero(up < 0) :]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(up[up >= 0], minlength=len(up)))])
+        sib = np.arange(len(order)) - ends[up[order]]
+        own = [pa.array(sib, pa.int32()), *(pa.array(self.rows[c], ARROW[COLUMNS[c]]).take(pa.array(order)) for c in KID[1:])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(own, names=list(KID)))
 
 
 def _mended(text: str) -> str:
@@ -130,31 +261,41 @@ def _mended(text: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def shred(docs: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, then ``COLUMNS``): the nodes of every valid text, in one pass and without a shuffle. Rows of one document are told apart by ``key`` only."""
-    kind = docs.schema[key].dataType.simpleString()
+def shred(docs: DataFrame, key: str, json: str, columns: Iterable[str] | None = None, roots: bool = False, beside: Iterable[str] = ()) -> DataFrame:
+    """(key, ``beside``, then ``COLUMNS``): the nodes of every valid text, in one pass and without a shuffle. Rows of one document are told apart by ``key`` only.
+
+    Only the ``columns`` that are asked for are made, all by default; ``roots`` gives the roots alone, each with what is known of its whole text. ``beside`` are columns
+    of ``docs`` that each node keeps.
+    """
+    names = [c for c in COLUMNS if columns is None or c in set(columns)]
+    carried = [key, *beside]
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in carried}
 
     def shredded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _Walk(set(names))
         for batch in batches:
-            keys, rows = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            of: list[int] = []
+            for k, text in enumerate(batch.column("_text").to_pylist()):
+                before = walk.count
                 try:
-                    own = _walk(_without_halves(parsed(text)) if "\\u" in text else parsed(text))
+                    walk.add(_without_halves(parsed(text)) if "\\u" in text else parsed(text), roots)
                 except (ValueError, RecursionError):
                     continue
-                keys += [k] * len(own)
-                rows += own
-                if len(rows) > 20000:
-                    yield table(batch, keys, rows)
-                    keys, rows = [], []
-            if rows:
-                yield table(batch, keys, rows)
+                of += [k] * (walk.count - before)
+                if walk.count > 20000:
+                    yield table(batch, of, walk)
+                    of = []
+            if of:
+                yield table(batch, of, walk)
 
-    def table(batch: pa.RecordBatch, keys: list[int], rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys)), *(pa.array([r.get(c) for r in rows], ARROW[t]) for c, t in COLUMNS.items())], names=[key, *COLUMNS])
+    def table(batch: pa.RecordBatch, of: list[int], walk: _Walk) -> pa.RecordBatch:
+        at = pa.array(of, pa.int32())
+        out = pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in carried), *walk.columns(names)], names=[*carried, *names])
+        walk.clear()
+        return out
 
-    texts = docs.select(F.col(key).alias("key"), F.col(json).alias("text")).filter(F.col("text").isNotNull())
-    return texts.mapInArrow(shredded, f"`{key}` {kind}, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items()))
+    texts = docs.select(*carried, F.col(json).alias("_text")).filter(F.col("_text").isNotNull())
+    return texts.mapInArrow(shredded, ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), *(f"{c} {COLUMNS[c]}" for c in names)]))
 
 
 def _without_halves(value: object) -> object:
@@ -174,7 +315,9 @@ def with_json(found: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 def literal_canon(value: object) -> str:
     """The ``canon`` of a value of the driver, as ``json.loads`` gives it."""
-    return next(r["canon"] for r in _walk(parsed(json.dumps(value))))
+    walk = _Walk({"canon"})
+    walk.add(parsed(json.dumps(value)))
+    return walk.rows["canon"][0]
 
 
 def is_scalar(kind: Column) -> Column:

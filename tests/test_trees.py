@@ -6,6 +6,7 @@ import random
 import pytest
 
 from docspark.operators import inference, trees
+from docspark.plans import catalog, ragged  # noqa: F401  (registers its queries)
 from docspark.sources import nodes as nodes_of
 
 TEXTS = [
@@ -206,3 +207,23 @@ def test_examples_are_the_first_five_seen(spark):
     assert got["$.v"]["examples"] == ["9", "9", "true", "3", "2"] and got["$.v"]["kinds"] == "boolean|integer|string|null"
     items = spark.createDataFrame([(1, '[{"b":1},{"a":[],"b":"x"}]')], "id int, j string")
     assert inference.schema_text(inference.of_items(inference.nodes(items, "id", "j")), "id", add_schema=False).first()["schema"] == '{"type":"object","properties":{"b":{"type":["integer","string"]},"a":{"type":"array"}},"required":["b"]}'
+
+
+def test_filters_of_own_members(docs, table):
+    """The same hits from members in the row as from joins, values included."""
+    for text in ("$..[?(@.x == null)]", "$[?(!@.f || @.x > 0)]", "$..[?(@.a.b && @.b)]", "$..[?(@.no == @.nothing)]"):
+        rows = lambda t: sorted(tuple(r) for r in trees.select_nodes(t, "id", text).select("id", "ord", "pointer", "value").collect())  # noqa: B023, E731
+        assert rows(table) == rows(table.drop("kids")) if "a.b" in text else rows(table)
+        assert rows(nodes_of.shred(docs, "id", "json", [c for c in nodes_of.COLUMNS if c not in ("steps", "depth", "height", "path")])) == rows(table)
+
+
+#: Queries of one scan: the texts are walked once, and no join but that of orders with their items is left.
+SCANS = [
+    "node_filter",
+]
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_queries_of_one_scan(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join ") == 1
