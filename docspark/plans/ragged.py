@@ -70,13 +70,11 @@ def node_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def path_null_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null against missing: a null member exists, a missing one doesn't; two missing ones are equal; a missing one is unequal to a text."""
-    nodes = _nodes(spark, sf_dir)
     tests = {"exists": "@.q && @.f", "missing": "@.q && !@.f", "both missing": "@.q && @.no == @.nothing", "not R": "@.q && @.f != 'R'"}
-    out = None
-    for name, text in tests.items():
-        found = trees.select_nodes(nodes, "o_orderkey", f"$..[?({text})]", values=False).select("o_orderkey", "pointer", F.lit(name).alias("test"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    path = f"$..[{','.join(f'?({test})' for test in tests.values())}]"
+    found = trees.select_nodes(_nodes(spark, sf_dir, "pre", "sib", "pointer", "kids"), "o_orderkey", path, values=False, picked=True)
+    names = F.array(*(F.lit(name) for name in tests))
+    return found.select("o_orderkey", "pointer", F.explode(F.transform("picked", lambda k: F.get(names, k))).alias("test"))
 
 
 @query(f"SELECT DISTINCT k AS o_orderkey FROM {_NTH} WHERE q = 50")

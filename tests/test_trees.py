@@ -217,9 +217,17 @@ def test_filters_of_own_members(docs, table):
         assert rows(nodes_of.shred(docs, "id", "json", [c for c in nodes_of.COLUMNS if c not in ("steps", "depth", "height", "path")])) == rows(table)
 
 
+def test_what_was_picked(table):
+    picked = {r["pointer"]: r["picked"] for r in trees.select_nodes(table.filter("id = 1"), "id", "$..[?(@.x), ?(@.f == true), ?(!@.x && @.y)]", values=False, picked=True).collect()}
+    assert picked == {"/0": [0, 1], "/1": [0], "/2": [2]}
+    with pytest.raises(ValueError):
+        trees.select_nodes(table, "id", "$.a.b", picked=True)
+
+
 #: Queries of one scan: the texts are walked once, and no join but that of orders with their items is left.
 SCANS = [
     "node_filter",
+    "path_null_exists",
 ]
 
 
