@@ -80,7 +80,7 @@ def path_null_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT k AS o_orderkey FROM {_NTH} WHERE q = 50")
 def node_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in which a path matches."""
-    return trees.node_exists(_nodes(spark, sf_dir), "o_orderkey", "$..[?(@.q == 50)]")
+    return trees.node_exists(_nodes(spark, sf_dir, "pre", "sib", "kids"), "o_orderkey", "$..[?(@.q == 50)]")
 
 
 @query(

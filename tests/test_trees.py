@@ -228,6 +228,7 @@ def test_what_was_picked(table):
 SCANS = [
     "node_filter",
     "path_null_exists",
+    "node_exists",
 ]
 
 
