@@ -52,7 +52,7 @@ def _nodes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 @query(f"SELECT k AS o_orderkey, i AS ord, {_AT} || '/' || i || '/q' AS pointer, q::VARCHAR AS value FROM {_NTH}")
 def node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name at any depth of texts of several shapes, in order."""
-    found = trees.select_nodes(_nodes(spark, sf_dir), "o_orderkey", "$..q")
+    found = trees.select_nodes(_nodes(spark, sf_dir, "pre", "name", "text", "pointer", "start", "length", "json"), "o_orderkey", "$..q")
     return found.select("o_orderkey", F.col("ord").cast("bigint").alias("ord"), "pointer", "value")
 
 

@@ -229,6 +229,7 @@ SCANS = [
     "node_filter",
     "path_null_exists",
     "node_exists",
+    "node_descendants",
 ]
 
 
