@@ -42,8 +42,9 @@ def nodes(docs: DataFrame, key: str, json: str) -> DataFrame:
 
 def statistics(docs: DataFrame, key: str, json: str) -> DataFrame:
     """(key, nodes, bytes, depth) of each valid text."""
-    found = nodes(docs, key, json).groupBy(key).agg(F.count("*").alias("nodes"), F.max("depth").cast("bigint").alias("depth"))
-    return docs.select(key, F.octet_length(json).cast("bigint").alias("bytes")).join(found, key)
+    own = docs.select(key, json, F.octet_length(json).cast("bigint").alias("bytes"))
+    found = shred(own, key, json, ["last", "height"], roots=True, beside=["bytes"])
+    return found.select(key, "bytes", (F.col("last") + 1).cast("bigint").alias("nodes"), F.col("height").cast("bigint").alias("depth"))
 
 
 def facts(found: DataFrame, key: str, required: str = "all") -> DataFrame:

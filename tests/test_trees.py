@@ -224,12 +224,18 @@ def test_what_was_picked(table):
         trees.select_nodes(table, "id", "$.a.b", picked=True)
 
 
+def test_statistics_of_equal_keys(spark):
+    df = spark.createDataFrame([(1, "[1,2]"), (1, '{"a":{"b":[]}}'), (1, "x")], "id int, j string")
+    assert sorted(tuple(r) for r in inference.statistics(df, "id", "j").collect()) == [(1, 5, 3, 1), (1, 14, 3, 2)]
+
+
 #: Queries of one scan: the texts are walked once, and no join but that of orders with their items is left.
 SCANS = [
     "node_filter",
     "path_null_exists",
     "node_exists",
     "node_descendants",
+    "json_statistics_ragged",
 ]
 
 
