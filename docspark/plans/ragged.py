@@ -168,9 +168,6 @@ def json_minified_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT k AS o_orderkey, CASE k % 3 WHEN 1 THEN '/0' ELSE CASE k % 3 WHEN 0 THEN '/items/0' ELSE '/order/items/0' END END AS pointer, q::VARCHAR AS q, CASE f WHEN 'A' THEN 'missing' WHEN 'N' THEN 'null' ELSE f END AS flag FROM {_NTH} WHERE i = 0")
 def node_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by pointer, whatever stands around them; a null member apart from a missing one."""
-    nodes = _nodes(spark, sf_dir)
-    first = nodes.filter(F.col("pointer").isin("/0", "/items/0", "/order/items/0")).select("o_orderkey", "pointer", "pre")
-    member = lambda name: nodes.filter(F.col("name") == name).select(F.col("o_orderkey").alias("_k"), F.col("parent").alias("_p"), F.col("text").alias(name))
-    both = first.join(member("q"), (F.col("o_orderkey") == F.col("_k")) & (F.col("pre") == F.col("_p"))).drop("_k", "_p")
-    both = both.join(member("f"), (F.col("o_orderkey") == F.col("_k")) & (F.col("pre") == F.col("_p")), "left")
-    return both.select("o_orderkey", "pointer", "q", F.coalesce("f", F.lit("missing")).alias("flag"))
+    first = _nodes(spark, sf_dir, "pointer", "kids").filter(F.col("pointer").isin("/0", "/items/0", "/order/items/0"))
+    member = lambda name: F.get(F.filter("kids", lambda k: k["name"] == name), 0)["text"]
+    return first.filter(F.exists("kids", lambda k: k["name"] == "q")).select("o_orderkey", "pointer", member("q").alias("q"), F.coalesce(member("f"), F.lit("missing")).alias("flag"))

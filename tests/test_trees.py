@@ -236,6 +236,7 @@ SCANS = [
     "node_exists",
     "node_descendants",
     "json_statistics_ragged",
+    "node_pointer",
 ]
 
 
