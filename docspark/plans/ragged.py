@@ -90,7 +90,7 @@ def node_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers are found by the digits they are written with."""
-    found = trees.search_nodes(_nodes(spark, sf_dir), "o_orderkey", "50")
+    found = trees.search_nodes(_nodes(spark, sf_dir, "pre", "name", "text", "path"), "o_orderkey", "50")
     pointer = F.regexp_replace(F.regexp_replace(F.expr("substring(path, 2)"), r"\[(\d+)\]", "/$1"), r"\.", "/")
     return found.select("o_orderkey", pointer.alias("path"), "kind")
 

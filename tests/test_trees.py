@@ -237,6 +237,7 @@ SCANS = [
     "node_descendants",
     "json_statistics_ragged",
     "node_pointer",
+    "node_search",
 ]
 
 
