@@ -162,7 +162,7 @@ def json_minified_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with spaces, line feeds and a name given twice, minified: numbers as written, members in their order, the last value of a name."""
     spaced = F.regexp_replace(F.regexp_replace("json", ":", " :\n"), ",", " ,\t")
     twice = F.regexp_replace(spaced, '"key"', '"key":0,"key"')
-    return shred(ragged(spark, sf_dir).select("o_orderkey", twice.alias("json")), "o_orderkey", "json").filter("pre = 0").select("o_orderkey", "json")
+    return shred(ragged(spark, sf_dir).select("o_orderkey", twice.alias("json")), "o_orderkey", "json", ["json"], roots=True)
 
 
 @query(f"SELECT k AS o_orderkey, CASE k % 3 WHEN 1 THEN '/0' ELSE CASE k % 3 WHEN 0 THEN '/items/0' ELSE '/order/items/0' END END AS pointer, q::VARCHAR AS q, CASE f WHEN 'A' THEN 'missing' WHEN 'N' THEN 'null' ELSE f END AS flag FROM {_NTH} WHERE i = 0")

@@ -238,6 +238,7 @@ SCANS = [
     "json_statistics_ragged",
     "node_pointer",
     "node_search",
+    "json_minified_ragged",
 ]
 
 
