@@ -1,12 +1,13 @@
 """Validation of ragged documents: a JSON Schema over the table of nodes, recursive references included.
 
-Which places of the schema apply to a node follows from the steps that lead to it, so each node finds its places from its own path, in one pass and
-without a join, however deep a recursive reference goes. Places reached by ``properties``, ``items``, ``allOf`` and references apply for sure, and their violations are
+Which places of the schema apply to a node follows from the steps that lead to it, however deep a recursive reference goes. They are found once for each shape
+of path, that is its steps as far as the schema tells them apart, and each node looks up those of its own; shapes are few, and broadcast. Places reached by ``properties``, ``items``, ``allOf`` and references apply for sure, and their violations are
 the result. Only places under branches (``anyOf`` and its kin, ``contains``) need a verdict first: what fails at a node and below. Verdicts
 go up by the height of a branch in the schema, or by depth where a branch refers to itself; then the branches that report, such as the best one of a failed ``anyOf``,
-are followed down until none has places below. Each of these rounds is written.
+are followed down until none has places below. Each of these rounds is written. Where branches look at nothing below, all of it is in the node's own row:
+one scan, no join but with the shapes, and nothing written.
 
-A document's nodes meet by document and parent only, so work spreads over the nodes of a large document too. Nodes tell null from missing, so a
+Members of a node are in its row. A document's nodes meet by document and parent only, so work spreads over the nodes of a large document too. Nodes tell null from missing, so a
 null member is there. Numbers are compared by their doubles, multiples by their digits. A false schema reports the keyword ``false`` at its node.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from docspark.functions import formats
 from docspark.operators import validation as typed
 from docspark.operators.validation import VIOLATION, SchemaError
-from docspark.sources.nodes import ELEMENT, dropped, literal_canon, written
+from docspark.sources.nodes import ELEMENT, dropped, literal_canon, shred, written
 
 KIDS = "array<struct<sib:int,name:string,canon:string>>"
 
@@ -123,6 +124,17 @@ class Places:
             return float("inf")
         return max((1 + self.height(y, (*above, at)) for x in self.closure(at) for y in self.below.get(x, ())), default=0)
 
+    def flat(self) -> bool:
+        """Whether verdicts need nothing from below a node."""
+        return not any(isinstance(p.schema, dict) and "contains" in p.schema for p in self.found.values()) and not any(self.height(x) for x in self.branched())
+
+    def alphabet(self) -> tuple[list[str], list[str], int]:
+        """What tells steps apart: the names of properties, the patterns of others, and the length of the longest tuple."""
+        dicts = [p.schema for p in self.found.values() if isinstance(p.schema, dict)]
+        names, patterns = ({x: None for s in dicts for x in s.get(k, {})} for k in ("properties", "patternProperties"))
+        tuples = [s[k] for s in dicts for k in ("prefixItems", "items") if isinstance(s.get(k), list)]
+        return list(names), [typed.checked_pattern(x, "#") for x in patterns], max(map(len, tuples), default=0)
+
     def needs_kids(self) -> bool:
         words = {"required", "dependentRequired", "dependencies", "dependentSchemas", "propertyNames", "uniqueItems"}
         return any(isinstance(p.schema, dict) and words & set(p.schema) for p in self.found.values())
@@ -305,10 +317,10 @@ class Places:
         return F.concat(own, *(F.coalesce(x, none) for x in more)) if more else own
 
 
-def _switch(places: list[tuple[str, Column]], default: Column, on: str = "place") -> Column:
-    out = None
+def _switch(places: list[tuple[str, Column]], default: Column, on: str | Column = "place") -> Column:
+    out, on = None, F.col(on) if isinstance(on, str) else on
     for at, value in places:
-        out = F.when(F.col(on) == at, value) if out is None else out.when(F.col(on) == at, value)
+        out = F.when(on == at, value) if out is None else out.when(on == at, value)
     return default if out is None else out.otherwise(default)
 
 
@@ -316,25 +328,41 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def validate_nodes(nodes: DataFrame, key: str, schema: dict | bool) -> DataFrame:
-    """(key, ord, instance_path, schema_path, keyword, message): the violations of each document, in order of the nodes. ``nodes`` is best a written table."""
+def columns(schema: dict | bool) -> list[str]:
+    """The columns of the table of nodes that a schema asks for."""
+    places = Places(schema)
+    return ["pre", "pointer", "kind", "text", "num", "n", "canon", "steps", *(["kids"] if places.needs_kids() else []), *([] if places.flat() else ["parent", "depth"])]
+
+
+def validate(docs: DataFrame, key: str, json: str, schema: dict | bool) -> DataFrame:
+    """``validate_nodes`` of the texts. They are walked for the shapes and for the nodes, or for a written table if branches look below."""
+    nodes = shred(docs, key, json, columns(schema))
+    if not Places(schema).flat():
+        return validate_nodes(written(nodes, "tree-nodes"), key, schema)
+    return validate_nodes(nodes, key, schema, shred(docs, key, json, ["pointer", "steps"]))
+
+
+def validate_nodes(nodes: DataFrame, key: str, schema: dict | bool, paths: DataFrame | None = None) -> DataFrame:
+    """(key, ord, instance_path, schema_path, keyword, message): the violations of each document, in order of the nodes. ``nodes`` is best a written table.
+
+    ``paths`` has the pointer and steps of all nodes; by default they are taken from ``nodes``.
+    """
     places = Places(schema)
     branched, kept = places.branched(), []
-    nodes = nodes.withColumnRenamed(key, "_doc")
+    shapes = _shapes(places, nodes if paths is None else paths)
+    nodes = nodes.withColumnRenamed(key, "_doc").withColumn("_shape", _shape(places))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         kept.append(written(df, name))
         return kept[-1]
 
-    states = keep(_states(places, nodes), "tree-states")
-    base = _base(places, nodes, states)
-    if branched or any(p.same() for p in places.found.values()):
-        base = keep(base, "tree-base")
-        out = _with_branches(places, branched, states, base, keep)
+    if places.flat():
+        out = _in_row(places, branched, nodes, shapes)
     else:
-        out = base.filter("sure").select("_doc", "pre", F.explode("rows").alias("r")).select("_doc", "pre", "r.*")
-    out = written(out.distinct(), "tree-violations")
-    dropped(*kept)
+        states = keep(_states(nodes, shapes), "tree-states")
+        base = keep(_base(places, states), "tree-base")
+        out = written(_with_branches(places, branched, states, base, keep).distinct(), "tree-violations")
+        dropped(*kept)
     order = F.row_number().over(Window.partitionBy("_doc").orderBy("pre", "instance_path", "schema_path", "message")) - 1
     return out.select(F.col("_doc").alias(key), order.alias("ord"), "instance_path", "schema_path", "keyword", "message")
 
@@ -361,36 +389,66 @@ def _trail() -> Column:
     return F.transform("steps", lambda x, i: F.struct(F.when(x != ELEMENT, x.substr(F.lit(2), F.char_length(x))).alias("name"), F.when(x == ELEMENT, F.get(at, i + 1)).try_cast("int").alias("idx")))
 
 
-def _states(places: Places, nodes: DataFrame) -> DataFrame:
-    """Nodes with ``led``, where the last step leads from the places of the parent; null for roots. Written by the caller, as it is read twice."""
+def _shape(places: Places) -> Column:
+    """The steps to a node as far as the schema tells them apart: names of its properties, what patterns another name matches, positions up to the longest tuple."""
+    known, patterns, most = places.alphabet()
+    own = lambda name: F.concat(F.lit("?"), *(F.when(name.rlike(x), "1").otherwise("0") for x in patterns))
+    names = ["." + x for x in known]
+    if most:
+        return F.transform(_trail(), lambda x: F.when(x["name"].isNull(), F.least(x["idx"], F.lit(most)).cast("string")).when(F.concat(F.lit("."), x["name"]).isin(*names), F.concat(F.lit("."), x["name"])).otherwise(own(x["name"])))
+    return F.transform("steps", lambda x: F.when(x.isin(ELEMENT, *names), x).otherwise(own(x.substr(F.lit(2), F.char_length(x)))))
+
+
+def _shapes(places: Places, paths: DataFrame) -> DataFrame:
+    """(_at, led, at): where the last step leads from the places of the parent, null for roots, and all (place, sure) of a node, for each shape."""
     start = F.array(F.struct(F.lit("#").alias("place"), F.lit(True).alias("sure")))
     entered = lambda led: F.array_distinct(F.transform(led, lambda e: F.struct(e["entry"].alias("place"), (e["from_sure"] & ~e["contains"]).alias("sure"))))
     up = F.aggregate(F.slice(F.col("trail"), F.lit(1), F.greatest(F.size("trail") - 1, F.lit(0))), start, lambda state, x: entered(_reached(places, state, x)))
-    led = F.when(F.col("depth") > 0, F.transform(F.array(up), lambda state: _reached(places, state, F.element_at("trail", F.lit(-1))))[0])
-    own = nodes.select("_doc", "pre", "parent", "depth", "pointer", "kind", "text", "num", "n", "canon", _trail().alias("trail"))
-    return own.withColumn("led", led).drop("trail")
-
-
-def _base(places: Places, nodes: DataFrame, states: DataFrame) -> DataFrame:
-    """(_doc, pre, depth, pointer, kind, kids, place, sure, rows): the violations of each node at each of its places, without branches."""
+    led = F.when(F.size("trail") > 0, F.transform(F.array(up), lambda state: _reached(places, state, F.element_at("trail", F.lit(-1))))[0])
     spread = F.create_map(*(x for p in places.found for x in (F.lit(p), F.array(*(F.struct(F.lit(y).alias("place"), F.lit(y in places.sure(p)).alias("sure")) for y in places.closure(p))))))
     pairs = F.flatten(F.transform("state", lambda st: F.transform(spread[st["place"]], lambda q: F.struct(q["place"].alias("place"), (st["sure"] & q["sure"]).alias("sure")))))
     # Of a place that is there twice, the sure one.
-    once = F.filter(F.array_distinct(pairs), lambda x: x["sure"] | ~F.exists(pairs, lambda y: (y["place"] == x["place"]) & y["sure"]))
-    start = F.array(F.struct(F.lit("#").alias("place"), F.lit(True).alias("sure")))
-    entered = F.array_distinct(F.transform("led", lambda e: F.struct(e["entry"].alias("place"), (e["from_sure"] & ~e["contains"]).alias("sure"))))
-    own = states.filter(F.col("led").isNull() | (F.size("led") > 0)).withColumn("state", F.coalesce(entered, start)).drop("led", "parent")
-    none = F.array().cast(KIDS)
-    if places.needs_kids():
-        kids = nodes.filter("depth > 0").groupBy(F.col("_doc").alias("_kd"), F.col("parent").alias("_kp")).agg(F.array_sort(F.collect_list(F.struct("sib", "name", "canon"))).alias("kids"))
-        own = own.join(kids, _same("_doc", "_kd") & (F.col("pre") == F.col("_kp")), "left").withColumn("kids", F.coalesce("kids", none))
-    else:
-        own = own.withColumn("kids", none)
+    once = F.filter(F.array_distinct("pairs"), lambda x: x["sure"] | ~F.exists("pairs", lambda y: (y["place"] == x["place"]) & y["sure"]))
+    # One path stands for all of its shape.
+    one = paths.select(_shape(places).alias("_at"), "steps", "pointer").groupBy("_at").agg(F.first(F.struct("steps", "pointer")).alias("p")).select("_at", "p.*")
+    found = one.withColumn("trail", _trail()).withColumn("led", led).withColumn("state", F.when(F.col("led").isNull(), start).otherwise(entered(F.col("led")))).withColumn("pairs", pairs)
+    return F.broadcast(found.select("_at", "led", once.alias("at")).filter(F.size("at") > 0))
+
+
+def _states(nodes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Nodes at places, with ``led`` and ``at`` of their shapes. Written by the caller, as it is read twice."""
+    kids = F.transform("kids", lambda k: F.struct(k["sib"].alias("sib"), k["name"].alias("name"), k["canon"].alias("canon")))
+    own = nodes.withColumn("kids", kids if "kids" in nodes.columns else F.array().cast(KIDS))
+    return own.join(shapes, F.col("_shape") == F.col("_at")).select("_doc", "pre", "parent", "depth", "pointer", "kind", "text", "num", "n", "canon", "kids", "led", "at")
+
+
+def _base(places: Places, states: DataFrame) -> DataFrame:
+    """(_doc, pre, depth, pointer, kind, kids, place, sure, rows): the violations of each node at each of its places, without branches."""
     local = [(p.at, places.local(p)) for p in places.found.values()]
-    own = own.select("_doc", "pre", "depth", "pointer", "kind", "text", "num", "n", "canon", "kids", F.explode(once).alias("x")).select("*", "x.place", "x.sure")
+    own = states.drop("led", "parent").select("*", F.explode("at").alias("x")).select("*", "x.place", "x.sure")
     return own.select("_doc", "pre", "depth", "pointer", "kind", "kids", "place", "sure", _switch(local, typed._none()).alias("rows"))
 
 
+def _in_row(places: Places, branched: set[str], nodes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The violations (_doc, pre, ...) where no branch looks below: each node's places, verdicts and reports are columns of its own row."""
+    own = nodes.withColumn("kids", F.col("kids") if "kids" in nodes.columns else F.array().cast(KIDS)).join(shapes, F.col("_shape") == F.col("_at"))
+    found = list(places.found.values())
+    column = {p.at: f"_r{i}" for i, p in enumerate(found)}
+    here = {p.at: F.array_contains(F.transform("at", lambda x: x["place"]), p.at) for p in found}
+    sure = {p.at: F.array_contains("at", F.struct(F.lit(p.at).alias("place"), F.lit(True).alias("sure"))) for p in found}
+    own = own.withColumns({column[p.at]: F.when(here[p.at], places.local(p)).otherwise(typed._none()) for p in found})
+    m = {p: F.struct(F.size(column[p]).cast("bigint").alias("errors"), F.exists(column[p], lambda r: r["keyword"] == "type").alias("type")) for p in branched}
+    parts = [F.when(sure[p.at], F.col(column[p.at])).otherwise(typed._none()) for p in found]
+    rows_of = lambda place: _switch([(p, F.col(c)) for p, c in column.items() if p in branched], typed._none(), place)
+
+    def told(at: str) -> Column:
+        """What the branches of a place report, and the violations of the places that they lead to."""
+        return F.flatten(F.transform(places.active(at, m, every=False), lambda a: F.concat(a["rows"], F.when(a["place"] == at, typed._none()).otherwise(rows_of(a["place"])))))
+
+    parts += [F.when(sure[p.at], told(p.at)).otherwise(typed._none()) for p in found if set(p.same()) - set(p.every)]
+    return own.select("_doc", "pre", F.explode(F.array_distinct(F.concat(*parts))).alias("r")).select("_doc", "pre", "r.*")
+
+
 def _with_branches(places: Places, branched: set[str], states: DataFrame, base: DataFrame, keep) -> DataFrame:  # noqa: ANN001
     """The violations (_doc, pre, ...) of sure places and of the branches that report."""
     ways = states.filter("depth > 0").select("_doc", F.col("parent"), F.col("pre").alias("child"), F.explode("led").alias("e")).select("_doc", "parent", "child", "e.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import inference, tree_validation, trees
 from docspark.plans.catalog import query, table
-from docspark.sources.nodes import shred, written
+from docspark.sources.nodes import shred
 
 #: Line items in the order that the texts have them.
 _NTH = (
@@ -137,8 +137,7 @@ def validate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "type": "object", "required": ["q", "f"],
         "properties": {"q": {"type": "integer", "anyOf": [{"maximum": 10}, {"multipleOf": 5}]}, "f": {"type": "string"}, "replies": {"type": "array", "items": {"$ref": "#/$defs/comment"}}},
     }
-    nodes = written(shred(texts, "o_orderkey", "json"), "tree-nodes")
-    found = tree_validation.validate_nodes(nodes, "o_orderkey", {"$defs": {"comment": comment}, "$ref": "#/$defs/comment"})
+    found = tree_validation.validate(texts, "o_orderkey", "json", {"$defs": {"comment": comment}, "$ref": "#/$defs/comment"})
     return found.select("o_orderkey", "instance_path", "keyword", "message")
 
 

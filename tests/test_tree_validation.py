@@ -98,3 +98,17 @@ def test_branch_that_refers_to_itself(spark):
     assert {r["id"] for r in got} == {k for k, v in enumerate(docs) if errors(v)}
     # The best branch is followed down to what is wrong.
     assert sorted((r["instance_path"], r["keyword"]) for r in got if r["id"] == 3) == [("", "anyOf"), ("/1", "anyOf"), ("/1/0", "anyOf"), ("/1/0", "type")]
+
+
+def test_branches_in_the_row(spark):
+    """Shapes are told apart by names, patterns and places in tuples; branches that look at nothing below take no join but with the shapes, and write nothing."""
+    docs = [{"t": [1, "x", 12]}, {"t": ["y", 3, 3]}, {"x-a": 1, "n": 11}, {"x-b": "s", "other": 3}, {"deep": {"t": [0, 0]}}]
+    schema = {
+        "patternProperties": {"^x-": {"type": "integer"}}, "additionalProperties": {"$ref": "#/$defs/low"}, "$defs": {"low": {"anyOf": [{"maximum": 10}, {"multipleOf": 5}]}},
+        "properties": {"t": {"prefixItems": [{"type": "integer"}, {"type": "string"}], "items": {"$ref": "#/$defs/low"}}, "deep": {"$ref": "#"}},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(docs)], "id int, j string")
+    found = tree_validation.validate(df, "id", "j", schema)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    want = [(0, "/t/2", "anyOf"), (0, "/t/2", "maximum"), (1, "/t/0", "type"), (1, "/t/1", "type"), (2, "/n", "anyOf"), (2, "/n", "maximum"), (3, "/x-b", "type"), (4, "/deep/t/1", "type")]
+    assert sorted((r["id"], r["instance_path"], r["keyword"]) for r in found.collect()) == want
