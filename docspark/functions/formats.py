@@ -158,10 +158,11 @@ def _looks_like_uri(t: Column) -> Column:
 
 
 def detected(t: Column) -> Column:
-    """The first format that a text looks like, else null."""
+    """The first format that a text looks like, else null; a text without any of ``-:@.`` has none."""
     day = shape(F.left(t, F.lit(10))) == "9999-99-99"
     return (
-        F.when(day & _from(t, 11, 1).isin("T", "t", " ") & _clock(_from(t, 12), False), "date-time")
+        F.when(F.translate(t, "-:@.", "") == t, F.lit(None).cast("string"))
+        .when(day & _from(t, 11, 1).isin("T", "t", " ") & _clock(_from(t, 12), False), "date-time")
         .when(day & (F.char_length(t) == 10) & _number(t, 6).between(1, 12) & _number(t, 9).between(1, 31), "date")
         .when(_clock(t, False), "time")
         .when(_looks_like_email(t), "email")

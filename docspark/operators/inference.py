@@ -3,11 +3,13 @@
 Positions in arrays are one step, ``[*]``. For each generalised path an aggregate gathers kinds, presence, formats and where it was first seen, which is
 all that merging schemas pairwise would give: types unite, ``required`` is what every object has, a format stays only if all scalars have it, objects,
 arrays and scalars at one path are alternatives. Samples are in order of the key, then of the text. Texts are walked once for each aggregate
-that is asked for; nothing is cached.
+that is asked for, examples being the second one; only columns that it needs are made, and nothing is cached.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,14 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def nodes(docs: DataFrame, key: str, json: str) -> DataFrame:
-    """The nodes of every valid text, however deep up to the limit of the walk; see ``docspark.sources.nodes``."""
-    return shred(docs, key, json)
+#: Columns of nodes that facts need, and those that examples need.
+FACTS = ("pre", "kind", "text", "steps")
+EXAMPLES = (*FACTS, "canon")
+
+
+def nodes(docs: DataFrame, key: str, json: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """The nodes of every valid text, however deep up to the limit of the walk, all columns by default; see ``docspark.sources.nodes``."""
+    return shred(docs, key, json, columns)
 
 
 def statistics(docs: DataFrame, key: str, json: str) -> DataFrame:
@@ -53,12 +60,13 @@ def facts(found: DataFrame, key: str, required: str = "all") -> DataFrame:
     ``first`` is the place of the path's first node and ``object``, ``array``, ``scalar`` those of its first node of each class, null if there is none;
     ``kinds`` unites all kinds, integer being part of number, in order with null last; ``format`` is that of all scalars.
     """
-    at = F.struct(F.col(key).alias("doc"), "pre")
+    at = F.col("at")
     of = lambda test: F.min(F.when(test, at))
     format_ = F.when(is_scalar(F.col("kind")), F.coalesce(F.when(F.col("kind") == "string", detected(F.col("text"))), F.lit("-")))
-    per = found.groupBy("steps").agg(
+    own = found.select("steps", "kind", F.struct(F.col(key).alias("doc"), "pre").alias("at"), format_.alias("_format"))
+    per = own.groupBy("steps").agg(
         F.min(at).alias("first"), of(F.col("kind") == "object").alias("object"), of(F.col("kind") == "array").alias("array"), of(is_scalar(F.col("kind"))).alias("scalar"),
-        F.collect_set("kind").alias("kinds"), F.count("*").alias("present"), F.count_if(F.col("kind") == "object").alias("objects"), F.min(format_).alias("_lo"), F.max(format_).alias("_hi"),
+        F.collect_set("kind").alias("kinds"), F.count("*").alias("present"), F.count_if(F.col("kind") == "object").alias("objects"), F.min("_format").alias("_lo"), F.max("_format").alias("_hi"),
     )
     parents = per.select(F.col("steps").alias("_parent"), F.col("objects").alias("_of"))
     last = F.try_element_at("steps", F.lit(-1))
@@ -84,18 +92,20 @@ def first_examples(found: DataFrame, key: str, most: int = MOST) -> DataFrame:
     return kept.select("steps", F.transform("examples", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"))).alias("examples"))
 
 
-def infer(docs: DataFrame, key: str, json: str, required: str = "all") -> DataFrame:
+def infer(docs: DataFrame, key: str, json: str, required: str = "all", examples: bool = True) -> DataFrame:
     """``infer_nodes`` of the texts."""
-    return infer_nodes(nodes(docs, key, json), key, required)
+    return infer_nodes(nodes(docs, key, json, EXAMPLES if examples else FACTS), key, required, examples)
 
 
-def infer_nodes(found: DataFrame, key: str, required: str = "all") -> DataFrame:
+def infer_nodes(found: DataFrame, key: str, required: str = "all", examples: bool = True) -> DataFrame:
     """(steps, path, kinds, present, required, format, examples, alternatives): what all texts say about each generalised path.
 
     ``required`` is whether every object that could have the member has it, or by policy "none" or "any" no or every member. ``examples``
-    are the texts of the first five scalars. ``alternatives`` names object, array and scalar where several of them stand at one path, else it is empty.
+    are the texts of the first five scalars, or left out, as they take a pass of their own. ``alternatives`` names object, array and scalar where several of them stand at one path, else it is empty.
     """
-    per = facts(found, key, required).join(first_examples(found, key), "steps", "left")
+    per = facts(found, key, required)
+    if examples:
+        per = per.join(first_examples(found, key), "steps", "left")
     only_null = F.array_join("kinds", "|") == "null"
     classes = F.array_compact(F.array(F.when(F.col("array").isNotNull(), "array"), F.when(F.col("object").isNotNull(), "object"), F.when(F.exists("kinds", lambda k: ~k.isin("object", "array", "null")), "scalar")))
     nothing = F.array().cast(NOTHING)
@@ -106,7 +116,7 @@ def infer_nodes(found: DataFrame, key: str, required: str = "all") -> DataFrame:
         "present",
         "required",
         F.when(F.array_join("kinds", "|") == "string", F.col("format")).alias("format"),
-        F.coalesce(F.transform("examples", lambda x: x["text"]), nothing).alias("examples"),
+        *([F.coalesce(F.transform("examples", lambda x: x["text"]), nothing).alias("examples")] if examples else []),
         F.when((F.size(classes) > 1) & ~only_null, classes).otherwise(nothing).alias("alternatives"),
     )
 
@@ -118,7 +128,7 @@ def of_items(found: DataFrame) -> DataFrame:
 
 def infer_items(docs: DataFrame, key: str, json: str) -> DataFrame:
     """``infer`` with the elements of each text's outermost array as samples."""
-    return infer_nodes(of_items(nodes(docs, key, json)), key)
+    return infer_nodes(of_items(nodes(docs, key, json, EXAMPLES)), key)
 
 
 def _quoted(text: Column) -> Column:

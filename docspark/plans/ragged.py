@@ -106,7 +106,7 @@ def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def infer_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One schema for texts of all shapes: alternatives and members in order of first appearance, required members, a type with null."""
-    return inference.schema_text(inference.nodes(ragged(spark, sf_dir), "o_orderkey", "json"), "o_orderkey")
+    return inference.schema_text(inference.nodes(ragged(spark, sf_dir), "o_orderkey", "json", inference.FACTS), "o_orderkey")
 
 
 @query(

@@ -229,6 +229,14 @@ def test_statistics_of_equal_keys(spark):
     assert sorted(tuple(r) for r in inference.statistics(df, "id", "j").collect()) == [(1, 5, 3, 1), (1, 14, 3, 2)]
 
 
+def test_facts_of_few_columns(spark):
+    """The schema text takes one walk with the columns that facts need; infer without examples as well."""
+    df = spark.createDataFrame([(1, '{"a":"x","d":"2024-01-02","u":"http://x"}'), (2, '{"a":null,"d":"2024-01-03","u":"mailto:b@c.de"}')], "id int, j string")
+    few, own = inference.nodes(df, "id", "j", inference.FACTS), inference.nodes(df, "id", "j")
+    assert set(few.columns) == {"id", "pre", "kind", "text", "steps"}
+    assert inference.schema_text(few, "id").first() == inference.schema_text(own, "id").first()
+
+
 #: Queries of one scan: the texts are walked once, and no join but that of orders with their items is left.
 SCANS = [
     "node_filter",
