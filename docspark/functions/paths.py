@@ -13,7 +13,7 @@ for two numbers or two texts only.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -510,6 +510,11 @@ def _plain(segments: tuple[Segment, ...], found: list[Nodes]) -> bool:
     return len(found) <= 1 and all(len(s.selectors) == 1 and (not s.deep or s.selectors[0].kind == "name") for s in segments)
 
 
+def _distinct(segments: tuple[Segment, ...]) -> tuple[Segment, ...]:
+    """Segments without selectors that a segment has twice: what they pick is there once, at its first place."""
+    return tuple(replace(s, selectors=tuple({repr(x): x for x in reversed(s.selectors)}[r] for r in dict.fromkeys(map(repr, s.selectors)))) for s in segments)
+
+
 def _root(df, column: str) -> Nodes:  # noqa: ANN001
     return Nodes(F.col(column), df.schema[column].dataType)
 
@@ -523,7 +528,7 @@ def path(df, column: str, text: str) -> Column:  # noqa: ANN001
 
 def matches(df, column: str, text: str) -> Column:  # noqa: ANN001
     """Like ``path``, but always an array, empty where nothing matches."""
-    root, segments = _root(df, column), parse(text)
+    root, segments = _root(df, column), _distinct(parse(text))
     found = walk(root, segments, root)
     if _plain(segments, found):
         return found[0].each() if found else F.array()
@@ -539,6 +544,7 @@ def exists(df, column: str, text: str) -> Column:  # noqa: ANN001
 
 def nodes(df, column: str, text: str) -> Column:  # noqa: ANN001
     """What ``text`` matches, in order, as an array of (path, pointer, value)."""
-    root, segments = _root(df, column), parse(text)
-    ordered = _in_order(located(root, segments))
+    root, segments = _root(df, column), _distinct(parse(text))
+    found = located(root, segments)
+    ordered = (found[0].column, found[0].kind) if found and _plain(segments, found) else _in_order(found)
     return F.array() if ordered is None else F.transform(ordered[0], lambda x: F.struct(x["path"].alias("path"), x["pointer"].alias("pointer"), x["value"].alias("value")))

@@ -157,3 +157,11 @@ def test_escapes_of_pairs(spark):
 def test_exists_needs_no_order(spark):
     df = spark.sql("SELECT named_struct('a', array(1, 2), 'b', cast(null AS int)) AS doc")
     assert [df.select(exists(df, "doc", t)).first()[0] for t in ("$.a[?(@ > 1)]", "$.b", "$..b", "$.a[5]", "$.zz")] == [True, False, False, False, False]
+
+
+def test_selectors_given_twice(fleet):
+    """They cost what one costs: nothing is sorted by path; equal numbers and truths are not the same selector."""
+    twice, once = (fleet.select(nodes(fleet, "d", text).alias("n")) for text in ("$['trams','trams'][*]['line','line']", "$.trams[*].line"))
+    assert "array_sort" not in twice._jdf.queryExecution().optimizedPlan().toString()
+    assert twice.first() == once.first() and [n["pointer"] for n in twice.first()["n"]] == ["/trams/0/line", "/trams/1/line", "/trams/2/line"]
+    assert [n["pointer"] for n in fleet.select(nodes(fleet, "d", "$[?(@ == true), ?(@ == 7), ?(@ == true)]").alias("n")).first()["n"]] == ["/odd key"]
