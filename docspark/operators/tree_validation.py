@@ -431,11 +431,13 @@ def _base(places: Places, states: DataFrame) -> DataFrame:
 
 def _in_row(places: Places, branched: set[str], nodes: DataFrame, shapes: DataFrame) -> DataFrame:
     """The violations (_doc, pre, ...) where no branch looks below: each node's places, verdicts and reports are columns of its own row."""
-    own = nodes.withColumn("kids", F.col("kids") if "kids" in nodes.columns else F.array().cast(KIDS)).join(shapes, F.col("_shape") == F.col("_at"))
     found = list(places.found.values())
+    # Whether a place is there, and for sure, is known of the shape.
+    flags = {f"_h{i}": F.exists("at", lambda x: x["place"] == p.at) for i, p in enumerate(found)} | {f"_s{i}": F.exists("at", lambda x: (x["place"] == p.at) & x["sure"]) for i, p in enumerate(found)}
+    shapes = F.broadcast(shapes.select("_at", *(f.alias(c) for c, f in flags.items())))
+    own = nodes.withColumn("kids", F.col("kids") if "kids" in nodes.columns else F.array().cast(KIDS)).join(shapes, F.col("_shape") == F.col("_at"))
     column = {p.at: f"_r{i}" for i, p in enumerate(found)}
-    here = {p.at: F.array_contains(F.transform("at", lambda x: x["place"]), p.at) for p in found}
-    sure = {p.at: F.array_contains("at", F.struct(F.lit(p.at).alias("place"), F.lit(True).alias("sure"))) for p in found}
+    here, sure = ({p.at: F.col(f"_{k}{i}") for i, p in enumerate(found)} for k in "hs")
     own = own.withColumns({column[p.at]: F.when(here[p.at], places.local(p)).otherwise(typed._none()) for p in found})
     m = {p: F.struct(F.size(column[p]).cast("bigint").alias("errors"), F.exists(column[p], lambda r: r["keyword"] == "type").alias("type")) for p in branched}
     parts = [F.when(sure[p.at], F.col(column[p.at])).otherwise(typed._none()) for p in found]
@@ -446,7 +448,8 @@ def _in_row(places: Places, branched: set[str], nodes: DataFrame, shapes: DataFr
         return F.flatten(F.transform(places.active(at, m, every=False), lambda a: F.concat(a["rows"], F.when(a["place"] == at, typed._none()).otherwise(rows_of(a["place"])))))
 
     parts += [F.when(sure[p.at], told(p.at)).otherwise(typed._none()) for p in found if set(p.same()) - set(p.every)]
-    return own.select("_doc", "pre", F.explode(F.array_distinct(F.concat(*parts))).alias("r")).select("_doc", "pre", "r.*")
+    # Without "outer" the optimizer asks for the size first, and computes all of it twice.
+    return own.select("_doc", "pre", F.explode_outer(F.array_distinct(F.concat(*parts))).alias("r")).filter(F.col("r").isNotNull()).select("_doc", "pre", "r.*")
 
 
 def _with_branches(places: Places, branched: set[str], states: DataFrame, base: DataFrame, keep) -> DataFrame:  # noqa: ANN001
