@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ from docspark.operators.validation import VIOLATION, SchemaError
 from docspark.sources.nodes import ELEMENT, dropped, literal_canon, shred, written
 
 KIDS = "array<struct<sib:int,name:string,canon:string>>"
+#: Sets of places that nodes can have, at most, for the walk to tell them; with more, or with patterns, they are looked up by shape.
+MOST_STATES = 1000
+#: The columns of nodes that keywords ask for.
+ASKED = {
+    "text": {"minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format"},
+    "num": {"minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"},
+    "n": {"minItems", "maxItems", "minProperties", "maxProperties", "uniqueItems"},
+    "canon": {"enum", "const"},
+    "kids": {"uniqueItems", "propertyNames"},
+    "names": {"required", "dependentRequired", "dependencies", "dependentSchemas"},
+}
 
 
 @dataclass
@@ -52,11 +64,13 @@ class Places:
 
     def __init__(self, root: dict | bool) -> None:
         self.root, self.found, self._at, self.below = root, {}, {}, {}
+        #: The names of a node's members.
+        self.names = F.col("kids")["name"]
         self._index(root, "#")
         self._visit("#", root)
         for p in self.found.values():
             self.closure(p.at)  # a reference that leads back without a step down is refused here
-            self.children(p, F.lit(None), F.lit(None))  # notes the places below
+            self.below[p.at] = {at for _, _, at in self.ways(p)}
 
     def _index(self, schema: object, at: str) -> None:
         if isinstance(schema, dict):
@@ -135,57 +149,104 @@ class Places:
         tuples = [s[k] for s in dicts for k in ("prefixItems", "items") if isinstance(s.get(k), list)]
         return list(names), [typed.checked_pattern(x, "#") for x in patterns], max(map(len, tuples), default=0)
 
-    def needs_kids(self) -> bool:
-        words = {"required", "dependentRequired", "dependencies", "dependentSchemas", "propertyNames", "uniqueItems"}
-        return any(isinstance(p.schema, dict) and words & set(p.schema) for p in self.found.values())
+    def asks(self, column: str) -> bool:
+        """Whether a keyword of the schema asks for a column of nodes."""
+        return any(isinstance(p.schema, dict) and ASKED[column] & set(p.schema) for p in self.found.values())
 
-    def children(self, p: Place, name: Column, idx: Column) -> Column | None:
-        """The places of a child of a node at this place, as an array of (entry, contains)."""
-        s, found = p.schema, []
+    def ways(self, p: Place) -> list[tuple[str, object, str]]:
+        """Where steps lead from a place, as (test, value, place): a ``name``, a ``pattern`` of names, ``other`` names, an ``index``, or ``from`` one on; ``contains`` is of all elements."""
+        s, out = p.schema, []
         if isinstance(s, bool):
-            return None
-
-        def add(when: Column, sub: str, contains: bool = False) -> None:
-            at = f"{p.at}/{sub}"
-            self.below.setdefault(p.at, set()).add(at)
-            if self.found[at].schema is not True or contains:
-                found.append(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(at).alias("entry"), F.lit(contains).alias("contains"))))
-
-        known, named = s.get("properties", {}), {x: typed.checked_pattern(x, p.at) for x in s.get("patternProperties", {})}
-        for n in known:
-            add(name == n, "properties" + typed.step_of(n))
-        for x, pattern in named.items():
-            add(name.rlike(pattern), "patternProperties" + typed.step_of(x))
+            return out
+        out += [("name", n, f"{p.at}/properties{typed.step_of(n)}") for n in s.get("properties", {})]
+        out += [("pattern", typed.checked_pattern(x, p.at), f"{p.at}/patternProperties{typed.step_of(x)}") for x in s.get("patternProperties", {})]
         if "additionalProperties" in s:
-            other = name.isNotNull()
-            other = other & ~name.isin(*known) if known else other
-            for pattern in named.values():
-                other = other & ~name.rlike(pattern)
-            add(other, "additionalProperties")
+            out.append(("other", None, f"{p.at}/additionalProperties"))
         tuple_ = s.get("prefixItems") or (s.get("items") if isinstance(s.get("items"), list) else [])
         keyword = "prefixItems" if "prefixItems" in s else "items"
-        for i in range(len(tuple_)):
-            add(idx == i, f"{keyword}/{i}")
+        out += [("index", i, f"{p.at}/{keyword}/{i}") for i in range(len(tuple_))]
         rest = "additionalItems" if isinstance(s.get("items"), list) and "prefixItems" not in s else "items"
         if rest in s and not isinstance(s[rest], list):
-            add(idx >= len(tuple_), rest)
+            out.append(("from", len(tuple_), f"{p.at}/{rest}"))
         if "contains" in s:
-            add(idx.isNotNull(), "contains", True)
+            out.append(("contains", 0, f"{p.at}/contains"))
+        return out
+
+    def children(self, p: Place, name: Column, idx: Column) -> Column | None:
+        """The places of a child of a node at this place, as an array of (entry, contains)."""
+        ways, found = self.ways(p), []
+        named = [name == v if test == "name" else name.rlike(v) for test, v, _ in ways if test in ("name", "pattern")]
+        other = name.isNotNull()
+        for x in named:
+            other = other & ~x
+        for test, v, at in ways:
+            when = {"name": lambda: name == v, "pattern": lambda: name.rlike(v), "other": lambda: other, "index": lambda: idx == v}.get(test, lambda: idx >= v)()  # noqa: B023
+            if self.found[at].schema is not True or test == "contains":
+                found.append(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(at).alias("entry"), F.lit(test == "contains").alias("contains"))))
         return F.array_compact(F.array(*found)) if found else None
 
+    def states(self) -> tuple[list[tuple[dict[str, int], int, list[int]]], list[dict[str, bool]]] | None:
+        """The sets of places that nodes can have, each place with whether it is there for sure, and where steps lead from them, as ``shred`` takes it: by name, by another name, by
+        index. None if they are told by patterns, or too many."""
+        names, patterns, most = self.alphabet()
+        if patterns:
+            return None
+
+        def closed(entries: dict[str, bool]) -> dict[str, bool]:
+            out: dict[str, bool] = {}
+            for at, sure in entries.items():
+                for x in self.closure(at):
+                    out[x] = out.get(x, False) or (sure and x in self.sure(at))
+            return out
+
+        def led(state: dict[str, bool], name: str | None, idx: int | None) -> dict[str, bool]:
+            entries: dict[str, bool] = {}
+            for place, sure in state.items():
+                ways = self.ways(self.found[place])
+                known = {v for test, v, _ in ways if test == "name"}
+                for test, v, at in ways:
+                    if idx is None:
+                        there = name == v if test == "name" else test == "other" and name not in known
+                    else:
+                        there = idx == v if test == "index" else test == "from" and idx >= v
+                    if there and self.found[at].schema is not True:
+                        entries[at] = entries.get(at, False) or sure
+            return closed(entries)
+
+        found, numbers, steps = [closed({"#": True})], {}, []
+        numbers[frozenset(found[0].items())] = 0
+
+        def number(state: dict[str, bool]) -> int:
+            if not state:
+                return -1
+            own = frozenset(state.items())
+            if own not in numbers:
+                numbers[own] = len(found)
+                found.append(state)
+            return numbers[own]
+
+        while len(steps) < len(found) <= MOST_STATES:
+            state = found[len(steps)]
+            steps.append(({x: number(led(state, x, None)) for x in names}, number(led(state, None, None)), [number(led(state, None, i)) for i in range(most + 1)]))
+        return (steps, found) if len(found) <= MOST_STATES else None
+
     def local(self, p: Place) -> Column:
         """The violations of the node itself, without its branches."""
-        s, rows = p.schema, []
+        return typed._rows([rows for _, _, rows in self.tests(p)])
+
+    def tests(self, p: Place) -> list[tuple[str, Column, Column]]:
+        """(keyword, whether it is violated, its violations) of the node itself, without its branches."""
+        s, out = p.schema, []
         here = F.col("pointer")
         if isinstance(s, bool):
-            return typed._none() if s else F.array(typed._row(here, p.at, "false", "Not allowed"))
+            return [] if s else [("false", F.lit(True), F.array(typed._row(here, p.at, "false", "Not allowed")))]
         kind, text, num, n, kids = (F.col(c) for c in ("kind", "text", "num", "n", "kids"))
 
         def add(keyword: str, bad: Column, message: str | Column) -> None:
-            rows.append(typed._one(here, f"{p.at}/{keyword}", keyword, bad, message))
+            out.append((keyword, F.coalesce(bad, F.lit(False)), typed._one(here, f"{p.at}/{keyword}", keyword, bad, message)))
 
         number, string, array, object_ = kind.isin("integer", "number"), kind == "string", kind == "array", kind == "object"
-        has = lambda name: F.exists(kids, lambda k: k["name"] == name)
+        has = self._has
         for keyword, v in s.items():
             if keyword == "type":
                 names = v if isinstance(v, list) else [v]
@@ -209,6 +270,9 @@ class Places:
                 digits = max(0, -divisor.normalize().as_tuple().exponent)
                 exact = text.try_cast(f"decimal(38,{digits})")
                 whole = F.when(exact.isNotNull(), (exact.cast("double") == num) & (exact % F.lit(divisor.quantize(Decimal(1).scaleb(-digits))) == 0)).otherwise(F.abs(num / float(v) - F.rint(num / float(v))) < 1e-9)
+                if digits == 0 and v < 2**52:
+                    # Whole numbers this small are exact as doubles.
+                    whole = F.when(F.abs(num) < 2.0**52, num % float(v) == 0).otherwise(whole)
                 add(keyword, number & ~whole, F.concat(F.lit("Value "), text, F.lit(f" is not a multiple of {json.dumps(v)}")))
             elif keyword in ("minLength", "maxLength"):
                 size = F.char_length(text)
@@ -225,19 +289,37 @@ class Places:
                 firsts = F.transform(kids, lambda x: F.struct((F.array_position(F.transform(kids, lambda y: y["canon"]), x["canon"]) - 1).alias("i"), x["sib"].alias("j")))
                 says = lambda t: F.concat(F.lit("Array has duplicate items at indices "), t["i"].cast("string"), F.lit(" and "), t["j"].cast("string"))
                 double = array & (F.size(F.array_distinct(F.transform(kids, lambda y: y["canon"]))) < n)
-                rows.append(F.when(double, F.transform(F.filter(firsts, lambda t: t["i"] < t["j"]), lambda t: typed._row(here, f"{p.at}/uniqueItems", "uniqueItems", says(t)))).otherwise(typed._none()))
+                each = F.transform(F.filter(firsts, lambda t: t["i"] < t["j"]), lambda t: typed._row(here, f"{p.at}/uniqueItems", "uniqueItems", says(t)))
+                out.append((keyword, F.coalesce(double, F.lit(False)), F.when(double, each).otherwise(typed._none())))
             elif keyword == "required":
-                for name in v:
+                for name in dict.fromkeys(v):
                     add(keyword, object_ & ~has(name), f"Missing required property '{name}'")
             elif keyword in ("dependentRequired", "dependencies"):
                 for name, others in v.items():
-                    for other in others if isinstance(others, list) else ():
+                    for other in dict.fromkeys(others if isinstance(others, list) else ()):
                         add(keyword, object_ & has(name) & ~has(other), f"Property '{other}' is required when '{name}' is present")
             elif keyword == "propertyNames":
                 names = F.filter(kids, lambda k: k["name"].isNotNull())
                 each = lambda k, inner=v: typed._rows(typed.tests(k["name"], T.StringType(), inner, F.concat(here, typed.escaped(k["name"])), f"{p.at}/propertyNames", self.root))
-                rows.append(F.when(object_, F.flatten(F.transform(names, lambda k: each(k)))).otherwise(typed._none()))
-        return typed._rows(rows)
+                found = F.when(object_, F.flatten(F.transform(names, lambda k: each(k)))).otherwise(typed._none())
+                out.append((keyword, F.size(found) > 0, found))
+        return out
+
+    def fails(self, at: str, every: bool = True) -> Column:
+        """Whether anything is violated at a place, what is below left out: a plain test, for rows to be passed over before their violations are made."""
+        p, no = self.found[at], F.lit(False)
+        bad = [x for _, x, _ in self.tests(p)] + [self.fails(x) for x in p.every if every]
+        if p.any_of:
+            bad.append(reduce(Column.__and__, map(self.fails, p.any_of)))
+        if p.one_of:
+            bad.append(reduce(Column.__add__, (F.when(self.fails(x), 0).otherwise(1) for x in p.one_of)) != 1)
+        if p.not_:
+            bad.append(~self.fails(p.not_))
+        if p.if_:
+            yes, other = (no if x is None else self.fails(x) for x in p.if_[1:])
+            bad.append(F.when(self.fails(p.if_[0]), other).otherwise(yes))
+        bad += [self._has(name) & self.fails(x) for name, x in p.dependent.items()]
+        return reduce(Column.__or__, bad, no)
 
     def contained(self, p: Place) -> Column:
         """The violations of ``contains``, from ``hits``, the number of items that match."""
@@ -272,9 +354,8 @@ class Places:
             errors, type_ = errors + x["errors"], type_ | x["type"]
         return F.struct(errors.alias("errors"), type_.alias("type"))
 
-    @staticmethod
-    def _has(name: str) -> Column:
-        return F.coalesce(F.exists(F.col("kids"), lambda k: k["name"] == name), F.lit(False))
+    def _has(self, name: str) -> Column:
+        return F.coalesce(F.array_contains(self.names, name), F.lit(False))
 
     def _branches(self, branches: list[str], m: Column) -> Column:
         """The verdicts of branches, each with its rank, (type, errors, position)."""
@@ -292,22 +373,32 @@ class Places:
 
         return typed._let(self._branches(branches, m), decide)
 
+    @staticmethod
+    def undecided(at: str, keyword: str, passed: Column, branches: int) -> list[Column]:
+        """What a place reports of its branches, of which some pass."""
+        here, count = F.col("pointer"), typed._counted(branches, "schema", "schemas")
+        rows = [typed._one(here, f"{at}/{keyword}", keyword, passed == 0, f"Does not match any of {count}")]
+        if keyword == "oneOf":
+            rows.append(typed._one(here, f"{at}/{keyword}", keyword, passed > 1, F.concat(F.lit("Matches "), passed.cast("string"), F.lit(f" of {count}, expected exactly one"))))
+        return rows
+
+    @staticmethod
+    def negated(at: str, passes: Column) -> Column:
+        return typed._one(F.col("pointer"), f"{at}/not", "not", passes, "Must not match schema")
+
     def active(self, at: str, m: Column, every: bool = True) -> Column:
         """The places that report where this one does, as an array of (place, rows), with the violations of their branches."""
         p = self.found[at]
-        here, rows, more = F.col("pointer"), [], [self.active(x, m) for x in p.every] if every else []
+        rows, more = [], [self.active(x, m) for x in p.every] if every else []
         for keyword, branches in (("anyOf", p.any_of), ("oneOf", p.one_of)):
             if branches:
                 b = self._branches(branches, m)
                 passed, best = F.size(F.filter(b, lambda x: x["errors"] == 0)), F.array_min(b)["i"]
-                count = typed._counted(len(branches), "schema", "schemas")
-                rows.append(typed._one(here, f"{at}/{keyword}", keyword, passed == 0, f"Does not match any of {count}"))
-                if keyword == "oneOf":
-                    rows.append(typed._one(here, f"{at}/{keyword}", keyword, passed > 1, F.concat(F.lit("Matches "), passed.cast("string"), F.lit(f" of {count}, expected exactly one"))))
+                rows += self.undecided(at, keyword, passed, len(branches))
                 for i, x in enumerate(branches):
                     more.append(F.when((passed == 0) & (best == i), self.active(x, m)))
         if p.not_:
-            rows.append(typed._one(here, f"{at}/not", "not", self.verdict(p.not_, m)["errors"] == 0, "Must not match schema"))
+            rows.append(self.negated(at, self.verdict(p.not_, m)["errors"] == 0))
         if p.if_:
             holds = self.verdict(p.if_[0], m)["errors"] == 0
             more += [F.when(test, self.active(x, m)) for test, x in ((holds, p.if_[1]), (~holds, p.if_[2])) if x]
@@ -328,41 +419,48 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def columns(schema: dict | bool) -> list[str]:
-    """The columns of the table of nodes that a schema asks for."""
-    places = Places(schema)
-    return ["pre", "pointer", "kind", "text", "num", "n", "canon", "steps", *(["kids"] if places.needs_kids() else []), *([] if places.flat() else ["parent", "depth"])]
+def columns(places: Places) -> list[str]:
+    """The columns of the table of nodes that a schema asks for, its branches looking at nothing below."""
+    return ["pre", "pointer", "kind", *(c for c in ASKED if places.asks(c))]
 
 
 def validate(docs: DataFrame, key: str, json: str, schema: dict | bool) -> DataFrame:
-    """``validate_nodes`` of the texts. They are walked for the shapes and for the nodes, or for a written table if branches look below."""
-    nodes = shred(docs, key, json, columns(schema))
-    if not Places(schema).flat():
-        return validate_nodes(written(nodes, "tree-nodes"), key, schema)
-    return validate_nodes(nodes, key, schema, shred(docs, key, json, ["pointer", "steps"]))
-
+    """``validate_nodes`` of the texts. They are walked once, into a written table if branches look below; where the schema has patterns and no such branches, once more for the shapes."""
+    places = Places(schema)
+    if not places.flat():
+        kids = ["kids"] if places.asks("kids") or places.asks("names") else []
+        return validate_nodes(written(shred(docs, key, json, ["pre", "pointer", "kind", "text", "num", "n", "canon", "steps", "parent", "depth", *kids]), "tree-nodes"), key, schema)
+    places.names = F.col("names")
+    own, states = columns(places), places.states()
+    if states is None:
+        nodes = _at_shapes(places, shred(docs, key, json, [*own, "steps", "pointer"]), _shapes(places, shred(docs, key, json, ["pointer", "steps"])))
+    else:
+        nodes = _at_states(places, shred(docs, key, json, own, states=states[0]), states[1])
+    return _ordered(_in_row(places, nodes.withColumnRenamed(key, "_doc")), key)
 
-def validate_nodes(nodes: DataFrame, key: str, schema: dict | bool, paths: DataFrame | None = None) -> DataFrame:
-    """(key, ord, instance_path, schema_path, keyword, message): the violations of each document, in order of the nodes. ``nodes`` is best a written table.
 
-    ``paths`` has the pointer and steps of all nodes; by default they are taken from ``nodes``.
-    """
+def validate_nodes(nodes: DataFrame, key: str, schema: dict | bool) -> DataFrame:
+    """(key, ord, instance_path, schema_path, keyword, message): the violations of each document, in order of the nodes. ``nodes`` is best a written table."""
     places = Places(schema)
     branched, kept = places.branched(), []
-    shapes = _shapes(places, nodes if paths is None else paths)
-    nodes = nodes.withColumnRenamed(key, "_doc").withColumn("_shape", _shape(places))
+    shapes = _shapes(places, nodes)
+    nodes = nodes.withColumnRenamed(key, "_doc")
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         kept.append(written(df, name))
         return kept[-1]
 
     if places.flat():
-        out = _in_row(places, branched, nodes, shapes)
+        out = _in_row(places, _at_shapes(places, nodes, shapes))
     else:
-        states = keep(_states(nodes, shapes), "tree-states")
+        states = keep(_states(nodes.withColumn("_shape", _shape(places)), shapes), "tree-states")
         base = keep(_base(places, states), "tree-base")
         out = written(_with_branches(places, branched, states, base, keep).distinct(), "tree-violations")
         dropped(*kept)
+    return _ordered(out, key)
+
+
+def _ordered(out: DataFrame, key: str) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("_doc").orderBy("pre", "instance_path", "schema_path", "message")) - 1
     return out.select(F.col("_doc").alias(key), order.alias("ord"), "instance_path", "schema_path", "keyword", "message")
 
@@ -429,27 +527,96 @@ def _base(places: Places, states: DataFrame) -> DataFrame:
     return own.select("_doc", "pre", "depth", "pointer", "kind", "kids", "place", "sure", _switch(local, typed._none()).alias("rows"))
 
 
-def _in_row(places: Places, branched: set[str], nodes: DataFrame, shapes: DataFrame) -> DataFrame:
-    """The violations (_doc, pre, ...) where no branch looks below: each node's places, verdicts and reports are columns of its own row."""
-    found = list(places.found.values())
-    # Whether a place is there, and for sure, is known of the shape.
-    flags = {f"_h{i}": F.exists("at", lambda x: x["place"] == p.at) for i, p in enumerate(found)} | {f"_s{i}": F.exists("at", lambda x: (x["place"] == p.at) & x["sure"]) for i, p in enumerate(found)}
+def _at_shapes(places: Places, nodes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Nodes with a flag for each place, whether it is there (``_h``) and whether for sure (``_s``), as known of their shapes."""
+    flags = {f"_h{i}": F.exists("at", lambda x: x["place"] == at) for i, at in enumerate(places.found)} | {f"_s{i}": F.exists("at", lambda x: (x["place"] == at) & x["sure"]) for i, at in enumerate(places.found)}
     shapes = F.broadcast(shapes.select("_at", *(f.alias(c) for c, f in flags.items())))
-    own = nodes.withColumn("kids", F.col("kids") if "kids" in nodes.columns else F.array().cast(KIDS)).join(shapes, F.col("_shape") == F.col("_at"))
-    column = {p.at: f"_r{i}" for i, p in enumerate(found)}
-    here, sure = ({p.at: F.col(f"_{k}{i}") for i, p in enumerate(found)} for k in "hs")
-    own = own.withColumns({column[p.at]: F.when(here[p.at], places.local(p)).otherwise(typed._none()) for p in found})
-    m = {p: F.struct(F.size(column[p]).cast("bigint").alias("errors"), F.exists(column[p], lambda r: r["keyword"] == "type").alias("type")) for p in branched}
-    parts = [F.when(sure[p.at], F.col(column[p.at])).otherwise(typed._none()) for p in found]
-    rows_of = lambda place: _switch([(p, F.col(c)) for p, c in column.items() if p in branched], typed._none(), place)
-
-    def told(at: str) -> Column:
-        """What the branches of a place report, and the violations of the places that they lead to."""
-        return F.flatten(F.transform(places.active(at, m, every=False), lambda a: F.concat(a["rows"], F.when(a["place"] == at, typed._none()).otherwise(rows_of(a["place"])))))
-
-    parts += [F.when(sure[p.at], told(p.at)).otherwise(typed._none()) for p in found if set(p.same()) - set(p.every)]
+    return nodes.withColumn("_shape", _shape(places)).join(shapes, F.col("_shape") == F.col("_at"))
+
+
+def _at_states(places: Places, nodes: DataFrame, states: list[dict[str, bool]]) -> DataFrame:
+    """The same from the states that the walk gave."""
+    of = lambda test: F.col("state").isin([i for i, state in enumerate(states) if test(state)])
+    return nodes.select("*", *(of(lambda s: at in s).alias(f"_h{i}") for i, at in enumerate(places.found)), *(of(lambda s: s.get(at, False)).alias(f"_s{i}") for i, at in enumerate(places.found)))
+
+
+def _levels(needs: dict[str, list[str]]) -> list[list[str]]:
+    """Places by level, each above all that it needs."""
+    level: dict[str, int] = {}
+
+    def of(at: str) -> int:
+        if at not in level:
+            level[at] = max((1 + of(x) for x in needs[at]), default=0)
+        return level[at]
+
+    out: list[list[str]] = [[] for _ in range(max(map(of, needs), default=-1) + 1)]
+    for at, k in level.items():
+        out[k].append(at)
+    return out
+
+
+def _in_row(places: Places, nodes: DataFrame) -> DataFrame:
+    """The violations (_doc, pre, ...) where no branch looks below: verdicts, and which places report, are plain columns of each node's row, made level by level.
+
+    Functions of elements are avoided here, since Spark doesn't compile what has them.
+    """
+    found, no, zero = places.found, F.lit(False), F.lit(0).cast("bigint")
+    at = {x: i for i, x in enumerate(found)}
+    here, sure, errors, typing, active = ({x: F.col(f"_{k}{i}") for x, i in at.items()} for k in "hseta")
+    tests = {x: places.tests(p) for x, p in found.items()}
+    any_, sum_ = (lambda xs: reduce(Column.__or__, xs, no)), (lambda xs: reduce(Column.__add__, xs, zero))
+    # Most nodes have no violation: they go before anything is made of them.
+    own = nodes.filter(any_(sure[x] & places.fails(x, every=False) for x in found))
+    passed = lambda branches: sum_(F.when(errors[x] == 0, 1).otherwise(0) for x in branches)
+    best = lambda branches: F.array_min(F.array(*(F.struct(typing[x].alias("type"), errors[x].alias("errors"), F.lit(i).alias("i")) for i, x in enumerate(branches))))
+
+    def verdict(x: str) -> tuple[Column, Column]:
+        """How much is violated at a place with its branches, and whether the node's own type is."""
+        p = found[x]
+        several = ("uniqueItems", "propertyNames")
+        e = [F.size(rows) if keyword in several else F.when(bad, 1).otherwise(0) for keyword, bad, rows in tests[x]] + [errors[y] for y in p.every]
+        t = [bad for keyword, bad, _ in tests[x] if keyword == "type"] + [typing[y] for y in p.every]
+        t += [F.exists(rows, lambda r: r["keyword"] == "type") for keyword, _, rows in tests[x] if keyword == "propertyNames"]
+        for branches in filter(None, (p.any_of, p.one_of)):
+            failed = F.when(passed(branches) == 0, best(branches)["errors"] + 1)
+            e.append((failed.when(passed(branches) > 1, 1) if branches is p.one_of else failed).otherwise(0))
+            t.append((passed(branches) == 0) & best(branches)["type"])
+        if p.not_:
+            e.append(F.when(errors[p.not_] == 0, 1).otherwise(0))
+        if p.if_:
+            holds, (yes, other) = errors[p.if_[0]] == 0, p.if_[1:]
+            e.append(F.when(holds, errors[yes] if yes else zero).otherwise(errors[other] if other else zero))
+            t.append(F.when(holds, typing[yes] if yes else no).otherwise(typing[other] if other else no))
+        for name, y in p.dependent.items():
+            e.append(F.when(places._has(name), errors[y]).otherwise(0))
+            t.append(places._has(name) & typing[y])
+        return F.when(here[x], sum_(e)).otherwise(zero), here[x] & any_(t)
+
+    for level in _levels({x: found[x].same() for x in places.branched()}):
+        own = own.withColumns({f"_{k}{at[x]}": c for x in level for k, c in zip("et", verdict(x))})
+    above: dict[str, list[tuple[str, Column]]] = {x: [] for x in found}
+    for x, p in found.items():
+        ways = [(y, F.lit(True)) for y in p.every] + [(y, places._has(name)) for name, y in p.dependent.items()]
+        ways += [(y, (passed(branches) == 0) & (best(branches)["i"] == i)) for branches in (p.any_of, p.one_of) for i, y in enumerate(branches)]
+        if p.if_:
+            ways += [(y, (errors[p.if_[0]] == 0) == holds) for y, holds in zip(p.if_[1:], (True, False)) if y]
+        for y, when in ways:
+            above[y].append((x, when))
+    for level in _levels({x: [y for y, _ in ways] for x, ways in above.items()}):
+        own = own.withColumns({f"_a{at[x]}": any_([sure[x], *(active[y] & when for y, when in above[x])]) for x in level})
+    parts = []
+    for x, p in found.items():
+        rows = [r for _, _, r in tests[x]]
+        for keyword, branches in (("anyOf", p.any_of), ("oneOf", p.one_of)):
+            rows += places.undecided(x, keyword, passed(branches), len(branches)) if branches else []
+        rows += [places.negated(x, errors[p.not_] == 0)] if p.not_ else []
+        if rows:
+            parts.append(F.when(active[x], typed._rows(rows)).otherwise(typed._none()))
+    rows = typed._rows(parts)
+    if places.asks("kids"):
+        rows = F.array_distinct(rows)  # a name can violate the same twice
     # Without "outer" the optimizer asks for the size first, and computes all of it twice.
-    return own.select("_doc", "pre", F.explode_outer(F.array_distinct(F.concat(*parts))).alias("r")).filter(F.col("r").isNotNull()).select("_doc", "pre", "r.*")
+    return own.select("_doc", "pre", F.explode_outer(rows).alias("r")).filter(F.col("r").isNotNull()).select("_doc", "pre", "r.*")
 
 
 def _with_branches(places: Places, branched: set[str], states: DataFrame, base: DataFrame, keep) -> DataFrame:  # noqa: ANN001

@@ -27,7 +27,7 @@ def _item() -> Column:
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, price, items): an order with the texts of its items in order."""
     own = F.struct("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", _item().alias("text"))
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(own)).alias("items"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(own)).alias("items"))
     o = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     return o.select("o_orderkey", F.floor("o_totalprice").cast("string").alias("price"), F.transform("items", lambda x: x["text"]).alias("items"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import tree_validation, validation
 from docspark.operators.validation import SchemaError
+from docspark.plans import catalog, ragged  # noqa: F401  (registers its queries)
 from docspark.sources.nodes import shred, written
 
 KIND = "id int, d struct<name:string,age:int,score:double,tags:array<string>,pet:struct<name:string,legs:int>,m:map<string,int>>"
@@ -112,3 +113,39 @@ def test_branches_in_the_row(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     want = [(0, "/t/2", "anyOf"), (0, "/t/2", "maximum"), (1, "/t/0", "type"), (1, "/t/1", "type"), (2, "/n", "anyOf"), (2, "/n", "maximum"), (3, "/x-b", "type"), (4, "/deep/t/1", "type")]
     assert sorted((r["id"], r["instance_path"], r["keyword"]) for r in found.collect()) == want
+
+
+FLAT = [
+    {"anyOf": [{"required": ["a"]}, {"type": "array"}, {"anyOf": [{"type": "null"}, {"minProperties": 2}]}], "properties": {"a": {"oneOf": [{"maximum": 3}, {"multipleOf": 2}, {"type": "string"}]}, "b": {"items": {"$ref": "#"}}}},
+    {"type": "object", "if": {"required": ["a"]}, "then": {"minProperties": 2}, "else": {"not": {"required": ["b"]}}, "additionalProperties": {"not": {"type": "null"}, "items": [{"const": 1}, {"type": "integer", "multipleOf": 2.5}], "additionalItems": {"enum": [2, "x"]}}},
+    {"dependentSchemas": {"a": {"required": ["b", "b"], "maxProperties": 1}}, "dependentRequired": {"b": ["a"]}, "propertyNames": {"maxLength": 1, "type": "string"}, "allOf": [{"$ref": "#/$defs/one"}], "anyOf": [{"$ref": "#/$defs/one"}, {"required": ["zz"]}], "$defs": {"one": {"minProperties": 3, "uniqueItems": True, "minItems": 3}}},
+    {"properties": {"b": {"items": {"properties": {"a": {"type": "string"}}, "additionalProperties": False}}, "a": False}, "additionalProperties": {"$ref": "#"}},
+    {"oneOf": [True, {"type": ["object", "array"]}, {"not": {"multipleOf": 5}}], "items": {"$ref": "#"}},
+]
+
+
+@pytest.mark.parametrize("k", range(len(FLAT)))
+def test_states_of_the_walk(spark, k):
+    """Without patterns the walk tells which places a node has: texts are walked once, no shapes are collected and joined; the violations are those of the table of nodes."""
+    docs = [{"a": 4, "b": [{"a": 3}, {"a": "x", "c": None}]}, [1, 5, 2, "x", 1], {"b": [[{"a": 1.5}], 7]}, {"a": None, "long": [1, 2.5, 3]}, None, {}, 10, [], {"x": {"a": 6, "b": []}, "y": None}, {"a": 9007199254740993}]
+    texts = spark.createDataFrame([*((i, json.dumps(v)) for i, v in enumerate(docs)), (98, None), (99, "bad")], "id int, j string")
+    found = tree_validation.validate(texts, "id", "j", FLAT[k])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join ") == 0
+    want = tree_validation.validate_nodes(written(shred(texts, "id", "j"), "t"), "id", FLAT[k])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_validate_tree_takes_one_walk(spark):
+    """Rows without violations go before any are made, by plain tests; the only join left is that of orders with their items."""
+    plan = catalog.QUERIES["validate_tree"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join ") == 1
+    assert "lambda" not in plan[: plan.index("MapInArrow")]
+
+
+def test_whole_multiples(spark):
+    """Large numbers and long fractions are compared by their digits."""
+    texts = ["5", "7", "10.0", "2.5", "1e1", "9007199254740995", "9007199254740993", "4503599627370500", "4503599627370501", "-15", "-0.0", "10.00000000000000000001", "1e-400", '"x"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    bad = {texts[r["id"]] for r in tree_validation.validate(df, "id", "j", {"multipleOf": 5}).collect()}
+    assert bad == {"7", "2.5", "9007199254740993", "4503599627370501"}
