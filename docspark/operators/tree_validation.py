@@ -434,9 +434,12 @@ def validate(docs: DataFrame, key: str, json: str, schema: dict | bool) -> DataF
     own, states = columns(places), places.states()
     if states is None:
         nodes = _at_shapes(places, shred(docs, key, json, [*own, "steps", "pointer"]), _shapes(places, shred(docs, key, json, ["pointer", "steps"])))
+        flags = None
     else:
-        nodes = _at_states(places, shred(docs, key, json, own, states=states[0]), states[1])
-    return _ordered(_in_row(places, nodes.withColumnRenamed(key, "_doc")), key)
+        nodes = shred(docs, key, json, own, states=states[0])
+        of = lambda test: F.col("state").isin([i for i, state in enumerate(states[1]) if test(state)])
+        flags = {at: of(lambda state: at in state) for at in places.found}, {at: of(lambda state: state.get(at, False)) for at in places.found}  # noqa: B023
+    return _ordered(_in_row(places, nodes.withColumnRenamed(key, "_doc"), flags), key)
 
 
 def validate_nodes(nodes: DataFrame, key: str, schema: dict | bool) -> DataFrame:
@@ -534,12 +537,6 @@ def _at_shapes(places: Places, nodes: DataFrame, shapes: DataFrame) -> DataFrame
     return nodes.withColumn("_shape", _shape(places)).join(shapes, F.col("_shape") == F.col("_at"))
 
 
-def _at_states(places: Places, nodes: DataFrame, states: list[dict[str, bool]]) -> DataFrame:
-    """The same from the states that the walk gave."""
-    of = lambda test: F.col("state").isin([i for i, state in enumerate(states) if test(state)])
-    return nodes.select("*", *(of(lambda s: at in s).alias(f"_h{i}") for i, at in enumerate(places.found)), *(of(lambda s: s.get(at, False)).alias(f"_s{i}") for i, at in enumerate(places.found)))
-
-
 def _levels(needs: dict[str, list[str]]) -> list[list[str]]:
     """Places by level, each above all that it needs."""
     level: dict[str, int] = {}
@@ -555,20 +552,24 @@ def _levels(needs: dict[str, list[str]]) -> list[list[str]]:
     return out
 
 
-def _in_row(places: Places, nodes: DataFrame) -> DataFrame:
+def _in_row(places: Places, nodes: DataFrame, flags: tuple[dict[str, Column], dict[str, Column]] | None = None) -> DataFrame:
     """The violations (_doc, pre, ...) where no branch looks below: verdicts, and which places report, are plain columns of each node's row, made level by level.
+    ``flags`` tell of each place whether it is there, and whether for sure, by default the columns of ``_at_shapes``.
 
-    Functions of elements are avoided here, since Spark doesn't compile what has them.
+    Functions of elements are avoided here, since Spark doesn't compile what has them. So are columns that are equal to a part of the filter, such as the flags or a test alone: the
+    optimizer would note what the filter says once for each choice of parts to put such columns for.
     """
-    found, no, zero = places.found, F.lit(False), F.lit(0).cast("bigint")
+    found, branched, no, zero = places.found, places.branched(), F.lit(False), F.lit(0).cast("bigint")
     at = {x: i for i, x in enumerate(found)}
-    here, sure, errors, typing, active = ({x: F.col(f"_{k}{i}") for x, i in at.items()} for k in "hseta")
+    here, sure = flags or ({x: F.col(f"_{k}{i}") for x, i in at.items()} for k in "hs")
+    errors, wrong = ({x: F.col(f"_{k}{i}") for x, i in at.items()} for k in "et")
+    typing = {x: c == 1 for x, c in wrong.items()}
     tests = {x: places.tests(p) for x, p in found.items()}
     any_, sum_ = (lambda xs: reduce(Column.__or__, xs, no)), (lambda xs: reduce(Column.__add__, xs, zero))
     # Most nodes have no violation: they go before anything is made of them.
     own = nodes.filter(any_(sure[x] & places.fails(x, every=False) for x in found))
     passed = lambda branches: sum_(F.when(errors[x] == 0, 1).otherwise(0) for x in branches)
-    best = lambda branches: F.array_min(F.array(*(F.struct(typing[x].alias("type"), errors[x].alias("errors"), F.lit(i).alias("i")) for i, x in enumerate(branches))))
+    best = lambda branches: F.array_min(F.array(*(F.struct(wrong[x].alias("type"), errors[x].alias("errors"), F.lit(i).alias("i")) for i, x in enumerate(branches))))
 
     def verdict(x: str) -> tuple[Column, Column]:
         """How much is violated at a place with its branches, and whether the node's own type is."""
@@ -580,7 +581,7 @@ def _in_row(places: Places, nodes: DataFrame) -> DataFrame:
         for branches in filter(None, (p.any_of, p.one_of)):
             failed = F.when(passed(branches) == 0, best(branches)["errors"] + 1)
             e.append((failed.when(passed(branches) > 1, 1) if branches is p.one_of else failed).otherwise(0))
-            t.append((passed(branches) == 0) & best(branches)["type"])
+            t.append((passed(branches) == 0) & (best(branches)["type"] == 1))
         if p.not_:
             e.append(F.when(errors[p.not_] == 0, 1).otherwise(0))
         if p.if_:
@@ -590,20 +591,21 @@ def _in_row(places: Places, nodes: DataFrame) -> DataFrame:
         for name, y in p.dependent.items():
             e.append(F.when(places._has(name), errors[y]).otherwise(0))
             t.append(places._has(name) & typing[y])
-        return F.when(here[x], sum_(e)).otherwise(zero), here[x] & any_(t)
+        return F.when(here[x], sum_(e)).otherwise(zero), F.when(here[x] & any_(t), 1).otherwise(0)
 
-    for level in _levels({x: found[x].same() for x in places.branched()}):
+    for level in _levels({x: found[x].same() for x in branched}):
         own = own.withColumns({f"_{k}{at[x]}": c for x in level for k, c in zip("et", verdict(x))})
     above: dict[str, list[tuple[str, Column]]] = {x: [] for x in found}
     for x, p in found.items():
-        ways = [(y, F.lit(True)) for y in p.every] + [(y, places._has(name)) for name, y in p.dependent.items()]
+        ways = [(y, F.lit(True)) for y in p.every if x in branched] + [(y, places._has(name)) for name, y in p.dependent.items()]
         ways += [(y, (passed(branches) == 0) & (best(branches)["i"] == i)) for branches in (p.any_of, p.one_of) for i, y in enumerate(branches)]
         if p.if_:
             ways += [(y, (errors[p.if_[0]] == 0) == holds) for y, holds in zip(p.if_[1:], (True, False)) if y]
         for y, when in ways:
             above[y].append((x, when))
+    active = {x: F.col(f"_a{i}") if above[x] else sure[x] for x, i in at.items()}
     for level in _levels({x: [y for y, _ in ways] for x, ways in above.items()}):
-        own = own.withColumns({f"_a{at[x]}": any_([sure[x], *(active[y] & when for y, when in above[x])]) for x in level})
+        own = own.withColumns({f"_a{at[x]}": any_([sure[x], *(active[y] & when for y, when in above[x])]) for x in level if above[x]})
     parts = []
     for x, p in found.items():
         rows = [r for _, _, r in tests[x]]
